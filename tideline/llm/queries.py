@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, token_counts
+from . import language_id, sentencepiece_codec, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +18,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), limit=4096)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", language_id.held_out("doc_id"))
+    prototypes = language_id.fit(docs.where(~F.col("held_out")))
+    found = language_id.predict(docs, prototypes)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(_documents(spark, sf_dir), end_id=True)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shuffle_to_shards(_documents(spark, sf_dir), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_sentencepiece)}
+    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op5_sentencepiece, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
