@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, sentencepiece_codec, sharding, token_counts, warc
+from . import decontamination, language_id, sentencepiece_codec, sharding, simhash_dedup, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(_documents(spark, sf_dir), end_id=True)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_documents(spark, sf_dir), shingle=3, max_bits=3)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_to_shards(_documents(spark, sf_dir), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,7 +58,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op5_sentencepiece, op7_sharding, op9_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op5_sentencepiece, op6_simhash, op7_sharding, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
