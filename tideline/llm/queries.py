@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, sentencepiece_codec, sharding, simhash_dedup, token_counts, warc
+from . import decontamination, language_id, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.with_verdict(found).select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(_documents(spark, sf_dir), length=100)
+    return suffix_dedup.with_digest(found).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op5_sentencepiece, op6_simhash, op7_sharding, op9_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op5_sentencepiece, op6_simhash, op7_sharding, op9_decontamination, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
