@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, warc
+from . import decontamination, language_id, lm_scoring, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, topk_threshold, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_threshold.top_k(rows.where("vec_id % 100 = 0"), rows, k=10, scale=1024)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(_documents(spark, sf_dir), end_id=True)
 
@@ -51,6 +66,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_documents(spark, sf_dir), order=2, backoff=0.4)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.concat_ws(",", "items"), 256)
@@ -63,8 +82,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op5_sentencepiece, op6_simhash, op7_sharding, op9_decontamination, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op4_top_k, op5_sentencepiece, op6_simhash, op7_sharding, op8_stupid_backoff, op9_decontamination, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op4_top_k": OP4_SQL}
