@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import packed, unpacked
+
 WINDOW = 13
 SHARD_WORDS = 600_000
 SAMPLE = 8
@@ -191,13 +193,13 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, *, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Words of every document that lie in an occurrence of a benchmark window, and the items found.
 
     A window is `window` consecutive words of an item, or all words of a shorter one; an item without words has
-    none. Returns id_col, text, n_words, spans (array of start and end in words, merged), items (array of
-    item ids as text, sorted, distinct), a row for each input row. Null texts have no words; ids may be null
-    or repeated (an item's null id counts as empty text); other columns are ignored; empty tables of either
+    none. Returns the columns in `carry` as they are, the text, n_words, spans (array of start and end in words, merged), items (array of
+    item ids as text, sorted, distinct), a row for each input row. Null texts have no words; carried
+    columns may hold nulls and repeats (an item's null id counts as empty text); other columns are ignored; empty tables of either
     kind give rows without spans or no rows. The benchmark is taken in blocks of about block_bytes, each
     broadcast on its own and searched by a further pass in the same stage.
     """
@@ -206,39 +208,42 @@ def find(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_co
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = df.select(packed(carry).alias("rest"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([out.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows], window))), schema)
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    return out.select(*unpacked(carry), F.col("text").alias(text_col), "n_words", "spans", "items")
 
 
 def _pass(phrases):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def shard(rows: list[tuple], docs: list[list[int]], id_type: pa.DataType) -> pa.RecordBatch:
+    def shard(rows: list[tuple], docs: list[list[int]], rest: list[pa.Array]) -> pa.RecordBatch:
         spans, items = search_shard(docs, phrases.value)
-        ids, texts, old_spans, old_items = zip(*rows, strict=True)
+        texts, old_spans, old_items = zip(*rows, strict=True)
         spans = [s if not o else merge_spans(s + [(x["start"], x["end"]) for x in o]) for s, o in zip(spans, old_spans, strict=True)]
         items = [i if not o else sorted({*i, *o}) for i, o in zip(items, old_items, strict=True)]
-        arrays = [pa.array(ids, id_type), pa.array(texts, pa.string()), pa.array(map(len, docs), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["id", "text", "n_words", "spans", "items"])
+        arrays = [pa.concat_arrays(rest), pa.array(texts, pa.string()), pa.array(map(len, docs), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["rest", "text", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = phrases.value.words.get
-        rows, docs, held = [], [], 0
+        rows, docs, rest, held = [], [], [], 0
         for batch in batches:
+            start = 0
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 docs.append([number(w, 0) for w in words_of(text)])
-                rows.append((batch.column(0)[i].as_py(), text, batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
+                rows.append((text, batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
                 held += len(docs[-1])
                 if held >= SHARD_WORDS:
-                    yield shard(rows, docs, batch.schema.field(0).type)
-                    rows, docs, held = [], [], 0
+                    rest.append(batch.column(0).slice(start, i + 1 - start))
+                    yield shard(rows, docs, rest)
+                    rows, docs, rest, held, start = [], [], [], 0, i + 1
+            rest.append(batch.column(0).slice(start))
         if rows:
-            yield shard(rows, docs, batch.schema.field(0).type)
+            yield shard(rows, docs, rest)
 
     return run
 

@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
+
+from .shared import packed, unpacked
 
 SYMBOLS = 64  # 0: no letter; 1 to 26: a to z; the rest: other letters, by their code
 DIMENSIONS = 512
@@ -80,19 +82,16 @@ def bundle(grams: list[np.ndarray], rows: np.ndarray, n: int, dimensions: int, s
     return (counts.astype(exact) @ gram_vectors(used, dimensions, seed).astype(exact)).astype(np.float64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[np.ndarray]]]:
-    """Groups of rows with their grams, of a bounded size if no single text exceeds it."""
-    first, second, grams, total = [], [], [], 0
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Runs of rows with the grams of their texts (column `text`), of a bounded size if no single text exceeds it."""
     for batch in batches:
-        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            g = trigrams(text.as_py())
-            first.append(a), second.append(b), grams.append(g)
-            total += len(g)
-            if total >= GROUP_GRAMS or len(grams) >= GROUP_TEXTS:
-                yield first, second, grams
-                first, second, grams, total = [], [], [], 0
-    if grams:
-        yield first, second, grams
+        grams, total, start = [], 0, 0
+        for i, text in enumerate(batch.column("text")):
+            grams.append(trigrams(text.as_py()))
+            total += len(grams[-1])
+            if total >= GROUP_GRAMS or len(grams) >= GROUP_TEXTS or i == batch.num_rows - 1:
+                yield batch.slice(start, len(grams)), grams
+                grams, total, start = [], 0, i + 1
 
 
 def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -104,7 +103,8 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for langs, _, grams in _groups(batches):
+        for group, grams in _groups(batches):
+            langs = group.column("lang").to_pylist()
             names = sorted(set(langs))
             rows = np.array([names.index(x) for x in langs])
             for name, v in zip(names, bundle(grams, rows, len(names), dimensions, seed), strict=True):
@@ -112,7 +112,7 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimens
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.lit(None).cast("string").alias("none"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sums = rows.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
     if len(whole) > MAX_LANGUAGES:
@@ -121,32 +121,33 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimens
     return {k: found[k] for k in sorted(found) if found[k].any()}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """Language of every text: id_col, lang_pred and score (the cosine, not below 0), a row for each input row.
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", carry: list[str], seed: int = SEED) -> DataFrame:
+    """Language of every text: the columns in `carry` as they are, lang_pred and score (the cosine, not below 0), a row for each input row.
 
     A text that is null or without a letter gets `und` and 0, as does every text if nothing was learned; equal
-    cosines go to the language that sorts first. Ids may be null or repeated; other columns are ignored.
+    cosines go to the language that sorts first. Carried columns may hold nulls and repeats, other columns are
+    ignored, and an empty table gives no rows.
     """
     names = list(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, grams in _groups(batches):
+        for group, grams in _groups(batches):
+            n = len(grams)
             known = np.array([len(g) > 0 for g in grams]) & bool(names)
-            langs, scores = [UNKNOWN] * len(ids), np.zeros(len(ids))
+            langs, scores = [UNKNOWN] * n, np.zeros(n)
             if known.any():
-                v = bundle(grams, np.arange(len(ids)), len(ids), unit.shape[1], seed)[known]
+                v = bundle(grams, np.arange(n), n, unit.shape[1], seed)[known]
                 cosine = (v @ unit.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 best = np.argmax(np.round(cosine, 12), axis=1)
                 scores[known] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
                 for i, b in zip(np.flatnonzero(known), best, strict=True):
                     langs[i] = names[b]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(langs), pa.array(scores)], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([group.column("rest"), pa.array(langs), pa.array(scores)], names=["rest", "lang_pred", "score"])
 
-    spark_kind = df.schema[id_col].dataType
-    kind = to_arrow_type(spark_kind)
-    slim = df.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("none"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {spark_kind.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    slim = df.select(packed(carry).alias("rest"), F.col(text_col).alias("text"))
+    schema = T.StructType([slim.schema["rest"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return slim.mapInArrow(run, schema).select(*unpacked(carry), "lang_pred", "score")
 
 
 def held_out(column: str = "doc_id"):

@@ -34,8 +34,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("held_out", language_id.held_out("doc_id"))
     prototypes = language_id.fit(docs.where(~F.col("held_out")))
-    found = language_id.predict(docs, prototypes)
-    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, prototypes, carry=["doc_id", "held_out"])
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,18 +70,24 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["doc_id"])
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return decontamination.with_verdict(found).select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_spans(_documents(spark, sf_dir), length=100)
+    found = suffix_dedup.repeated_spans(_documents(spark, sf_dir), carry=["doc_id"], length=100)
     return suffix_dedup.with_digest(found).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op4_top_k, op5_sentencepiece, op6_simhash, op7_sharding, op8_stupid_backoff, op9_decontamination, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op4_top_k, op5_sentencepiece, op6_simhash, op7_sharding, op8_stupid_backoff, op9_decontamination, op10_suffix_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

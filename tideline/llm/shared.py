@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -51,3 +52,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def packed(carry: list[str]) -> Column:
+    """Columns that an operator passes on as they are, as one struct, so that no name of theirs can clash."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.lit(0).alias("none"))
+
+
+def unpacked(carry: list[str], column: str = "rest") -> list[Column]:
+    return [F.col(f"{column}.c{i}").alias(c) for i, c in enumerate(carry)]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

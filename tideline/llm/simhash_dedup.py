@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import chunks, materialised, parallelism
+from .shared import chunks, free_name, materialised, parallelism
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -163,3 +163,16 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     components = materialised(rooted.join(linked, "root").select("fp", "component_id"), "fingerprint-components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(components, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """df with one row of each component of near_duplicates(): that with the smallest id, null ids last, the first read among equals.
+
+    Rows are told apart by a number of their own, so that repeated and null ids are rows like any other.
+    """
+    row = free_name(df, "row")
+    rows = materialised(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, id_col=row, text_col=text_col, shingle=shingle, max_bits=max_bits)
+    own = rows.select(F.col(row).alias("n"), F.col(id_col).alias("id"))
+    best = found.select(F.col(row).alias("n"), "component_id").join(own, "n").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("best"))
+    return rows.join(best.select(F.col("best.n").alias(row)), row, "left_semi").drop(row)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import parallelism, scratch
+from .shared import packed, parallelism, scratch, unpacked
 
 LENGTH = 100
 GRAM = 32
@@ -226,30 +226,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str], length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Spans of bytes covered by strings of `length` bytes that start earlier too.
 
-    Returns id_col, text, spans (array of start and end in UTF-8 bytes: maximal runs), a row for each input
+    Returns the columns in `carry` as they are, the text, spans (array of start and end in UTF-8 bytes: maximal runs), a row for each input
     row. Earlier is: smaller id (long), or the same document and an earlier start; of rows with equal ids, that
-    read first; null ids come last. Matches never cross rows. Null and short texts have no spans; other
-    columns are ignored; an empty table gives no rows. Results of the passes are tables in the shared folder.
+    read first; null ids come last. Matches never cross rows. Null and short texts have no spans; carried
+    columns may hold anything, other columns are ignored; an empty table gives no rows. Results of the passes are tables in the shared folder.
     """
     spark, n = df.sparkSession, parallelism(df.sparkSession)
     home = scratch(spark, "suffix-dedup")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    docs = df.select(F.spark_partition_id().alias("part"), row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.spark_partition_id().alias("part"), row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), packed(carry).alias("rest"))
     docs.write.option("compression", "zstd").parquet(f"{home}/docs")
     docs = spark.read.schema(docs.schema).parquet(f"{home}/docs")
     blobs = "pid int, part int, kind int, data binary"
-    dealt = docs.mapInArrow(_find_anchors(length, gram, n), blobs).repartition(n, "pid")
+    texts = docs.select("part", "row", "id", "text")
+    dealt = texts.mapInArrow(_find_anchors(length, gram, n), blobs).repartition(n, "pid")
     flags = dealt.mapInArrow(_match_contexts, blobs)
     flags.repartition(n, "part").write.partitionBy("part").parquet(f"{home}/flags")
-    wanted = docs.mapInArrow(_fetch(f"{home}/flags", length, gram, n), blobs).repartition(n, "pid")
+    wanted = texts.mapInArrow(_fetch(f"{home}/flags", length, gram, n), blobs).repartition(n, "pid")
     wanted.mapInArrow(_sort_contexts(length), blobs).repartition(n, "part").write.partitionBy("part").parquet(f"{home}/parts")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", span)])
+    schema = T.StructType([docs.schema["rest"], T.StructField("text", T.StringType()), T.StructField("spans", span)])
     out = docs.mapInArrow(_apply(f"{home}/flags", f"{home}/parts", length, gram), schema)
-    return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("text").alias(text_col), "spans")
+    return out.select(*unpacked(carry), F.col("text").alias(text_col), "spans")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int | None, str | None]]:
@@ -427,7 +428,7 @@ def _apply(flags: str, parts: str, length: int, gram: int):
                             pos = a["pos"].astype(np.int64)
                             spans += zip(np.maximum(0, pos - (length - gram)).tolist(), np.minimum(n, pos + length).tolist(), strict=True)
                     out.append([{"start": s, "end": e} for s, e in merged(spans)])
-                yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(3), pa.array(out, span)], names=["id", "text", "spans"])
+                yield pa.RecordBatch.from_arrays([piece.column(4), piece.column(3), pa.array(out, span)], names=["rest", "text", "spans"])
 
     return run
 
