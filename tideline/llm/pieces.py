@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 import sentencepiece
 
@@ -14,7 +15,8 @@ class Pieces:
 
     A merge joins two adjacent symbols if their concatenation is a normal piece. A text can therefore be
     cut wherever no piece crosses: before a run of spaces that follows another character (if no piece has
-    a space mark after another character), and around characters that are in no piece of two or more.
+    a space mark after another character), around characters that are in no piece of two or more, and
+    between a letter and punctuation that no piece has side by side.
     """
 
     def __init__(self, model: bytes):
@@ -35,7 +37,13 @@ class Pieces:
         else:
             # a space is a word mark here: texts are cut before the marks are put in
             own = "".join(map(re.escape, loose))
-            self.cut = re.compile(rf" *[^ {own}]+| +" + (rf"|[{own}]" if own else ""), re.S)
+            # letters end a stretch where punctuation follows that no piece has after or before a letter
+            pairs = {(x, y) for p in self.id_of for x, y in zip(p, p[1:], strict=False)}
+            marks = [q for q in string.punctuation if not any((x, q) in pairs or (q, x) in pairs for x in string.ascii_letters)]
+            odd = {x for pair in pairs for x in pair if x.isalpha() or x.isalnum()} & {x for q in marks for pair in pairs if q in pair for x in pair}
+            letters = rf"[^\W\d_{''.join(map(re.escape, sorted(odd)))}]"
+            end = rf"(?=[{''.join(map(re.escape, marks))}])" if marks else "(?!)"
+            self.cut = re.compile(rf" *{letters}+(?:{end}|[^ {own}]*)| *[^ {own}]+| +" + (rf"|[{own}]" if own else ""), re.S)
 
     def stretches(self, text: str) -> list[str]:
         """The independent stretches of a text, with the leading space that the model's normaliser adds.

@@ -22,7 +22,7 @@ from .pieces import SPACE, Memo, Pieces, pieces_of, read_model
 from .shared import chunks
 
 CHUNK_BYTES = 2_000_000
-MEMO = 300_000
+MEMO = 500_000
 PLACE = (1 << 40) - 1
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
