@@ -12,7 +12,7 @@ SHOCKS = [
     ("2026-01-05 16:11", "2026-01-05 16:28", 0.30),
 ]
 POSTS = [
-    ("post-1", "2026-01-02 14:30:17", "New TARIFFS on China, and more trade measures!"),
+    ("post-1", "2026-01-02 14:30:17", "New TARIFFS on China, and America gains from trade!"),
     ("post-2", "2026-01-02 14:42:13", "A beautiful deal on trade with China is near."),
     ("post-3", "2026-01-02 15:10:07", "The Fed must cut rates; inflation is gone and markets will fly!"),
     ("post-4", "2026-01-02 16:05:01", "Fake news media, once again."),

@@ -6,7 +6,9 @@ through a table with one row per bucket, whose size is the time span over the wi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -47,8 +49,8 @@ def pairs_within(left: DataFrame, right: DataFrame, *, start: Column, end: Colum
     return joined.drop("_bucket", "_from", "_to", "_ts")
 
 
-def lookback(df: DataFrame, ts: str, minutes: int, columns: dict[str, tuple[int, Column]], *, by: list[str] | None = None) -> DataFrame:
-    """Adds aggregates over the rows of the last m minutes, the row's own instant excluded: name -> (m, aggregate).
+def lookback(df: DataFrame, ts: str, minutes: int, columns: dict[str, tuple[int, Callable[[WindowSpec], Column]]], *, by: list[str] | None = None) -> DataFrame:
+    """Adds aggregates over the rows of the last m minutes, the row's own instant excluded: name -> (m, function of the window).
 
     Every row also goes to the next bucket (of `minutes`, the longest lookback), where it is only looked back at.
     """
@@ -56,7 +58,7 @@ def lookback(df: DataFrame, ts: str, minutes: int, columns: dict[str, tuple[int,
     micros = F.unix_micros(F.col(ts))
     spread = df.withColumn("_home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns({"_bucket": bucket(ts, width) + F.when(F.col("_home"), 0).otherwise(1), "_at": micros})
     w = Window.partitionBy(*(by or []), "_bucket").orderBy("_at")
-    out = spread.withColumns({name: agg.over(w.rangeBetween(-m * MINUTE, -1)) for name, (m, agg) in columns.items()})
+    out = spread.withColumns({name: agg(w.rangeBetween(-m * MINUTE, -1)) for name, (m, agg) in columns.items()})
     return out.where("_home").drop("_home", "_bucket", "_at")
 
 
