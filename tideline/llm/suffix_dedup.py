@@ -120,6 +120,7 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, places: np.ndarray, bu
     tied = np.flatnonzero(size > 1)
     slot, items, size, start = tied, order[tied], size[tied], start[tied]
     steps = [1 << b for b in range((length - 1).bit_length() - 1, -1, -1)]
+    whole = hashes.of(places, places + length)
 
     def extension(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes in common from both places, `length` at most."""
@@ -131,13 +132,23 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, places: np.ndarray, bu
             common += s * same
         return common
 
-    def before(a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        common = extension(a, b)
-        ends = common >= length
-        i = np.minimum(common, length - 1)
-        return np.where(ends, or_equal, data[a + i] < data[b + i])
-
-    width, base = 1, np.cumsum(np.r_[0, slot[1:] != slot[:-1] + 1]) if len(slot) else slot
+    def before(x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Whether suffix x sorts before y; or_equal is the answer for suffixes that agree in `length` bytes."""
+        out = or_equal.copy()
+        differ = np.flatnonzero(whole[x] != whole[y])
+        a, b = places[x[differ]], places[y[differ]]
+        i = np.minimum(extension(a, b), length - 1)
+        out[differ] = data[a + i] < data[b + i]
+        return out
+
+    # runs that are in order already, such as those of one string only, need no merging
+    run = np.cumsum(np.r_[True, start[1:] != start[:-1]]) - 1 if len(slot) else slot
+    inside = np.flatnonzero(run[1:] == run[:-1]) + 1 if len(slot) else slot
+    wrong = ~before(items[inside - 1], items[inside], np.ones(len(inside), bool))
+    mixed_up = np.zeros(run[-1] + 1 if len(run) else 0, bool)
+    mixed_up[run[inside[wrong]]] = True
+    slot, items, size, start = (x[mixed_up[run]] for x in (slot, items, size, start))
+    width = 1
     here = np.searchsorted(slot, start)  # where each run of ties begins in items
     inner = np.arange(len(slot)) - here
     while len(size) and width < size.max():
@@ -148,9 +159,8 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, places: np.ndarray, bu
         left_side = block % 2 == 0
         while (going := np.flatnonzero(lo < hi)).size:
             mid = (lo[going] + hi[going]) // 2
-            theirs, own = places[items[here[going] + mid]], places[items[going]]
             # an element of the left block precedes equal ones of the right block
-            passed = before(theirs, own, ~left_side[going])
+            passed = before(items[here[going] + mid], items[going], ~left_side[going])
             lo[going] = np.where(passed, mid + 1, lo[going])
             hi[going] = np.where(passed, hi[going], mid)
         pair = np.where(left_side, block, block - 1) * width
@@ -162,8 +172,8 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, places: np.ndarray, bu
     order[slot] = items
     equal = np.zeros(len(order), bool)
     close = np.flatnonzero(~fresh)
+    close = close[whole[order[close]] == whole[order[close - 1]]]
     a, b = places[order[close]], places[order[close - 1]]
-    close, a, b = (x[extension(a, b) >= length] for x in (close, a, b))
     for i in range(0, len(close), 50_000):
         part = slice(i, i + 50_000)
         span = np.arange(length)
@@ -196,8 +206,16 @@ def _repeated(group: list[tuple], length: int) -> Iterator[tuple[int, int, int,
     places = np.repeat(np.cumsum(sizes) - sizes, count) + inner
     # equal strings have their anchor at the same distance
     distance = a["pos"][who].astype(np.int64) - begin[who] - inner
-    number = np.unique(a["anchor"], return_inverse=True)[1]
-    order, equal = sort_suffixes(data, PrefixHashes(data), places, number[who] * 1_000 + distance, length)
+    bucket = np.unique(a["anchor"], return_inverse=True)[1][who] * 1_000 + distance
+    hashes = PrefixHashes(data)
+    # a string whose hash no other has in its bucket has no equal there
+    key = mixed(hashes.of(places, places + length) ^ mixed(bucket.astype(np.uint64)))
+    _, number, times = np.unique(key, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    if not shared.any():
+        return
+    who, inner, places, bucket = (x[shared] for x in (who, inner, places, bucket))
+    order, equal = sort_suffixes(data, hashes, places, bucket, length)
     rank = np.empty(len(a), np.int64)
     rank[np.lexsort(order_of(a))] = np.arange(len(a))
     cls = np.cumsum(~equal) - 1
