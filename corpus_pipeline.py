@@ -31,9 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_spans(docs, carry=OTHERS, length=100)
-    cut = suffix_dedup.remove_repeats(found.withColumn("had", F.size("spans") > 0))
-    left = cut.where(~F.col("had") | (F.length("text") > 0))
+    found = suffix_dedup.repeated_spans(docs, carry=OTHERS, kept="text", length=100)
+    left = found.where((F.size("spans") == 0) | (F.length("kept") > 0)).withColumn("text", F.col("kept"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

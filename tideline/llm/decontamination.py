@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import packed, unpacked
+from .shared import packed, released, unpacked
 
 WINDOW = 13
 SHARD_WORDS = 600_000
@@ -227,6 +227,7 @@ def _pass(phrases):
         arrays = [pa.concat_arrays(rest), pa.array(texts, pa.string()), pa.array(map(len, docs), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(arrays, names=["rest", "text", "n_words", "spans", "items"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = phrases.value.words.get
         rows, docs, rest, held = [], [], [], 0

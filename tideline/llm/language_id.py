@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import packed, unpacked
+from .shared import packed, released, unpacked
 
 SYMBOLS = 64  # 0: no letter; 1 to 26: a to z; the rest: other letters, by their code
 DIMENSIONS = 512
@@ -101,6 +101,7 @@ def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimens
     gets one vector for each language (MAX_LANGUAGES at most, else ValueError), whatever the number of rows.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for group, grams in _groups(batches):
@@ -131,6 +132,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str =
     names = list(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, grams in _groups(batches):
             n = len(grams)

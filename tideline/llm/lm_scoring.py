@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import parallelism, scratch
+from .shared import parallelism, released, scratch
 
 ORDER = 2
 BACKOFF = 0.4
@@ -167,6 +167,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _explode(order: int, n: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, first, rows in _batches(batches):
             levels = [(d, c, _cuts(d, n)) for d, c, *_ in Batch([r[-1] for r in rows], order).levels]
@@ -175,6 +176,7 @@ def _explode(order: int, n: int):
     return run
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, levels = [], []
     for batch in batches:
@@ -199,6 +201,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum(path: str, order: int, words: int, backoff: float, id_type: pa.DataType):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = FileSystem.from_uri(path)
         for part, first, rows in _batches(batches):

@@ -76,8 +76,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_spans(_documents(spark, sf_dir), carry=["doc_id"], length=100)
-    return suffix_dedup.with_digest(found).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffix_dedup.repeated_spans(_documents(spark, sf_dir), carry=["doc_id"], kept="sha256", length=100)
+    return suffix_dedup.with_counts(found).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pieces import SPACE, Memo, Pieces, pieces_of, read_model
-from .shared import chunks
+from .shared import chunks, released
 
 CHUNK_BYTES = 2_000_000
-MEMO = 500_000
+MEMO = 250_000
 PLACE = (1 << 40) - 1
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
@@ -87,6 +87,7 @@ def encode_digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def _run(df: DataFrame, id_col: str, text_col: str, model_path: str | None, end_id: bool, schema: T.StructType, digest: bool) -> DataFrame:
     model = read_model(model_path)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         library, decode, stretches = _plain(model), pieces.processor.decode, pieces.stretches

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import chunks, free_name, materialised, parallelism
+from .shared import chunks, free_name, materialised, parallelism, released
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -56,6 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id and fp (the fingerprint's bits as a long), a row for each input row; null texts have fingerprint 0."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1, CHUNK_BYTES):
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
@@ -123,6 +124,7 @@ def links(distinct: DataFrame, *, max_bits: int = MAX_BITS, group_rows: int = GR
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.select("table", "bits", (F.least(own, other) * F.col("pieces") + F.greatest(own, other)).cast("long").alias("group"), "fp")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:

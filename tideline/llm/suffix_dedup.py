@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import packed, parallelism, scratch, unpacked
+from .shared import packed, parallelism, released, scratch, unpacked
 
 LENGTH = 100
 GRAM = 32
 CHUNK_BYTES = 1_000_000
-FLUSH_ANCHORS = 600_000
-SORT_WINDOWS = 300_000
+FLUSH_ANCHORS = 300_000
+SORT_WINDOWS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # 5 modulo 8: odd, of large order
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WHOLE, FETCH, PART = 0, 1, 2
@@ -182,55 +182,76 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, places: np.ndarray, bu
     return order, equal
 
 
-def repeated_windows(found: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """part, row, start and stop of strings that start earlier too, from contexts (anchor record, start, bytes)."""
-    found.sort(key=lambda x: x[0]["anchor"])
+class Contexts:
+    """Contexts of anchors as columns: anchor records, where in the document each starts, and its bytes in one buffer."""
+
+    def __init__(self, records: np.ndarray, begin: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+        self.records, self.begin, self.sizes, self.data = records, begin, sizes, data
+        self.offsets = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def unpacked(cls, blobs: list[bytes]) -> Contexts:
+        parts = [pickle.loads(b) for b in blobs]
+        join = lambda i, kind: np.concatenate([np.frombuffer(p[i], kind) for p in parts]) if parts else np.zeros(0, kind)
+        return cls(join(0, ANCHOR), join(1, np.int64), join(2, np.int64), join(3, np.uint8))
+
+    def take(self, rows: np.ndarray) -> Contexts:
+        sizes = self.sizes[rows]
+        at = np.arange(sizes.sum()) + np.repeat(self.offsets[rows] - (np.cumsum(sizes) - sizes), sizes)
+        return Contexts(self.records[rows], self.begin[rows], sizes, self.data[at])
+
+
+def repeated_windows(found: Contexts, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """part, row, start and stop of strings that start earlier too; anchors are taken together up to SORT_WINDOWS strings."""
+    order = np.argsort(found.records["anchor"], kind="stable")
+    anchor = found.records["anchor"][order]
+    ends = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(order)] if len(order) else []
+    windows = np.r_[0, np.cumsum(found.sizes[order] - length + 1)]
     at = 0
-    while at < len(found):
-        stop, windows = at, 0
-        while stop < len(found) and (windows < SORT_WINDOWS or found[stop][0]["anchor"] == found[stop - 1][0]["anchor"]):
-            windows += len(found[stop][2]) - length + 1
-            stop += 1
-        yield from _repeated(found[at:stop], length)
-        at = stop
-
-
-def _repeated(group: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    a = np.array([x[0] for x in group], ANCHOR)
-    begin = np.array([x[1] for x in group])
-    sizes = np.array([len(x[2]) for x in group])
-    data = np.frombuffer(b"".join(x[2] for x in group) + bytes(8), np.uint8)
-    count = sizes - length + 1
-    who = np.repeat(np.arange(len(group)), count)
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    places = np.repeat(np.cumsum(sizes) - sizes, count) + inner
-    # equal strings have their anchor at the same distance
-    distance = a["pos"][who].astype(np.int64) - begin[who] - inner
-    bucket = np.unique(a["anchor"], return_inverse=True)[1][who] * 1_000 + distance
-    hashes = PrefixHashes(data)
-    # a string whose hash no other has in its bucket has no equal there
-    key = mixed(hashes.of(places, places + length) ^ mixed(bucket.astype(np.uint64)))
-    _, number, times = np.unique(key, return_inverse=True, return_counts=True)
-    shared = times[number] > 1
-    if not shared.any():
-        return
-    who, inner, places, bucket = (x[shared] for x in (who, inner, places, bucket))
-    order, equal = sort_suffixes(data, hashes, places, bucket, length)
+    for k, end in enumerate(ends):
+        if k + 1 == len(ends) or windows[ends[k + 1]] - windows[at] > SORT_WINDOWS:
+            yield from _repeated(found.take(order[at:end]), length)
+            at = end
+
+
+def _repeated(group: Contexts, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """As repeated_windows(), for whole anchors. Equal strings have their anchor at the same distance: distances are sorted in turn, so that memory follows the number of contexts."""
+    a, begin, count = group.records, group.begin, group.sizes - length + 1
+    before = a["pos"].astype(np.int64) - begin
+    bucket = np.unique(a["anchor"], return_inverse=True)[1]
     rank = np.empty(len(a), np.int64)
     rank[np.lexsort(order_of(a))] = np.arange(len(a))
-    cls = np.cumsum(~equal) - 1
-    key = rank[who[order]]
-    first = np.full(cls[-1] + 1, len(a))
-    np.minimum.at(first, cls, key)
-    again = order[key > first[cls]]
-    again.sort()
-    if len(again):
-        fresh = np.r_[True, (who[again][1:] != who[again][:-1]) | (np.diff(inner[again]) > 1)]
-        opens = np.flatnonzero(fresh)
-        closes = np.r_[opens[1:], len(again)] - 1
-        for o, c in zip(again[opens].tolist(), again[closes].tolist(), strict=True):
-            w, s = who[o], begin[who[o]]
-            yield int(a["part"][w]), int(a["row"][w]), int(s + inner[o]), int(s + inner[c] + length)
+    data = np.concatenate([group.data, np.zeros(8, np.uint8)])
+    hashes = PrefixHashes(data)
+    step = max(1, int(before.max() + 1) * SORT_WINDOWS // max(int(count.sum()), 1))
+    found = []
+    for d in range(0, int(before.max()) + 1, step):
+        low, high = np.maximum(d, before - count + 1), np.minimum(d + step - 1, before)
+        n = np.maximum(0, high - low + 1)
+        who = np.repeat(np.arange(len(a)), n)
+        distance = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        inner = before[who] - distance
+        places, key = group.offsets[who] + inner, bucket[who] * 1_000 + distance
+        # a string whose hash no other has in its bucket has no equal there
+        _, number, times = np.unique(mixed(hashes.of(places, places + length) ^ mixed(key.astype(np.uint64))), return_inverse=True, return_counts=True)
+        shared = times[number] > 1
+        if shared.any():
+            who, inner, places, key = (x[shared] for x in (who, inner, places, key))
+            order, equal = sort_suffixes(data, hashes, places, key, length)
+            cls, own = np.cumsum(~equal) - 1, rank[who[order]]
+            first = np.full(cls[-1] + 1, len(a))
+            np.minimum.at(first, cls, own)
+            again = order[own > first[cls]]
+            found.append((who[again], inner[again]))
+    if found:
+        who, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((inner, who))
+        who, inner = who[order], inner[order]
+        if len(who):
+            opens = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (np.diff(inner) > 1)])
+            closes = np.r_[opens[1:], len(who)] - 1
+            w = who[opens]
+            yield from zip(a["part"][w].tolist(), a["row"][w].tolist(), (begin[w] + inner[opens]).tolist(), (begin[w] + inner[closes] + length).tolist(), strict=True)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -244,11 +265,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str], length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str], kept: str | None = None, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Spans of bytes covered by strings of `length` bytes that start earlier too.
 
     Returns the columns in `carry` as they are, the text, spans (array of start and end in UTF-8 bytes: maximal runs), a row for each input
-    row. Earlier is: smaller id (long), or the same document and an earlier start; of rows with equal ids, that
+    row; with kept="text" also kept, the text without its spans (a character that is cut in part goes as a whole), with
+    kept="sha256" the digest of the bytes that are left. Earlier is: smaller id (long), or the same document and an earlier start; of rows with equal ids, that
     read first; null ids come last. Matches never cross rows. Null and short texts have no spans; carried
     columns may hold anything, other columns are ignored; an empty table gives no rows. Results of the passes are tables in the shared folder.
     """
@@ -266,9 +288,9 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     wanted = texts.mapInArrow(_fetch(f"{home}/flags", length, gram, n), blobs).repartition(n, "pid")
     wanted.mapInArrow(_sort_contexts(length), blobs).repartition(n, "part").write.partitionBy("part").parquet(f"{home}/parts")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema["rest"], T.StructField("text", T.StringType()), T.StructField("spans", span)])
-    out = docs.mapInArrow(_apply(f"{home}/flags", f"{home}/parts", length, gram), schema)
-    return out.select(*unpacked(carry), F.col("text").alias(text_col), "spans")
+    schema = T.StructType([docs.schema["rest"], T.StructField("text", T.StringType()), T.StructField("spans", span), T.StructField("kept", T.StringType())])
+    out = docs.mapInArrow(_apply(f"{home}/flags", f"{home}/parts", length, gram, kept), schema)
+    return out.select(*unpacked(carry), F.col("text").alias(text_col), "spans", *(["kept"] if kept else []))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int | None, str | None]]:
@@ -308,6 +330,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _find_anchors(length: int, gram: int, n: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         docs: list[tuple] = []
@@ -347,6 +370,7 @@ def _find_anchors(length: int, gram: int, n: int):
     return run
 
 
+@released
 def _match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for batch in batches:
@@ -393,34 +417,44 @@ class _Side:
 
 
 def _fetch(flags: str, length: int, gram: int, n: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, held, size = _Side(flags, FETCH), {}, 0
+        side, size = _Side(flags, FETCH), 0
+        held: tuple[list, list, list] = ([], [], [])
 
         def send() -> pa.RecordBatch:
-            return _blobs([(pid, 0, FETCH, pickle.dumps(x)) for pid, x in held.items()])
+            a, begin = (np.concatenate(x) for x in held[:2])
+            sizes = np.array([len(x) for x in held[2]], np.int64)
+            found = Contexts(a, begin, sizes, np.frombuffer(b"".join(held[2]), np.uint8))
+            rows = []
+            for pid, own in _by((a["anchor"] >> np.uint64(20)) % np.uint64(n), np.arange(len(a))):
+                x = found.take(own)
+                rows.append((pid, 0, FETCH, pickle.dumps((x.records.tobytes(), x.begin.tobytes(), x.sizes.tobytes(), x.data.tobytes()))))
+            return _blobs(rows)
 
         for part, row, _, text in _rows(batches):
-            data = None
-            for a in side.of(part, row):
-                data = data if data is not None else _bytes(text)
-                start = np.maximum(0, a["pos"].astype(np.int64) - (length - gram))
-                for x, s, pid in zip(a, start.tolist(), ((a["anchor"] >> np.uint64(20)) % np.uint64(n)).tolist(), strict=True):
-                    held.setdefault(pid, []).append((x.tobytes(), s, data[s : int(x["pos"]) + length]))
-                    size += 1
-            if size >= 20_000:
-                yield send()
-                held, size = {}, 0
-        yield send()
+            own = side.of(part, row)
+            if own:
+                data = _bytes(text)
+                for a in own:
+                    pos = a["pos"].astype(np.int64)
+                    start = np.maximum(0, pos - (length - gram))
+                    held[0].append(a), held[1].append(start)
+                    held[2].extend(data[s : p + length] for s, p in zip(start.tolist(), pos.tolist(), strict=True))
+                    size += len(a)
+                if size >= 50_000:
+                    yield send()
+                    held, size = ([], [], []), 0
+        if size:
+            yield send()
 
     return run
 
 
 def _sort_contexts(length: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        for batch in batches:
-            for data in batch.column(3).to_pylist():
-                found += [(np.frombuffer(a, ANCHOR)[0], s, d) for a, s, d in pickle.loads(data)]
+        found = Contexts.unpacked([data for batch in batches for data in batch.column(3).to_pylist()])
         parts: dict[int, list] = {}
         for part, row, s, e in repeated_windows(found, length):
             parts.setdefault(part, []).append((row, s, e))
@@ -429,14 +463,15 @@ def _sort_contexts(length: int):
     return run
 
 
-def _apply(flags: str, parts: str, length: int, gram: int):
+def _apply(flags: str, parts: str, length: int, gram: int, kept: str | None):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, some = _Side(flags, WHOLE), _Side(parts, PART)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                piece, out = batch.slice(at, 500), []
+                piece, out, rest = batch.slice(at, 500), [], []
                 for part, row, _, text in _rows([piece]):
                     spans = list(some.of(part, row))
                     found = whole.of(part, row)
@@ -445,40 +480,26 @@ def _apply(flags: str, parts: str, length: int, gram: int):
                         for a in found:
                             pos = a["pos"].astype(np.int64)
                             spans += zip(np.maximum(0, pos - (length - gram)).tolist(), np.minimum(n, pos + length).tolist(), strict=True)
-                    out.append([{"start": s, "end": e} for s, e in merged(spans)])
-                yield pa.RecordBatch.from_arrays([piece.column(4), piece.column(3), pa.array(out, span)], names=["rest", "text", "spans"])
+                    spans = merged(spans)
+                    out.append([{"start": s, "end": e} for s, e in spans])
+                    if kept == "sha256":
+                        rest.append(hashlib.sha256(_without(text, spans)).hexdigest())
+                    else:
+                        rest.append(_without(text, spans).decode("utf-8", "ignore") if kept and spans else text if kept else None)
+                yield pa.RecordBatch.from_arrays([piece.column(4), piece.column(3), pa.array(out, span), pa.array(rest, pa.string())], names=["rest", "text", "spans", "kept"])
 
     return run
 
 
-def _without(text: str | None, spans) -> bytes:
-    data, kept, last = _bytes(text), [], 0
-    for x in spans:
-        kept.append(data[last : x["start"]])
-        last = x["end"]
-    return b"".join([*kept, data[last:]])
-
-
-@F.pandas_udf(T.StringType())
-def _kept_text(text, spans):
-    import pandas as pd
-
-    return pd.Series([t if t is None or not len(s) else _without(t, s).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def _kept_sha(text, spans):
-    import pandas as pd
-
-    return pd.Series([hashlib.sha256(_without(t, s)).hexdigest() for t, s in zip(text, spans, strict=True)], dtype=object)
-
-
-def remove_repeats(found: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """repeated_spans()'s rows with the spans cut from the text; a character that is cut in part goes as a whole."""
-    return found.withColumn(text_col, _kept_text(F.col(text_col), F.col("spans")))
+def _without(text: str | None, spans: list[tuple[int, int]]) -> bytes:
+    data, parts, last = _bytes(text), [], 0
+    for s, e in spans:
+        parts.append(data[last:s])
+        last = e
+    return b"".join([*parts, data[last:]])
 
 
-def with_digest(found: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and kept_sha256 (of the bytes that are left)."""
+def with_counts(found: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """Adds n_bytes, n_removed and n_spans."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "n_removed": removed, "n_spans": F.size("spans").cast("long"), "kept_sha256": _kept_sha(F.col(text_col), F.col("spans"))})
+    return found.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "n_removed": removed, "n_spans": F.size("spans").cast("long")})

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import SPACE, Memo, Pieces, pieces_of, read_model
-from .shared import chunks
+from .shared import chunks, released
 
 NONE = np.int32(2**31 - 1)
 CHUNK_BYTES = 2_000_000
-MEMO = 400_000
+MEMO = 300_000
 
 
 class RankMerger:
@@ -150,6 +150,7 @@ def count_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     model = read_model(model_path)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         merger = _MERGERS.setdefault(id(pieces), None) or RankMerger(pieces)
