@@ -119,7 +119,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
     sent = docs.select("part", "row", "text").mapInArrow(_explode(order, n), blobs).repartition(n, "pid")
     totals = sent.mapInArrow(_count, blobs).repartition(n, "part")
     totals.write.partitionBy("part").parquet(f"{home}/totals")
-    words = spark.read.parquet(f"{home}/totals").where(F.col("kind") == WORDS).agg(F.sum("n")).first()[0] or 0
+    words = spark.read.schema("kind int, n long, part int").parquet(f"{home}/totals").where(F.col("kind") == WORDS).agg(F.sum("n")).first()[0] or 0
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
     out = docs.mapInArrow(_sum(f"{home}/totals", order, words, backoff, to_arrow_type(kind)), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
