@@ -34,7 +34,7 @@ def classify(df: DataFrame, text_col: str = "text_clean", rules: Rules = DEFAULT
     lists = {"_geo": rules.geopolitical, "_bull": rules.bullish, "_bear": rules.bearish, "_neutral": rules.neutral}
     df = df.withColumns({"_topics": ranked} | {k: hits(lower, v) for k, v in lists.items()})
     any_ = {k: F.size(k) > 0 for k in lists}
-    boost = F.coalesce(-F.col("_topics")[0]["score"], F.lit(0.0))
+    boost = F.coalesce(-F.get("_topics", F.lit(0))["score"], F.lit(0.0))
     sure = lambda c: F.round(F.least(F.lit(0.95), 0.55 + 0.10 * F.size(c) + 0.15 * boost), 4)
     reason = lambda c, name: F.transform(c, lambda k: F.concat(F.lit(name), k))
     cases = [
