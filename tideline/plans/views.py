@@ -95,7 +95,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents in order of id with a rule's prediction and class probabilities: long texts are said to be good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     rows = table(spark, sf_dir, "labels").where("quality is not null").join(docs, "doc_id")
-    p1 = F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("n_chars") / 4000.0)), 4)
+    p1 = F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("n_chars") / 4096.0)), 4)
     return rows.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("actual"), p1.alias("p_good"), F.round(1 - p1, 4).alias("p_bad"), F.when(p1 >= 0.5, "good").otherwise("bad").alias("predicted"), F.greatest(p1, F.round(1 - p1, 4)).alias("confidence"))
 
 
