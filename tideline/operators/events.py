@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .temporal import MINUTE, forward_asof, neighbours, pairs_within, running
+from .temporal import MINUTE, cut, forward_asof, neighbours, pairs_within, running
 
 SETTINGS = Settings()
 
@@ -168,7 +168,7 @@ def build_events(posts: DataFrame, bars: DataFrame, calendar: DataFrame | None =
 
     A post without a bar after it, or without a bar at or after each horizon's end, gives no event.
     """
-    aligned = align(posts, bars, width=width)
+    aligned, bars = cut(align(posts, bars, width=width)), cut(bars)
     found = aligned.where("aligned_bar_ts_utc is not null")
     long = window_targets(horizon_bars(found, bars, s.horizons, width=width), bars, s)
     names = {"delta_ticks": "nq_delta_{}m_ticks", "direction": "nq_direction_{}m", "mfe_ticks": "max_favourable_excursion_{}m_ticks", "mae_ticks": "max_adverse_excursion_{}m_ticks", "range_ticks": "realised_range_{}m_ticks", "volatility_ticks": "realised_volatility_{}m_ticks"}
@@ -177,9 +177,9 @@ def build_events(posts: DataFrame, bars: DataFrame, calendar: DataFrame | None =
     events = found.join(whole, "post_id").withColumn("event_id", event_id())
     middle, last = s.horizons[len(s.horizons) // 2], s.horizons[-1]
     label = tradeability(F.col("market_whipsaw_flag"), F.col(f"realised_range_{last}m_ticks"), F.col(f"nq_delta_{middle}m_ticks"), F.col(f"nq_delta_{last}m_ticks"))
-    events = events.withColumn("tradeability_label", label)
+    events = cut(events.withColumn("tradeability_label", label))
     if calendar is not None:
-        events = macro_context(events, calendar, s)
+        events = cut(macro_context(events, calendar, s))
     reason = F.when(F.col("aligned_bar_ts_utc").isNull(), "no_market_bar_after_received_at").otherwise("insufficient_forward_bars")
-    skipped = aligned.join(whole.select("post_id"), "post_id", "left_anti").select("post_id", reason.alias("reason"))
+    skipped = aligned.join(events.select("post_id"), "post_id", "left_anti").select("post_id", reason.alias("reason"))
     return clusters(events, s), skipped

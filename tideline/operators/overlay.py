@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .temporal import MINUTE, pairs_within, running, running_max
+from .temporal import MINUTE, cut, pairs_within, running, running_max
 
 SETTINGS = Settings()
 
@@ -36,7 +36,7 @@ def blockers(trades: DataFrame, scored: DataFrame, s: Settings = SETTINGS, *, wi
 
 def replay(trades: DataFrame, scored: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Trades with profit before, the decision, contracts left and profit after."""
-    out = blockers(trades, scored, s)
+    out = blockers(cut(trades), scored, s)
     hard, soft = F.col("blocking_risk_level") == "HARD_KILL", F.col("blocking_risk_level") == "SOFT_RISK"
     reduce_ = F.lit(s.soft_action == "REDUCE_SIZE")
     half = F.floor(F.col("contracts") * 0.5).cast("int")
@@ -87,6 +87,7 @@ def equity(trades: DataFrame, pnl_column: str, s: Settings = SETTINGS, *, width:
 
 def breaches(trades: DataFrame, pnl_column: str, s: Settings = SETTINGS) -> DataFrame:
     """One row: days at or under the daily limit, trades at or under the total limit, trades at or over the drawdown."""
+    trades = cut(trades.select("trade_id", "exit_ts_utc", pnl_column))
     line = equity(trades, pnl_column, s)
     days = trades.groupBy(F.to_date("exit_ts_utc").alias("day")).agg(F.round(F.sum(pnl_column), 6).alias("p")).agg(F.count_if(F.col("p") <= -s.daily_loss).alias("daily_loss_breaches"))
     cumulative, high = F.round("cumulative_pnl", 6), F.round(F.col("running_high") - F.col("equity"), 6)

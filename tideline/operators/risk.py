@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, Rules, Settings
-from .temporal import MINUTE, lookback, neighbours, pairs_within, running
+from .temporal import MINUTE, cut, lookback, neighbours, pairs_within, running
 
 SETTINGS = Settings()
 WINDOWS = (5, 15, 30, 60, 240)
@@ -90,7 +90,8 @@ def dominant(columns: list[str]) -> tuple[Column, Column]:
 
 def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason."""
-    out = timing_features(burst_features(df)).join(pair_scores(df, s), "post_id", "left")
+    df = cut(df)
+    out = timing_features(cut(burst_features(df))).join(pair_scores(df, s), "post_id", "left")
     sentiment, topics = F.col("rule_sentiment_label"), F.col("rule_topic_labels")
     relevant = F.size(F.array_intersect(topics, F.array(*map(F.lit, rules.relevant_topics))))
     out = out.withColumns(

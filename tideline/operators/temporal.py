@@ -6,6 +6,7 @@ through a table with one row per bucket, whose size is the time span over the wi
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -14,6 +15,14 @@ from pyspark.sql import functions as F
 MINUTE = 60_000_000
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: operators use their input several times, so that plans would double at every step."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-"))
+    return df.checkpoint()
+
+
 def bucket(ts: str | Column, width: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / F.lit(width)).cast("long")
 
