@@ -1,7 +1,7 @@
 """From raw documents to token ids: a pipeline of five stages, each a decision on all that its predecessor kept.
 
 1. language: documents without a language (no letters, or like none that was learned) go.
-2. near-duplicates: one document of each group with close SimHash fingerprints stays.
+2. near-duplicates: one document of each group stays that links of Jaccard 0.8 or more over five-word shingles connect.
 3. repeats: byte strings of 100 and more that start earlier too are cut; documents of which nothing is left go.
 4. benchmark: documents that the decontamination rule finds contaminated go.
 5. tokens: the rest is encoded, with the end id, and decoded again.
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs, shingle=3, max_bits=3).select(COLUMNS)
+    return simhash_dedup.keep_one(docs, shingle=5, similarity=0.8).select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

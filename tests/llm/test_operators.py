@@ -254,3 +254,51 @@ def test_normaliser_reads_a_single_stream():
         assert [x for _, x in warc.records(warc.inflate(io.BytesIO(blob)))] == [warc.record(r) for r in rows]
     with pytest.raises(ValueError):
         list(warc.records(warc.inflate(io.BytesIO(gzip.compress(data[:-3])))))
+
+
+def _edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def _similar_classes(texts, shingle, similarity):
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle, 0) + 1)} if w else set() for w in words]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or len(a & b) >= similarity * len(a | b) - 1e-9 and a and b:
+                root = [root[j] if r == root[i] else r for r in root]
+    return {frozenset(g) for g in _classes(range(len(texts)), root.__getitem__)}
+
+
+def test_similar_is_jaccard(spark, monkeypatch):
+    """Near copies with a few words changed, a hundred bits and more texts a group than a piece holds, against all pairs."""
+    rng, texts = random.Random(7), [None, "", " \n", "one two", "ONE  two", "one two three"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(5_000)}" for _ in range(rng.randint(60, 300))]
+        texts += [" ".join(words), *(" ".join(_edited(rng, words, max(1, len(words) * share // 1_000))) for share in (5, 10, 15, 60, 100))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = _similar_classes(texts, 5, 0.8)
+    near = {g for g in want if len(g) > 1}
+    for rows in (simhash_dedup.GROUP_ROWS, 2):
+        monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", rows)
+        found = _classes(found := {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar(df, id_col="doc_id", shingle=5, similarity=0.8).collect()}, found.get)
+        got = {frozenset(g) for g in found}
+        assert len(near) > 30 and len(near - got) <= len(near) // 20
+        assert all(any(g <= w for w in want) for g in got)
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one(df, shingle=5, similarity=0.8).collect()}
+    assert kept == {min(g) for g in got}
+    assert simhash_dedup.similar(df.where("false"), id_col="doc_id", shingle=5, similarity=0.8).count() == 0
+
+
+def test_candidates_of_hot_keys(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64), rng.getrandbits(64)]
+    near = {tuple(x ^ sum(1 << b for b in rng.sample(range(64), 5)) for x in base) for _ in range(120)}
+    rows = [tuple(x - (1 << 64) if x >> 63 else x for x in p) for p in near | {(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(120)}]
+    df = spark.createDataFrame(rows, "hi long, lo long")
+    roots = [{frozenset(g) for g in _classes([r["node"] for r in got], {r["node"]: r["root"] for r in got}.get)} for got in (components.connected_components(simhash_dedup.candidates(df, max_bits=28, group_rows=n)).collect() for n in (2_048, 8))]
+    assert roots[0] == roots[1] and {len(g) for g in roots[0]} == {120}

@@ -38,3 +38,12 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert len(rows) == 43 and all(r["checked"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_near_duplicates_by_similarity(spark):
+    """A document of 150 words with three of them changed has a Jaccard index of 0.82 and far more than three other bits; one with nine changed is another document."""
+    words = [f"w{i}" for i in range(150)]
+    change = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    rows = [(1, change(), "en", "s", 0), (2, change(30, 75, 120), "en", "s", 0), (3, change(*range(5, 150, 16)), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}

@@ -5,13 +5,17 @@ the distances to one pivot differ by more than the allowed bits, the pair is dis
 compared bit by bit. As distances to pivots alone can't deal rows out to tasks, rows meet by blocks of bits:
 of five blocks, three differing bits leave two untouched, so that every link shares the bits of one of ten
 pairs of blocks.
+
+similar() links texts by the Jaccard index of their shingle sets instead: 128-bit fingerprints, a radius that
+follows from the index, and the index itself, over the shingles' own bytes, for all pairs that are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ PIVOT_SEED = 5
 GROUP_ROWS = 2_048
 CHUNK_BYTES = 4_000_000
 HASHES_AT_ONCE = 100_000
+#: For similar(): the share of pairs at the least similarity that the radius reaches, blocks of each 64 bits, and text in a piece of a group.
+REACH = 0.99
+BLOCKS = 9
+PIECE_BYTES = 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -39,18 +47,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     A-Z are lower-cased, words end at ASCII white space; a text of fewer words is one shingle, and one without
     words has 0. A bit that exactly half the hashes have is 0.
     """
+    return int.from_bytes(majority(*cuts(text, shingle), xxhash.xxh64_digest, 8), "big")
+
+
+def cuts(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text, joined by spaces, and where its shingles start and stop in them."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return b"", [], []
     ends = np.cumsum([len(w) + 1 for w in words])
     size = min(shingle, len(words))
-    starts, stops = [0, *ends[:-1].tolist()], (ends[size - 1 :] - 1).tolist()
-    digest, n, ones = xxhash.xxh64_digest, len(stops), np.zeros(64, np.int64)
+    return b" ".join(words), [0, *ends[:-1].tolist()], (ends[size - 1 :] - 1).tolist()
+
+
+def majority(joined: bytes, starts: list[int], stops: list[int], digest: Callable[[bytes, int], bytes], size: int) -> bytes:
+    """The majority of each bit over the digests (of `size` bytes) of all shingles; zeros if there is none."""
+    n, ones = len(stops), np.zeros(8 * size, np.int64)
     for at in range(0, n, HASHES_AT_ONCE):
         hashes = b"".join([digest(joined[a:b], HASH_SEED) for a, b in zip(starts[at : at + HASHES_AT_ONCE], stops[at : at + HASHES_AT_ONCE], strict=False)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -79,13 +95,16 @@ def block_keys(fp: str, max_bits: int):
     return F.array(*keys)
 
 
-def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np.ndarray, max_bits: int, accept: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links that connect, within each group of adjacent rows, all fingerprints that differ in max_bits or fewer.
 
-    Of links that close a circle one is left out, so that a group gives fewer links than it has rows.
+    A fingerprint is a number or a row of numbers. With accept, pairs must pass that too. Of links that close a
+    circle one is left out, so that a group gives fewer links than it has rows.
     """
-    pivots = np.random.default_rng(PIVOT_SEED).integers(0, 2**64, PIVOTS, np.uint64, endpoint=False)
-    distances = np.bitwise_count(fps[:, None] ^ pivots).astype(np.int8)
+    fps = fps.reshape(len(fps), -1)
+    pivots = np.random.default_rng(PIVOT_SEED).integers(0, 2**64, (PIVOTS, fps.shape[1]), np.uint64, endpoint=False)
+    apart = lambda x, y: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in range(fps.shape[1]))
+    distances = apart(fps[:, None], pivots)
     same = lambda i, j: (table[i] == table[j]) & (bits[i] == bits[j]) & (group[i] == group[j])
     parent = np.arange(len(fps)).tolist()
 
@@ -102,10 +121,10 @@ def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np
         pairs = left
         for p in range(0, PIVOTS, 8):
             pairs = pairs[np.abs(distances[pairs, p : p + 8] - distances[pairs + lag, p : p + 8]).max(axis=1, initial=0) <= max_bits]
-        pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + lag]) <= max_bits]
+        pairs = pairs[apart(fps[pairs], fps[pairs + lag]) <= max_bits]
         for i in pairs.tolist():
             a, b = root(i), root(i + lag)
-            if a != b:
+            if a != b and (accept is None or accept(i, i + lag)):
                 parent[a] = b
                 out.append((i, i + lag))
     return out
@@ -167,14 +186,165 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return rows.join(components, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def radius(similarity: float, bits: int = 128) -> int:
+    """The bits within which REACH of all pairs of just that Jaccard index lie.
+
+    Sets of index s have a cosine of 2s / (1 + s) at least, and each bit differs with chance arccos / pi.
+    """
+    p, total = acos(2 * similarity / (1 + similarity)) / pi, 0.0
+    for r in range(bits + 1):
+        total += comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if total >= REACH:
+            return r
+    return bits
+
+
+def prints(df: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """n (the id), hi and lo (128 bits of SimHash), words (a 128-bit digest of the words, null if there are none) and size (their bytes)."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1, CHUNK_BYTES):
+            found = [cuts(t.as_py(), shingle) for t in batch.column(1)]
+            fps = np.frombuffer(b"".join(majority(*x, xxhash.xxh3_128_digest, 16) for x in found), ">i8").astype(np.int64).reshape(-1, 2)
+            words = pa.array([xxhash.xxh3_128_digest(x[0], HASH_SEED) if x[0] else None for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1]), words, pa.array([len(x[0]) for x in found], pa.int64())], names=["n", "hi", "lo", "words", "size"])
+
+    return df.select(F.col(id_col).alias("n"), F.col(text_col).alias("text")).mapInArrow(run, "n long, hi long, lo long, words binary, size long")
+
+
+def meeting_keys(fps: np.ndarray) -> np.ndarray:
+    """For every fingerprint (hi, lo) the keys under which it meets others: the bits of every two of BLOCKS blocks of either half."""
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    blocks = [[(half >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)] for half in (fps[:, 0], fps[:, 1])]
+    pairs = [(b[x], b[y]) for b in blocks for x, y in combinations(range(BLOCKS), 2)]
+    return np.stack([(np.uint64(t) << np.uint64(16) | x << np.uint64(8) | y) for t, (x, y) in enumerate(pairs)], axis=1).astype(np.int32)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Whole groups of adjacent rows that are equal in the first columns, about `limit` rows of them at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held = [pa.concat_batches([*held, batch])] if held else [batch]
+        if held[0].num_rows < 2:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in held[0].columns[:keys]]
+        starts = np.flatnonzero(reduce(np.logical_or, [x[1:] != x[:-1] for x in columns])) + 1
+        at = 0
+        while len(starts) and at < starts[-1]:
+            end = int(starts[max(np.searchsorted(starts, at + limit, "right") - 1, np.searchsorted(starts, at, "right"))])
+            yield held[0].slice(at, end - at)
+            at = end
+        held = [held[0].slice(at)]
+    if held and held[0].num_rows:
+        yield held[0]
+
+
+def pieced(rows: DataFrame, own, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows, each repeated for every group in which its piece (own, of `pieces`) meets another piece of its key, so dealt and sorted that groups are adjacent."""
+    rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))})
+    rows = rows.select(*keys, (F.least("own", "other") * F.col("pieces") + F.greatest("own", "other")).cast("long").alias("group"), *columns)
+    return rows.repartition(parallelism(rows.sparkSession), *keys, "group").sortWithinPartitions(*keys, "group", columns[0])
+
+
+def candidates(distinct: DataFrame, *, max_bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b: values of hi) that connect the distinct fingerprints (hi, lo) within max_bits that share a key of meeting_keys().
+
+    The number of keys is fixed (72 tables of at most 2**16), so that those with several pieces can be broadcast.
+    """
+
+    @released
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            keys = meeting_keys(fps.view(np.uint64))
+            for at in range(0, len(keys), 1_000):
+                part, n = keys[at : at + 1_000], keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(fps[at : at + 1_000, 0], n)), pa.array(np.repeat(fps[at : at + 1_000, 1], n))], names=["key", "hi", "lo"])
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_group(batches, 2, 10_000):
+            key, group, hi, lo = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            found = np.array(links_within(key, group, group, np.stack([hi, lo], axis=1).view(np.uint64), max_bits), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(hi[found[:, 0]]), pa.array(hi[found[:, 1]])], names=["a", "b"])
+
+    keyed = distinct.select("hi", "lo").mapInArrow(spread, "key int, hi long, lo long")
+    hot = keyed.groupBy("key").count().where(F.col("count") > group_rows).select("key", F.ceil(F.col("count") / group_rows).cast("int").alias("pieces"))
+    rows = keyed.join(F.broadcast(materialised(hot, "hot-keys")), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    return pieced(rows, F.pmod(F.xxhash64("hi", "lo"), F.col("pieces")), ["key"], ["hi", "lo"]).mapInArrow(run, "a long, b long")
+
+
+def confirmed(texts: DataFrame, *, shingle: int, similarity: float, max_bits: int) -> DataFrame:
+    """Links (a, b: values of n) that connect the texts of a root within max_bits whose Jaccard index is similarity or more."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_group(batches, 2, 200):
+            root, group, n, hi, lo = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+            sets: dict[int, frozenset[bytes]] = {}
+
+            def shingles(i: int, texts=batch.column(5), sets=sets) -> frozenset[bytes]:
+                if i not in sets:
+                    joined, starts, stops = cuts(texts[i].as_py(), shingle)
+                    sets[i] = frozenset(joined[a:b] for a, b in zip(starts, stops, strict=False))
+                return sets[i]
+
+            def alike(i: int, j: int, shingles=shingles) -> bool:
+                return at_least(shingles(i), shingles(j), similarity)
+
+            found = np.array(links_within(root, group, group, np.stack([hi, lo], axis=1).view(np.uint64), max_bits, alike), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(n[found[:, 0]]), pa.array(n[found[:, 1]])], names=["a", "b"])
+
+    return pieced(texts, F.pmod(F.xxhash64("n"), F.col("pieces")), ["root"], ["n", "hi", "lo", "text"]).mapInArrow(run, "a long, b long")
+
+
+def at_least(a: frozenset, b: frozenset, similarity: float) -> bool:
+    """Whether the Jaccard index of two sets is similarity or more."""
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large - 1e-9:
+        return False
+    both = len(a & b)
+    return both >= similarity * (small + large - both) - 1e-9
+
+
+def similar(df: DataFrame, *, id_col: str, text_col: str = "text", shingle: int, similarity: float) -> DataFrame:
+    """id_col (distinct longs) and component_id of every row; texts link where their shingle sets have a Jaccard index of similarity or more.
+
+    Rows with the same words are one text; texts without words are one component. Fingerprints within the radius
+    that share a key are candidates; of each connected group of candidates all pairs within the radius are then
+    compared by their shingles. What is lost are pairs that no chain of candidates connects.
+    """
+    bits = radius(similarity)
+    rows = materialised(prints(df, id_col=id_col, text_col=text_col, shingle=shingle), "prints")
+    texts = materialised(rows.groupBy("words").agg(F.min("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("size").alias("size")), "distinct-words")
+    worded = texts.where("words is not null")
+    roots = connected_components(candidates(worded.select("hi", "lo").distinct(), max_bits=bits))
+    rooted = worded.join(roots.withColumnRenamed("node", "hi"), "hi", "left").select("n", "hi", "lo", "size", F.coalesce("root", "hi").alias("root"))
+    rooted = materialised(rooted, "rooted-texts")
+    pieces = F.ceil(F.greatest(F.col("count") / GROUP_ROWS, F.col("bytes") / PIECE_BYTES)).cast("int")
+    groups = rooted.groupBy("root").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).where("count > 1").select("root", pieces.alias("pieces"))
+    members = materialised(rooted.join(groups, "root").select("n", "root", "hi", "lo", "pieces"), "members")
+    both = df.select(F.col(id_col).alias("n"), F.col(text_col).alias("text")).join(members, "n")
+    found = connected_components(confirmed(both, shingle=shingle, similarity=similarity, max_bits=bits))
+    components = texts.join(found.withColumnRenamed("node", "n"), "n", "left").select("words", F.coalesce("root", "n").alias("component_id"))
+    components = materialised(components, "text-components")
+    return rows.join(components, rows["words"].eqNullSafe(components["words"])).select(F.col("n").alias(id_col), "component_id")
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """df with one row of each component of near_duplicates(): that with the smallest id, null ids last, the first read among equals.
 
+    With similarity, components are those of similar() instead, and max_bits is not used.
+
     Rows are told apart by a number of their own, so that repeated and null ids are rows like any other.
     """
     row = free_name(df, "row")
     rows = materialised(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows, id_col=row, text_col=text_col, shingle=shingle, max_bits=max_bits)
+    if similarity is None:
+        found = near_duplicates(rows, id_col=row, text_col=text_col, shingle=shingle, max_bits=max_bits)
+    else:
+        found = similar(rows, id_col=row, text_col=text_col, shingle=shingle, similarity=similarity)
     own = rows.select(F.col(row).alias("n"), F.col(id_col).alias("id"))
     best = found.select(F.col(row).alias("n"), "component_id").join(own, "n").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("best"))
     return rows.join(best.select(F.col("best.n").alias(row)), row, "left_semi").drop(row)
