@@ -58,7 +58,17 @@ def j4_whipsaw_flags(spark, d):
 
 @query(f"WITH {ALIGNED_SQL} SELECT post_id, c.event_id AS nearest_macro_event_id, c.event_type AS nearest_macro_event_type, c.importance AS nearest_macro_event_importance, round(m, 4) AS minutes_to_nearest_macro_event, m BETWEEN -15 AND 15 AS is_macro_blackout FROM macro")
 def j5_macro_context(spark, d):
-    out = ev.macro_context(v.posts(spark, d), v.calendar(spark, d), HOURLY)
+    return _macro_context(spark, d, whole=False)
+
+
+@query()
+def j5_macro_context_whole(spark, d):
+    """Over all error events; SQL has every fiftieth only."""
+    return _macro_context(spark, d, whole=True)
+
+
+def _macro_context(spark, d, *, whole):
+    out = ev.macro_context(v.posts(spark, d), v.calendar(spark, d, whole=whole), HOURLY)
     return out.select("post_id", "nearest_macro_event_id", "nearest_macro_event_type", "nearest_macro_event_importance", "minutes_to_nearest_macro_event", "is_macro_blackout")
 
 
@@ -145,6 +155,12 @@ def a14_macro_summary(spark, d):
     return study.macro_summary(v.event_frame(spark, d, macro=True)[0])
 
 
+@query()
+def a14_macro_summary_whole(spark, d):
+    """Over all error events; SQL has every fiftieth only."""
+    return study.macro_summary(v.event_frame(spark, d, macro=True, whole=True)[0])
+
+
 @query(f"WITH {BASE_SQL} SELECT post_id, {STAMP.format('received_at_utc')} AS received_at_utc, author_id FROM posts ORDER BY received_at_utc, post_id LIMIT 10")
 def t6_first_posts(spark, d):
     """Ten rows are what this report shows."""

@@ -66,8 +66,9 @@ def posts(spark: SparkSession, sf_dir: str, *, text: bool = False) -> DataFrame:
     return out.withColumn("doc_id", F.col("event_id") % number).join(docs.select("doc_id", F.col("text").alias("text_clean")), "doc_id", "left").drop("event_id")
 
 
-def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type = 'error' and event_id % 50 = 0")
+def calendar(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
+    """Error events as calendar: every fiftieth id, as BASE_SQL has it, or the whole of them."""
+    rows = events(spark, sf_dir).where("event_type = 'error'" if whole else "event_type = 'error' and event_id % 50 = 0")
     kind, weight = F.concat(F.lit("kind_"), (F.col("event_id") % 3).cast("string")), F.when(F.col("event_id") % 100 == 0, "high").otherwise("medium")
     return rows.select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("scheduled_at_utc"), kind.alias("event_type"), weight.alias("importance"))
 
@@ -147,10 +148,10 @@ labelled AS (SELECT post_id, received_at_utc, topics, sentiment, confidence, CAS
   WHEN sentiment = 'volatility_only' THEN 'volatility_only' WHEN sentiment = 'neutral' THEN 'no_impact' ELSE 'ambiguous' END AS tradeability FROM sure)"""
 
 
-def event_frame(spark: SparkSession, sf_dir: str, *, text: bool = False, macro: bool = False):
+def event_frame(spark: SparkSession, sf_dir: str, *, text: bool = False, macro: bool = False, whole: bool = False):
     """build_events() over the derived tables: events and skipped posts."""
     from ..operators.events import build_events
 
-    return build_events(posts(spark, sf_dir, text=text), bars(spark, sf_dir), calendar(spark, sf_dir) if macro else None, HOURLY)
+    return build_events(posts(spark, sf_dir, text=text), bars(spark, sf_dir), calendar(spark, sf_dir, whole=whole) if macro else None, HOURLY)
 
 
