@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable
+from functools import lru_cache
 
 import sentencepiece
 
@@ -21,6 +23,7 @@ class Pieces:
 
     def __init__(self, model: bytes):
         self.processor = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        require_supported(model)
         ids = range(sp.get_piece_size())
         normal = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.id_of = {sp.id_to_piece(i): i for i in normal}
@@ -57,6 +60,26 @@ class Pieces:
         return [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")] if self.byte_fallback else [self.unknown]
 
 
+def require_supported(model: bytes) -> None:
+    """ValueError unless the model is of the kind that the cuts and merges here are right for."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+    normal, trained = proto.normalizer_spec, proto.trainer_spec
+    faults = {
+        "its model type isn't BPE": trained.model_type != trained.BPE,
+        "it normalises characters": bool(normal.precompiled_charsmap),
+        "it puts no space before a text": not normal.add_dummy_prefix,
+        "it drops repeated spaces": normal.remove_extra_whitespaces,
+        "it doesn't escape spaces": not normal.escape_whitespaces,
+        "its word marks are suffixes": trained.treat_whitespace_as_suffix,
+        "it has user-defined pieces": any(p.type == p.USER_DEFINED for p in proto.pieces),
+    }
+    found = [what for what, wrong in faults.items() if wrong]
+    if found:
+        raise ValueError("unsupported SentencePiece model: " + ", ".join(found))
+
+
 _LOADED: dict[bytes, Pieces] = {}
 
 
@@ -80,14 +103,35 @@ def read_model(path: str | None) -> bytes:
         return f.read()
 
 
-class Memo(dict):
-    """Results by stretch of text. When it is full, the older half goes; results never depend on it."""
+class Memo:
+    """Results by stretch of text in two generations: what was asked for since the last turn stays, the rest goes.
+
+    `recent` and `older` hold up to `limit` stretches each. Results never depend on what is remembered.
+    """
 
     def __init__(self, limit: int):
-        super().__init__()
         self.limit = limit
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            for key in list(self)[: len(self) // 2]:
-                del self[key]
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def missing(self, stretches: Iterable[str]) -> list[str]:
+        """Which of some distinct stretches are unknown; those of the older generation become recent."""
+        recent, older, out = self.recent, self.older, []
+        for s in stretches:
+            if s not in recent:
+                known = older.get(s)
+                if known is None:
+                    out.append(s)
+                else:
+                    recent[s] = known
+        return out
+
+    def turn(self) -> None:
+        if len(self.recent) > self.limit:
+            self.older, self.recent = self.recent, {}
+
+
+@lru_cache(maxsize=4)
+def memo_of(model: bytes, use: str, limit: int) -> Memo:
+    """One memo for each Python process, model and use: tasks that a worker runs one after the other share it."""
+    return Memo(limit)

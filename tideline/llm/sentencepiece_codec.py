@@ -1,56 +1,40 @@
 """SentencePiece encoding and decoding for merge-type vocabularies with a score-ordered agenda.
 
 All adjacent symbol pairs of a stretch stand in one agenda, best score first and leftmost first among equals.
-The best valid pair is merged and its two new neighbours are entered. Every stretch is encoded once per
-batch and checked there against the library.
+The best valid pair is merged and its two new neighbours are entered. A process encodes a stretch when it
+first meets it, and checks it there against the library; of every batch, one whole text is checked too.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
-from operator import itemgetter
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import SPACE, Memo, Pieces, pieces_of, read_model
+from .pieces import SPACE, Pieces, memo_of, pieces_of, read_model
 from .shared import chunks, released
 
 CHUNK_BYTES = 2_000_000
-MEMO = 250_000
+MEMO = 400_000
+LONG = 64  # longer stretches seldom come again and aren't remembered
+SHORT = 48  # symbols up to which the agenda is a list
 PLACE = (1 << 40) - 1
-FIRST, SECOND = itemgetter(0), itemgetter(1)
+NO_PAIR = 1 << 40
 
 
 def agenda_encode(stretch: str, pieces: Pieces) -> list[int]:
     """Ids of one stretch (spaces stand for word marks)."""
-    symbols: list[str | None] = list(stretch.replace(" ", SPACE))
-    rank, n = pieces.rank_of.get, len(symbols)
-    if n > 1:
-        # an entry is the rank of the pair's score and, below it, the place of the left symbol
-        agenda = [r << 40 | i for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
-        heapify(agenda)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        while agenda:
-            entry = heappop(agenda)
-            i = entry & PLACE
-            left, j = symbols[i], after[i]
-            if left is None or j >= n or rank(piece := left + symbols[j]) != entry >> 40:
-                continue  # one of the two has been merged since
-            symbols[i], symbols[j] = piece, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank(piece + symbols[k])) is not None:
-                    heappush(agenda, r << 40 | i)
-            h = before[i]
-            if h >= 0 and (r := rank(symbols[h] + piece)) is not None:
-                heappush(agenda, r << 40 | h)
+    symbols = list(stretch.replace(" ", SPACE))
+    if len(symbols) > 1:
+        (_merge_short if len(symbols) <= SHORT else _merge_long)(symbols, pieces.rank_of.get)
     out, id_of = [], pieces.id_of.get
     for s in symbols:
         if s is not None:
@@ -61,12 +45,57 @@ def agenda_encode(stretch: str, pieces: Pieces) -> list[int]:
     return out
 
 
+def _merge_short(symbols: list[str], rank: Callable) -> None:
+    """Merges in place, with an agenda that has an entry for each place: its least is searched for, the leftmost of equals."""
+    agenda = list(map(rank, map(add, symbols, symbols[1:]), repeat(NO_PAIR)))
+    while agenda and (best := min(agenda)) != NO_PAIR:
+        i = agenda.index(best)
+        piece = symbols[i] + symbols.pop(i + 1)
+        symbols[i] = piece
+        del agenda[i]
+        if i:
+            agenda[i - 1] = rank(symbols[i - 1] + piece, NO_PAIR)
+        if i < len(agenda):
+            agenda[i] = rank(piece + symbols[i + 1], NO_PAIR)
+
+
+def _merge_long(symbols: list[str | None], rank: Callable) -> None:
+    """As _merge_short(), with a heap as agenda; merged symbols leave a None behind."""
+    # an entry is the rank of a pair's score and, below it, the place of the left symbol; current has each place's latest
+    n = len(symbols)
+    current = [-1 if r is None else r << 40 | i for i, r in enumerate(map(rank, map(add, symbols, symbols[1:])))]
+    current.append(-1)
+    agenda = [entry for entry in current if entry >= 0]
+    heapify(agenda)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    while agenda:
+        entry = heappop(agenda)
+        i = entry & PLACE
+        if current[i] != entry:
+            continue  # one of the two has been merged since
+        j = after[i]
+        symbols[i] = piece = symbols[i] + symbols[j]
+        symbols[j], current[i], current[j] = None, -1, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (r := rank(piece + symbols[k])) is not None:
+                current[i] = entry = r << 40 | i
+                heappush(agenda, entry)
+        h = before[i]
+        if h >= 0:
+            r = rank(symbols[h] + piece)
+            current[h] = -1 if r is None else r << 40 | h
+            if r is not None:
+                heappush(agenda, current[h])
+
+
 def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, end_id: bool = True) -> DataFrame:
     """Encode every text and decode it again with the library's decode(ids).
 
     Returns id_col, ids (array<int>, with the end id last if asked for), decoded (string) and checked (boolean:
-    the library gave the same ids for every stretch when this process first met it; where it doesn't, the
-    row has the agenda's ids and checked is false). A null text counts as empty. Ids may be null or
+    the library gave the same ids for every stretch when this process first met it, and for the whole text in
+    one row of every batch; where it doesn't, the row has the agenda's ids and checked is false). A null text counts as empty. Ids may be null or
     repeated; other columns are ignored whatever their names; an empty table gives an empty result. Texts
     are never cut short.
     """
@@ -89,25 +118,31 @@ def _run(df: DataFrame, id_col: str, text_col: str, model_path: str | None, end_
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model)
-        library, decode, stretches = _plain(model), pieces.processor.decode, pieces.stretches
+        pieces, library = pieces_of(model), _plain(model)
+        whole, decode, stretches = pieces.processor.encode, pieces.processor.decode, pieces.stretches
         last = [pieces.end] if end_id else []
-        memo, wrong = Memo(MEMO), set()
+        written = list(map(str, range(pieces.processor.get_piece_size()))).__getitem__
+        memo, wrong = memo_of(model, "ids", MEMO), _wrong(model)
         for batch in chunks(batches, 1, CHUNK_BYTES):
-            cut = [stretches(t or "") for t in batch.column(1).to_pylist()]
-            new = list({w for words in cut for w in words if w not in memo})
-            for w, theirs in zip(new, library.encode(new, num_threads=1) if new else [], strict=True):
-                own = agenda_encode(w, pieces)
-                memo[w] = own, " ".join(map(str, own))
-                if own != theirs:
-                    wrong.add(w)
-            found = [[memo[w] for w in words] for words in cut]
-            ids = [list(chain(chain.from_iterable(map(FIRST, x)), last)) for x in found]
-            text = [decode(x) for x in ids]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            cut = list(map(stretches, texts))
+            new = memo.missing(set(chain.from_iterable(cut)))
+            own = [tuple(agenda_encode(w, pieces)) for w in new]
+            wrong.update(w for w, a, b in zip(new, own, library.encode(new, num_threads=1) if new else [], strict=True) if a != tuple(b))
+            long = {}
+            for w, x in zip(new, own, strict=True):
+                (memo.recent if len(w) <= LONG else long)[w] = x
+            of = memo.recent.__getitem__ if not long else lambda w, long=long: long[w] if len(w) > LONG else memo.recent[w]
+            ids = [list(chain.from_iterable(map(of, words))) for words in cut]
             right = [not (wrong and any(w in wrong for w in words)) for words in cut]
-            memo.trim()
+            if texts:
+                right[0] = right[0] and whole(texts[0]) == ids[0]
+            memo.turn()
+            for x in ids:
+                x += last
+            text = [decode(x) for x in ids]
             if digest:
-                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([_sha(" ".join(chain(map(SECOND, x), map(str, last)))) for x in found]), pa.array([_sha(x) for x in text])]
+                columns = [pa.array(map(len, ids), pa.int64()), pa.array([_sha(" ".join(map(written, x))) for x in ids]), pa.array(map(_sha, text))]
             else:
                 columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(right, pa.bool_())], names=schema.names)
@@ -119,6 +154,13 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+@lru_cache(maxsize=4)
+def _wrong(model: bytes) -> set[str]:
+    """Stretches of which the library gave other ids, for as long as the process remembers the agenda's."""
+    return set()
+
+
+@lru_cache(maxsize=4)
 def _plain(model: bytes):
     """The library without the space that it puts before a text: stretches have theirs already."""
     import sentencepiece

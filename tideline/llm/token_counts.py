@@ -8,18 +8,19 @@ finished, and the symbols that survive are their tokens.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, Memo, Pieces, pieces_of, read_model
+from .pieces import SPACE, Pieces, memo_of, pieces_of, read_model
 from .shared import chunks, released
 
 NONE = np.int32(2**31 - 1)
 CHUNK_BYTES = 2_000_000
-MEMO = 300_000
+MEMO = 200_000
 
 
 class RankMerger:
@@ -155,13 +156,13 @@ def count_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         pieces = pieces_of(model)
         merger = _MERGERS.setdefault(id(pieces), None) or RankMerger(pieces)
         _MERGERS[id(pieces)] = merger
-        memo, stretches = Memo(MEMO), pieces.stretches
+        memo, stretches = memo_of(model, "counts", MEMO), pieces.stretches
         for batch in chunks(batches, 1, CHUNK_BYTES):
             texts = [stretches(t or "") for t in batch.column(1).to_pylist()]
-            new = list({w for words in texts for w in words if w not in memo})
-            memo.update(zip(new, merger.count(new), strict=True))
-            tokens = [sum(map(memo.__getitem__, words)) for words in texts]
-            memo.trim()
+            new = memo.missing(set(chain.from_iterable(texts)))
+            memo.recent.update(zip(new, merger.count(new), strict=True))
+            tokens = [sum(map(memo.recent.__getitem__, words)) for words in texts]
+            memo.turn()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType
