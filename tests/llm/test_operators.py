@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import components, decontamination, language_id, lm_scoring, pieces, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, topk_threshold, warc
+from tideline.llm import components, decontamination, language_id, lm_scoring, pieces, sentencepiece_codec, shared, sharding, simhash_dedup, suffix_dedup, token_counts, topk_threshold, warc
 
 PASSAGE = "one common passage of words that many of the texts have in them, and which is longer than a hundred bytes by far"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -283,15 +283,18 @@ def test_similar_is_jaccard(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = _similar_classes(texts, 5, 0.8)
     near = {g for g in want if len(g) > 1}
-    for rows in (simhash_dedup.GROUP_ROWS, 2):
-        monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", rows)
-        found = _classes(found := {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar(df, id_col="doc_id", shingle=5, similarity=0.8).collect()}, found.get)
+    for size in (simhash_dedup.GROUP_ROWS, 2):
+        monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", size)
+        rows = shared.numbered(df, "n", "rows")
+        names = {r["n"]: r["doc_id"] for r in rows.collect()}
+        of = {names[r["n"]]: r["component_id"] for r in simhash_dedup.similar(rows, id_col="n", shingle=5, similarity=0.8).collect()}
+        found = _classes(of, of.get)
         got = {frozenset(g) for g in found}
         assert len(near) > 30 and len(near - got) <= len(near) // 20
         assert all(any(g <= w for w in want) for g in got)
     kept = {r["doc_id"] for r in simhash_dedup.keep_one(df, shingle=5, similarity=0.8).collect()}
     assert kept == {min(g) for g in got}
-    assert simhash_dedup.similar(df.where("false"), id_col="doc_id", shingle=5, similarity=0.8).count() == 0
+    assert simhash_dedup.keep_one(df.where("false"), shingle=5, similarity=0.8).count() == 0
 
 
 def test_candidates_of_hot_keys(spark):

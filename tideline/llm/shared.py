@@ -5,20 +5,30 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PART_BITS = 33
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tideline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -38,6 +48,59 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a number of its own for every row, for matched(), as a table in the shared folder."""
+    return materialised(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def matched(rows: DataFrame, side: DataFrame, column: str) -> DataFrame:
+    """Rows of a numbered() table whose number is in side (each once), with side's other columns: a join that leaves rows where they are.
+
+    Numbers have the partition they were given in in their upper bits. side is written to the shared folder by
+    that partition, and a task reads what belongs to the partitions it meets, so that no text crosses an exchange.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, "side")
+    side = side.withColumn("_part", F.shiftright(column, PART_BITS))
+    side.repartition(parallelism(spark), "_part").write.partitionBy("_part").parquet(path)
+    others = [c for c in side.columns if c not in (column, "_part")]
+    at, schema = rows.columns.index(column), T.StructType([*rows.schema, *(side.schema[c] for c in others)])
+    names = schema.names
+
+    def of(fs: FileSystem, base: str, part: int) -> tuple[np.ndarray, pa.Table]:
+        found = []
+        for info in fs.get_file_info(FileSelector(f"{base}/_part={part}", allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with fs.open_input_file(info.path) as f:
+                    found.append(pq.read_table(f, columns=[column, *others]))
+        if not found:
+            return np.zeros(0, np.int64), pa.table({})
+        table = pa.concat_tables(found).sort_by(column).combine_chunks()
+        return table.column(column).to_numpy(), table
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, base), part, known, table = FileSystem.from_uri(path), None, None, None
+        for batch in batches:
+            numbers = batch.column(at).to_numpy()
+            parts = numbers >> PART_BITS
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else []
+            for start, stop in itertools.pairwise(edges):
+                if parts[start] != part:
+                    part = int(parts[start])
+                    known, table = of(fs, base, part)
+                if not len(known):
+                    continue
+                own = numbers[start:stop]
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = known[place] == own
+                if hit.any():
+                    kept, beside = batch.slice(start, stop - start).filter(pa.array(hit)), table.take(pa.array(place[hit])).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *(beside.column(c).combine_chunks() for c in others)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of shuffle partitions that the deployment has set for its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

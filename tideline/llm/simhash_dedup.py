@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import chunks, free_name, materialised, parallelism, released
+from .shared import chunks, free_name, matched, materialised, numbered, parallelism, released
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -309,7 +309,7 @@ def at_least(a: frozenset, b: frozenset, similarity: float) -> bool:
 
 
 def similar(df: DataFrame, *, id_col: str, text_col: str = "text", shingle: int, similarity: float) -> DataFrame:
-    """id_col (distinct longs) and component_id of every row; texts link where their shingle sets have a Jaccard index of similarity or more.
+    """id_col and component_id of every row of a numbered() table with that column; texts link where their shingle sets have a Jaccard index of similarity or more.
 
     Rows with the same words are one text; texts without words are one component. Fingerprints within the radius
     that share a key are candidates; of each connected group of candidates all pairs within the radius are then
@@ -325,7 +325,7 @@ def similar(df: DataFrame, *, id_col: str, text_col: str = "text", shingle: int,
     pieces = F.ceil(F.greatest(F.col("count") / GROUP_ROWS, F.col("bytes") / PIECE_BYTES)).cast("int")
     groups = rooted.groupBy("root").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).where("count > 1").select("root", pieces.alias("pieces"))
     members = materialised(rooted.join(groups, "root").select("n", "root", "hi", "lo", "pieces"), "members")
-    both = df.select(F.col(id_col).alias("n"), F.col(text_col).alias("text")).join(members, "n")
+    both = matched(df.select(F.col(id_col).alias("n"), F.col(text_col).alias("text")), members, "n")
     found = connected_components(confirmed(both, shingle=shingle, similarity=similarity, max_bits=bits))
     components = texts.join(found.withColumnRenamed("node", "n"), "n", "left").select("words", F.coalesce("root", "n").alias("component_id"))
     components = materialised(components, "text-components")
@@ -340,11 +340,11 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     Rows are told apart by a number of their own, so that repeated and null ids are rows like any other.
     """
     row = free_name(df, "row")
-    rows = materialised(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered(df, row, "numbered")
     if similarity is None:
         found = near_duplicates(rows, id_col=row, text_col=text_col, shingle=shingle, max_bits=max_bits)
     else:
         found = similar(rows, id_col=row, text_col=text_col, shingle=shingle, similarity=similarity)
     own = rows.select(F.col(row).alias("n"), F.col(id_col).alias("id"))
     best = found.select(F.col(row).alias("n"), "component_id").join(own, "n").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("best"))
-    return rows.join(best.select(F.col("best.n").alias(row)), row, "left_semi").drop(row)
+    return matched(rows, best.select(F.col("best.n").alias(row)), row).drop(row)
