@@ -49,7 +49,7 @@ def test_random_strings_tokenise_as_the_library_does():
         assert sum(merger.count(p.stretches(text))) == len(want)
 
 
-def test_language(spark, docs, empty):
+def test_language(spark, docs, empty, monkeypatch):
     train = spark.createDataFrame([("en", "the quick brown fox and the dog " * 5), ("de", "der schnelle braune Fuchs und der Hund " * 5), (None, "x y z")], "lang string, text string")
     model = language_id.fit(train)
     assert list(model) == ["de", "en"]
@@ -60,6 +60,14 @@ def test_language(spark, docs, empty):
     # bundling by counts is the sum of the grams' own vectors
     grams = language_id.trigrams("der Hund")
     assert np.array_equal(language_id.bundle([grams], np.array([0]), 1, 512, 1)[0], language_id.gram_vectors(grams, 512, 1).astype(int).sum(axis=0))
+    # every letter has its own vector: cut up, with few letters and with many, sums are the same
+    texts = ["漢字仮名交じり文 привет Ελλάδα", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))]
+    many = [language_id.trigrams(t) for t in texts]
+    want = [language_id.gram_vectors(g, 512, 1).astype(int).sum(axis=0) for g in many]
+    monkeypatch.setattr(language_id, "GRAMS_AT_ONCE", 7)
+    assert np.array_equal(language_id.bundle(many, np.arange(2), 2, 512, 1), want)
+    vectors = language_id.letter_vectors(np.arange(0x400, 0x500), 512, 1)
+    assert set(np.unique(vectors)) == {-1, 1} and np.abs(vectors.astype(int) @ vectors.T - 512 * np.eye(256, dtype=int)).max() < 150
 
 
 def test_sharding(docs, empty):
@@ -116,6 +124,16 @@ def test_links_of_hot_keys(spark):
     assert groups(find) == groups(lambda x: roots.get(x, x))
 
 
+def test_pivots_prune_before_pairs_are_formed():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2**64, 400, np.uint64)
+    fps[200:] = fps[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    same, formed = np.zeros(400, int), []
+    found = simhash_dedup.links_within(same, same, same, fps, 3, formed=formed)
+    assert {frozenset(x) for x in found} == {frozenset((i, i + 200)) for i in range(200)}
+    assert sum(formed) < 400 * 399 / 2 * 0.6
+
+
 def _classes(items, f):
     out = defaultdict(list)
     for x in items:
@@ -175,15 +193,18 @@ def test_sort_suffixes():
     assert keys == sorted(keys) and equal.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:], strict=False)]
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     items = spark.createDataFrame([(1, PASSAGE), (2, "the cat"), (3, None), (4, "!!"), (None, "before ONE common"), (2, PASSAGE)], "item_id long, text string")
     got = {r["text"]: r for r in decontamination.with_verdict(decontamination.find(docs, items, carry=["doc_id"])).collect()}
     n = len(PASSAGE.split())
     assert (got[PASSAGE]["n_hit"], got[PASSAGE]["items"], got[PASSAGE]["contaminated"]) == (n, ["1", "2"], True)
     assert got["before " + PASSAGE + " after"]["items"] == ["", "1", "2"] and got["before " + PASSAGE + " after"]["n_hit"] == n + 1
     assert got["the cat sat on the mat"]["n_hit"] == 2 and got[LONG]["n_hit"] == 0 and got[LONG]["n_words"] == 30_000
-    many = decontamination.find(docs, items, carry=["doc_id"], block_bytes=40).collect()
-    assert sorted(str(r) for r in many) == sorted(str(r) for r in decontamination.find(docs, items, carry=["doc_id"]).collect())
+    one = sorted(str(r) for r in decontamination.find(docs, items, carry=["doc_id"]).collect())
+    assert one == sorted(str(r) for r in decontamination.find(docs, items, carry=["doc_id"], block_bytes=40, shard_words=10).collect())
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", 2)
+    assert [p.split() for p in decontamination.pieces("a b c d e", 3, 2)] == [["a", "b", "c", "d"], ["c", "d", "e"]] and decontamination.pieces("!", 3) == [""]
+    assert one == sorted(str(r) for r in decontamination.find(docs, items, carry=["doc_id"]).collect())
     assert decontamination.find(empty, items, carry=[]).count() == 0 and decontamination.find(docs, items.where("false"), carry=["doc_id"]).where("size(spans) > 0").isEmpty()
     cut = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(decontamination.find(docs, items, carry=["doc_id"])).collect()}
     assert cut[6] == " after" and cut[0] == " sat on the mat"
@@ -198,7 +219,7 @@ def test_fm_index():
         assert index.rank(np.full(30, symbol), at).tolist() == [int((index.before[:a] == symbol).sum()) for a in at]
 
 
-def test_lm_scores(docs, empty):
+def test_lm_scores(spark, docs, empty):
     rows = docs.collect()
     words = [(r["text"] or "").encode().lower().split() for r in rows]
     one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:], strict=False))
@@ -212,7 +233,10 @@ def test_lm_scores(docs, empty):
                 v = c / (one[x[i - 1]] - own[x[i - 1]]) if c > 0 else 0.4 * v
             s += np.log(v)
         want.append(s)
-    got = lm_scoring.score(docs).collect()
+    scored = lm_scoring.score(docs)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # other splits for the pass that runs now
+    got = scored.collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert np.allclose(sorted(r["log_score"] for r in got), sorted(want)) and sorted(r["n_words"] for r in got) == sorted(map(len, words))
     assert lm_scoring.score(empty).count() == 0
 
@@ -230,7 +254,13 @@ def test_top_k(spark):
     for i in (0, 100, 200):
         scores = q @ q[i]
         assert got[i] == [(int(j), int(scores[j])) for j in sorted((j for j in range(300) if j != i), key=lambda j: (-scores[j], j))[:10]]
-    assert set(got) == {0, 100, 200} and topk_threshold.top_k(df.where("false"), df).count() == 0
+    assert set(got) == {0, 100, 200} and topk_threshold.top_k(df.where("false"), df).count() == 0 and topk_threshold.top_k(df, df.where("false")).count() == 0
+    small = topk_threshold.top_k(df.where("vec_id % 100 = 0"), df, k=10, query_block=1)
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in small.collect()) == sorted((q, v, s) for q, x in got.items() for v, s in x)
+    big = spark.createDataFrame([(1, [3e12, 1.0]), (2, [3e12, -1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk_threshold.top_k(big.where("vec_id = 100"), big, k=5).orderBy("rank").collect()] == [(100, 1, 1, 1024 * (1024 * 3 * 10**12 + 1024)), (100, 2, 2, 1024 * (1024 * 3 * 10**12 - 1024))]
+    with pytest.raises(Exception, match="64 bits"):
+        topk_threshold.top_k(big, spark.createDataFrame([(5, [1e17])], big.schema)).collect()
 
 
 def test_warc(spark):

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import packed, released, unpacked
+from .shared import materialised, packed, parallelism, released, scratch, unpacked
 
 WINDOW = 13
 SHARD_WORDS = 600_000
 SAMPLE = 8
 BLOCK_BYTES = 4_000_000
+PIECE_WORDS = 10_000
 #: A-Z to a-z; digits, a-z and all bytes from 0x80 stay; all others end a word.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -193,58 +197,97 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find(df: DataFrame, benchmark: DataFrame, *, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pieces(text: str | None, window: int, words: int = PIECE_WORDS) -> list[str]:
+    """An item's words in pieces that have every window in one of them; an item of few words, or none, is one piece."""
+    found = words_of(text)
+    stops = range(0, max(1, len(found) - window + 1), words)
+    return [b" ".join(found[i : i + words + window - 1]).decode("utf-8", "surrogatepass") for i in stops]
+
+
+def find(df: DataFrame, benchmark: DataFrame, *, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Words of every document that lie in an occurrence of a benchmark window, and the items found.
 
     A window is `window` consecutive words of an item, or all words of a shorter one; an item without words has
     none. Returns the columns in `carry` as they are, the text, n_words, spans (array of start and end in words, merged), items (array of
     item ids as text, sorted, distinct), a row for each input row. Null texts have no words; carried
     columns may hold nulls and repeats (an item's null id counts as empty text); other columns are ignored; empty tables of either
-    kind give rows without spans or no rows. The benchmark is taken in blocks of about block_bytes, each
-    broadcast on its own and searched by a further pass in the same stage.
+    kind give rows without spans or no rows.
+
+    Items are cut into pieces, made distinct and dealt to blocks of about block_bytes in the shared folder. Tasks
+    read documents once, and search each shard of about shard_words words for the blocks one after the other.
     """
-    spark = df.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    home = scratch(df.sparkSession, "phrases")
+
+    @released
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts = pieces(text.as_py(), window)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["item", "words"])
+
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("words"))
+    parts = materialised(items.mapInArrow(cut, "item string, words string").where("words <> ''").distinct(), "phrase-pieces")
+    total = parts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
+    parts.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int")).repartition(min(blocks, parallelism(df.sparkSession)), "block").write.partitionBy("block").parquet(home)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    out = df.select(packed(carry).alias("rest"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = T.StructType([out.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows], window))), schema)
+    slim = df.select(packed(carry).alias("rest"), F.col(text_col).alias("text"))
+    schema = T.StructType([slim.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
+    out = slim.mapInArrow(_pass(home, blocks, window, shard_words), schema)
     return out.select(*unpacked(carry), F.col("text").alias(text_col), "n_words", "spans", "items")
 
 
-def _pass(phrases):
+def _phrases(home: str, block: int, window: int) -> Phrases:
+    fs, base = FileSystem.from_uri(home)
+    rows: list[tuple[str, str]] = []
+    for info in fs.get_file_info(FileSelector(f"{base}/block={block}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                table = pq.read_table(f, columns=["item", "words"])
+            rows += zip(*(c.to_pylist() for c in table.columns), strict=True)
+    return Phrases(rows, window)
+
+
+@lru_cache(maxsize=1)
+def _only(home: str, window: int) -> Phrases:
+    """The phrases of a benchmark of one block, kept by the process for its next tasks."""
+    return _phrases(home, 0, window)
+
+
+def _pass(home: str, blocks: int, window: int, shard_words: int):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def shard(rows: list[tuple], docs: list[list[int]], rest: list[pa.Array]) -> pa.RecordBatch:
-        spans, items = search_shard(docs, phrases.value)
-        texts, old_spans, old_items = zip(*rows, strict=True)
-        spans = [s if not o else merge_spans(s + [(x["start"], x["end"]) for x in o]) for s, o in zip(spans, old_spans, strict=True)]
-        items = [i if not o else sorted({*i, *o}) for i, o in zip(items, old_items, strict=True)]
+    def shard(texts: list[str | None], docs: list[list], rest: list[pa.Array]) -> pa.RecordBatch:
+        spans: list[list[tuple[int, int]]] = [[] for _ in docs]
+        items: list[list[str]] = [[] for _ in docs]
+        for block in range(blocks):
+            phrases = _only(home, window) if blocks == 1 else _phrases(home, block, window)
+            number = phrases.words.get
+            own = docs if blocks == 1 else [[number(w, 0) for w in d] for d in docs]
+            for i, (s, x) in enumerate(zip(*search_shard(own, phrases), strict=True)):
+                spans[i] = merge_spans(spans[i] + s) if spans[i] else s
+                items[i] = sorted({*items[i], *x}) if items[i] else x
         arrays = [pa.concat_arrays(rest), pa.array(texts, pa.string()), pa.array(map(len, docs), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays(arrays, names=["rest", "text", "n_words", "spans", "items"])
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = phrases.value.words.get
-        rows, docs, rest, held = [], [], [], 0
+        number = _only(home, window).words.get if blocks == 1 else None
+        texts, docs, rest, held = [], [], [], 0
         for batch in batches:
             start = 0
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                docs.append([number(w, 0) for w in words_of(text)])
-                rows.append((text, batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
+                docs.append([number(w, 0) for w in words_of(text)] if number else words_of(text))
+                texts.append(text)
                 held += len(docs[-1])
-                if held >= SHARD_WORDS:
+                if held >= shard_words:
                     rest.append(batch.column(0).slice(start, i + 1 - start))
-                    yield shard(rows, docs, rest)
-                    rows, docs, rest, held, start = [], [], [], 0, i + 1
+                    yield shard(texts, docs, rest)
+                    texts, docs, rest, held, start = [], [], [], 0, i + 1
             rest.append(batch.column(0).slice(start))
-        if rows:
-            yield shard(rows, docs, rest)
+        if texts:
+            yield shard(texts, docs, rest)
 
     return run
 

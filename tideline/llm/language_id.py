@@ -19,7 +19,10 @@ from pyspark.sql import types as T
 
 from .shared import packed, released, unpacked
 
-SYMBOLS = 64  # 0: no letter; 1 to 26: a to z; the rest: other letters, by their code
+CODES = 0x110000
+MASK = (1 << 21) - 1
+TABLE = 1 << 21
+GRAMS_AT_ONCE = 20_000
 DIMENSIONS = 512
 SEED = 20_113
 SLICE = 1_000_000
@@ -30,56 +33,81 @@ UNKNOWN = "und"
 
 
 @lru_cache(maxsize=1)
-def _symbol_table() -> np.ndarray:
-    """Symbol of every code point; case is folded."""
-    table = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
+def _letter_table() -> np.ndarray:
+    """For every code point the letter it is, as the code point of its lower case; 0 for what is no letter."""
+    table = np.zeros(CODES, np.int64)
+    for i in range(CODES):
         c = chr(i)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            table[i] = low - 96 if 97 <= low <= 122 else 27 + low * 40503 % 65536 % (SYMBOLS - 27)
+            table[i] = ord(c.lower()[0])
     return table
 
 
-@lru_cache(maxsize=4)
-def _letters(dimensions: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, dimensions))
+def letter_vectors(letters: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """A random vector of +1 and -1 for each letter, of its own: its bits are mixed from code point, place and seed. The mark of a word's edge (0) has one too."""
+    words = -(-dimensions // 64)
+    x = (letters.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(letters), -1), axis=1)[:, :dimensions]
+    return bits.astype(np.int8) * 2 - 1
 
 
 def gram_vectors(grams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """Bound vectors of trigrams given as numbers in base SYMBOLS."""
-    letters = _letters(dimensions, seed)
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return first[grams // SYMBOLS**2] * second[grams // SYMBOLS % SYMBOLS] * letters[grams % SYMBOLS]
+    """Bound vectors of trigrams, given as three code points of 21 bits each."""
+    letters, number = np.unique(np.concatenate([grams >> 42, grams >> 21 & MASK, grams & MASK]), return_inverse=True)
+    vectors = letter_vectors(letters, dimensions, seed)
+    one, two, three = np.split(number, 3)
+    return np.roll(vectors, 2, axis=1)[one] * np.roll(vectors, 1, axis=1)[two] * vectors[three]
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Numbers of the trigrams of a whole text; runs of other characters are one mark, and none is a gram's middle."""
+    """The trigrams of a whole text; runs of other characters are one mark, and none is a gram's middle."""
     if not text:
-        return np.zeros(0, np.int32)
-    table = _symbol_table()
+        return np.zeros(0, np.int64)
+    table = _letter_table()
     parts = [table[np.frombuffer(text[i : i + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)] for i in range(0, len(text), SLICE)]
-    s = np.concatenate([np.zeros(1, np.uint8), *parts, np.zeros(1, np.uint8)])
-    s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]].astype(np.int32)
+    s = np.concatenate([np.zeros(1, np.int64), *parts, np.zeros(1, np.int64)])
+    s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
     if len(s) < 3:
-        return np.zeros(0, np.int32)
-    return (s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:])[s[1:-1] != 0]
+        return np.zeros(0, np.int64)
+    return (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[s[1:-1] != 0]
+
+
+def numbered_grams(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, and the number of each gram among them: by a table where the text has few letters, else by sorting."""
+    parts = (flat >> 42, flat >> 21 & MASK, flat & MASK)
+    met = np.zeros(CODES, bool)
+    for x in parts:
+        met[x] = True
+    letters = np.flatnonzero(met)
+    n = len(letters)
+    if n**3 > TABLE:
+        return np.unique(flat, return_inverse=True)
+    dense = np.zeros(CODES, np.int32)
+    dense[letters] = np.arange(n)
+    key = (dense[parts[0]] * n + dense[parts[1]]) * n + dense[parts[2]]
+    used = np.flatnonzero(np.bincount(key, minlength=1))
+    place = np.zeros(n**3, np.int32)
+    place[used] = np.arange(len(used))
+    return letters[used // n**2] << 42 | letters[used // n % n] << 21 | letters[used % n], place[key]
 
 
 def bundle(grams: list[np.ndarray], rows: np.ndarray, n: int, dimensions: int, seed: int) -> np.ndarray:
     """Sum of the vectors of the grams of each row: n x dimensions."""
     flat = np.concatenate(grams)
-    present = np.zeros(SYMBOLS**3, bool)
-    present[flat] = True
-    used = np.flatnonzero(present)
-    if not len(used):
+    if not len(flat):
         return np.zeros((n, dimensions))
-    place = np.zeros(SYMBOLS**3, np.int64)
-    place[used] = np.arange(len(used))
-    row = np.repeat(rows, [len(g) for g in grams])
-    counts = np.bincount(row * len(used) + place[flat], minlength=n * len(used)).reshape(n, len(used))
-    exact = np.float32 if counts.sum(axis=1).max() < 2**24 else np.float64
-    return (counts.astype(exact) @ gram_vectors(used, dimensions, seed).astype(exact)).astype(np.float64)
+    used, number = numbered_grams(flat)
+    row, out = np.repeat(rows, [len(g) for g in grams]), np.zeros((n, dimensions))
+    for at in range(0, len(used), GRAMS_AT_ONCE):
+        part = used[at : at + GRAMS_AT_ONCE]
+        r, k = (row, number) if len(used) <= GRAMS_AT_ONCE else (x[(number >= at) & (number < at + len(part))] for x in (row, number))
+        counts = np.bincount(r.astype(np.int64) * len(part) + (k - at), minlength=n * len(part)).reshape(n, len(part))
+        exact = np.float32 if counts.sum(axis=1).max() < 2**24 else np.float64
+        out += counts.astype(exact) @ gram_vectors(part, dimensions, seed).astype(exact)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

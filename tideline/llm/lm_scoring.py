@@ -25,6 +25,7 @@ from .shared import parallelism, released, scratch
 ORDER = 2
 BACKOFF = 0.4
 BATCH_BYTES = 16_000_000
+ONE_GROUP = 2_000_000_000
 TOTALS, WORDS = 0, 1
 BASE = np.uint64(0xD6E8FEB86659FD95)
 INVERSE = np.uint64(pow(0xD6E8FEB86659FD95, -1, 1 << 64))
@@ -113,7 +114,8 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", orde
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     kind = df.schema[id_col].dataType
     docs = df.select(F.spark_partition_id().alias("part"), row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs.write.option("compression", "zstd").parquet(f"{home}/docs")
+    # one row group for each file: whatever the sizes of splits, a file is read by one task, and all passes cut the same batches
+    docs.write.options(**{"compression": "zstd", "parquet.block.size": ONE_GROUP}).parquet(f"{home}/docs")
     docs = spark.read.schema(docs.schema).parquet(f"{home}/docs")
     blobs = "pid int, part int, batch long, kind int, n long, data binary"
     sent = docs.select("part", "row", "text").mapInArrow(_explode(order, n), blobs).repartition(n, "pid")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, lm_scoring, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, topk_threshold, warc
+from . import pipeline as corpus
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +82,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

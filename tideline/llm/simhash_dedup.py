@@ -1,8 +1,8 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints that differ in few bits have nearly the same distance to every reference fingerprint: where
-the distances to one pivot differ by more than the allowed bits, the pair is discarded, and only survivors are
-compared bit by bit. As distances to pivots alone can't deal rows out to tasks, rows meet by blocks of bits:
+Fingerprints that differ in few bits have nearly the same distance to every reference fingerprint: rows are
+sorted by their distance to one, and paired only while those distances differ by the allowed bits or fewer; the
+largest difference over all pivots discards pairs next, and only survivors are compared bit by bit. As distances to pivots alone can't deal rows out to tasks, rows meet by blocks of bits:
 of five blocks, three differing bits leave two untouched, so that every link shares the bits of one of ten
 pairs of blocks.
 
@@ -31,6 +31,7 @@ SHINGLE = 3
 HASH_SEED = 42
 MAX_BITS = 3
 PIVOTS = 32
+SORT_PIVOTS = 8
 PIVOT_SEED = 5
 GROUP_ROWS = 2_048
 CHUNK_BYTES = 4_000_000
@@ -95,38 +96,49 @@ def block_keys(fp: str, max_bits: int):
     return F.array(*keys)
 
 
-def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np.ndarray, max_bits: int, accept: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np.ndarray, max_bits: int, accept: Callable[[int, int], bool] | None = None, formed: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect, within each group of adjacent rows, all fingerprints that differ in max_bits or fewer.
 
-    A fingerprint is a number or a row of numbers. With accept, pairs must pass that too. Of links that close a
-    circle one is left out, so that a group gives fewer links than it has rows.
+    Every group is sorted by its distances to a pivot, that of a few whose distances spread most. A row is paired
+    with those after it up to the first that is over max_bits further from the pivot: no other pair is formed.
+    The other pivots discard pairs next, and what survives is compared bit by bit. A fingerprint is a number or
+    a row of numbers. With accept, pairs must pass that too. Of links that close a circle one is left out, so that
+    a group gives fewer links than it has rows. formed gets the number of pairs formed.
     """
     fps = fps.reshape(len(fps), -1)
+    n = len(fps)
     pivots = np.random.default_rng(PIVOT_SEED).integers(0, 2**64, (PIVOTS, fps.shape[1]), np.uint64, endpoint=False)
     apart = lambda x, y: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in range(fps.shape[1]))
     distances = apart(fps[:, None], pivots)
-    same = lambda i, j: (table[i] == table[j]) & (bits[i] == bits[j]) & (group[i] == group[j])
-    parent = np.arange(len(fps)).tolist()
+    starts = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (bits[1:] != bits[:-1]) | (group[1:] != group[:-1])]) if n else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+    spread = np.maximum.reduceat(distances[:, :SORT_PIVOTS], starts) - np.minimum.reduceat(distances[:, :SORT_PIVOTS], starts) if n else distances[:, :SORT_PIVOTS]
+    near = distances[np.arange(n), spread.argmax(axis=1)[own]] if n else np.zeros(0, np.int16)
+    order = np.lexsort((near, own))  # of sorted places; groups stay where they are
+    near, distances, fps = near[order], distances[order], fps[order]
+    last = np.searchsorted(own.astype(np.int64) * 1_000 + near, own.astype(np.int64) * 1_000 + near + max_bits, "right") - 1
+    parent = np.arange(n).tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    out, left, lag = [], np.arange(len(fps)), 0
+    out, left, lag = [], np.arange(n), 0
     while len(left):
         lag += 1
-        left = left[left + lag < len(fps)]
-        left = left[same(left, left + lag)]
+        left = left[left + lag <= last[left]]
         pairs = left
+        if formed is not None:
+            formed.append(len(pairs))
         for p in range(0, PIVOTS, 8):
             pairs = pairs[np.abs(distances[pairs, p : p + 8] - distances[pairs + lag, p : p + 8]).max(axis=1, initial=0) <= max_bits]
         pairs = pairs[apart(fps[pairs], fps[pairs + lag]) <= max_bits]
-        for i in pairs.tolist():
-            a, b = root(i), root(i + lag)
-            if a != b and (accept is None or accept(i, i + lag)):
+        for i, j in zip(order[pairs].tolist(), order[pairs + lag].tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b and (accept is None or accept(i, j)):
                 parent[a] = b
-                out.append((i, i + lag))
+                out.append((i, j))
     return out
 
 

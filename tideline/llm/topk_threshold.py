@@ -8,14 +8,17 @@ under the kth best score, the block is done.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import released, scratch
+
 BLOCK_ROWS = 8_192
 QUERY_BLOCK = 2_048
 FIRST_DEPTH = 8
@@ -33,7 +36,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
         self.largest = float(np.abs(vectors.astype(float)).max(initial=0))
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -78,53 +81,60 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = 10, id_col: str
     to the smaller id, a query without k candidates gets all. Rows with the query's own id are no candidates of
     it; rows with a null id, and vectors that are null or hold null or non-finite components, take no part;
     only vectors of equal length are compared. Repeated query ids ask once, with the smallest vector; repeated
-    candidates each count. Other columns are ignored; an empty table gives no rows. Queries are broadcast in
-    blocks of about query_block, and each block is a pass over the candidates. Scores beyond 64 bits are an
-    error.
+    candidates each count. Other columns are ignored; an empty table gives no rows. Queries are a table in the
+    shared folder, which tasks read in blocks of query_block; a task sorts the lists of its candidates once.
+    Components and scores beyond 64 bits are an error.
     """
-    spark = queries.sparkSession
-    prepared = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantised(vector_col, scale).alias("v")).where("id is not null and v is not null")
-    asked, rows = prepared(queries).groupBy("id").agg(F.min("v").alias("v")), prepared(candidates)
-    blocks = max(1, math.ceil(asked.count() / query_block))
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()
-        shared = spark.sparkContext.broadcast([(r["id"], np.array(r["v"], np.int64)) for r in own])
-        part = rows.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    v = F.col(vector_col).cast("array<double>")
+    huge = F.exists(v, lambda x: (F.abs(x) < F.lit(float("inf"))) & (F.abs(x * scale) >= F.lit(2.0**63)))
+    checked = F.when(~F.coalesce(huge, F.lit(False)), quantised(vector_col, scale)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("array<bigint>"))
+    prepared = lambda df: df.select(F.col(id_col).cast("long").alias("id"), checked.alias("v")).where("id is not null and v is not null")
+    asked = prepared(queries).groupBy("id").agg(F.min("v").alias("v"))
+    path = scratch(queries.sparkSession, "top-k-queries")
+    asked.write.parquet(path)
+    found = prepared(candidates).mapInArrow(_search(path, k, query_block), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        best = {q: (none, none) for q, _ in shared.value}
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By vector length: ids and vectors."""
+    ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    for width in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == width)
+        yield width, ids[rows], flat[starts[rows][:, None] + np.arange(width)].reshape(len(rows), width)
 
-        def search(width: int) -> None:
-            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(width), strict=True))
-            lists = SortedLists(ids, vectors)
-            for q, v in shared.value:
-                if len(v) == width:
-                    best[q] = lists.best(q, v, k, *best[q])
 
+def _search(path: str, k: int, query_block: int):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(sizes) - sizes
-            for width in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == width)
-                for at in range(0, len(rows), BLOCK_ROWS):
-                    piece = rows[at : at + BLOCK_ROWS]
-                    held.setdefault(width, []).append((ids[piece], flat[starts[piece][:, None] + np.arange(width)].reshape(len(piece), width)))
-                    if sum(len(x[0]) for x in held[width]) >= BLOCK_ROWS:
-                        search(width)
-        for width in list(held):
-            search(width)
-        rows = [(q, i, s) for q, (scores, ids) in best.items() for s, i in zip(scores.tolist(), ids.tolist(), strict=True)]
-        q, i, s = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+            for width, ids, vectors in _rows(batch):
+                held.setdefault(width, []).append((ids, vectors))
+        lists: dict[int, list[SortedLists]] = {}
+        for width, parts in held.items():
+            ids, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+            lists[width] = [SortedLists(ids[at : at + BLOCK_ROWS], vectors[at : at + BLOCK_ROWS]) for at in range(0, len(ids), BLOCK_ROWS)]
+        held.clear()
+        if not lists:
+            return
+        fs, base = FileSystem.from_uri(path)
+        none = np.zeros(0, np.int64)
+        for info in sorted(fs.get_file_info(FileSelector(base)), key=lambda x: x.path):
+            if not info.path.endswith(".parquet"):
+                continue
+            with fs.open_input_file(info.path) as f:
+                for block in pq.ParquetFile(f).iter_batches(query_block, columns=["id", "v"]):
+                    found: list[tuple[np.ndarray, ...]] = [(none, none, none)]
+                    for width, ids, vectors in _rows(block):
+                        for q, vector in zip(ids.tolist(), vectors, strict=True):
+                            scores, best = none, none
+                            for part in lists.get(width, ()):
+                                scores, best = part.best(q, vector, k, scores, best)
+                            found.append((np.full(len(best), q), best, scores))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
