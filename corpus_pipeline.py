@@ -1,60 +1,5 @@
-"""From raw documents to token ids: a pipeline of five stages, each a decision on all that its predecessor kept.
+"""The pipeline of five stages over documents; its stages are in tideline/llm/pipeline.py."""
 
-1. language: documents without a language (no letters, or like none that was learned) go.
-2. near-duplicates: one document of each group stays that links of Jaccard 0.8 or more over five-word shingles connect.
-3. repeats: byte strings of 100 and more that start earlier too are cut; documents of which nothing is left go.
-4. benchmark: documents that the decontamination rule finds contaminated go.
-5. tokens: the rest is encoded, with the end id, and decoded again.
-"""
+from tideline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tideline.llm import decontamination, language_id, sentencepiece_codec, simhash_dedup, suffix_dedup
-from tideline.llm.shared import materialised
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-OTHERS = ["doc_id", "lang", "source"]
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Prototypes are learned from the labels of two thirds of the documents; no label is an input of a prediction."""
-    prototypes = language_id.fit(docs.where(~language_id.held_out("doc_id")))
-    found = language_id.predict(docs, prototypes, carry=COLUMNS)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0)).select(COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs, shingle=5, similarity=0.8).select(COLUMNS)
-
-
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_spans(docs, carry=OTHERS, kept="text", length=100)
-    left = found.where((F.size("spans") == 0) | (F.length("kept") > 0)).withColumn("text", F.col("kept"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["doc_id", "lang", "source", "n_chars"])
-    return decontamination.with_verdict(found).where("not contaminated").select(COLUMNS)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = sentencepiece_codec.encode(docs, end_id=True)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "checked")
-
-
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens)]
-
-#: SQL can't say the stages; tests hold each against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
