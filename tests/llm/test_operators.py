@@ -184,6 +184,22 @@ def test_suffix_dedup_random(spark, seed):
     assert [got[i] for i in range(60)] == _repeats(texts, 20)
 
 
+def _morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_suffix_dedup_of_shared_edges_and_regular_strings(spark):
+    """A passage in every document between other words, strings in which simple hashes collide, and runs of one letter."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
+    texts = [f"{rng.random()} {passage}{'!' * (i % 3)} {rng.random()}" * (1 + i % 2) for i in range(60)]
+    morse = _morse(1 << 12)
+    texts += [morse, "".join("ba"[c == "b"] for c in morse), morse[100:900] + "c" + morse[2000:2300], "a" * 700 + "b" + "a" * 300, "ab" * 400, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, carry=["doc_id"]).collect()}
+    assert [got[i] for i in range(len(texts))] == _repeats(texts, 100)
+
+
 def test_sort_suffixes():
     rng = np.random.default_rng(3)
     data = np.r_[rng.integers(97, 99, 600), np.zeros(30, int)].astype(np.uint8)

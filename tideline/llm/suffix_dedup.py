@@ -4,9 +4,9 @@ Every byte covered by a string of `length` bytes that also starts earlier goes.
 all bytes at once: each string of `length` bytes has an anchor in it, the gram with the smallest hash, and
 equal strings have equal anchors. Work goes in passes over the documents:
 
-1. Tasks find the anchors of their documents from prefix polynomial hashes, and hash the context that all
-   strings with that anchor can reach. Of equal contexts within a task only the first is sent on.
-2. Anchors meet by their hash. Contexts that have an equal one earlier are repeated as a whole.
+1. Tasks find the anchors of their documents from prefix polynomial hashes, and take a digest (96 bits of XXH3,
+   nothing of the polynomials) of the context that all strings with that anchor can reach. Of equal contexts within a task only the first is sent on.
+2. Anchors meet by their hash. Contexts that have one of equal digest earlier are repeated as a whole.
 3. Where one anchor has different contexts, their bytes are fetched. Their suffixes are sorted by a mergesort
    whose comparisons find the common extension by binary search over prefix hashes; suffixes that agree in
    `length` bytes are neighbours then, and are compared byte by byte in case a hash collides.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ SORT_WINDOWS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # 5 modulo 8: odd, of large order
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WHOLE, FETCH, PART = 0, 1, 2
-ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("part", "<i4"), ("null", "?")])
+ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("part", "<i4"), ("null", "?")])
 
 
 class PrefixHashes:
@@ -74,14 +75,15 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(docs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document number, place, hash and context hash of all anchors of some documents."""
+    """Document number, place and hash of all anchors of some documents, and 96 bits of a digest of their contexts (64 and 32)."""
     kept = [i for i, d in enumerate(docs) if len(d) >= length]
     none = np.zeros(0, np.int64)
     if not kept:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32)
     sizes = np.array([len(docs[i]) for i in kept])
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(docs[i] for i in kept), np.uint8)
+    joined = b"".join(docs[i] for i in kept)
+    data = np.frombuffer(joined, np.uint8)
     n, width = len(data), length - gram + 1
     hashes = PrefixHashes(data)
     h = hashes.of(np.arange(n - gram + 1), np.arange(gram, n + 1)) | np.uint64(1)
@@ -95,8 +97,10 @@ def anchors(docs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]
     doc = np.searchsorted(ends, at, "right")
     first = ends[doc] - sizes[doc]
     start, stop = np.maximum(first, at - (length - gram)), np.minimum(ends[doc], at + length)
-    context = mixed(hashes.of(start, stop) ^ ((at - start) * 1_000 + (stop - start)).astype(np.uint64))
-    return np.array(kept)[doc], at - first, h[at], context
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+    context = both[:, 0] ^ mixed(((at - start) * 1_000 + (stop - start)).astype(np.uint64))
+    return np.array(kept)[doc], at - first, h[at], context, (both[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def order_of(a: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -106,8 +110,8 @@ def order_of(a: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def first_of_equal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchors sorted by anchor, context and order, and which of them are the first of their context."""
-    a = a[np.lexsort((*order_of(a), a["context"], a["anchor"]))]
-    return a, np.r_[True, (a["anchor"][1:] != a["anchor"][:-1]) | (a["context"][1:] != a["context"][:-1])] if len(a) else np.zeros(0, bool)
+    a = a[np.lexsort((*order_of(a), a["check"], a["context"], a["anchor"]))]
+    return a, np.r_[True, (a["anchor"][1:] != a["anchor"][:-1]) | (a["context"][1:] != a["context"][:-1]) | (a["check"][1:] != a["check"][:-1])] if len(a) else np.zeros(0, bool)
 
 
 def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, places: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,9 +341,9 @@ def _find_anchors(length: int, gram: int, n: int):
         size = 0
 
         def take() -> None:
-            doc, pos, anchor, context = anchors([d[3] for d in docs], length, gram)
+            doc, pos, anchor, context, check = anchors([d[3] for d in docs], length, gram)
             a = np.zeros(len(doc), ANCHOR)
-            a["anchor"], a["context"], a["pos"] = anchor, context, pos
+            a["anchor"], a["context"], a["check"], a["pos"] = anchor, context, check, pos
             for k, v in (("part", 0), ("row", 1), ("doc", 2)):
                 a[k] = np.array([d[v] or 0 for d in docs], np.int64)[doc]
             a["null"] = np.array([d[2] is None for d in docs])[doc]
