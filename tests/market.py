@@ -1,68 +1,62 @@
-"""The small two-session market of the tests: bars by rule, eight posts, a calendar and four trades."""
+"""A made-up morning of one-minute bars, with posts, a calendar and trades; expected values are worked out by hand."""
 
 from datetime import datetime, timedelta
 
-BAR_COLUMNS = "symbol_root string, contract_symbol string, continuous_symbol string, ts_open_utc timestamp, ts_close_utc timestamp, open double, high double, low double, close double, volume long, trade_count long, vwap double, source_name string, is_rth boolean, session_id string, is_rollover_period boolean, is_holiday_session boolean, is_valid_bar boolean"
-SHOCKS = [
-    ("2026-01-02 14:31", "2026-01-02 14:41", -0.85),
-    ("2026-01-02 14:43", "2026-01-02 14:58", 0.95),
-    ("2026-01-02 15:11", "2026-01-02 15:25", 0.45),
-    ("2026-01-05 14:41", "2026-01-05 14:52", 0.35),
-    ("2026-01-05 14:51", "2026-01-05 15:08", -0.70),
-    ("2026-01-05 16:11", "2026-01-05 16:28", 0.30),
-]
+OPENING = datetime(2025, 3, 4, 9, 0)
+# closes by minute: quiet, a slide, a recovery, a drift, a pause and a rise
+CLOSES = (
+    [100.0, 100.25, 100.0, 100.25, 100.0, 99.75, 100.0, 100.25, 100.0, 100.0]
+    + [99.0, 98.0, 97.0, 96.0, 95.0, 94.0, 93.5, 93.0, 92.5, 92.0]
+    + [93.0, 94.0, 95.0, 96.0, 97.0, 98.0, 98.5, 99.0, 99.5, 100.0]
+    + [100.25, 100.5, 100.75, 101.0, 101.25, 101.5, 101.75, 102.0, 102.25, 102.5, 102.75, 103.0, 103.25, 103.5, 103.75]
+    + [104.0, 103.75, 104.0, 103.75, 104.0, 103.75, 104.0, 103.75, 104.0, 103.75, 104.0, 103.75, 104.0, 103.75, 104.0]
+    + [105.0, 106.0, 107.0, 108.0, 109.0, 110.0, 111.0, 112.0, 113.0, 114.0, 115.0, 116.0, 117.0, 118.0, 119.0]
+)
+# minutes in which a bar reached beyond its open and close: high, low
+REACHED = {7: (100.75, 99.5), 19: (92.75, 91.5), 44: (105.0, 103.5)}
 POSTS = [
-    ("post-1", "2026-01-02 14:30:17", "New TARIFFS on China, and America gains from trade!"),
-    ("post-2", "2026-01-02 14:42:13", "A beautiful deal on trade with China is near."),
-    ("post-3", "2026-01-02 15:10:07", "The Fed must cut rates; inflation is gone and markets will fly!"),
-    ("post-4", "2026-01-02 16:05:01", "Fake news media, once again."),
-    ("post-5", "2026-01-05 14:40:13", "We support American semiconductor makers and tech."),
-    ("post-6", "2026-01-05 14:50:35", "Iran plays with fire. Energy security matters!"),
-    ("post-7", "2026-01-05 16:00:06", "What a crowd, thank you!"),
-    ("post-8", "2026-01-05 16:10:27", "Tax cuts, growth, lower regulation: Nasdaq will boom!"),
-]
-CALENDAR = [
-    ("cpi", "CPI", "cpi", "2026-01-02 13:30:00", "high"),
-    ("speech", "Fed Speaker", "fed_speaker", "2026-01-05 15:00:00", "medium"),
+    ("a", "09:05:30", "Steel tariff now"),
+    ("b", "09:09:40", "A deal will come, growth!"),
+    ("c", "09:25:00", "Oil from Iran"),
+    ("d", "09:31:15", "thank you"),
 ]
+LATE = [("e", "09:50:00", "too late for the longest horizon"), ("f", "10:20:00", "after the last bar")]
+CALENDAR = [("jobs", "Jobs report", "jobs", "08:30:00", "high"), ("vote", "Vote", "vote", "09:40:00", "medium")]
 TRADES = [
-    ("t1", "2026-01-02 14:33:00", "2026-01-02 14:52:00", "long", 2, 16991.25, 16986.25),
-    ("t2", "2026-01-02 15:12:00", "2026-01-02 15:28:00", "long", 1, 17002.25, 17009.0),
-    ("t3", "2026-01-05 14:53:00", "2026-01-05 15:12:00", "long", 2, 17131.0, 17119.0),
-    ("t4", "2026-01-05 16:12:00", "2026-01-05 16:32:00", "long", 1, 17125.0, 17131.5),
+    ("t1", "09:10:00", "09:18:00", "long", 2, 100.0, 93.0),
+    ("t2", "09:26:00", "09:29:00", "long", 1, 98.0, 99.5),
+    ("t3", "09:03:00", "09:04:00", "short", 1, 100.0, 100.25),
 ]
 
 
-def when(text):
-    return datetime.strptime(text + ":00" * (text.count(":") == 1), "%Y-%m-%d %H:%M:%S")
+def at(clock):
+    return datetime.combine(OPENING.date(), datetime.strptime(clock, "%H:%M:%S").time())
 
 
 def bar_rows():
+    """(time, open, high, low, close) of each minute."""
     rows = []
-    for start, price, drift in (("2026-01-02 14:20", 17000.0, -0.05), ("2026-01-05 14:30", 17120.0, 0.20)):
-        for i in range(170):
-            ts = when(start) + timedelta(minutes=i)
-            shock = next((s for a, b, s in SHOCKS if when(a) <= ts < when(b)), 0.0)
-            opened, closed = price, round(price + drift + shock, 2)
-            high, low = round(max(opened, closed) + 0.75, 2), round(min(opened, closed) - 0.75, 2)
-            volume = 700 + ts.minute % 13 * 25 + int(abs(shock) * 30)
-            rows.append(("NQ", "NQH6", "NQ.c.0", ts, ts + timedelta(minutes=1), opened, high, low, closed, volume, volume // 4, (opened + high + low + closed) / 4, "fixture", True, f"{ts:%Y-%m-%d}-RTH", False, False, True))
-            price = closed
+    for minute, close in enumerate(CLOSES):
+        opened = CLOSES[minute - 1] if minute else 100.0
+        high, low = REACHED.get(minute, (max(opened, close), min(opened, close)))
+        rows.append((OPENING + timedelta(minutes=minute), opened, high, low, close))
     return rows
 
 
 def bars(spark):
-    return spark.createDataFrame(bar_rows(), BAR_COLUMNS)
+    rows = [(t, o, h, low, c, 10 * (i + 1), True) for i, (t, o, h, low, c) in enumerate(bar_rows())]
+    broken = (OPENING + timedelta(minutes=8, seconds=30), 1.0, 1.0, 1.0, 1.0, 0, False)
+    return spark.createDataFrame([*rows, broken], "ts_open_utc timestamp, open double, high double, low double, close double, volume long, is_valid_bar boolean")
 
 
-def posts(spark):
-    rows = [(i, when(t), when(t) - timedelta(seconds=2), text) for i, t, text in POSTS]
-    return spark.createDataFrame(rows, "post_id string, received_at_utc timestamp, created_at_utc timestamp, text_clean string")
+def posts(spark, rows=POSTS):
+    found = [(i, t and at(t), t and at(t) - timedelta(seconds=2), text) for i, t, text in rows]
+    return spark.createDataFrame(found, "post_id string, received_at_utc timestamp, created_at_utc timestamp, text_clean string")
 
 
 def calendar(spark):
-    return spark.createDataFrame([(a, b, c, when(t), d) for a, b, c, t, d in CALENDAR], "event_id string, event_name string, event_type string, scheduled_at_utc timestamp, importance string")
+    return spark.createDataFrame([(a, b, c, at(t), d) for a, b, c, t, d in CALENDAR], "event_id string, event_name string, event_type string, scheduled_at_utc timestamp, importance string")
 
 
 def trades(spark):
-    return spark.createDataFrame([(a, when(b), when(c), *rest) for a, b, c, *rest in TRADES], "trade_id string, entry_ts_utc timestamp, exit_ts_utc timestamp, side string, contracts int, entry_price double, exit_price double")
+    return spark.createDataFrame([(a, at(b), at(c), *rest) for a, b, c, *rest in TRADES], "trade_id string, entry_ts_utc timestamp, exit_ts_utc timestamp, side string, contracts int, entry_price double, exit_price double")

@@ -1,45 +1,111 @@
+import hashlib
+import math
+from datetime import timedelta
+
 import market
 import pytest
 
-from tideline.functions.rules import classify
-from tideline.operators.events import build_events
+from tideline.functions.rules import classify, enrich
+from tideline.operators.events import build_events, iso
 from tideline.operators.temporal import MINUTE
 
 
+def expected(post_id, received):
+    """An event by plain scans of the bars; None where a bar is missing."""
+    rows = market.bar_rows()
+    after = [r for r in rows if r[0] >= received]
+    if not after:
+        return None
+    start, base = after[0][0], after[0][1]
+    out = {"aligned_bar_ts_utc": start, "base_price": base, "event_id": hashlib.sha256(f"{post_id}|{start.isoformat()}+00:00".encode()).hexdigest()[:16]}
+    for h in (5, 15, 30):
+        ends = [r for r in rows if r[0] >= start + timedelta(minutes=h)]
+        if not ends:
+            return None
+        inside = [r for r in rows if start <= r[0] <= ends[0][0]]
+        delta = (ends[0][4] - base) / 0.25
+        out |= {
+            f"nq_delta_{h}m_ticks": delta,
+            f"nq_direction_{h}m": "up" if delta >= 4 else "down" if delta <= -4 else "flat",
+            f"max_favourable_excursion_{h}m_ticks": max((max(r[2] for r in inside) - base) / 0.25, 0),
+            f"max_adverse_excursion_{h}m_ticks": max((base - min(r[3] for r in inside)) / 0.25, 0),
+            f"realised_range_{h}m_ticks": (max(r[2] for r in inside) - min(r[3] for r in inside)) / 0.25,
+            f"realised_volatility_{h}m_ticks": round(math.sqrt(sum(((y[4] - x[4]) / 0.25) ** 2 for x, y in zip(inside, inside[1:], strict=False))), 4),
+        }
+    window = [r for r in rows if start <= r[0] <= start + timedelta(minutes=30)]
+    first = [r for r in window if r[0] <= start + timedelta(minutes=10)]
+    up, down = (max(r[2] for r in first) - base) / 0.25, (base - min(r[3] for r in first)) / 0.25
+    if up >= down:
+        top = max(range(len(window)), key=lambda i: window[i][2])
+        back = (window[top][2] - min(r[3] for r in window[top:])) / 0.25
+    else:
+        top = min(range(len(window)), key=lambda i: window[i][3])
+        back = (max(r[2] for r in window[top:]) - window[top][3]) / 0.25
+    out["market_whipsaw_flag"] = max(up, down) >= 20 and back >= max(0.65 * max(up, down), 15)
+    return out
+
+
 @pytest.fixture(scope="module")
 def built(spark):
-    events, skipped = build_events(market.posts(spark), market.bars(spark), market.calendar(spark), width=60 * MINUTE)
-    return {r["post_id"]: r for r in events.collect()}, skipped.collect()
+    """Post b comes in two versions under one id, one post has no time, and two have too few bars after them."""
+    rows = [*market.POSTS, ("b", "09:10:10", "A deal will come, growth! (edited)"), ("x", None, "never received"), *market.LATE]
+    events, skipped = build_events(market.posts(spark, rows), market.bars(spark), market.calendar(spark), width=20 * MINUTE)
+    return events.collect(), skipped.collect()
 
 
-def test_all_posts_become_events(built):
-    events, skipped = built
-    assert len(events) == 8 and not skipped
-    assert [f"{events[f'post-{i}']['aligned_bar_ts_utc']:%H:%M}" for i in range(1, 9)] == ["14:31", "14:43", "15:11", "16:06", "14:41", "14:51", "16:01", "16:11"]
+def test_events_are_those_of_plain_scans(built):
+    events, _ = built
+    assert sorted((e["post_id"], f"{e['received_at_utc']:%H:%M:%S}") for e in events) == sorted([(i, t) for i, t, _ in market.POSTS] + [("b", "09:10:10")])
+    for e in events:
+        want = expected(e["post_id"], e["received_at_utc"])
+        assert {k: e[k] for k in want} == want
+    assert len({e["event_id"] for e in events}) == 5
+    assert [e["market_whipsaw_flag"] for e in sorted(events, key=lambda e: e["received_at_utc"])] == [True, True, True, False, False]
 
 
-def test_whipsaws_clusters_and_blackout(built):
-    events, _ = built
-    order = [events[f"post-{i}"] for i in range(1, 9)]
-    assert [e["market_whipsaw_flag"] for e in order] == [True, False, False, False, True, True, False, False]
-    assert [e["event_cluster_number"] for e in order] == [1, 1, 1, 2, 3, 3, 4, 4]
-    assert [e["event_cluster_position"] for e in order] == [0, 1, 2, 0, 0, 1, 0, 1]
-    assert sum(e["is_burst_event"] for e in order) == 7 and sum(e["is_isolated_event"] for e in order) == 1
-    assert sum(e["is_macro_blackout"] for e in order) == 1
-    assert order[5]["minutes_to_nearest_macro_event"] == 9.4167
-    assert order[0]["event_cluster_size"] == 3
+def test_skipped_posts_have_reasons(built):
+    assert {r["post_id"]: r["reason"] for r in built[1]} == {"x": "no_received_at", "e": "insufficient_forward_bars", "f": "no_market_bar_after_received_at"}
+
 
+def test_nearest_calendar_event(built):
+    got = {(e["post_id"], e["received_at_utc"].second): e for e in built[0]}
+    assert (got["c", 0]["nearest_macro_event_id"], got["c", 0]["minutes_to_nearest_macro_event"], got["c", 0]["is_macro_blackout"]) == ("vote", 15.0, True)
+    assert (got["d", 15]["nearest_macro_event_type"], got["d", 15]["minutes_to_nearest_macro_event"]) == ("vote", 8.75)
+    # half past eight is 35.5 minutes before, the vote 34.5 minutes after
+    assert (got["a", 30]["nearest_macro_event_id"], got["a", 30]["is_macro_blackout"]) == ("vote", False)
 
-def test_posts_without_bars_are_reported(spark):
-    late = market.posts(spark).where("post_id = 'post-8'").selectExpr("post_id", "received_at_utc + interval 1 day as received_at_utc", "created_at_utc", "text_clean")
-    near_end = market.posts(spark).where("post_id = 'post-7'").selectExpr("post_id", "timestamp'2026-01-05 17:10:00' as received_at_utc", "created_at_utc", "text_clean")
-    _, skipped = build_events(late.unionByName(near_end), market.bars(spark), None, width=60 * MINUTE)
-    assert {r["post_id"]: r["reason"] for r in skipped.collect()} == {"post-8": "no_market_bar_after_received_at", "post-7": "insufficient_forward_bars"}
+
+def test_one_cluster(built):
+    events = sorted(built[0], key=lambda e: e["received_at_utc"])
+    assert {e["event_cluster_size"] for e in events} == {5} and [e["event_cluster_position"] for e in events] == [0, 1, 2, 3, 4]
+    first = events[0]
+    name = f"cluster|{first['event_id']}|2025-03-04T09:05:30+00:00|30"
+    assert {e["event_cluster_id"] for e in events} == {hashlib.sha256(name.encode()).hexdigest()[:16]}
+
+
+def test_ids_dont_depend_on_the_session_zone(spark):
+    df = spark.sql("select timestamp_micros(1735689599250000) as a, timestamp_micros(-1) as b, timestamp_micros(1735689600000000) as c, cast(null as timestamp) as d")
+    try:
+        for zone in ("America/New_York", "Asia/Kathmandu", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert list(df.select(*(iso(df[c]).alias(c) for c in "abcd")).first()) == ["2024-12-31T23:59:59.250000+00:00", "1969-12-31T23:59:59.999999+00:00", "2025-01-01T00:00:00+00:00", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_rules(spark):
-    got = {r["post_id"]: r for r in classify(market.posts(spark)).collect()}
-    assert [got[f"post-{i}"]["rule_sentiment_label"] for i in range(1, 9)] == ["bearish_market", "bullish_market", "bullish_market", "neutral", "bullish_market", "geopolitical_risk", "neutral", "bullish_market"]
-    assert "technology_ai_semiconductors" not in got["post-4"]["rule_topic_labels"]  # `again` isn't `ai`
-    assert "equities_direct" not in got["post-3"]["rule_topic_labels"]  # `markets` isn't `market`
-    assert got["post-6"]["rule_tradeability_label"] == "volatility_only"
+    texts = [("1", "Steel tariff now"), ("2", "again and again"), ("3", "S&P 500, s&p!"), ("4", "the markets"), ("5", "Oil prices; IRAN."), ("6", None), ("7", "élan_ai ai-based")]
+    got = {r["post_id"]: r for r in classify(spark.createDataFrame(texts, "post_id string, text_clean string")).collect()}
+    assert (got["1"]["rule_sentiment_label"], got["1"]["rule_topic_labels"], got["1"]["rule_reason_codes"]) == ("bearish_market", ["trade_policy", "china_tariffs"], ["bearish:tariff"])
+    assert got["1"]["rule_sentiment_confidence"] == round(0.55 + 0.1 + 0.15 * 0.65, 4) and got["1"]["rule_topic_confidence"] == {"trade_policy": 0.65, "china_tariffs": 0.65}
+    assert got["2"]["rule_topic_labels"] == got["4"]["rule_topic_labels"] == got["6"]["rule_topic_labels"] == ["other"]
+    assert got["3"]["rule_topic_labels"] == ["equities_direct"] and got["3"]["rule_topic_confidence"] == {"equities_direct": 0.8}
+    assert got["5"]["rule_topic_labels"] == ["iran_energy", "inflation_rates", "middle_east_geopolitics"] and got["5"]["rule_tradeability_label"] == "volatility_only"
+    assert got["7"]["rule_topic_labels"] == ["technology_ai_semiconductors"]
+
+
+def test_enrich(spark):
+    rows = [("A  B!?", "A B!?", ["https://X.com:8/a?b", "http://x.com:8", None]), (None, None, None)]
+    got = enrich(spark.createDataFrame(rows, "text_raw string, text_clean string, urls array<string>")).collect()
+    assert (got[0]["url_domains"], got[0]["token_count"], got[0]["all_caps_ratio"], got[0]["exclamation_count"], got[0]["question_mark_count"]) == (["x.com:8"], 2, 1.0, 1, 1)
+    assert (got[1]["url_domains"], got[1]["post_length"], got[1]["rule_sentiment_label"]) == ([], 0, "low_confidence")

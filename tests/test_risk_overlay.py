@@ -5,43 +5,57 @@ from pyspark.sql import functions as F
 from tideline.functions.rules import classify
 from tideline.operators import overlay, risk, signals, study
 from tideline.operators.events import build_events
-from tideline.operators.labels import agreement, audit_reviews, check_reviews, label_queue
+from tideline.operators.labels import agreement, audit_reviews, check_reviews, label_queue, review_counts
 from tideline.operators.temporal import MINUTE
 
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    events, _ = build_events(market.posts(spark), market.bars(spark), market.calendar(spark), width=60 * MINUTE)
+    events, _ = build_events(market.posts(spark), market.bars(spark), market.calendar(spark), width=20 * MINUTE)
     out = risk.score(classify(events)).persist()
     yield out
     out.unpersist()
 
 
 def test_scores_and_levels(scored):
+    """a: 0.35 + 0.3 * 0.8; b: 0.07 + 0.18 + 0.15 * 0.7 + 0.015 + 0.1 / 3 + 0.07; c: 0.35 + 0.24 + 0.06 + 0.2 / 3 + 0.07; d: 0.1."""
     got = {r["post_id"]: r for r in scored.collect()}
-    assert [got[f"post-{i}"]["whipsaw_score"] for i in range(1, 9)] == [0.59, 0.553333, 0.446667, 0.033333, 0.25, 0.753333, 0.0, 0.343333]
-    assert [got[f"post-{i}"]["whipsaw_risk_level"] for i in range(1, 9)] == ["SOFT_RISK", "SOFT_RISK", "WATCH", "NONE", "WATCH", "HARD_KILL", "NONE", "WATCH"]
-    row = risk.evaluate(scored).first()
-    assert (row["soft_tp"], row["soft_fp"], row["soft_tn"], row["soft_fn"]) == (2, 1, 4, 1)
-    assert (row["hard_precision"], row["hard_recall"]) == (1.0, 0.333333)
-    assert (row["mean_score_true"], row["mean_score_false"]) == (0.531111, 0.275333)
+    assert [got[i]["whipsaw_score"] for i in "abcd"] == [0.59, 0.473333, 0.786667, 0.1]
+    assert [got[i]["whipsaw_risk_level"] for i in "abcd"] == ["SOFT_RISK", "WATCH", "HARD_KILL", "NONE"]
+    assert [got[i]["risk_ttl_seconds"] for i in "abcd"] == [1800, 900, 3600, 0]
+    assert [got[i]["contradicting_post_ids"] for i in "abcd"] == [[], ["a"], ["b"], []]
+    assert [got[i]["whipsaw_reason"] for i in "abcd"] == ["headline_risk_score=1.00", "direction_flip_score=1.00; prior=a", "headline_risk_score=1.00; prior=b", "post_burst_score=1.00"]
+    row = risk.evaluate(scored).first()  # a and b are whipsaws, a and c are soft or harder
+    assert (row["soft_tp"], row["soft_fp"], row["soft_tn"], row["soft_fn"], row["soft_precision"], row["soft_recall"]) == (1, 1, 1, 1, 0.5, 0.5)
+    assert (row["hard_fp"], row["hard_precision"], row["hard_recall"]) == (1, 0.0, 0.0)
+    assert row["mean_score_true"] == pytest.approx(1.063333 / 2, abs=1e-6) and row["mean_score_false"] == pytest.approx(0.886667 / 2, abs=1e-6)
+
+
+def test_versions_of_a_post_are_scored_apart(spark):
+    rows = [("p", "09:00:00", "tariff"), ("p", "09:10:00", "growth"), ("q", "09:20:00", "thank you")]
+    got = {r["received_at_utc"].minute: r for r in risk.score(classify(market.posts(spark, rows))).collect()}
+    assert len(got) == 3 and [got[m]["post_burst_score"] for m in (0, 10, 20)] == [0.0, 0.333333, 0.666667]
+    assert [got[m]["text_contradiction_score"] for m in (0, 10, 20)] == [0.0, 0.4, 0.0]
 
 
 def test_replay(spark, scored):
     out = overlay.replay(market.trades(spark), scored)
-    assert {r["trade_id"]: (r["contracts_after"], r["kill_switch_status"]) for r in out.collect()} == {"t1": (1, "reduced"), "t2": (0, "filtered"), "t3": (0, "filtered"), "t4": (1, "unchanged")}
+    assert {r["trade_id"]: (r["contracts_after"], r["kill_switch_status"], r["attribution_label"]) for r in out.collect()} == {"t1": (1, "reduced", "helpful_risk_reduction"), "t2": (0, "filtered", "false_positive_cost"), "t3": (1, "unchanged", "false_negative_loss")}
     row = overlay.report(out).first()
-    assert (row["net_pnl_before_usd"], row["net_pnl_after_usd"], row["kill_switch_value_usd"]) == (-56.38, -1.96, 54.42)
-    assert (row["avoided_losing_trade_usd"], row["missed_winning_trade_usd"]) == (52.96, 11.02)
+    assert (row["net_pnl_before_usd"], row["net_pnl_after_usd"], row["kill_switch_value_usd"]) == (-35.42, -19.46, 15.96)
+    assert (row["avoided_losing_trade_usd"], row["missed_winning_trade_usd"], row["false_positive_cost_usd"], row["false_negative_loss_usd"]) == (0.0, 0.52, 0.52, 2.98)
     assert tuple(overlay.breaches(out, "net_pnl_before_usd").first()) == (0, 0, 0)
 
 
 def test_latest_signal(scored):
     row = signals.latest(signals.signals(scored)).first()
-    assert row["post_id"] == "post-8" and row["kill_switch"]["action"] == "ALLOW" and row["kill_switch"]["reason_codes"] == ["WATCH"]
+    assert row["post_id"] == "d" and row["kill_switch"]["action"] == "ALLOW" and row["kill_switch"]["reason_codes"] == []
     assert row["p_direction"]["up_5m"] == 0.333333 and row["expected_delta_ticks"]["30m"] == 0.0
     stale = signals.latest(signals.signals(scored, provider_stale=True)).first()
     assert stale["direction_signal"] == "NO_TRADE" and stale["kill_switch"]["reason_codes"] == ["NO_TRADE_DATA_STALE"]
+    given = scored.withColumns({"p_up_5m": F.lit(2.0), "p_down_5m": F.lit(1.0), "p_flat_5m": F.lit(1.0), "expected_delta_5m_ticks": F.lit(3)})
+    row = signals.latest(signals.signals(given)).first()
+    assert [row["p_direction"][f"{k}_5m"] for k in ("up", "down", "flat")] == [0.5, 0.25, 0.25] and row["expected_delta_ticks"]["5m"] == 3.0
 
 
 def test_stale_without_report(spark):
@@ -51,8 +65,8 @@ def test_stale_without_report(spark):
 
 
 def test_cluster_and_macro_summary(scored):
-    assert study.cluster_summary(scored).first()["cluster_count"] == 4
-    assert {r["macro_type"]: r["blackout"] for r in study.macro_summary(scored).collect() if r["blackout"]} == {"fed_speaker": 1}
+    assert tuple(study.cluster_summary(scored).first()) == (4, 1, 4, 1, 0, 4, 4)
+    assert {r["macro_type"]: (r["n"], r["blackout"]) for r in study.macro_summary(scored).collect()} == {"vote": (4, 2)}
 
 
 def test_reviews(spark, scored):
@@ -63,6 +77,7 @@ def test_reviews(spark, scored):
     good = check_reviews(spark.createDataFrame(rows, names), "v1")
     assert good.where(F.size("problems") > 0).isEmpty()
     assert tuple(audit_reviews(good).first()) == (2, 1, 0, 1)
+    assert sorted(map(tuple, review_counts(good, ["reviewer_id", "human_sentiment_label"]).collect())) == [("human_sentiment_label", "bearish_market", 2), ("reviewer_id", "a", 1), ("reviewer_id", "b", 1)]
     assert agreement(good, ["human_sentiment_label"]).first()["unanimous_rate"] == 1.0
     bad = check_reviews(spark.createDataFrame([("e1", "p1", "glad", "ambiguous", "nonsense", "uncertain", "none", "1.8", "a", "2026-06-12T12:00:00", "")], names), "v1").first()["problems"]
     assert len(bad) == 4

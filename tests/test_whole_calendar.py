@@ -14,7 +14,7 @@ def test_whole_calendar(spark, tmp_path):
         if kind == "signup":
             at, near = min(errors, key=lambda e: (abs(e[0] - t), e[0], str(e[1])))
             want[str(i)] = (str(near), f"kind_{near % 3}", round((at - t).total_seconds() / 60, 4), -15 <= (at - t).total_seconds() / 60 <= 15)
-    got = {r["post_id"]: (r["nearest_macro_event_id"], r["nearest_macro_event_type"], r["minutes_to_nearest_macro_event"], r["is_macro_blackout"]) for r in registry.QUERIES["j5_macro_context_whole"](spark, str(tmp_path)).collect()}
+    got = {r["post_id"]: (r["nearest_macro_event_id"], r["nearest_macro_event_type"], r["minutes_to_nearest_macro_event"], r["is_macro_blackout"]) for r in registry.QUERIES["j5_macro_context"](spark, str(tmp_path)).collect()}
     assert got == want
     from tideline.plans import views
 
@@ -23,4 +23,4 @@ def test_whole_calendar(spark, tmp_path):
     for i in kept:
         n, b = counts.get(want[i][1], (0, 0))
         counts[want[i][1]] = (n + 1, b + want[i][3])
-    assert counts and {r["macro_type"]: (r["n"], r["blackout"]) for r in registry.QUERIES["a14_macro_summary_whole"](spark, str(tmp_path)).collect()} == counts
+    assert counts and {r["macro_type"]: (r["n"], r["blackout"]) for r in registry.QUERIES["a14_macro_summary"](spark, str(tmp_path)).collect()} == counts

@@ -17,16 +17,16 @@ SPACE = r"(?U)\s+"
 
 @F.pandas_udf(T.StringType())
 def _unescaped(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+    return text.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def unescape(text: Column) -> Column:
-    """HTML entities resolved; texts without an ampersand don't leave the JVM's value as it is."""
+    """HTML entities resolved. Every text goes through the UDF: Spark evaluates one whatever branch it stands in."""
     return _unescaped(F.coalesce(text, F.lit("")))
 
 
@@ -58,7 +58,7 @@ def punctuation_features(raw: Column, clean: Column) -> dict[str, Column]:
     capitals = F.regexp_count(clean, F.lit(r"\p{Lu}"))
     return {
         "post_length": F.length(clean),
-        "token_count": F.when(F.trim(clean) == "", 0).otherwise(F.size(F.split(F.trim(clean), SPACE))),
+        "token_count": F.regexp_count(clean, F.lit(r"(?U)\S+")),
         "all_caps_ratio": F.when(letters > 0, F.round(capitals / letters, 6)).otherwise(0.0),
         "exclamation_count": F.regexp_count(raw, F.lit("!")),
         "question_mark_count": F.regexp_count(raw, F.lit(r"\?")),

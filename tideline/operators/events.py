@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .temporal import MINUTE, cut, forward_asof, neighbours, pairs_within, running
+from .temporal import MINUTE, cut, forward_asof, keyed, neighbours, pairs_within, running, timed, with_untimed
 
 SETTINGS = Settings()
 
@@ -16,7 +16,14 @@ def minutes(n: int) -> Column:
 
 
 def iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """The instant in UTC as ISO text, whatever the session's zone; a fraction has six digits, none is left out."""
+    micros = F.unix_micros(ts)
+    seconds = F.floor(micros / 1_000_000).cast("long")
+    fraction = F.pmod(micros, F.lit(1_000_000))
+    day, inside = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds, F.lit(86_400)).cast("int")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
+    rest = F.when(fraction == 0, "").otherwise(F.format_string(".%06d", fraction))
+    return F.when(ts.isNotNull(), F.format_string("%sT%02d:%02d:%02d%s+00:00", date, F.floor(inside / 3600).cast("int"), F.floor(inside / 60).cast("int") % 60, inside % 60, rest))
 
 
 def event_id(post_id: str = "post_id", ts: str = "aligned_bar_ts_utc") -> Column:
@@ -49,28 +56,28 @@ def align(posts: DataFrame, bars: DataFrame, *, width: int = 240 * MINUTE) -> Da
     return out.withColumns({"aligned_bar_ts_utc": F.col("_bar.ts_open_utc"), "base_price": F.col("_bar.open")}).drop("_bar")
 
 
-def horizon_bars(aligned: DataFrame, bars: DataFrame, horizons: tuple[int, ...], *, width: int = 240 * MINUTE) -> DataFrame:
-    """One row per event and horizon (minutes): target_ts and target_close of the first bar at or after the horizon's end."""
+def horizon_bars(aligned: DataFrame, bars: DataFrame, horizons: tuple[int, ...], *, width: int = 240 * MINUTE, key: str = "post_id") -> DataFrame:
+    """One row per event (a value of key) and horizon (minutes): target_ts and target_close of the first bar at or after the horizon's end."""
     slim = valid_bars(bars).select("ts_open_utc", "close")
-    each = aligned.select("post_id", "aligned_bar_ts_utc", "base_price", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
+    each = aligned.select(key, "aligned_bar_ts_utc", "base_price", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
     each = each.withColumn("_at", F.timestamp_micros(F.unix_micros("aligned_bar_ts_utc") + F.col("horizon").cast("long") * MINUTE))
     out = forward_asof(each, slim, "_at", "ts_open_utc", width=width, name="_bar")
     return out.withColumns({"target_ts": F.col("_bar.ts_open_utc"), "target_close": F.col("_bar.close")}).drop("_bar", "_at")
 
 
-def window_targets(targets: DataFrame, bars: DataFrame, s: Settings = SETTINGS, *, width: int | None = None) -> DataFrame:
+def window_targets(targets: DataFrame, bars: DataFrame, s: Settings = SETTINGS, *, width: int | None = None, key: str = "post_id") -> DataFrame:
     """Delta, direction, excursions, range and volatility in ticks per event and horizon, from the bars between both ends."""
     width = width or max(s.horizons) * MINUTE
     slim = valid_bars(bars).select("ts_open_utc", "high", "low", "close")
     pairs = pairs_within(targets.where("target_ts is not null"), slim, start=F.col("aligned_bar_ts_utc"), end=F.col("target_ts"), right_ts="ts_open_utc", width=width)
     tick = F.lit(s.tick_size)
     path = F.array_sort(F.collect_list(F.struct(F.col("other.ts_open_utc").alias("ts"), F.col("other.close").alias("close"))))
-    got = pairs.groupBy("post_id", "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "target_close").agg(F.max("other.high").alias("_high"), F.min("other.low").alias("_low"), path.alias("_path"))
+    got = pairs.groupBy(key, "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "target_close").agg(F.max("other.high").alias("_high"), F.min("other.low").alias("_low"), path.alias("_path"))
     closes = F.transform("_path", lambda x: x["close"])
     steps = F.zip_with(F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(0))), F.slice(closes, 1, F.greatest(F.size(closes) - 1, F.lit(0))), lambda b, a: (b - a) / tick)
     delta = F.round((F.col("target_close") - F.col("base_price")) / tick, 4)
     return got.withColumn("delta_ticks", delta).select(
-        "post_id", "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "delta_ticks",
+        key, "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "delta_ticks",
         direction(F.col("delta_ticks"), s.flat_ticks).alias("direction"),
         F.round(F.greatest((F.col("_high") - F.col("base_price")) / tick, F.lit(0.0)), 4).alias("mfe_ticks"),
         F.round(F.greatest((F.col("base_price") - F.col("_low")) / tick, F.lit(0.0)), 4).alias("mae_ticks"),
@@ -79,17 +86,17 @@ def window_targets(targets: DataFrame, bars: DataFrame, s: Settings = SETTINGS,
     )
 
 
-def whipsaw(aligned: DataFrame, bars: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """post_id and market_whipsaw_flag: a first move of enough ticks, reversed within the window.
+def whipsaw(aligned: DataFrame, bars: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
+    """key and market_whipsaw_flag: a first move of enough ticks, reversed within the window.
 
     The larger side of the first minutes decides (up on ties). The extreme is the first bar with the highest
     high (lowest low) of the whole window; the reversal counts from that bar on.
     """
     slim = valid_bars(bars).select("ts_open_utc", "high", "low")
     end = F.timestamp_micros(F.unix_micros("aligned_bar_ts_utc") + s.whipsaw_minutes * MINUTE)
-    pairs = pairs_within(aligned.select("post_id", "aligned_bar_ts_utc", "base_price"), slim, start=F.col("aligned_bar_ts_utc"), end=end, right_ts="ts_open_utc", width=s.whipsaw_minutes * MINUTE)
+    pairs = pairs_within(aligned.select(key, "aligned_bar_ts_utc", "base_price"), slim, start=F.col("aligned_bar_ts_utc"), end=end, right_ts="ts_open_utc", width=s.whipsaw_minutes * MINUTE)
     early = F.unix_micros("other.ts_open_utc") <= F.unix_micros("aligned_bar_ts_utc") + s.whipsaw_first_minutes * MINUTE
-    got = pairs.groupBy("post_id", "base_price").agg(
+    got = pairs.groupBy(key, "base_price").agg(
         F.max(F.when(early, F.col("other.high"))).alias("_high"),
         F.min(F.when(early, F.col("other.low"))).alias("_low"),
         F.array_sort(F.collect_list(F.struct(F.col("other.ts_open_utc").alias("ts"), F.col("other.high").alias("high"), F.col("other.low").alias("low")))).alias("_path"),
@@ -102,7 +109,7 @@ def whipsaw(aligned: DataFrame, bars: DataFrame, s: Settings = SETTINGS) -> Data
     move = F.greatest(up, down)
     reversal = F.when(up >= down, down_from).otherwise(up_from) / s.tick_size
     flag = (move >= s.whipsaw_initial_ticks) & (reversal >= F.greatest(move * s.whipsaw_reversal_share, F.lit(s.whipsaw_reversal_ticks)))
-    return got.select("post_id", flag.alias("market_whipsaw_flag"))
+    return got.select(key, flag.alias("market_whipsaw_flag"))
 
 
 def macro_context(posts: DataFrame, calendar: DataFrame, s: Settings = SETTINGS, *, width: int = 24 * 60 * MINUTE) -> DataFrame:
@@ -134,9 +141,11 @@ def macro_context(posts: DataFrame, calendar: DataFrame, s: Settings = SETTINGS,
 def clusters(events: DataFrame, s: Settings = SETTINGS, *, width: int = 24 * 60 * MINUTE) -> DataFrame:
     """Gaps, overlap flags and clusters of events whose gap is at most the longest horizon.
 
-    Cluster numbers come from a running count of gaps over buckets; sizes and positions from the clusters.
+    Cluster numbers come from a running count of gaps over buckets; sizes and positions from the clusters. Events
+    without a time are in no cluster.
     """
-    gap, order = max(s.horizons) * MINUTE, ["received_at_utc", "post_id"]
+    gap, order = max(s.horizons) * MINUTE, ["received_at_utc", "post_id", "event_id"]
+    events, rest = timed(events, "received_at_utc")
     near = neighbours(events, order, "received_at_utc", width=width)
     since, until = F.unix_micros("received_at_utc") - F.unix_micros("previous_ts"), F.unix_micros("next_ts") - F.unix_micros("received_at_utc")
     near = near.withColumns(
@@ -160,26 +169,27 @@ def clusters(events: DataFrame, s: Settings = SETTINGS, *, width: int = 24 * 60
             "is_burst_event": F.col("event_cluster_size") > 1,
         }
     )
-    return out.drop("_index", "_first_index", "_first", "previous_ts", "next_ts")
+    return with_untimed(out.drop("_index", "_first_index", "_first", "previous_ts", "next_ts"), rest)
 
 
 def build_events(posts: DataFrame, bars: DataFrame, calendar: DataFrame | None = None, s: Settings = SETTINGS, *, width: int = 240 * MINUTE) -> tuple[DataFrame, DataFrame]:
     """Events with all targets, and (post_id, reason) of posts left out.
 
-    A post without a bar after it, or without a bar at or after each horizon's end, gives no event.
+    Every row of posts is a post: ids may be repeated (edited posts) or null. A post without a time, without a bar
+    after it, or without a bar at or after each horizon's end, gives no event.
     """
-    aligned, bars = cut(align(posts, bars, width=width)), cut(bars)
+    aligned, bars = keyed(align(posts, bars, width=width)), cut(bars)
     found = aligned.where("aligned_bar_ts_utc is not null")
-    long = window_targets(horizon_bars(found, bars, s.horizons, width=width), bars, s)
+    long = window_targets(horizon_bars(found, bars, s.horizons, width=width, key="_row"), bars, s, key="_row")
     names = {"delta_ticks": "nq_delta_{}m_ticks", "direction": "nq_direction_{}m", "mfe_ticks": "max_favourable_excursion_{}m_ticks", "mae_ticks": "max_adverse_excursion_{}m_ticks", "range_ticks": "realised_range_{}m_ticks", "volatility_ticks": "realised_volatility_{}m_ticks"}
-    wide = long.groupBy("post_id").agg(F.count("*").alias("_n"), *(F.max(F.when(F.col("horizon") == h, F.col(k))).alias(v.format(h)) for h in s.horizons for k, v in names.items()))
-    whole = wide.where(F.col("_n") == len(s.horizons)).drop("_n").join(whipsaw(found, bars, s), "post_id")
-    events = found.join(whole, "post_id").withColumn("event_id", event_id())
+    wide = long.groupBy("_row").agg(F.count("*").alias("_n"), *(F.max(F.when(F.col("horizon") == h, F.col(k))).alias(v.format(h)) for h in s.horizons for k, v in names.items()))
+    whole = wide.where(F.col("_n") == len(s.horizons)).drop("_n").join(whipsaw(found, bars, s, key="_row"), "_row")
+    events = found.join(whole, "_row").withColumn("event_id", event_id())
     middle, last = s.horizons[len(s.horizons) // 2], s.horizons[-1]
     label = tradeability(F.col("market_whipsaw_flag"), F.col(f"realised_range_{last}m_ticks"), F.col(f"nq_delta_{middle}m_ticks"), F.col(f"nq_delta_{last}m_ticks"))
     events = cut(events.withColumn("tradeability_label", label))
     if calendar is not None:
         events = cut(macro_context(events, calendar, s))
-    reason = F.when(F.col("aligned_bar_ts_utc").isNull(), "no_market_bar_after_received_at").otherwise("insufficient_forward_bars")
-    skipped = aligned.join(events.select("post_id"), "post_id", "left_anti").select("post_id", reason.alias("reason"))
-    return clusters(events, s), skipped
+    reason = F.when(F.col("received_at_utc").isNull(), "no_received_at").when(F.col("aligned_bar_ts_utc").isNull(), "no_market_bar_after_received_at").otherwise("insufficient_forward_bars")
+    skipped = aligned.join(events.select("_row"), "_row", "left_anti").select("post_id", reason.alias("reason"))
+    return clusters(events, s).drop("_row"), skipped

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONTRADICTION, DEFAULT_RULES, MARKET_RELEVANCE, SENTIMENTS, TRADEABILITY
 from .quality import utc_timestamp
 
+# Columns of the review file.
 BLANK = ["human_sentiment_label", "human_tradeability_label", "human_topic_labels", "market_relevance_label", "contradiction_label", "label_confidence", "reviewer_id", "reviewed_at_utc", "review_notes"]
 REQUIRED = ["event_id", "post_id", "human_sentiment_label", "human_tradeability_label", "human_topic_labels", "market_relevance_label", "contradiction_label", "label_confidence", "reviewer_id", "reviewed_at_utc"]
 
@@ -48,6 +49,12 @@ def audit_reviews(reviews: DataFrame) -> DataFrame:
     return per.agg(F.sum("rows").alias("row_count"), F.count("*").alias("unique_event_count"), (F.sum("rows") - F.sum("reviewers")).alias("duplicate_event_reviewer_rows"), F.count_if(F.col("reviewers") >= 2).alias("multi_review_event_count"))
 
 
+def review_counts(reviews: DataFrame, columns: list[str]) -> DataFrame:
+    """How many reviews have each value of each column (reviewers, labels): column_name, value, n. Nulls aren't counted."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return reviews.select(pairs.alias("x")).select("x.*").where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+
 def agreement(reviews: DataFrame, labels: list[str]) -> DataFrame:
     """Share of events with two reviewers or more on whose label all agree, one row per label column."""
     per = reviews.groupBy("event_id").agg(F.count_distinct("reviewer_id").alias("_reviewers"), *(F.count_distinct(c).alias(c) for c in labels)).where("_reviewers >= 2")

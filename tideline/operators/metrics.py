@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import running
+from .temporal import cut, forward_asof, running
 
 
 def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or []), "actual", "predicted").agg(F.count("*").alias("n"))
 
 
-def class_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Precision, recall, F1 and support of every class that is actual or predicted; 0 on division by zero."""
+def class_metrics(df: DataFrame, by: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
+    """Precision, recall, F1 and support of every class that is actual or predicted, or of all labels given; 0 on division by zero."""
     keys = by or []
     sides = F.explode(F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("claimed")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("claimed"))))
     rows = confusion(df, by).select(*keys, F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit"), sides.alias("x"))
     # each cell appears once per side; hits are counted on the actual side only
     per = rows.groupBy(*keys, "x.label").agg(F.sum("x.support").alias("support"), F.sum("x.claimed").alias("claimed"), F.sum(F.when(F.col("x.support") > 0, F.col("hit")).otherwise(0)).alias("hits"))
+    if labels:
+        groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).drop("id")
+        per = groups.withColumn("label", F.explode(F.array(*map(F.lit, labels)))).join(per, [*keys, "label"], "left").fillna(0, ["support", "claimed", "hits"])
     precision, recall = F.when(F.col("claimed") > 0, F.col("hits") / F.col("claimed")).otherwise(0.0), F.when(F.col("support") > 0, F.col("hits") / F.col("support")).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return per.select(*keys, "label", "support", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"), "hits")
 
 
-def summary_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows, accuracy and macro F1."""
-    per = class_metrics(df, by)
+def summary_metrics(df: DataFrame, by: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
+    """Rows, accuracy and macro F1 (over all labels given, else over those that a group has)."""
+    per = class_metrics(df, by, labels)
     out = per.groupBy(*by) if by else per.groupBy()
     return out.agg(F.sum("support").alias("n"), F.round(F.sum("hits") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"))
 
@@ -49,10 +52,25 @@ def calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
     return per.agg(F.round(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n"), 6).alias("ece"))
 
 
+def _kept(df: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    reached = F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("confidence"))
+    return df.select("actual", "predicted", F.explode(reached).alias("threshold"))
+
+
 def abstention_curve(df: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """Rows kept, coverage, accuracy and macro F1 at each confidence threshold."""
-    kept = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col("confidence") >= F.col("threshold"))
-    return summary_metrics(kept, ["threshold"]).crossJoin(df.agg(F.count("*").alias("_all"))).select("threshold", "n", F.round(F.col("n") / F.col("_all"), 6).alias("coverage"), "accuracy", "macro_f1")
+    """Rows kept and left out, coverage, accuracy and macro F1 at each confidence threshold; no rows kept give null scores."""
+    found = summary_metrics(_kept(df, thresholds), ["threshold"])
+    # one row for each threshold with the number of all rows, in one pass
+    every = df.agg(F.count("*").alias("_all")).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    out = every.join(found, "threshold", "left")
+    return out.select("threshold", n.alias("n"), (F.col("_all") - n).alias("abstained"), F.round(n / F.col("_all"), 6).alias("coverage"), "accuracy", "macro_f1")
+
+
+def abstention_labels(df: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """How many of the rows kept at each threshold have each label: threshold, side (actual or predicted), label, n."""
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("label")) for c in ("actual", "predicted"))))
+    return _kept(df, thresholds).select("threshold", sides.alias("x")).select("threshold", "x.*").groupBy("threshold", "side", "label").agg(F.count("*").alias("n"))
 
 
 def majority(df: DataFrame, label: str = "actual") -> DataFrame:
@@ -61,35 +79,52 @@ def majority(df: DataFrame, label: str = "actual") -> DataFrame:
 
 
 def row_index(df: DataFrame, order: list[str], ts: str, *, width: int) -> DataFrame:
-    """0-based position in time order, without a global window."""
+    """0-based position in time order, without a global window; null for rows without a time."""
     return running(df, order, ts, {"_index": F.lit(1)}, width=width).withColumn("row_index", F.col("_index") - 1).drop("_index")
 
 
 def chronological_split(df: DataFrame, order: list[str], ts: str, test_share: float = 0.35, *, width: int) -> DataFrame:
-    """Adds split: the first max(1, floor(n (1 - share))) rows train, the rest test."""
-    n = df.count()
+    """Adds split: of the n rows with a time, the first max(1, floor(n (1 - share))) train, the rest test; null without a time."""
+    n = df.where(F.col(ts).isNotNull()).count()
     first = max(1, int(n * (1 - test_share)))
-    return row_index(df, order, ts, width=width).withColumn("split", F.when(F.col("row_index") < first, "train").otherwise("test"))
+    at = F.col("row_index")
+    return row_index(df, order, ts, width=width).withColumn("split", F.when(at < first, "train").when(at >= first, "test"))
 
 
-def walk_forward(df: DataFrame, order: list[str], ts: str, *, width: int, first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30) -> DataFrame:
-    """Rows of each fold with `fold` and `part`: tests of test_rows rows every `step` rows, trained on all rows before.
+def walk_forward_folds(df: DataFrame, order: list[str], ts: str, *, width: int, first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Folds (fold, test_start, test_end, test_begins, train_rows) and the rows with their row_index.
 
-    Training rows within the embargo, or less than purge_minutes before the test's start, are left out; a fold with
-    fewer than first_train rows left is skipped without a number.
+    Tests of test_rows rows begin every `step` rows. A fold trains on the rows with a row_index below train_rows:
+    those before the embargo whose time is purge_minutes or more before the test begins. That is a prefix of the
+    rows, so that no row is copied for the folds it trains. A fold with fewer than first_train rows is
+    skipped without a number. Rows without a time are in no fold.
     """
-    rows = row_index(df, order, ts, width=width)
-    n = rows.count()
-    starts = [s for s in range(first_train + embargo_rows, n, step)]
-    if not starts:
-        return rows.withColumns({"fold": F.lit(0), "part": F.lit("test")}).where("false")
-    folds = df.sparkSession.createDataFrame([(s, min(s + test_rows, n)) for s in starts], "test_start long, test_end long")
-    begin = rows.join(folds, F.col("row_index") == F.col("test_start")).select("test_start", "test_end", F.col(ts).alias("_begins"))
-    spread = rows.join(F.broadcast(begin), F.col("row_index") < F.col("test_end"))
-    test = F.col("row_index") >= F.col("test_start")
-    train = (F.col("row_index") < F.col("test_start") - embargo_rows) & (F.unix_micros(ts) <= F.unix_micros("_begins") - purge_minutes * 60_000_000)
-    spread = spread.withColumn("part", F.when(test, "test").when(train, "train")).where("part is not null")
-    good = spread.where("part = 'train'").groupBy("test_start").agg(F.count("*").alias("_n")).where(F.col("_n") >= first_train)
-    numbers = {r["test_start"]: i + 1 for i, r in enumerate(good.select("test_start").orderBy("test_start").collect())}
-    names = df.sparkSession.createDataFrame(list(numbers.items()), "test_start long, fold int")
-    return spread.join(names, "test_start").drop("test_start", "test_end", "_begins")
+    rows = cut(row_index(df, order, ts, width=width))
+    placed = rows.where("row_index is not null")
+    n, first = placed.count(), first_train + embargo_rows
+    begins = placed.where((F.col("row_index") >= first) & ((F.col("row_index") - first) % step == 0))
+    begins = begins.select(F.col("row_index").alias("test_start"), F.least(F.col("row_index") + test_rows, F.lit(n)).alias("test_end"), F.col(ts).alias("test_begins"))
+    mirror = lambda micros: F.timestamp_micros(-micros)
+    ends = placed.groupBy(ts).agg((F.max("row_index") + 1).alias("upto")).select(mirror(F.unix_micros(ts)).alias("_at"), "upto")
+    begins = begins.withColumn("_cutoff", mirror(F.unix_micros("test_begins") - F.lit(purge_minutes * 60_000_000)))
+    found = forward_asof(begins, ends, "_cutoff", "_at", width=width, name="_last")
+    found = found.withColumn("train_rows", F.least(F.col("test_start") - embargo_rows, F.coalesce("_last.upto", F.lit(0)))).where(F.col("train_rows") >= first_train)
+    folds = running(found, ["test_start"], "test_begins", {"fold": F.lit(1)}, width=width)
+    return folds.select("fold", "test_start", "test_end", "test_begins", "train_rows"), rows
+
+
+def fold_tests(rows: DataFrame, folds: DataFrame, *, first_train: int, test_rows: int, step: int, embargo_rows: int = 1) -> DataFrame:
+    """Rows with the fold they test (a row for each, where tests overlap): which tests a row can be in follows from its index."""
+    back = F.col("row_index") - (first_train + embargo_rows)
+    lowest, highest = F.greatest(F.ceil((back - test_rows + 1) / step), F.lit(0)), F.floor(back / step)
+    number = F.explode(F.when(highest >= lowest, F.sequence(lowest, highest)).otherwise(F.array().cast("array<bigint>")))
+    at = rows.where(F.col("row_index") >= first_train + embargo_rows).withColumn("_k", number)
+    return at.withColumn("test_start", F.col("_k") * step + (first_train + embargo_rows)).drop("_k").join(folds.select("fold", "test_start"), "test_start").drop("test_start")
+
+
+def walk_forward_summary(predictions: DataFrame, labels: list[str]) -> DataFrame:
+    """Per model of (model, fold, actual, predicted): rows, accuracy and macro F1 of all folds together, and mean, population deviation, least and largest macro F1 of the folds."""
+    per = summary_metrics(predictions, ["model", "fold"], labels).groupBy("model").agg(
+        F.count("*").alias("folds"), F.round(F.avg("macro_f1"), 6).alias("macro_f1_mean"), F.round(F.stddev_pop("macro_f1"), 6).alias("macro_f1_std"), F.min("macro_f1").alias("macro_f1_min"), F.max("macro_f1").alias("macro_f1_max")
+    )
+    return summary_metrics(predictions, ["model"], labels).join(per, "model")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, Rules, Settings
-from .temporal import MINUTE, cut, lookback, neighbours, pairs_within, running
+from .temporal import MINUTE, bucket, cut, forward_asof, keyed, lookback, neighbours, running, timed
 
 SETTINGS = Settings()
 WINDOWS = (5, 15, 30, 60, 240)
@@ -16,23 +16,36 @@ COMPONENTS = ["headline_risk_score", "market_relevance_score", "text_contradicti
 WEIGHTS = {"headline_risk_score": 0.35, "market_relevance_score": 0.30, "text_contradiction_score": 0.15, "post_burst_score": 0.10, "direction_flip_score": 0.07, "same_topic_score": 0.03, "volatility_regime_score": 0.0}
 
 
-def entropy(topics: Column) -> Column:
-    """Entropy in bits of an array of topics."""
-    n = F.size(topics)
-    share = lambda t: F.size(F.filter(topics, lambda x: x == t)) / n
-    total = F.aggregate(F.array_distinct(topics), F.lit(0.0), lambda a, t: a - share(t) * F.log2(share(t)))
-    return F.when(n > 0, F.round(total, 6)).otherwise(0.0)
+def recent_topics(df: DataFrame, ts: str, topics: str, minutes: int) -> DataFrame:
+    """_row and _entropy: entropy in bits of the topics of the posts of the last minutes, the row's own instant excluded.
+
+    Each post asks for the topics that its bucket or the one before has, as many as the rules have at most; how
+    often each was there comes from one windowed count for each topic.
+    """
+    width = minutes * MINUTE
+    rows = timed(df.select("_row", ts, F.coalesce(topics, F.array().cast("array<string>")).alias("_own")), ts)[0].withColumn("_at", bucket(ts, width))
+    seen = rows.select(F.explode(F.array("_at", F.col("_at") + 1)).alias("_at"), F.explode("_own").alias("_topic")).distinct()
+    asked = rows.join(seen, "_at").withColumn("_has", F.size(F.filter("_own", lambda x: x == F.col("_topic")))).drop("_at", "_own")
+    counted = lookback(asked, ts, minutes, {"_n": (minutes, lambda w: F.sum("_has").over(w))}, by=["_topic"]).where("_n > 0")
+    total, weighted = F.sum("_n"), F.sum(F.col("_n") * F.log2("_n"))
+    return counted.groupBy("_row").agg(F.round(F.log2(total) - weighted / total, 6).alias("_entropy"))
 
 
 def burst_features(df: DataFrame, ts: str = "received_at_utc", topics: str = "rule_topic_labels", windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """posts_last_{m}m for each window and topic_entropy_60m; the row's own instant doesn't count."""
-    columns = {f"posts_last_{m}m": (m, lambda w: F.count(F.lit(1)).over(w)) for m in windows}
-    columns["_topics"] = (60, lambda w: F.flatten(F.collect_list(F.col(topics)).over(w)))
-    return lookback(df, ts, max(windows), columns).withColumn("topic_entropy_60m", entropy(F.col("_topics"))).drop("_topics")
+    """posts_last_{m}m for each window and topic_entropy_60m; the row's own instant doesn't count. Rows without a time have 0."""
+    own = "_row" in df.columns
+    df = keyed(df)
+    out = lookback(df, ts, max(windows), {f"posts_last_{m}m": (m, lambda w: F.count(F.lit(1)).over(w)) for m in windows})
+    out = out.withColumns({f"posts_last_{m}m": F.coalesce(f"posts_last_{m}m", F.lit(0).cast("long")) for m in windows})
+    out = out.join(recent_topics(df, ts, topics, 60), "_row", "left").withColumn("topic_entropy_60m", F.coalesce("_entropy", F.lit(0.0)) + 0.0).drop("_entropy")
+    return out if own else out.drop("_row")
 
 
 def timing_features(df: DataFrame, ts: str = "received_at_utc", tie: str = "post_id", *, width: int = 24 * 60 * MINUTE) -> DataFrame:
-    """Gap to the post before, and over all gaps so far (the row's own too) the share within 15, 30 and 60 minutes and the mean."""
+    """Gap to the post before, and over all gaps so far (the row's own too) the share within 15, 30 and 60 minutes and the mean.
+
+    Rows without a time are as the first row is: a day, and 0.
+    """
     near = neighbours(df, [ts, tie], ts, width=width)
     gap = (F.unix_micros(ts) - F.unix_micros("previous_ts")) / MINUTE
     near = near.withColumn("_gap", gap)
@@ -62,15 +75,27 @@ def contradiction(a: Column, b: Column, topics_a: Column, topics_b: Column) -> C
     return F.when(opposite(a, b), F.round(0.4 + 0.6 * same_topic(topics_a, topics_b), 4)).otherwise(0.0)
 
 
-def pair_scores(df: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Per post the largest contradiction, topic overlap and flip against posts of the lookback, and the earliest most contradicting one."""
-    micros = F.unix_micros("received_at_utc")
-    own = df.select("post_id", "received_at_utc", "rule_topic_labels", "rule_sentiment_label")
-    pairs = pairs_within(own, own, start=F.timestamp_micros(micros - s.lookback_minutes * MINUTE), end=F.timestamp_micros(micros - 1), right_ts="received_at_utc", width=s.lookback_minutes * MINUTE)
-    a, b, ta, tb = F.col("rule_sentiment_label"), F.col("other.rule_sentiment_label"), F.col("rule_topic_labels"), F.col("other.rule_topic_labels")
-    scored = pairs.select("post_id", F.col("other.post_id").alias("prior"), F.col("other.received_at_utc").alias("at"), contradiction(a, b, ta, tb).alias("text"), same_topic(ta, tb).alias("topic"), F.when(opposite(a, b), 1.0).otherwise(0.0).alias("flip"))
+def pair_scores(df: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
+    """Per post (a value of key) the largest contradiction, topic overlap and flip against posts of the lookback, and the earliest most contradicting one.
+
+    Scores depend on a prior's direction and set of topics only, its class. Each post is compared with the classes
+    that its bucket or the one before has, as many as the rules allow at most, and an as-of join finds the first
+    prior of a class since the lookback's start: no pair of posts is formed.
+    """
+    width = s.lookback_minutes * MINUTE
+    topics = F.array_sort(F.array_distinct(F.coalesce("rule_topic_labels", F.array().cast("array<string>"))))
+    own = timed(df, "received_at_utc")[0].select(key, "post_id", "received_at_utc", topics.alias("_topics"), sentiment_direction(F.col("rule_sentiment_label")).alias("_way"))
+    own = own.withColumns({"_class": F.concat_ws("|", F.col("_way").cast("string"), "_topics"), "_at": bucket("received_at_utc", width)})
+    classes = own.select(F.explode(F.array("_at", F.col("_at") + 1)).alias("_at"), "_class", F.col("_topics").alias("_theirs"), F.col("_way").alias("_other")).distinct()
+    asked = own.select(key, "received_at_utc", "_topics", "_way", "_at").join(classes, "_at").drop("_at")
+    asked = asked.withColumn("_since", F.timestamp_micros(F.unix_micros("received_at_utc") - width))
+    firsts = own.groupBy("_class", F.col("received_at_utc").alias("at")).agg(F.min("post_id").alias("prior"))
+    found = forward_asof(asked, firsts, "_since", "at", by=["_class"], width=width, name="_first").where(F.col("_first.at") < F.col("received_at_utc"))
+    flipped, overlap = F.col("_way") * F.col("_other") == -1, same_topic(F.col("_topics"), F.col("_theirs"))
+    text = F.when(flipped, F.round(0.4 + 0.6 * overlap, 4)).otherwise(0.0)
+    scored = found.select(key, F.col("_first.prior").alias("prior"), F.col("_first.at").alias("at"), text.alias("text"), overlap.alias("topic"), F.when(flipped, 1.0).otherwise(0.0).alias("flip"))
     first = F.min(F.when(F.col("text") > 0, F.struct(-F.col("text"), "at", "prior")))
-    return scored.groupBy("post_id").agg(F.max("text").alias("text_contradiction_score"), F.round(F.max("topic"), 6).alias("same_topic_score"), F.max("flip").alias("direction_flip_score"), first["prior"].alias("_prior"))
+    return scored.groupBy(key).agg(F.max("text").alias("text_contradiction_score"), F.round(F.max("topic"), 6).alias("same_topic_score"), F.max("flip").alias("direction_flip_score"), first["prior"].alias("_prior"))
 
 
 def level(score: Column, s: Settings = SETTINGS) -> Column:
@@ -89,9 +114,9 @@ def dominant(columns: list[str]) -> tuple[Column, Column]:
 
 
 def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason."""
-    df = cut(df)
-    out = timing_features(cut(burst_features(df))).join(pair_scores(df, s), "post_id", "left")
+    """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason. Every row is a post: ids may be repeated."""
+    df = keyed(df)
+    out = timing_features(cut(burst_features(df))).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
     sentiment, topics = F.col("rule_sentiment_label"), F.col("rule_topic_labels")
     relevant = F.size(F.array_intersect(topics, F.array(*map(F.lit, rules.relevant_topics))))
     out = out.withColumns(

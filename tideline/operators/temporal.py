@@ -2,10 +2,14 @@
 
 A bucket is unix_micros div width. Rows of one bucket meet in one task; what must cross a bucket's edge goes
 through a table with one row per bucket, whose size is the time span over the width, whatever the rows.
+
+Rows without a time have no bucket. They take no part in the windows, however many they are, and come back with
+nulls in the columns that these functions add.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -19,10 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder: operators use their input several times, so that plans would double at every step."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tideline-"))
     return df.checkpoint()
 
 
+def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
+    """df with a number of its own for every row, cut off so that it stays the same: ids may be repeated or null."""
+    return df if key in df.columns else cut(df.withColumn(key, F.monotonically_increasing_id()))
+
+
+def timed(df: DataFrame, ts: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with a time and those without one."""
+    return df.where(F.col(ts).isNotNull()), df.where(F.col(ts).isNull())
+
+
+def with_untimed(out: DataFrame, rest: DataFrame) -> DataFrame:
+    return out.unionByName(rest, allowMissingColumns=True)
+
+
 def bucket(ts: str | Column, width: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / F.lit(width)).cast("long")
 
@@ -34,6 +55,7 @@ def forward_asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     dealt by bucket; rows after a bucket's last right row take the first of the next bucket that has any.
     """
     keys = [*(by or []), "_bucket"]
+    (left, rest), right = timed(left, left_ts), timed(right, right_ts)[0]
     l_cols, r_cols = left.columns, right.columns
     l = left.select(*[F.col(k) for k in by or []], bucket(left_ts, width).alias("_bucket"), F.col(left_ts).alias("_ts"), F.struct(*l_cols).alias("_left"))
     r = right.select(*[F.col(k) for k in by or []], bucket(right_ts, width).alias("_bucket"), F.col(right_ts).alias("_ts"), F.struct(*r_cols).alias("_right"))
@@ -43,7 +65,8 @@ def forward_asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     firsts = both.groupBy(*keys).agg(F.min_by("_right", F.when(F.col("_side") == 1, F.col("_ts"))).alias("_first"))
     later = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
     firsts = firsts.withColumn("_next", F.first("_first", ignorenulls=True).over(later)).drop("_first")
-    return here.join(firsts, keys, "left").select(*(F.col("_left")[c].alias(c) for c in l_cols), F.coalesce("_here", "_next").alias(name))
+    found = here.join(firsts, keys, "left").select(*(F.col("_left")[c].alias(c) for c in l_cols), F.coalesce("_here", "_next").alias(name))
+    return with_untimed(found, rest)
 
 
 def pairs_within(left: DataFrame, right: DataFrame, *, start: Column, end: Column, right_ts: str, width: int, by: list[str] | None = None) -> DataFrame:
@@ -65,10 +88,11 @@ def lookback(df: DataFrame, ts: str, minutes: int, columns: dict[str, tuple[int,
     """
     width = minutes * MINUTE
     micros = F.unix_micros(F.col(ts))
+    df, rest = timed(df, ts)
     spread = df.withColumn("_home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns({"_bucket": bucket(ts, width) + F.when(F.col("_home"), 0).otherwise(1), "_at": micros})
     w = Window.partitionBy(*(by or []), "_bucket").orderBy("_at")
     out = spread.withColumns({name: agg(w.rangeBetween(-m * MINUTE, -1)) for name, (m, agg) in columns.items()})
-    return out.where("_home").drop("_home", "_bucket", "_at")
+    return with_untimed(out.where("_home").drop("_home", "_bucket", "_at"), rest)
 
 
 def running(df: DataFrame, order: list[str], ts: str, sums: dict[str, Column], *, width: int, by: list[str] | None = None) -> DataFrame:
@@ -77,32 +101,37 @@ def running(df: DataFrame, order: list[str], ts: str, sums: dict[str, Column], *
     Buckets are summed first; sums of all earlier buckets come from the per-bucket table.
     """
     keys = [*(by or []), "_bucket"]
+    df, rest = timed(df, ts)
     rows = df.withColumns({"_bucket": bucket(ts, width)} | {f"_{k}": v for k, v in sums.items()})
     totals = rows.groupBy(*keys).agg(*(F.sum(f"_{k}").alias(f"_total_{k}") for k in sums))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, *(F.coalesce(F.sum(f"_total_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in sums))
     here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({k: F.coalesce(F.sum(f"_{k}").over(here), F.lit(0)) for k in sums}).join(totals, keys)
-    return out.withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_bucket", *(f"_{k}" for k in sums), *(f"_before_{k}" for k in sums))
+    out = out.withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_bucket", *(f"_{k}" for k in sums), *(f"_before_{k}" for k in sums))
+    return with_untimed(out, rest)
 
 
 def running_max(df: DataFrame, order: list[str], ts: str, column: str, name: str, *, width: int) -> DataFrame:
     """Adds the running maximum of a column in the given order."""
+    df, rest = timed(df, ts)
     rows = df.withColumn("_bucket", bucket(ts, width))
     highs = rows.groupBy("_bucket").agg(F.max(column).alias("_high"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     highs = highs.select("_bucket", F.max("_high").over(earlier).alias("_before"))
     here = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn(name, F.max(column).over(here)).join(highs, "_bucket")
-    return out.withColumn(name, F.greatest(name, "_before")).drop("_bucket", "_before")
+    return with_untimed(out.withColumn(name, F.greatest(name, "_before")).drop("_bucket", "_before"), rest)
 
 
 def neighbours(df: DataFrame, order: list[str], ts: str, *, width: int) -> DataFrame:
     """Adds previous_ts and next_ts: the time of the row before and after in the given order."""
+    df, rest = timed(df, ts)
     rows = df.withColumn("_bucket", bucket(ts, width))
     edge = rows.groupBy("_bucket").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     w = Window.partitionBy(F.lit(0)).orderBy("_bucket")
     edge = edge.select("_bucket", F.lag("_last").over(w).alias("_before"), F.lead("_first").over(w).alias("_after"))
     here = Window.partitionBy("_bucket").orderBy(*order)
     out = rows.withColumns({"previous_ts": F.lag(ts).over(here), "next_ts": F.lead(ts).over(here)}).join(edge, "_bucket")
-    return out.withColumns({"previous_ts": F.coalesce("previous_ts", "_before"), "next_ts": F.coalesce("next_ts", "_after")}).drop("_bucket", "_before", "_after")
+    out = out.withColumns({"previous_ts": F.coalesce("previous_ts", "_before"), "next_ts": F.coalesce("next_ts", "_after")}).drop("_bucket", "_before", "_after")
+    return with_untimed(out, rest)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import classify
 from ..operators import events as ev
-from ..operators import study
+from ..operators import risk, study
 from . import views as v
-from .views import ALIGNED_SQL, BASE_SQL, CORPUS_RULES, HOURLY, rules_sql, text_ts
+from .views import ALIGNED_SQL, BASE_SQL, HOURLY, rules_sql, text_ts
 
 QUERIES, SQL = {}, {}
 
@@ -56,19 +55,9 @@ def j4_whipsaw_flags(spark, d):
     return ev.whipsaw(aligned, v.bars(spark, d), HOURLY)
 
 
-@query(f"WITH {ALIGNED_SQL} SELECT post_id, c.event_id AS nearest_macro_event_id, c.event_type AS nearest_macro_event_type, c.importance AS nearest_macro_event_importance, round(m, 4) AS minutes_to_nearest_macro_event, m BETWEEN -15 AND 15 AS is_macro_blackout FROM macro")
+@query(f"WITH {ALIGNED_SQL} SELECT post_id, c.event_id AS nearest_macro_event_id, c.event_type AS nearest_macro_event_type, c.importance AS nearest_macro_event_importance, round(m, 4) AS minutes_to_nearest_macro_event, coalesce(m BETWEEN -15 AND 15, false) AS is_macro_blackout FROM macro")
 def j5_macro_context(spark, d):
-    return _macro_context(spark, d, whole=False)
-
-
-@query()
-def j5_macro_context_whole(spark, d):
-    """Over all error events; SQL has every fiftieth only."""
-    return _macro_context(spark, d, whole=True)
-
-
-def _macro_context(spark, d, *, whole):
-    out = ev.macro_context(v.posts(spark, d), v.calendar(spark, d, whole=whole), HOURLY)
+    out = ev.macro_context(v.posts(spark, d), v.calendar(spark, d), HOURLY)
     return out.select("post_id", "nearest_macro_event_id", "nearest_macro_event_type", "nearest_macro_event_importance", "minutes_to_nearest_macro_event", "is_macro_blackout")
 
 
@@ -80,7 +69,7 @@ def p10_event_labels(spark, d):
 
 CLUSTER_SQL = ALIGNED_SQL + """,
 clustered AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY received_at_utc, post_id) - 1 AS position,
-  substr(sha256('cluster|' || first_value(event_id) OVER (PARTITION BY cluster ORDER BY received_at_utc, post_id) || '|' || strftime(first_value(received_at_utc) OVER (PARTITION BY cluster ORDER BY received_at_utc, post_id), '%Y-%m-%dT%H:%M:%S+00:00') || '|360'), 1, 16) AS cluster_id FROM numbered)"""
+  substr(sha256('cluster|' || first_value(event_id) OVER (PARTITION BY cluster ORDER BY received_at_utc, post_id) || '|' || """ + v.iso_sql("first_value(received_at_utc) OVER (PARTITION BY cluster ORDER BY received_at_utc, post_id)") + """ || '|360'), 1, 16) AS cluster_id FROM numbered)"""
 
 
 @query(f"WITH {CLUSTER_SQL} SELECT post_id, cluster::BIGINT AS event_cluster_number, size AS event_cluster_size, position AS event_cluster_position, cluster_id AS event_cluster_id, round(since / 60000000.0, 4) AS minutes_since_previous_event, round(until / 60000000.0, 4) AS minutes_until_next_event, coalesce(since <= 21600000000, false) AS overlaps_prior_event_window, coalesce(until <= 21600000000, false) AS overlaps_next_event_window, size = 1 AS is_isolated_event, size > 1 AS is_burst_event FROM clustered")
@@ -132,7 +121,7 @@ def a10_segments(spark, d):
 
 
 def labelled(spark, d):
-    return classify(v.event_frame(spark, d, text=True)[0], rules=CORPUS_RULES)
+    return v.labelled(v.event_frame(spark, d, numbered=True)[0], spark, d)
 
 
 @query(f"WITH {ALIGNED_SQL} {rules_sql()} {LONG_SQL} SELECT l.sentiment AS rule_sentiment_label, g.target, {SUMMARY} FROM long g JOIN labelled l ON l.post_id = g.post_id GROUP BY 1, 2")
@@ -155,13 +144,41 @@ def a14_macro_summary(spark, d):
     return study.macro_summary(v.event_frame(spark, d, macro=True)[0])
 
 
-@query()
-def a14_macro_summary_whole(spark, d):
-    """Over all error events; SQL has every fiftieth only."""
-    return study.macro_summary(v.event_frame(spark, d, macro=True, whole=True)[0])
+@query(f"WITH {BASE_SQL} SELECT post_id, {STAMP.format('received_at_utc')} AS received_at_utc, author_id FROM posts ORDER BY received_at_utc DESC, post_id DESC LIMIT 10")
+def t6_last_posts(spark, d):
+    """Ten rows are what this report shows."""
+    return v.posts(spark, d).orderBy(F.desc("received_at_utc"), F.desc("post_id")).limit(10).select("post_id", text_ts("received_at_utc"), "author_id")
 
 
-@query(f"WITH {BASE_SQL} SELECT post_id, {STAMP.format('received_at_utc')} AS received_at_utc, author_id FROM posts ORDER BY received_at_utc, post_id LIMIT 10")
-def t6_first_posts(spark, d):
-    """Ten rows are what this report shows."""
-    return v.posts(spark, d).orderBy("received_at_utc", "post_id").limit(10).select("post_id", text_ts("received_at_utc"), "author_id")
+EDITED_SQL = f"""{BASE_SQL},
+edited AS (SELECT (user_id % 500)::VARCHAR AS post_id, event_id AS version, CASE WHEN event_id % 97 <> 0 THEN ts + INTERVAL 250 MILLISECOND END AS received_at_utc FROM events WHERE event_type = 'signup' AND ts IS NOT NULL),
+placed AS (SELECT e.*, b.ts_open_utc AS aligned_ts FROM edited e ASOF LEFT JOIN bars b ON e.received_at_utc <= b.ts_open_utc),
+whole AS (SELECT p.*, row_number() OVER (ORDER BY received_at_utc, version) AS n FROM placed p ASOF JOIN bars b ON p.aligned_ts + INTERVAL 360 MINUTE <= b.ts_open_utc WHERE p.aligned_ts IS NOT NULL)"""
+
+
+def edited_posts(spark, d):
+    """Sign-ups as versions of posts: ids come again, times have fractions, and some rows have no time."""
+    rows = v.events(spark, d).where("event_type = 'signup'")
+    at = F.when(F.col("event_id") % 97 != 0, F.timestamp_micros(F.unix_micros("ts") + 250_000))
+    return rows.select((F.col("user_id") % 500).cast("string").alias("post_id"), F.col("event_id").alias("version"), at.alias("received_at_utc"))
+
+
+@query(f"""WITH {EDITED_SQL} SELECT version, substr(sha256(post_id || '|' || {v.iso_sql('aligned_ts')}), 1, 16) AS event_id, {v.iso_sql('received_at_utc')} AS received FROM whole""")
+def f17_edited_events(spark, d):
+    """Every version of a post has its own event; ids and times are of the instant in UTC."""
+    events, _ = ev.build_events(edited_posts(spark, d), v.bars(spark, d), None, HOURLY)
+    return events.select("version", "event_id", ev.iso(F.col("received_at_utc")).alias("received"))
+
+
+@query(f"""WITH {EDITED_SQL} SELECT CASE WHEN received_at_utc IS NULL THEN 'no_received_at' WHEN aligned_ts IS NULL THEN 'no_market_bar_after_received_at' ELSE 'insufficient_forward_bars' END AS reason, count(*) AS n FROM placed WHERE version NOT IN (SELECT version FROM whole) GROUP BY 1""")
+def j9_skipped_versions(spark, d):
+    _, skipped = ev.build_events(edited_posts(spark, d), v.bars(spark, d), None, HOURLY)
+    return skipped.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EDITED_SQL}, since AS (SELECT version, (epoch_us(received_at_utc) - lag(epoch_us(received_at_utc)) OVER (ORDER BY received_at_utc, version)) / 60000000.0 AS gap FROM edited WHERE received_at_utc IS NOT NULL)
+SELECT version, round(coalesce(gap, 1440), 4) AS minutes_since_previous_post FROM since UNION ALL SELECT version, 1440 FROM edited WHERE received_at_utc IS NULL""")
+def w7_timing_versions(spark, d):
+    """Rows without a time are kept."""
+    out = risk.timing_features(edited_posts(spark, d), tie="version")
+    return out.select("version", F.round("minutes_since_previous_post", 4).alias("minutes_since_previous_post"))

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import labels, metrics, quality
 from ..operators.temporal import MINUTE
 from . import views as v
-from .views import BASE_SQL, CORPUS_RULES
+from .views import BASE_SQL, rules_sql, text_ts
 
 QUERIES, SQL = {}, {}
 
@@ -71,11 +71,11 @@ def f3_url_domains(spark, d):
     return v.table(spark, d, "pages").select("page_id", F.concat_ws("|", tx.url_domains(F.array(F.coalesce("url", F.lit(""))))).alias("domains"))
 
 
-@query(r"SELECT doc_id, length(t) AS post_length, CASE WHEN letters > 0 THEN round(capitals / letters, 6) ELSE 0 END AS all_caps_ratio, len(t) - len(replace(t, '!', '')) AS exclamation_count, len(t) - len(replace(t, '?', '')) AS question_mark_count FROM (SELECT doc_id, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '\p{L}')) AS letters, len(regexp_extract_all(coalesce(text, ''), '\p{Lu}')) AS capitals FROM documents)")
+@query(r"SELECT doc_id, length(t) AS post_length, CASE WHEN letters > 0 THEN round(capitals / letters, 6) ELSE 0 END AS all_caps_ratio, len(t) - len(replace(t, '!', '')) AS exclamation_count, len(regexp_extract_all(t, '[^\s\x0B\x{85}\p{Z}]+'))::INTEGER AS token_count, len(t) - len(replace(t, '?', '')) AS question_mark_count FROM (SELECT doc_id, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '\p{L}')) AS letters, len(regexp_extract_all(coalesce(text, ''), '\p{Lu}')) AS capitals FROM documents)")
 def f4_text_features(spark, d):
     text = F.coalesce("text", F.lit(""))
     found = tx.punctuation_features(text, text)
-    return v.table(spark, d, "documents").select("doc_id", *(found[k].alias(k) for k in ("post_length", "all_caps_ratio", "exclamation_count", "question_mark_count")))
+    return v.table(spark, d, "documents").select("doc_id", *(found[k].alias(k) for k in ("post_length", "token_count", "all_caps_ratio", "exclamation_count", "question_mark_count")))
 
 
 @query()
@@ -98,6 +98,11 @@ def a23_review_audit(spark, d):
     return labels.audit_reviews(v.reviews(spark, d))
 
 
+@query(f"WITH {REVIEWS} SELECT 'reviewer_id' AS column_name, reviewer_id AS value, count(*) AS n FROM reviews GROUP BY ALL UNION ALL SELECT 'label', label, count(*) FROM reviews GROUP BY ALL")
+def a23_review_counts(spark, d):
+    return labels.review_counts(v.reviews(spark, d), ["reviewer_id", "label"])
+
+
 @query(f"WITH {REVIEWS}, per AS (SELECT event_id, count(DISTINCT reviewer_id) AS r, count(DISTINCT label) AS l FROM reviews GROUP BY 1) SELECT 'label' AS label_column, count(*) AS events, round(avg((l = 1)::INT), 6) AS unanimous_rate FROM per WHERE r >= 2")
 def a24_agreement(spark, d):
     return labels.agreement(v.reviews(spark, d), ["label"])
@@ -130,9 +135,63 @@ def a28_calibration_error(spark, d):
     return metrics.calibration_error(v.predictions(spark, d))
 
 
-@query(f"WITH {PRED} SELECT t.threshold::DOUBLE AS threshold, count(*) AS n, round(count(*) / (SELECT count(*) FROM pred), 6) AS coverage, round(avg((actual = predicted)::INT), 6) AS accuracy FROM pred, (VALUES (0.0), (0.5), (0.6), (0.7), (0.8), (0.9)) t(threshold) WHERE confidence >= t.threshold GROUP BY 1")
+THRESHOLDS = "(VALUES (0.0), (0.5), (0.6), (0.7), (0.8), (0.9)) t(threshold)"
+KEPT = f", kept AS (SELECT t.threshold::DOUBLE AS threshold, actual, predicted FROM pred, {THRESHOLDS} WHERE confidence >= t.threshold)"
+
+
+@query(f"""WITH {PRED} {KEPT}, c AS (SELECT threshold, label, count(*) FILTER (actual = label) AS support, count(*) FILTER (predicted = label) AS claimed, count(*) FILTER (actual = label AND predicted = label) AS hits FROM kept, (VALUES ('good'), ('bad')) v(label) GROUP BY ALL HAVING support + claimed > 0),
+f AS (SELECT threshold, avg(CASE WHEN support + claimed > 0 THEN round(2.0 * hits / (support + claimed), 6) END) AS f1 FROM c GROUP BY 1)
+SELECT t.threshold::DOUBLE AS threshold, count(k.actual) AS n, (SELECT count(*) FROM pred) - count(k.actual) AS abstained, round(count(k.actual) / (SELECT count(*) FROM pred), 6) AS coverage, round(avg((actual = predicted)::INT), 6) AS accuracy, round(any_value(f.f1), 6) AS macro_f1
+FROM {THRESHOLDS} LEFT JOIN kept k ON k.threshold = t.threshold LEFT JOIN f ON f.threshold = t.threshold GROUP BY 1""")
 def a29_abstention_curve(spark, d):
-    return metrics.abstention_curve(v.predictions(spark, d)).drop("macro_f1")
+    return metrics.abstention_curve(v.predictions(spark, d))
+
+
+@query(f"WITH {PRED} {KEPT} SELECT threshold, 'actual' AS side, actual AS label, count(*) AS n FROM kept GROUP BY ALL UNION ALL SELECT threshold, 'predicted', predicted, count(*) FROM kept GROUP BY ALL")
+def a29_label_counts(spark, d):
+    return metrics.abstention_labels(v.predictions(spark, d))
+
+
+FOLD_ARGS = {"first_train": 100, "test_rows": 40, "step": 60, "embargo_rows": 1, "purge_minutes": 30}
+FOLD_SQL = """,
+idx AS (SELECT post_id, received_at_utc, row_number() OVER (ORDER BY received_at_utc, post_id) - 1 AS i FROM posts),
+begins AS (SELECT i AS test_start, least(i + 40, (SELECT count(*) FROM idx)) AS test_end, received_at_utc AS test_begins, received_at_utc - INTERVAL 30 MINUTE AS cutoff FROM idx WHERE i >= 101 AND (i - 101) % 60 = 0),
+ends AS (SELECT received_at_utc, max(i) + 1 AS upto FROM idx GROUP BY 1),
+found AS (SELECT b.*, least(b.test_start - 1, coalesce(e.upto, 0)) AS train_rows FROM begins b ASOF LEFT JOIN ends e ON b.cutoff >= e.received_at_utc),
+folds AS (SELECT row_number() OVER (ORDER BY test_start) AS fold, test_start, test_end, train_rows FROM found WHERE train_rows >= 100)"""
+
+
+def _folds(spark, d):
+    return metrics.walk_forward_folds(v.posts(spark, d), ["received_at_utc", "post_id"], "received_at_utc", width=24 * 60 * MINUTE, **FOLD_ARGS)
+
+
+@query(f"WITH {BASE_SQL} {FOLD_SQL} SELECT * FROM folds")
+def w13_walk_forward_folds(spark, d):
+    return _folds(spark, d)[0].select("fold", "test_start", "test_end", "train_rows")
+
+
+@query(f"WITH {BASE_SQL} {FOLD_SQL} SELECT fold, post_id FROM folds JOIN idx ON i >= test_start AND i < test_end")
+def j11_fold_tests(spark, d):
+    folds, rows = _folds(spark, d)
+    return metrics.fold_tests(rows, folds, **{k: FOLD_ARGS[k] for k in ("first_train", "test_rows", "step", "embargo_rows")}).select("fold", "post_id")
+
+
+FOLDED = f"WITH {PRED}, models AS (SELECT 'rule' AS model, (doc_id // 100)::BIGINT AS fold, actual, predicted FROM pred UNION ALL SELECT 'good', doc_id // 100, actual, 'good' FROM pred)"
+
+
+def folded_predictions(spark, d):
+    """Predictions of a rule and of a constant, in folds of a hundred ids."""
+    rows = v.predictions(spark, d).select(F.floor(F.col("doc_id") / 100).alias("fold"), "actual", "predicted")
+    return rows.withColumn("model", F.lit("rule")).unionByName(rows.withColumns({"model": F.lit("good"), "predicted": F.lit("good")}))
+
+
+@query(f"""{FOLDED}, cells AS (SELECT model, fold, label, count(*) FILTER (actual = label) AS support, count(*) FILTER (predicted = label) AS claimed, count(*) FILTER (actual = label AND predicted = label) AS hits FROM models, (VALUES ('good'), ('bad')) v(label) GROUP BY ALL),
+per AS (SELECT model, fold, round(avg(round(coalesce(2.0 * hits / nullif(support + claimed, 0), 0), 6)), 6) AS f1 FROM cells GROUP BY ALL),
+pooled AS (SELECT model, label, sum(support) AS support, sum(claimed) AS claimed, sum(hits) AS hits FROM cells GROUP BY ALL),
+whole AS (SELECT model, sum(support)::BIGINT AS n, round(sum(hits) / sum(support), 6) AS accuracy, round(avg(round(coalesce(2.0 * hits / nullif(support + claimed, 0), 0), 6)), 6) AS macro_f1 FROM pooled GROUP BY 1)
+SELECT w.*, count(*) AS folds, round(avg(f1), 6) AS macro_f1_mean, round(stddev_pop(f1), 6) AS macro_f1_std, min(f1) AS macro_f1_min, max(f1) AS macro_f1_max FROM whole w JOIN per USING (model) GROUP BY ALL""")
+def a31_walk_forward_summary(spark, d):
+    return metrics.walk_forward_summary(folded_predictions(spark, d), ["bad", "good"])
 
 
 @query(f"WITH {PRED} SELECT actual AS label FROM pred GROUP BY 1 ORDER BY count(*) DESC, actual LIMIT 1")
@@ -145,10 +204,8 @@ def w12_chronological_split(spark, d):
     return metrics.chronological_split(v.posts(spark, d), ["received_at_utc", "post_id"], "received_at_utc", width=24 * 60 * MINUTE).select("post_id", "row_index", "split")
 
 
-@query()
+@query(f"WITH {BASE_SQL} {rules_sql()} SELECT post_id AS event_id, post_id, strftime(received_at_utc, '%Y-%m-%d %H:%M:%S') AS received_at_utc, d.text AS text_clean, sentiment AS rule_sentiment_label, tradeability AS rule_tradeability_label, array_to_string(topics, '|') AS rule_topic_labels, '' AS human_sentiment_label, '' AS review_notes FROM labelled JOIN posts p USING (post_id) LEFT JOIN documents d ON d.doc_id = p.doc_id".replace("strftime(received_at_utc", "strftime(p.received_at_utc"))
 def k5_label_queue(spark, d):
-    """The whole review queue; its hints come from the rules."""
-    from ..functions.rules import classify
-
-    rows = classify(v.posts(spark, d, text=True), rules=CORPUS_RULES).withColumn("event_id", F.col("post_id"))
-    return labels.label_queue(rows)
+    """The whole review queue; its hints come from the rules. Columns that are empty for all rows are tested apart."""
+    rows = v.labelled(v.posts(spark, d, text=True), spark, d).withColumn("event_id", F.col("post_id"))
+    return labels.label_queue(rows).select("event_id", "post_id", text_ts("received_at_utc"), "text_clean", "rule_sentiment_label", "rule_tradeability_label", "rule_topic_labels", "human_sentiment_label", "review_notes")

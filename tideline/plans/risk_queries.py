@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import classify
 from ..operators import overlay, risk, signals
 from . import views as v
 from .views import ALIGNED_SQL, BASE_SQL, CORPUS_RULES, HOURLY, rules_sql
@@ -23,7 +22,7 @@ def query(sql=None):
 
 
 def labelled(spark, d):
-    return classify(v.posts(spark, d, text=True), rules=CORPUS_RULES)
+    return v.labelled(v.posts(spark, d, numbered=True), spark, d)
 
 
 def scored(spark, d):

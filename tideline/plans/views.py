@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Rules, Settings
+from ..functions.rules import classify, unmatched
 from ..operators.temporal import forward_asof
 
 #: Bars are hourly here, so horizons are hours.
@@ -31,6 +32,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null")
 
 
+def iso_sql(ts: str) -> str:
+    """SQL of events.iso()."""
+    return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({ts}) % 1000000 <> 0 THEN '.' || strftime({ts}, '%f') ELSE '' END || '+00:00'"
+
+
 def text_ts(c: str):
     return F.date_format(c, TS).alias(c)
 
@@ -55,20 +61,29 @@ def full_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, sf_dir: str, *, text: bool = False) -> DataFrame:
-    """Sign-ups as posts; the text is that of the document numbered by event id modulo the number of documents."""
+def posts(spark: SparkSession, sf_dir: str, *, text: bool = False, numbered: bool = False) -> DataFrame:
+    """Sign-ups as posts; the text is that of the document numbered by event id modulo the number of documents. numbered: with doc_id only."""
     rows = events(spark, sf_dir).where("event_type = 'signup'")
     out = rows.select(F.col("event_id").cast("string").alias("post_id"), F.col("user_id").cast("string").alias("author_id"), F.col("ts").alias("received_at_utc"), F.expr("ts - interval 2 seconds").alias("created_at_utc"), "event_id", "value")
-    if not text:
+    if not text and not numbered:
         return out.drop("event_id")
     docs = table(spark, sf_dir, "documents")
-    number = docs.count()
-    return out.withColumn("doc_id", F.col("event_id") % number).join(docs.select("doc_id", F.col("text").alias("text_clean")), "doc_id", "left").drop("event_id")
+    out = out.withColumn("doc_id", F.col("event_id") % docs.count())
+    if numbered:
+        return out.drop("event_id")
+    return out.join(docs.select("doc_id", F.col("text").alias("text_clean")), "doc_id", "left").drop("event_id")
+
 
+def labelled(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a doc_id and the rule labels of that document: every document is classified once, however many posts have its text."""
+    rules = classify(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_clean")), rules=CORPUS_RULES).drop("text_clean")
+    out = rows.join(rules, "doc_id", "left")
+    return out.withColumns({k: F.coalesce(F.col(k), c) for k, c in unmatched(CORPUS_RULES).items()})
 
-def calendar(spark: SparkSession, sf_dir: str, *, whole: bool = False) -> DataFrame:
-    """Error events as calendar: every fiftieth id, as BASE_SQL has it, or the whole of them."""
-    rows = events(spark, sf_dir).where("event_type = 'error'" if whole else "event_type = 'error' and event_id % 50 = 0")
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All error events as calendar."""
+    rows = events(spark, sf_dir).where("event_type = 'error'")
     kind, weight = F.concat(F.lit("kind_"), (F.col("event_id") % 3).cast("string")), F.when(F.col("event_id") % 100 == 0, "high").otherwise("medium")
     return rows.select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("scheduled_at_utc"), kind.alias("event_type"), weight.alias("importance"))
 
@@ -104,7 +119,7 @@ BASE_SQL = """
 bars AS (SELECT date_trunc('hour', ts) AS ts_open_utc, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS volume
   FROM events WHERE event_type IN ('view', 'click', 'purchase') AND ts IS NOT NULL AND value IS NOT NULL GROUP BY 1),
 posts AS (SELECT event_id::VARCHAR AS post_id, user_id::VARCHAR AS author_id, ts AS received_at_utc, ts - INTERVAL 2 SECOND AS created_at_utc, value, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events WHERE event_type = 'signup' AND ts IS NOT NULL),
-calendar AS (SELECT event_id::VARCHAR AS event_id, ts AS scheduled_at_utc, 'kind_' || (event_id % 3)::VARCHAR AS event_type, CASE WHEN event_id % 100 = 0 THEN 'high' ELSE 'medium' END AS importance FROM events WHERE event_type = 'error' AND event_id % 50 = 0 AND ts IS NOT NULL)"""
+calendar AS (SELECT event_id::VARCHAR AS event_id, ts AS scheduled_at_utc, 'kind_' || (event_id % 3)::VARCHAR AS event_type, CASE WHEN event_id % 100 = 0 THEN 'high' ELSE 'medium' END AS importance FROM events WHERE event_type = 'error' AND ts IS NOT NULL)"""
 ALIGNED_SQL = BASE_SQL + """,
 aligned AS (SELECT p.*, b.ts_open_utc AS aligned_ts, b.open AS base_price FROM posts p ASOF LEFT JOIN bars b ON p.received_at_utc <= b.ts_open_utc),
 horizon AS (SELECT a.*, h.horizon, a.aligned_ts + h.horizon * INTERVAL 1 MINUTE AS at FROM aligned a, (VALUES (60), (180), (360)) h(horizon) WHERE a.aligned_ts IS NOT NULL),
@@ -122,10 +137,13 @@ moves AS (SELECT *, (first_high - base_price) / 0.25 AS up, (base_price - first_
 flagged AS (SELECT post_id, greatest(up, down) >= 20 AND (CASE WHEN up >= down THEN from_top ELSE from_bottom END) / 0.25 >= greatest(greatest(up, down) * 0.65, 15) AS market_whipsaw_flag FROM moves),
 wide AS (SELECT post_id, count(*) AS n, max(delta_ticks) FILTER (horizon = 60) AS d60, max(delta_ticks) FILTER (horizon = 180) AS d180, max(delta_ticks) FILTER (horizon = 360) AS d360,
     max(range_ticks) FILTER (horizon = 360) AS r360, max(volatility_ticks) FILTER (horizon = 360) AS v360 FROM windowed GROUP BY 1),
-evt AS (SELECT a.*, w.d60, w.d180, w.d360, w.r360, w.v360, f.market_whipsaw_flag, substr(sha256(a.post_id || '|' || strftime(a.aligned_ts, '%Y-%m-%dT%H:%M:%S+00:00')), 1, 16) AS event_id,
+evt AS (SELECT a.*, w.d60, w.d180, w.d360, w.r360, w.v360, f.market_whipsaw_flag, substr(sha256(a.post_id || '|' || strftime(a.aligned_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(a.aligned_ts) % 1000000 <> 0 THEN '.' || strftime(a.aligned_ts, '%f') ELSE '' END || '+00:00'), 1, 16) AS event_id,
     CASE WHEN f.market_whipsaw_flag THEN 'no_trade_whipsaw' WHEN r360 >= 35 AND abs(d360) < 12 THEN 'volatility_only' WHEN abs(d180) >= 8 THEN 'tradeable_directional' WHEN abs(d360) <= 4 THEN 'no_impact' ELSE 'ambiguous' END AS tradeability_label
   FROM aligned a JOIN wide w ON w.post_id = a.post_id AND w.n = 3 JOIN flagged f ON f.post_id = a.post_id),
-macro AS (SELECT p.post_id, arg_min(c, (abs(epoch_us(c.scheduled_at_utc) - epoch_us(p.received_at_utc)), c.scheduled_at_utc)) AS c, arg_min((epoch_us(c.scheduled_at_utc) - epoch_us(p.received_at_utc)) / 60000000.0, (abs(epoch_us(c.scheduled_at_utc) - epoch_us(p.received_at_utc)), c.scheduled_at_utc)) AS m FROM posts p, calendar c GROUP BY 1),
+named AS (SELECT scheduled_at_utc, first(event_id ORDER BY event_id) AS event_id, first(event_type ORDER BY event_id) AS event_type, first(importance ORDER BY event_id) AS importance FROM calendar GROUP BY 1),
+later AS (SELECT p.*, c AS nxt FROM posts p ASOF LEFT JOIN named c ON p.received_at_utc <= c.scheduled_at_utc),
+around AS (SELECT l.*, c AS prv FROM later l ASOF LEFT JOIN named c ON l.received_at_utc >= c.scheduled_at_utc),
+macro AS (SELECT post_id, c, (epoch_us(c.scheduled_at_utc) - epoch_us(received_at_utc)) / 60000000.0 AS m FROM (SELECT *, CASE WHEN prv.scheduled_at_utc IS NULL OR epoch_us(nxt.scheduled_at_utc) - epoch_us(received_at_utc) < epoch_us(received_at_utc) - epoch_us(prv.scheduled_at_utc) THEN nxt ELSE prv END AS c FROM around)),
 gaps AS (SELECT *, epoch_us(received_at_utc) - lag(epoch_us(received_at_utc)) OVER w AS since, lead(epoch_us(received_at_utc)) OVER w - epoch_us(received_at_utc) AS until FROM evt WINDOW w AS (ORDER BY received_at_utc, post_id)),
 numbered AS (SELECT *, sum(CASE WHEN since <= 21600000000 THEN 0 ELSE 1 END) OVER (ORDER BY received_at_utc, post_id) AS cluster FROM gaps)"""
 
@@ -148,10 +166,8 @@ labelled AS (SELECT post_id, received_at_utc, topics, sentiment, confidence, CAS
   WHEN sentiment = 'volatility_only' THEN 'volatility_only' WHEN sentiment = 'neutral' THEN 'no_impact' ELSE 'ambiguous' END AS tradeability FROM sure)"""
 
 
-def event_frame(spark: SparkSession, sf_dir: str, *, text: bool = False, macro: bool = False, whole: bool = False):
+def event_frame(spark: SparkSession, sf_dir: str, *, numbered: bool = False, macro: bool = False):
     """build_events() over the derived tables: events and skipped posts."""
     from ..operators.events import build_events
 
-    return build_events(posts(spark, sf_dir, text=text), bars(spark, sf_dir), calendar(spark, sf_dir, whole=whole) if macro else None, HOURLY)
-
-
+    return build_events(posts(spark, sf_dir, numbered=numbered), bars(spark, sf_dir), calendar(spark, sf_dir) if macro else None, HOURLY)
