@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 OPENING = datetime(2025, 3, 4, 9, 0)
 # closes by minute: quiet, a slide, a recovery, a drift, a pause and a rise
 CLOSES = (
@@ -49,6 +51,13 @@ def bars(spark):
     return spark.createDataFrame([*rows, broken], "ts_open_utc timestamp, open double, high double, low double, close double, volume long, is_valid_bar boolean")
 
 
+def full_bars(spark):
+    """The valid bars with all columns of a canonical bar."""
+    names = {"symbol_root": "NQ", "contract_symbol": "NQH5", "continuous_symbol": "NQ.c.0", "source_name": "hand", "session_id": "2025-03-04", "is_rth": True, "is_rollover_period": False, "is_holiday_session": False}
+    rows = bars(spark).where("is_valid_bar").withColumns({k: F.lit(v) for k, v in names.items()})
+    return rows.withColumns({"ts_close_utc": F.expr("ts_open_utc + interval 1 minute"), "trade_count": F.col("volume"), "vwap": F.col("close")})
+
+
 def posts(spark, rows=POSTS):
     found = [(i, t and at(t), t and at(t) - timedelta(seconds=2), text) for i, t, text in rows]
     return spark.createDataFrame(found, "post_id string, received_at_utc timestamp, created_at_utc timestamp, text_clean string")

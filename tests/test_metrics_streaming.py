@@ -29,11 +29,23 @@ def test_stream_collects_and_keeps_the_newest(spark, tmp_path):
     posts = spark.read.parquet(places["table"])
     assert sorted((r["post_id"], r["text_clean"], r["received_at_utc"].second) for r in posts.collect()) == [("a", "edited", 9), ("a", "hello", 9), ("b", "hello", 2)]
     assert spark.read.json(places["raw_log"]).count() == 4
-    fresh = live.health(posts, source="s", checked_at="2026-01-02 10:00:15")
+    fresh = live.health(posts, source="s", checked_at="2026-01-02 10:00:15", raw=spark.read.json(places["raw_log"]).withColumn("id", F.col("post_id")))
+    assert (fresh.first()["raw_rows"], fresh.first()["duplicate_rows"], fresh.first()["canonical_rows"], fresh.first()["latest_post_age_seconds"]) == (4, 2, 3, 15)
+    none = live.health(posts.where("false"), source="s", checked_at="2026-01-02 10:00:15", errors=1).first()
+    assert none["is_stale"] and none["schema_drift"] and none["lag_seconds"] is None
     assert not signals.stale_flag(fresh, ["s"]).first()[0]
     assert signals.stale_flag(live.health(posts, source="s", checked_at="2026-01-02 10:01:15"), ["s"]).first()[0]
 
 
+def test_first_seen_drops_repeats(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text("\n".join(json.dumps({"post_id": i, "content_hash": "h", "received_at_utc": t}) for i, t in (("a", "2026-01-02T10:00:00Z"), ("a", "2026-01-02T10:00:05Z"), ("b", "2026-01-02T10:00:01Z"))))
+    stream = live.landed(spark, str(folder), T.StructType.fromDDL("post_id string, content_hash string, received_at_utc timestamp"))
+    live.first_seen(stream).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["post_id"] for r in spark.table("seen").collect()) == ["a", "b"]
+
+
 def test_rescoring_covers_late_posts(spark):
     rows = [("a", "01:00:00", ""), ("b", "06:00:00", ""), ("c", "09:00:00", ""), ("d", "12:59:00", ""), ("e", "13:01:00", "")]
     posts = market.posts(spark, rows)

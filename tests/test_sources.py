@@ -67,7 +67,7 @@ def test_feed(spark, tmp_path):
     (tmp_path / "f.xml").write_text(FEED)
     rows = p.load_feed(spark, str(tmp_path / "f.xml")).collect()
     assert [r["post_id"] for r in rows] == ["g1", "abc2"] and [r["post_type"] for r in rows] == ["original", "reply"]
-    assert rows[0]["text_clean"] == "Calm here ." or rows[0]["text_clean"] == "Calm here."
+    assert rows[0]["text_clean"] == "Calm here ."
     assert rows[0]["author_id"] == "me" and rows[0]["media_urls"] == ["https://c.example/i.jpg"] and str(rows[0]["created_at_utc"]) == "2026-01-05 08:15:00"
     assert p.load_feed(spark, str(tmp_path / "f.xml"), end="2026-01-04").count() == 0
 
@@ -87,23 +87,44 @@ def test_vendor_bars(spark):
 
 
 def test_bar_files_and_audit(spark, tmp_path):
-    bars = market.bars(spark)
+    bars = market.full_bars(spark)
     sinks.write_table(bars.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("ts_open_utc", "ts_close_utc")}), str(tmp_path / "bars.csv"))
     loaded = m.load_bars(spark, str(tmp_path / "bars.csv"))
-    assert loaded.count() == 340 and q.split_quarantine(q.bar_problems(loaded))[1].isEmpty()
-    gap = loaded.where("ts_open_utc <> timestamp'2026-01-02 14:25:00'").withColumn("volume", F.when(F.minute("ts_open_utc") == 40, 0).otherwise(F.col("volume")))
+    assert loaded.count() == 75 and q.split_quarantine(q.bar_problems(loaded))[1].isEmpty()
+    gap = loaded.where("ts_open_utc <> timestamp'2025-03-04 09:25:00'").withColumn("volume", F.when(F.minute("ts_open_utc").isin(10, 11), 0).otherwise(F.col("volume")))
     row = q.audit_bars(gap).first()
-    assert (row["row_count"], row["expected_bars"], row["missing_bars"], row["gaps"], row["zero_volume_rows"], row["stale_bars"]) == (339, 340, 1, 1, 6, 0)
+    assert (row["row_count"], row["expected_bars"], row["missing_bars"], row["gaps"], row["zero_volume_rows"], row["stale_bars"]) == (74, 75, 1, 1, 4, 0)
+    audit = m.vendor_audit(bars, gap, {"symbols": "NQ"}).first()
+    assert (audit["raw_row_count"], audit["row_count"], audit["request"]) == (75, 74, {"symbols": "NQ"})
     bad = loaded.limit(1).withColumns({"symbol_root": F.lit("ES"), "high": F.col("low") - 1, "ts_close_utc": F.col("ts_open_utc")})
     assert len(q.bar_problems(bad).first()["problems"]) == 3
 
 
+def test_post_problems(spark):
+    rows = [("2026-01-02 10:00:00", "2026-01-02 10:00:01", "reply"), ("2026-01-02 10:00:00", "2026-01-02 09:59:59", "odd"), (None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, post_type string").selectExpr("to_timestamp(a) as created_at_utc", "to_timestamp(b) as received_at_utc", "post_type")
+    good, bad = q.split_quarantine(q.post_problems(df))
+    assert good.count() == 1 and sorted(len(r["problems"]) for r in bad.collect()) == [2, 3]
+
+
+def test_review_file(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("event_id,post_id,human_sentiment_label,human_tradeability_label,human_topic_labels,market_relevance_label,contradiction_label,label_confidence,reviewer_id,reviewed_at_utc,review_notes\ne1,p1,neutral,no_impact,other,uncertain,none,0.5,me,2026-01-02T10:00:00Z,\ne2,p2,glad,no_impact,other,uncertain,none,0.5,me,2026-01-02T10:00:00Z,x\n")
+    got = m.load_reviews(spark, str(path), label_version="v3").orderBy("event_id").collect()
+    assert [len(r["problems"]) for r in got] == [0, 1] and got[0]["label_version"] == "v3" and got[0]["human_topic_labels"] == ["other"]
+
+
+def test_source_audits(spark, tmp_path):
+    posts = p.load_archive(spark, dump(tmp_path / "a.json", ARCHIVE), source_name="one").unionByName(p.load_archive(spark, str(tmp_path / "a.json"), source_name="two"))
+    assert {r["source_name"]: (r["row_count"], r["empty_text_rows"], r["max_feed_lag_ms"]) for r in q.audit_sources(posts).collect()} == {"one": (2, 1, 2000), "two": (2, 1, 2000)}
+
+
 def test_small_tables(spark, tmp_path):
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     sinks.write_table(market.calendar(spark).withColumn("scheduled_at_utc", F.date_format("scheduled_at_utc", iso)), str(tmp_path / "c.csv"))
     sinks.write_table(market.trades(spark).withColumns({c: F.date_format(c, iso) for c in ("entry_ts_utc", "exit_ts_utc")}), str(tmp_path / "t.csv"))
     assert m.load_calendar(spark, str(tmp_path / "c.csv")).count() == 2
-    assert [r["trade_id"] for r in m.load_trades(spark, str(tmp_path / "t.csv")).collect()] == ["t1", "t2", "t3", "t4"]
+    assert [r["trade_id"] for r in m.load_trades(spark, str(tmp_path / "t.csv")).collect()] == ["t3", "t1", "t2"]
     with pytest.raises(ValueError):
         m.load_calendar(spark, str(tmp_path / "t.csv"))
 

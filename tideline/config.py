@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# The defaults of all settings.
 @dataclass(frozen=True)
 class Settings:
     tick_size: float = 0.25
@@ -77,6 +78,7 @@ DEFAULT_RULES = Rules(
     market_topics=["china_tariffs", "fed_monetary", "equities_direct", "technology_ai_semiconductors", "tax_fiscal_policy"],
     relevant_topics=["china_tariffs", "trade_policy", "fed_monetary", "iran_energy", "middle_east_geopolitics", "equities_direct", "fx_usd", "gold_metals", "technology_ai_semiconductors", "tax_fiscal_policy"],
 )
+# What labels and post types can be.
 SENTIMENTS = ["bullish_market", "bearish_market", "geopolitical_risk", "neutral", "volatility_only", "low_confidence"]
 TRADEABILITY = ["tradeable_directional", "volatility_only", "no_trade_whipsaw", "no_impact", "ambiguous"]
 MARKET_RELEVANCE = ["market_relevant", "not_market_relevant", "uncertain"]

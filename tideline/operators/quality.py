@@ -108,6 +108,18 @@ def audit_posts(posts: DataFrame) -> DataFrame:
     )
 
 
+def audit_sources(posts: DataFrame) -> DataFrame:
+    """audit_posts() for each source_name and source_provider."""
+    empty = F.trim(F.coalesce("text_clean", F.lit(""))) == ""
+    return posts.groupBy("source_name", "source_provider").agg(
+        F.count("*").alias("row_count"),
+        (F.count("post_id") - F.count_distinct("post_id")).alias("duplicate_post_ids"),
+        F.count_if(empty).alias("empty_text_rows"),
+        F.count_if(empty & (F.col("has_image") | F.col("has_video"))).alias("media_only_rows"),
+        F.max(F.unix_millis("received_at_utc") - F.unix_millis("created_at_utc")).alias("max_feed_lag_ms"),
+    )
+
+
 def freshness(posts: DataFrame, checked_at: str, stale_minutes: int = 30, required: list[str] | None = None) -> DataFrame:
     """audit_posts() with lag at a moment (a timestamp literal), the stale flag, and columns that are missing."""
     lag = F.unix_timestamp(F.lit(checked_at).cast("timestamp")) - F.unix_timestamp(F.max("created_at_utc"))

@@ -13,7 +13,7 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -21,15 +21,23 @@ MINUTE = 60_000_000
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder: operators use their input several times, so that plans would double at every step."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tideline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local master gets a temporary one; a cluster is an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tideline-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root
+
+
 def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
     """df with a number of its own for every row, cut off so that it stays the same: ids may be repeated or null."""
     return df if key in df.columns else cut(df.withColumn(key, F.monotonically_increasing_id()))

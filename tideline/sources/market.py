@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labels import REQUIRED, check_reviews
-from ..operators.quality import bar_mask, keep_latest, require_columns, to_bool, utc_timestamp
+from ..operators.quality import audit_bars, bar_mask, keep_latest, require_columns, to_bool, utc_timestamp
 
 NANO = 1_000_000_000.0
+# Columns of a canonical bar.
 BAR_COLUMNS = ["symbol_root", "contract_symbol", "continuous_symbol", "ts_open_utc", "ts_close_utc", "open", "high", "low", "close", "volume", "trade_count", "vwap", "source_name", "is_rth", "session_id", "is_rollover_period", "is_holiday_session", "is_valid_bar"]
 FLAGS = ["is_rth", "is_rollover_period", "is_holiday_session", "is_valid_bar"]
 # Names that vendors give the same column.
@@ -81,6 +82,14 @@ def load_vendor_bars(spark: SparkSession, path: str, **names) -> DataFrame:
     return normalise_bars(read_text_table(spark, path), **names)
 
 
+def vendor_audit(raw: DataFrame, bars: DataFrame, request: dict[str, str]) -> DataFrame:
+    """One row: what was asked of the vendor (a map), raw rows, and audit_bars() of what became of them."""
+    asked = F.create_map(*(F.lit(x) for kv in request.items() for x in kv)) if request else F.create_map().cast("map<string,string>")
+    counts = raw.agg(F.count("*").alias("raw_row_count")).withColumn("_one", F.lit(1))
+    audit = audit_bars(bars).withColumn("_one", F.lit(1))
+    return counts.join(audit, "_one").drop("_one").withColumn("request", asked)
+
+
 def load_calendar(spark: SparkSession, path: str) -> DataFrame:
     rows = require_columns(spark.read.option("header", True).csv(path), ["event_id", "event_name", "event_type", "scheduled_at_utc", "importance"], "calendar")
     return rows.withColumn("scheduled_at_utc", utc_timestamp(F.col("scheduled_at_utc"))).orderBy("scheduled_at_utc")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,7 @@ def has_field(schema: T.StructType, path: str) -> bool:
 def first_of(df: DataFrame, names: list[str], default: Column | None = None) -> Column:
     """The first non-null of the fields that df has, as text."""
     present = [F.col(n).cast("string") for n in names if has_field(df.schema, n)]
-    present = [F.nullif(c, F.lit("NaN")) for c in present]
+    present = [F.nullif(c, F.lit("NaN")) for c in present]  # floats that aren't numbers are this text too
     return F.coalesce(*present, *([default] if default is not None else [])) if present or default is not None else F.lit(None).cast("string")
 
 
@@ -222,7 +223,7 @@ def first_source(spark: SparkSession, loaders: list[tuple[str, Callable[[], Data
             df = load()
             empty = df.isEmpty()
             log.append((name, "empty" if empty else "used", None))
-        except Exception as e:  # noqa: BLE001  a source that can't be read is what the order of sources is for
+        except (AnalysisException, ValueError, OSError) as e:  # missing or unreadable input; other errors are faults of a loader
             empty = True
             log.append((name, "failed", str(e)[:200]))
         if not empty:

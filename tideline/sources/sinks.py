@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def upsert(new: DataFrame, path: str, *, keys: tuple[str, ...] = ("post_id", "co
     try:
         old = spark.read.parquet(path).where(F.col("day").isin(*days))
         rows = old.unionByName(rows, allowMissingColumns=True)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     merged = keep_latest(rows, list(keys), [F.col(newest_by)]).checkpoint()
     merged.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)

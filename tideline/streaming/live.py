@@ -37,11 +37,19 @@ def collect(stream: DataFrame, *, table: str, raw_log: str, checkpoint: str, nor
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def health(posts: DataFrame, *, source: str, checked_at: str, stale_seconds: int = 10, collected: bool = True, authorised: bool = True) -> DataFrame:
-    """One row for signals.stale_flag(): lag beyond the limit, a failed collection or a bad login is stale."""
-    lag = F.unix_timestamp(F.lit(checked_at).cast("timestamp")) - F.unix_timestamp(F.max("received_at_utc"))
-    late = F.coalesce(lag > stale_seconds, F.lit(True))
-    return posts.agg(lag.alias("lag_seconds"), (late | F.lit(not collected) | F.lit(not authorised)).alias("is_stale")).select(F.lit(source).alias("source"), "lag_seconds", "is_stale", F.lit(collected and authorised).alias("is_healthy"))
+def health(posts: DataFrame, *, source: str, checked_at: str, stale_seconds: int = 10, collected: bool = True, authorised: bool = True, raw: DataFrame | None = None, id_col: str = "id", errors: int = 0) -> DataFrame:
+    """One row for signals.stale_flag(): lag beyond the limit, a failed collection or a bad login is stale; without posts the lag is null.
+
+    Also the age of the newest post, raw rows and repeats among their ids (where raw is given), and drift: errors
+    and not one post.
+    """
+    now = F.unix_timestamp(F.lit(checked_at).cast("timestamp"))
+    lag = now - F.unix_timestamp(F.max("received_at_utc"))
+    stale = F.coalesce(lag > stale_seconds, F.lit(False)) | F.lit(not collected) | F.lit(not authorised)
+    row = posts.agg(lag.alias("lag_seconds"), (now - F.unix_timestamp(F.max("created_at_utc"))).alias("latest_post_age_seconds"), F.count("*").alias("canonical_rows"), (stale | (F.count("*") == 0)).alias("is_stale"))
+    seen = raw.agg(F.count("*").alias("raw_rows"), (F.count(id_col) - F.count_distinct(id_col)).alias("duplicate_rows")) if raw is not None else posts.sparkSession.range(1).select(F.lit(None).cast("long").alias("raw_rows"), F.lit(None).cast("long").alias("duplicate_rows"))
+    row = row.withColumn("_one", F.lit(1)).join(seen.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return row.select(F.lit(source).alias("source"), "*", F.lit(collected and authorised).alias("is_healthy"), ((F.lit(errors) > 0) & (F.col("canonical_rows") == 0)).alias("schema_drift"))
 
 
 def rescore(new: DataFrame, posts: DataFrame, score: Callable[[DataFrame], DataFrame], *, minutes: int = LOOKBACK_MINUTES) -> DataFrame:
