@@ -9,7 +9,8 @@ equal strings have equal anchors. Work goes in passes over the documents:
 2. Anchors meet by their hash. Contexts that have one of equal digest earlier are repeated as a whole.
 3. Where one anchor has different contexts, their bytes are fetched. Their suffixes are sorted by a mergesort
    whose comparisons find the common extension by binary search over prefix hashes; suffixes that agree in
-   `length` bytes are neighbours then, and are compared byte by byte in case a hash collides.
+   `length` bytes are neighbours then, and are compared byte by byte in case a hash collides. The strings of
+   an anchor with very many contexts are dealt to several tasks, by their distance from the anchor.
 4. Documents get the spans to remove.
 """
 
@@ -35,10 +36,12 @@ GRAM = 32
 CHUNK_BYTES = 1_000_000
 FLUSH_ANCHORS = 300_000
 SORT_WINDOWS = 200_000
+HOT_CONTEXTS = 512  # different contexts of an anchor from which its strings are sorted in several pieces
+MAX_PIECES = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)  # 5 modulo 8: odd, of large order
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WHOLE, FETCH, PART = 0, 1, 2
-ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("part", "<i4"), ("null", "?")])
+ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("part", "<i4"), ("null", "?"), ("pieces", "u1")])
 
 
 class PrefixHashes:
@@ -269,7 +272,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str], kept: str | None = None, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str], kept: str | None = None, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Spans of bytes covered by strings of `length` bytes that start earlier too.
 
     Returns the columns in `carry` as they are, the text, spans (array of start and end in UTF-8 bytes: maximal runs), a row for each input
@@ -287,7 +290,7 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     blobs = "pid int, part int, kind int, data binary"
     texts = docs.select("part", "row", "id", "text")
     dealt = texts.mapInArrow(_find_anchors(length, gram, n), blobs).repartition(n, "pid")
-    flags = dealt.mapInArrow(_match_contexts, blobs)
+    flags = dealt.mapInArrow(_match_contexts(hot_contexts), blobs)
     flags.repartition(n, "part").write.partitionBy("part").parquet(f"{home}/flags")
     wanted = texts.mapInArrow(_fetch(f"{home}/flags", length, gram, n), blobs).repartition(n, "pid")
     wanted.mapInArrow(_sort_contexts(length), blobs).repartition(n, "part").write.partitionBy("part").parquet(f"{home}/parts")
@@ -374,27 +377,32 @@ def _find_anchors(length: int, gram: int, n: int):
     return run
 
 
-@released
-def _match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] == WHOLE:
-                yield _blobs([(0, row["part"], WHOLE, row["data"])])
-            else:
-                held.append(_unpacked(row["data"]))
-    if not held:
-        return
-    a = np.concatenate(held)
-    held.clear()
-    a = a[np.argsort(a["anchor"])]
-    again = a["anchor"][1:] == a["anchor"][:-1]
-    a, first = first_of_equal(a[np.r_[again, False] | np.r_[False, again]])
-    yield _blobs([(0, part, WHOLE, _packed(x)) for part, x in _by(a["part"][~first], a[~first])])
-    a = a[first]
-    again = a["anchor"][1:] == a["anchor"][:-1]
-    a = a[np.r_[again, False] | np.r_[False, again]] if len(a) else a
-    yield _blobs([(0, part, FETCH, _packed(x)) for part, x in _by(a["part"], a)])
+def _match_contexts(hot: int):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == WHOLE:
+                    yield _blobs([(0, row["part"], WHOLE, row["data"])])
+                else:
+                    held.append(_unpacked(row["data"]))
+        if not held:
+            return
+        a = np.concatenate(held)
+        held.clear()
+        a = a[np.argsort(a["anchor"])]
+        again = a["anchor"][1:] == a["anchor"][:-1]
+        a, first = first_of_equal(a[np.r_[again, False] | np.r_[False, again]])
+        yield _blobs([(0, part, WHOLE, _packed(x)) for part, x in _by(a["part"][~first], a[~first])])
+        a = a[first]
+        again = a["anchor"][1:] == a["anchor"][:-1]
+        a = a[np.r_[again, False] | np.r_[False, again]] if len(a) else a
+        _, number, times = np.unique(a["anchor"], return_inverse=True, return_counts=True)
+        a["pieces"] = np.clip(-(-times // hot), 1, MAX_PIECES)[number]
+        yield _blobs([(0, part, FETCH, _packed(x)) for part, x in _by(a["part"], a)])
+
+    return run
 
 
 class _Side:
@@ -420,18 +428,32 @@ class _Side:
         return self.rows.get(row, [])
 
 
+def in_pieces(a: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Which anchor each piece is of, its number, and where it starts and stops in the document (not held to its ends).
+
+    Equal strings have their anchor at the same distance from their start: a piece has the strings of some
+    distances, so that pieces of an anchor can be sorted in tasks of their own.
+    """
+    pieces = np.maximum(a["pieces"].astype(np.int64), 1)
+    at = np.repeat(np.arange(len(a)), pieces)
+    number = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    distances, pos = length - gram + 1, a["pos"].astype(np.int64)[at]
+    nearest, farthest = number * distances // pieces[at], (number + 1) * distances // pieces[at] - 1
+    return at, number, np.maximum(0, pos - farthest), pos - nearest + length
+
+
 def _fetch(flags: str, length: int, gram: int, n: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, size = _Side(flags, FETCH), 0
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, ...] = ([], [], [], [])
 
         def send() -> pa.RecordBatch:
-            a, begin = (np.concatenate(x) for x in held[:2])
-            sizes = np.array([len(x) for x in held[2]], np.int64)
-            found = Contexts(a, begin, sizes, np.frombuffer(b"".join(held[2]), np.uint8))
+            a, begin, number = (np.concatenate(x) for x in held[:3])
+            sizes = np.array([len(x) for x in held[3]], np.int64)
+            found = Contexts(a, begin, sizes, np.frombuffer(b"".join(held[3]), np.uint8))
             rows = []
-            for pid, own in _by((a["anchor"] >> np.uint64(20)) % np.uint64(n), np.arange(len(a))):
+            for pid, own in _by(((a["anchor"] >> np.uint64(20)) + number.astype(np.uint64)) % np.uint64(n), np.arange(len(a))):
                 x = found.take(own)
                 rows.append((pid, 0, FETCH, pickle.dumps((x.records.tobytes(), x.begin.tobytes(), x.sizes.tobytes(), x.data.tobytes()))))
             return _blobs(rows)
@@ -441,14 +463,15 @@ def _fetch(flags: str, length: int, gram: int, n: int):
             if own:
                 data = _bytes(text)
                 for a in own:
-                    pos = a["pos"].astype(np.int64)
-                    start = np.maximum(0, pos - (length - gram))
-                    held[0].append(a), held[1].append(start)
-                    held[2].extend(data[s : p + length] for s, p in zip(start.tolist(), pos.tolist(), strict=True))
-                    size += len(a)
+                    at, number, start, stop = in_pieces(a, length, gram)
+                    whole = np.minimum(stop, len(data)) - start >= length  # near an end, a piece may have no string
+                    at, number, start, stop = at[whole], number[whole], start[whole], stop[whole]
+                    held[0].append(a[at]), held[1].append(start), held[2].append(number)
+                    held[3].extend(data[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True))
+                    size += len(at)
                 if size >= 50_000:
                     yield send()
-                    held, size = ([], [], []), 0
+                    held, size = ([], [], [], []), 0
         if size:
             yield send()
 
