@@ -76,10 +76,24 @@ def test_sharding(docs, empty):
     for r in rows:
         slots[r["shard"]].append(r["slot"])
     assert len(rows) == docs.count() and {len(x) for x in slots.values()} <= {2, 3} and all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert rows == sharding.shuffle_to_shards(docs.repartition(3), shards=5, rows_per_part=3).collect() or sorted(map(str, rows)) == sorted(map(str, sharding.shuffle_to_shards(docs.repartition(3), shards=5, rows_per_part=3).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, sharding.shuffle_to_shards(docs.repartition(3), shards=5, rows_per_part=3).collect()))
     assert sharding.shuffle_to_shards(empty).count() == 0
 
 
+def test_sharding_of_one_row_many_times(spark):
+    """Equal rows are spread over partitions as others are, whatever the layout."""
+    rows = [(1, "same")] * 600 + [(None, None)] * 200 + [(i, "x") for i in range(100)]
+    found = []
+    for parts in (2, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sharding.shuffle_to_shards(df, shards=6, rows_per_part=50).collect()
+        sizes = Counter(r["shard"] for r in got)
+        assert set(sizes.values()) == {150} and sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(6) for k in range(150)]
+        assert all(75 <= n <= 125 for n in Counter(r["shard"] for r in got if r["doc_id"] == 1 and r["size"] == 12).values())
+        found.append(sorted(map(str, got)))
+    assert found[0] == found[1]
+
+
 def test_communication_matrix():
     matrix = sharding.communication_matrix([5, 0, 7, 9], [7, 7, 7], 3)
     assert [sum(r) for r in matrix] == [5, 0, 7, 9] and [sum(c) for c in zip(*matrix, strict=True)] == [7, 7, 7]
@@ -180,7 +194,7 @@ def test_suffix_dedup_random(spark, seed):
     blocks = ["".join(rng.choice("ab") for _ in range(rng.randint(3, 30))) for _ in range(12)]
     texts = ["".join(rng.choice(blocks) for _ in range(rng.randint(0, 20))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, carry=["doc_id"], length=20, gram=8).collect()}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, carry=["doc_id"], length=20, gram=8, hot_contexts=seed).collect()}
     assert [got[i] for i in range(60)] == _repeats(texts, 20)
 
 
@@ -188,7 +202,8 @@ def _morse(n):
     return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
 
 
-def test_suffix_dedup_of_shared_edges_and_regular_strings(spark):
+@pytest.mark.parametrize("hot", [512, 4])
+def test_suffix_dedup_of_shared_edges_and_regular_strings(spark, hot):
     """A passage in every document between other words, strings in which simple hashes collide, and runs of one letter."""
     rng = random.Random(8)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
@@ -196,7 +211,7 @@ def test_suffix_dedup_of_shared_edges_and_regular_strings(spark):
     morse = _morse(1 << 12)
     texts += [morse, "".join("ba"[c == "b"] for c in morse), morse[100:900] + "c" + morse[2000:2300], "a" * 700 + "b" + "a" * 300, "ab" * 400, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, carry=["doc_id"]).collect()}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.repeated_spans(df, carry=["doc_id"], hot_contexts=hot).collect()}
     assert [got[i] for i in range(len(texts))] == _repeats(texts, 100)
 
 
