@@ -9,7 +9,7 @@ from tideline.operators import metrics, reports, risk, tuning
 from tideline.operators.temporal import MINUTE
 
 START = datetime(2025, 2, 3)
-SMALL = {"features": 20, "trees": 3, "epochs": 60}
+SMALL = {"features": 20, "trees": 3, "epochs": 60, "steps": 15}
 
 
 @pytest.fixture(scope="module")

@@ -49,17 +49,19 @@ def text_stages(features: int = FEATURES) -> list:
 
 
 def context_stages() -> list:
-    return [VectorAssembler(inputCols=["_tfidf", *CONTEXT], outputCol="_features", handleInvalid="keep")]
+    """The text's vector and the context columns, nulls as 0."""
+    numbers = ", ".join(f"coalesce(CAST({c} AS double), 0D) AS _{c}" for c in CONTEXT)
+    return [SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__"), VectorAssembler(inputCols=["_tfidf", *(f"_{c}" for c in CONTEXT)], outputCol="_features")]
 
 
-def pipeline(model: str, classes: int, *, features: int = FEATURES, seed: int = 42, trees: int = 50, epochs: int = 40, width: int | None = None) -> Pipeline:
+def pipeline(model: str, classes: int, *, features: int = FEATURES, seed: int = 42, trees: int = 50, epochs: int = 40, steps: int = 100, width: int | None = None) -> Pipeline:
     """One of MODELS. Labels are numbered in order; `weight` is the column of class weights."""
     index = StringIndexer(inputCol=TARGET, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     given = {"labelCol": "_label", "predictionCol": "_prediction"}
     if model == "tfidf_logreg":
         last = [LogisticRegression(featuresCol="_tfidf", probabilityCol="_probability", weightCol="weight", maxIter=200, regParam=0.01, family="multinomial", **given)]
     elif model == "tfidf_linear_svm":
-        svm = LinearSVC(maxIter=100, regParam=0.01, weightCol="weight")
+        svm = LinearSVC(maxIter=steps, regParam=0.01, weightCol="weight")
         last = [OneVsRest(classifier=svm, featuresCol="_tfidf", weightCol="weight", **given)]
     elif model == "boosted_trees":
         boosted = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.05, seed=seed)
