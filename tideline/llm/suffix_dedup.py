@@ -324,14 +324,19 @@ def _by(keys: np.ndarray, a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[s]), a[s:e]
 
 
-def _packed(a: np.ndarray) -> bytes:
-    return pickle.dumps({k: np.ascontiguousarray(a[k]).tobytes() for k in ANCHOR.names})
+def _packed(a: np.ndarray, names: tuple[str, ...] = ANCHOR.names) -> bytes:
+    return pickle.dumps({k: np.ascontiguousarray(a[k]).tobytes() for k in names})
+
+
+def _places(a: np.ndarray) -> bytes:
+    """What is left to know of contexts that are repeated as a whole."""
+    return _packed(a[np.lexsort((a["pos"], a["row"]))], ("row", "pos"))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     columns = pickle.loads(data)
-    a = np.empty(len(columns["row"]) // 4, ANCHOR)
-    for k in ANCHOR.names:
+    a = np.zeros(len(columns["row"]) // 4, ANCHOR)
+    for k in columns:
         a[k] = np.frombuffer(columns[k], ANCHOR[k])
     return a
 
@@ -354,7 +359,7 @@ def _find_anchors(length: int, gram: int, n: int):
 
         def send() -> pa.RecordBatch:
             a, first = first_of_equal(np.concatenate(held))
-            rows = [(int(part) % n, int(part), WHOLE, _packed(x)) for part, x in _by(a["part"][~first], a[~first])]
+            rows = [(int(part) % n, int(part), WHOLE, _places(x)) for part, x in _by(a["part"][~first], a[~first])]
             a = a[first]
             a = a[np.lexsort(order_of(a))]  # columns of near rows compress better
             rows += [(pid, 0, FETCH, _packed(x)) for pid, x in _by((a["anchor"] >> np.uint64(20)) % np.uint64(n), a)]
@@ -394,7 +399,7 @@ def _match_contexts(hot: int):
         a = a[np.argsort(a["anchor"])]
         again = a["anchor"][1:] == a["anchor"][:-1]
         a, first = first_of_equal(a[np.r_[again, False] | np.r_[False, again]])
-        yield _blobs([(0, part, WHOLE, _packed(x)) for part, x in _by(a["part"][~first], a[~first])])
+        yield _blobs([(0, part, WHOLE, _places(x)) for part, x in _by(a["part"][~first], a[~first])])
         a = a[first]
         again = a["anchor"][1:] == a["anchor"][:-1]
         a = a[np.r_[again, False] | np.r_[False, again]] if len(a) else a
