@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_scoring, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, topk_threshold, warc
+from . import decontamination, importance_resampling, language_id, line_dedup, lm_scoring, sentencepiece_codec, sharding, simhash_dedup, spelling_variants, suffix_dedup, token_counts, topk_threshold, warc
 from . import pipeline as corpus
 
 
@@ -81,13 +81,37 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.with_counts(found).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(_documents(spark, sf_dir), min_docs=3, min_length=20)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+     keyed AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+     shared AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+     marked AS (SELECT doc_id, pos, line, shared.k IS NOT NULL AND doc_id <> last AS dropped FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, min_words=20, orders=2, buckets=10_000, seed=7)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(spelling_variants.count_words(_documents(spark, sf_dir), min_length=5, min_count=3, noise=97), ratio=2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op4_top_k, op5_sentencepiece, op6_simhash, op7_sharding, op8_stupid_backoff, op9_decontamination, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_language_id, op4_top_k, op5_sentencepiece, op6_simhash, op7_sharding, op8_stupid_backoff, op9_decontamination, op10_suffix_dedup, op11_line_dedup, op12_importance_resampling, op13_spelling_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_top_k": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op4_top_k": OP4_SQL, "op11_line_dedup": OP11_SQL}
