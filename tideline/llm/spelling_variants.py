@@ -18,6 +18,8 @@ RUN = "([A-Za-zÀ-ÿ]+)"
 MAX_GRAMS = (26 + 64) ** 2
 #: grams that one edit of a word can touch, and one more
 PREFIX, PIVOTS = 3, 2
+#: unchanged parts of fewer code points than this are joined by a part of the word's rest
+SHORT = 4
 
 
 def count_words(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", min_length: int = 5, min_count: int = 3, noise: int | None = None) -> DataFrame:
@@ -63,6 +65,30 @@ def grams_of(word: str, order: dict[str, tuple[int, int]]) -> tuple[list[tuple[i
     return head, pivots(head[:PREFIX])
 
 
+def keys_of(word: str, at: int, is_pivot: bool) -> Iterator[str]:
+    """Keys that the word shares with its near words where the gram at a position is unchanged: a pivot's for the words sought, or a prefix gram's for the word found.
+
+    The edit is behind the gram or before it. So all before it, or all behind it, is unchanged with the gram: that
+    part, its side and the length of the word found fix the gram's position. A short part is shared by many words. It
+    gets company: with h half the rest of the shorter word, the h code points of the rest that touch the part are
+    unchanged, or all of the shorter rest but h at the other end.
+    """
+    size = len(word)
+    for side, part, rest in (("<", word[: at + 2], word[at + 2 :]), (">", word[at:], word[:at][::-1])):
+        for other in (size - 1, size, size + 1):
+            found = other if is_pivot else size
+            if len(part) >= SHORT:
+                if is_pivot or other == size:
+                    yield f"{side}{found}{part}"
+                continue
+            shorter = min(size, other) - len(part)
+            if shorter < 0:
+                continue
+            half, lengths = shorter // 2, f"{found}:{size if is_pivot else other}"
+            yield f"{side}{lengths}{part}+{rest[:half]}"
+            yield f"{side}{lengths}{part}-{rest[len(rest) - (shorter - half) :]}"
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """Columns a, b, n_a, n_b: every pair of words (a < b) that one inserted, deleted or replaced code point tells apart, once.
 
@@ -70,8 +96,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     Of two disjoint grams an edit leaves one whole. So of two near words, the one whose prefix ends at the smaller
     rank has a pivot that is in the other's prefix, with everything before it or everything behind it unchanged, and
-    shifted by no more than the difference in length. Index keys say just that: the unchanged part up to and with the
-    gram, its side, and the other word's length, which together fix the gram's position. Candidates are verified.
+    shifted by no more than the difference in length. keys_of() has keys that say just that. Candidates are verified.
     """
     pieces = F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
     counted = sorted((n, gram) for gram, n in words.select(F.explode(pieces).alias("gram")).groupBy("gram").count().collect())
@@ -84,18 +109,16 @@ def near_pairs(words: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 head, chosen = grams_of(word, order)
-                last, size = head[-1][1], len(word)
-                for is_pivot, grams, lengths in ((True, chosen, (size - 1, size, size + 1)), (False, head, (size,))):
-                    for _, _, at in grams:
-                        for left, piece in ((True, word[: at + 2]), (False, word[at:])):
-                            out += [(word, n, is_pivot, left, piece, length, last) for length in lengths]
+                for is_pivot, grams in ((True, chosen), (False, head)):
+                    out += [(key, word, n, is_pivot, head[-1][1]) for _, _, at in grams for key in keys_of(word, at, is_pivot)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["word", "n", "pivot", "left", "piece", "length", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["key", "word", "n", "pivot", "last"])
 
-    index = materialised(words.select("word", "n").mapInArrow(run, "word string, n long, pivot boolean, left boolean, piece string, length long, last long"), "grams")
-    one = index.where("pivot").select("left", "piece", "length", F.col("word").alias("w"), F.col("n").alias("n_w"), F.col("last").alias("end_w"))
-    other = index.where("not pivot").select("left", "piece", "length", F.col("word").alias("v"), F.col("n").alias("n_v"), F.col("last").alias("end_v"))
-    met = one.join(other, ["left", "piece", "length"]).where((F.col("end_w") <= F.col("end_v")) & (F.col("w") != F.col("v")) & (F.levenshtein("w", "v", 1) == 1))
+    found = words.select("word", "n").mapInArrow(run, "key string, word string, n long, pivot boolean, last long")
+    index = materialised(found.withColumn("key", F.xxhash64("key")), "grams")  # keys that collide only make candidates
+    one = index.where("pivot").select("key", F.col("word").alias("w"), F.col("n").alias("n_w"), F.col("last").alias("end_w"))
+    other = index.where("not pivot").select("key", F.col("word").alias("v"), F.col("n").alias("n_v"), F.col("last").alias("end_v"))
+    met = one.join(other, "key").where((F.col("end_w") <= F.col("end_v")) & (F.col("w") != F.col("v")) & (F.levenshtein("w", "v", 1) == 1))
     first = F.col("w") < F.col("v")
     return met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("a", "w", "v"), ("b", "v", "w"), ("n_a", "n_w", "n_v"), ("n_b", "n_v", "n_w")))).distinct()
 
