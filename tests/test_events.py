@@ -7,7 +7,7 @@ import pytest
 
 from tideline.functions.rules import classify, enrich
 from tideline.operators.events import build_events, iso
-from tideline.operators.temporal import MINUTE
+
 
 
 def expected(post_id, received):
@@ -49,7 +49,7 @@ def expected(post_id, received):
 def built(spark):
     """Post b comes in two versions under one id, one post has no time, and two have too few bars after them."""
     rows = [*market.POSTS, ("b", "09:10:10", "A deal will come, growth! (edited)"), ("x", None, "never received"), *market.LATE]
-    events, skipped = build_events(market.posts(spark, rows), market.bars(spark), market.calendar(spark), width=20 * MINUTE)
+    events, skipped = build_events(market.posts(spark, rows), market.bars(spark), market.calendar(spark))
     return events.collect(), skipped.collect()
 
 

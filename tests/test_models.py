@@ -6,7 +6,6 @@ import pytest
 
 from tideline.models import baselines
 from tideline.operators import metrics, reports, risk, tuning
-from tideline.operators.temporal import MINUTE
 
 START = datetime(2025, 2, 3)
 SMALL = {"features": 20, "trees": 3, "epochs": 60, "steps": 15}
@@ -44,7 +43,7 @@ def test_one_class_gives_the_majority(labelled):
 
 
 def test_comparison_and_save(labelled, tmp_path):
-    rows = baselines.compare(labelled, width=1440 * MINUTE, models=["tfidf_logreg"], save=lambda name, m: m.write().overwrite().save(str(tmp_path / name)), **SMALL)
+    rows = baselines.compare(labelled, models=["tfidf_logreg"], save=lambda name, m: m.write().overwrite().save(str(tmp_path / name)), **SMALL)
     got = {r["model"]: r for r in rows.collect()}
     assert set(got) == {"naive", "rules", "tfidf_logreg"} and all(r["n"] == 21 for r in got.values())
     assert got["rules"]["accuracy"] == round(7 / 21, 6) and got["tfidf_logreg"]["accuracy"] > 0.9
@@ -69,7 +68,7 @@ def test_folds(spark, args):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)] + [(99, None)], "event_id int, received_at_utc timestamp")
     first, test, step, embargo, purge = args
     times = sorted(times)
-    folds, rows = metrics.walk_forward_folds(df, ["received_at_utc", "event_id"], "received_at_utc", width=240 * MINUTE, first_train=first, test_rows=test, step=step, embargo_rows=embargo, purge_minutes=purge)
+    folds, rows = metrics.walk_forward_folds(df, ["received_at_utc", "event_id"], "received_at_utc", first_train=first, test_rows=test, step=step, embargo_rows=embargo, purge_minutes=purge)
     want = _folds(times, *args)
     assert sorted((r["fold"], r["test_start"], r["test_end"], r["train_rows"]) for r in folds.collect()) == want
     tests = metrics.fold_tests(rows, folds, first_train=first, test_rows=test, step=step, embargo_rows=embargo)
@@ -78,7 +77,7 @@ def test_folds(spark, args):
 
 
 def test_walk_forward_and_summary(labelled):
-    options = {"width": 1440 * MINUTE, "first_train": 30, "test_rows": 10, "step": 10, "models": ("tfidf_logreg",)}
+    options = {"first_train": 30, "test_rows": 10, "step": 10, "models": ("tfidf_logreg",)}
     found = baselines.walk_forward(labelled, **options, features=20)
     rows = {r["model"]: r for r in metrics.walk_forward_summary(found, ["down", "none", "up"]).collect()}
     assert set(rows) == {"naive", "rules", "tfidf_logreg"} and rows["tfidf_logreg"]["folds"] == 3 and rows["tfidf_logreg"]["n"] == 29

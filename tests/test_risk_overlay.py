@@ -6,12 +6,11 @@ from tideline.functions.rules import classify
 from tideline.operators import overlay, risk, signals, study
 from tideline.operators.events import build_events
 from tideline.operators.labels import agreement, audit_reviews, check_reviews, label_queue, review_counts
-from tideline.operators.temporal import MINUTE
 
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    events, _ = build_events(market.posts(spark), market.bars(spark), market.calendar(spark), width=20 * MINUTE)
+    events, _ = build_events(market.posts(spark), market.bars(spark), market.calendar(spark))
     out = risk.score(classify(events)).persist()
     yield out
     out.unpersist()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import risk
 from tideline.operators.events import clusters
-from tideline.operators.temporal import MINUTE, forward_asof
+from tideline.operators.temporal import forward_asof
 
 START = datetime(2025, 1, 1)
 LABELS = ["bullish_market", "bearish_market", "geopolitical_risk", "neutral"]
@@ -36,7 +36,7 @@ def frame(spark, rows):
 
 def test_asof(spark, rows, frame):
     right = [(START + timedelta(hours=h),) for h in (1, 5, 6, 30, 31, 70)]
-    out = forward_asof(frame.select("n", "received_at_utc"), spark.createDataFrame(right, "ts timestamp"), "received_at_utc", "ts", width=60 * MINUTE)
+    out = forward_asof(frame.select("n", "received_at_utc"), spark.createDataFrame(right, "ts timestamp"), "received_at_utc", "ts")
     got = {r["n"]: r["match"] and r["match"]["ts"] for r in out.collect()}
     assert got == {n: next((t for (t,) in right if time and t >= time), None) for n, _, time, *_ in rows}
 

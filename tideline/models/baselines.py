@@ -133,9 +133,9 @@ def predictions(train: DataFrame, test: DataFrame, models: list[str], options: d
     return reduce(DataFrame.unionByName, out)
 
 
-def compare(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, width: int, test_share: float = 0.35, models: list[str] | None = None, save: Callable[[str, PipelineModel], None] | None = None, **options) -> DataFrame:
+def compare(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, test_share: float = 0.35, models: list[str] | None = None, save: Callable[[str, PipelineModel], None] | None = None, **options) -> DataFrame:
     """Model comparison on the chronological split: position, model, status, n, accuracy, macro_f1 of each; save gets every fitted pipeline."""
-    split = metrics.chronological_split(df, order or [ts, "event_id"], ts, test_share, width=width).checkpoint()
+    split = metrics.chronological_split(df, order or [ts, "event_id"], ts, test_share).checkpoint()
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     names = models if models is not None else MODELS
     if save:
@@ -148,9 +148,9 @@ def compare(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | No
     return metrics.summary_metrics(found, ["model"], labels).select(at.alias("position"), "model", F.lit("trained").alias("status"), "n", "accuracy", "macro_f1")
 
 
-def walk_forward(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, width: int, max_folds: int = 50, models: tuple[str, ...] = ("tfidf_logreg", "tfidf_linear_svm"), first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30, **options) -> DataFrame:
+def walk_forward(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, max_folds: int = 50, models: tuple[str, ...] = ("tfidf_logreg", "tfidf_linear_svm"), first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30, **options) -> DataFrame:
     """(model, fold, actual, predicted) of all folds. A fold costs a fit of each model: more than max_folds are an error, choose a longer step."""
-    folds, rows = metrics.walk_forward_folds(df, order or [ts, "event_id"], ts, width=width, first_train=first_train, test_rows=test_rows, step=step, embargo_rows=embargo_rows, purge_minutes=purge_minutes)
+    folds, rows = metrics.walk_forward_folds(df, order or [ts, "event_id"], ts, first_train=first_train, test_rows=test_rows, step=step, embargo_rows=embargo_rows, purge_minutes=purge_minutes)
     plan = folds.orderBy("fold").limit(max_folds + 1).collect()
     if len(plan) > max_folds:
         raise ValueError(f"more than {max_folds} folds")

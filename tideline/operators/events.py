@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .temporal import MINUTE, cut, forward_asof, keyed, neighbours, pairs_within, running, timed, with_untimed
+from ..functions.time import iso
+from .temporal import MINUTE, cut, filled, first_after, forward_asof, keyed, neighbours, ranged, running, shifted, timed
+from .tiles import fold, levels_for, over_ranges
 
 SETTINGS = Settings()
 
@@ -15,17 +17,6 @@ def minutes(n: int) -> Column:
     return F.expr(f"make_dt_interval(0, 0, {n}, 0)")
 
 
-def iso(ts: Column) -> Column:
-    """The instant in UTC as ISO text, whatever the session's zone; a fraction has six digits, none is left out."""
-    micros = F.unix_micros(ts)
-    seconds = F.floor(micros / 1_000_000).cast("long")
-    fraction = F.pmod(micros, F.lit(1_000_000))
-    day, inside = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds, F.lit(86_400)).cast("int")
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
-    rest = F.when(fraction == 0, "").otherwise(F.format_string(".%06d", fraction))
-    return F.when(ts.isNotNull(), F.format_string("%sT%02d:%02d:%02d%s+00:00", date, F.floor(inside / 3600).cast("int"), F.floor(inside / 60).cast("int") % 60, inside % 60, rest))
-
-
 def event_id(post_id: str = "post_id", ts: str = "aligned_bar_ts_utc") -> Column:
     """First 16 hex digits of the SHA-256 of post and bar time."""
     return F.substring(F.sha2(F.concat_ws("|", F.col(post_id), iso(F.col(ts))), 256), 1, 16)
@@ -49,79 +40,114 @@ def valid_bars(bars: DataFrame) -> DataFrame:
     return bars.where("is_valid_bar") if "is_valid_bar" in bars.columns else bars
 
 
-def align(posts: DataFrame, bars: DataFrame, *, width: int = 240 * MINUTE) -> DataFrame:
+def indexed(bars: DataFrame) -> DataFrame:
+    """Valid bars with idx, their position in order of time (then of prices), and step: the change of close from the bar before."""
+    order = ["ts_open_utc", "open", "high", "low", "close"]
+    rows = ranged(valid_bars(bars).select(*order).where("ts_open_utc is not null"), order)
+    rows = running(shifted(rows, order, {"_close": F.col("close")}), order, {"_n": F.lit(1)})
+    return cut(rows.select(*order, (F.col("_n") - 1).alias("idx"), (F.col("close") - F.col("_close")).alias("step")))
+
+
+def align(posts: DataFrame, bars: DataFrame) -> DataFrame:
     """Posts with aligned_bar_ts_utc and base_price of the first valid bar at or after received_at_utc; null where none is."""
     slim = valid_bars(bars).select("ts_open_utc", "open")
-    out = forward_asof(posts, slim, "received_at_utc", "ts_open_utc", width=width, name="_bar")
+    out = forward_asof(posts, slim, "received_at_utc", "ts_open_utc", name="_bar")
     return out.withColumns({"aligned_bar_ts_utc": F.col("_bar.ts_open_utc"), "base_price": F.col("_bar.open")}).drop("_bar")
 
 
-def horizon_bars(aligned: DataFrame, bars: DataFrame, horizons: tuple[int, ...], *, width: int = 240 * MINUTE, key: str = "post_id") -> DataFrame:
-    """One row per event (a value of key) and horizon (minutes): target_ts and target_close of the first bar at or after the horizon's end."""
-    slim = valid_bars(bars).select("ts_open_utc", "close")
-    each = aligned.select(key, "aligned_bar_ts_utc", "base_price", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
-    each = each.withColumn("_at", F.timestamp_micros(F.unix_micros("aligned_bar_ts_utc") + F.col("horizon").cast("long") * MINUTE))
-    out = forward_asof(each, slim, "_at", "ts_open_utc", width=width, name="_bar")
-    return out.withColumns({"target_ts": F.col("_bar.ts_open_utc"), "target_close": F.col("_bar.close")}).drop("_bar", "_at")
-
-
-def window_targets(targets: DataFrame, bars: DataFrame, s: Settings = SETTINGS, *, width: int | None = None, key: str = "post_id") -> DataFrame:
-    """Delta, direction, excursions, range and volatility in ticks per event and horizon, from the bars between both ends."""
-    width = width or max(s.horizons) * MINUTE
-    slim = valid_bars(bars).select("ts_open_utc", "high", "low", "close")
-    pairs = pairs_within(targets.where("target_ts is not null"), slim, start=F.col("aligned_bar_ts_utc"), end=F.col("target_ts"), right_ts="ts_open_utc", width=width)
-    tick = F.lit(s.tick_size)
-    path = F.array_sort(F.collect_list(F.struct(F.col("other.ts_open_utc").alias("ts"), F.col("other.close").alias("close"))))
-    got = pairs.groupBy(key, "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "target_close").agg(F.max("other.high").alias("_high"), F.min("other.low").alias("_low"), path.alias("_path"))
-    closes = F.transform("_path", lambda x: x["close"])
-    steps = F.zip_with(F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(0))), F.slice(closes, 1, F.greatest(F.size(closes) - 1, F.lit(0))), lambda b, a: (b - a) / tick)
-    delta = F.round((F.col("target_close") - F.col("base_price")) / tick, 4)
-    return got.withColumn("delta_ticks", delta).select(
-        key, "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "delta_ticks",
-        direction(F.col("delta_ticks"), s.flat_ticks).alias("direction"),
-        F.round(F.greatest((F.col("_high") - F.col("base_price")) / tick, F.lit(0.0)), 4).alias("mfe_ticks"),
-        F.round(F.greatest((F.col("base_price") - F.col("_low")) / tick, F.lit(0.0)), 4).alias("mae_ticks"),
-        F.round((F.col("_high") - F.col("_low")) / tick, 4).alias("range_ticks"),
-        F.round(F.sqrt(F.aggregate(steps, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("volatility_ticks"),
-    )
+def _whipsaw_flag(s: Settings) -> Column:
+    """A first move of enough ticks, reversed within the window. The larger side of the first minutes decides (up on ties)."""
+    up, down = (F.col("first.high") - F.col("open")) / s.tick_size, (F.col("open") - F.col("first.low")) / s.tick_size
+    move = F.greatest(up, down)
+    reversal = F.when(up >= down, F.col("whole.high") - F.col("after_top.low")).otherwise(F.col("after_bottom.high") - F.col("whole.low")) / s.tick_size
+    return (move >= s.whipsaw_initial_ticks) & (reversal >= F.greatest(move * s.whipsaw_reversal_share, F.lit(s.whipsaw_reversal_ticks)))
 
 
-def whipsaw(aligned: DataFrame, bars: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
-    """key and market_whipsaw_flag: a first move of enough ticks, reversed within the window.
+def bar_moves(bars: DataFrame, starts: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """For each bar of `starts` (of the indexed() bars; each once): its columns, moves and market_whipsaw_flag.
 
-    The larger side of the first minutes decides (up on ties). The extreme is the first bar with the highest
-    high (lowest low) of the whole window; the reversal counts from that bar on.
+    What follows a post depends on the bar that it is aligned with alone. moves is an array of structs (horizon,
+    target_ts, target_close, high, low, squares): the first bar at or after each horizon's end, null where none is,
+    and the extremes and the sum of squared steps from the bar to that one. The flag is for the bars within the
+    window: its extreme is the first bar with the highest high (lowest low), the reversal counts from that bar on.
+    Windows are answered by tiles of bars, as many as the logarithm of their length.
     """
-    slim = valid_bars(bars).select("ts_open_utc", "high", "low")
-    end = F.timestamp_micros(F.unix_micros("aligned_bar_ts_utc") + s.whipsaw_minutes * MINUTE)
-    pairs = pairs_within(aligned.select(key, "aligned_bar_ts_utc", "base_price"), slim, start=F.col("aligned_bar_ts_utc"), end=end, right_ts="ts_open_utc", width=s.whipsaw_minutes * MINUTE)
-    early = F.unix_micros("other.ts_open_utc") <= F.unix_micros("aligned_bar_ts_utc") + s.whipsaw_first_minutes * MINUTE
-    got = pairs.groupBy(key, "base_price").agg(
-        F.max(F.when(early, F.col("other.high"))).alias("_high"),
-        F.min(F.when(early, F.col("other.low"))).alias("_low"),
-        F.array_sort(F.collect_list(F.struct(F.col("other.ts_open_utc").alias("ts"), F.col("other.high").alias("high"), F.col("other.low").alias("low")))).alias("_path"),
-    )
-    highs, lows = F.transform("_path", lambda x: x["high"]), F.transform("_path", lambda x: x["low"])
-    rest = lambda values, at: F.slice(values, at.cast("int"), F.size(values))
-    down_from = F.array_max(highs) - F.array_min(rest(lows, F.array_position(highs, F.array_max(highs))))
-    up_from = F.array_max(rest(highs, F.array_position(lows, F.array_min(lows)))) - F.array_min(lows)
-    up, down = (F.col("_high") - F.col("base_price")) / s.tick_size, (F.col("base_price") - F.col("_low")) / s.tick_size
-    move = F.greatest(up, down)
-    reversal = F.when(up >= down, down_from).otherwise(up_from) / s.tick_size
-    flag = (move >= s.whipsaw_initial_ticks) & (reversal >= F.greatest(move * s.whipsaw_reversal_share, F.lit(s.whipsaw_reversal_ticks)))
-    return got.select(key, flag.alias("market_whipsaw_flag"))
+    count = bars.count()
+    micros, kinds = F.unix_micros("ts_open_utc"), [*s.horizons, -1, -2]
+    # the first minutes (-1) and the whole window (-2) end before the first bar later than their end
+    ends = [micros + h * MINUTE for h in s.horizons] + [micros + s.whipsaw_first_minutes * MINUTE + 1, micros + s.whipsaw_minutes * MINUTE + 1]
+    asks = starts.select("idx", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), e.alias("end")) for k, e in zip(kinds, ends, strict=True)))).alias("x")).select("idx", "x.*")
+    points = bars.select(micros.alias("at"), "idx", "ts_open_utc", "close")
+    found = first_after(asks, points, keys=["idx", "kind"], at="end", point_at="at", tie="idx")
+    hi = F.when(F.col("kind") > 0, F.col("match.idx")).otherwise(F.coalesce(F.col("match.idx") - 1, F.lit(count - 1)))
+    # the first bar has no step in its window, so that it is left out of the tiles
+    windows = cut(found.select("idx", "kind", "match", (F.col("idx") + 1).alias("lo"), hi.alias("hi")))
+    levels = levels_for(windows)
+    tiles = cut(fold(bars, "idx", levels, {"high": F.max("high"), "low": F.min("low"), "top": F.min(F.struct(-F.col("high"), "idx")), "bottom": F.min(F.struct("low", "idx")), "squares": F.sum(F.col("step") * F.col("step"))}))
+    extremes = {"high": F.max("high"), "low": F.min("low"), "top": F.min("top"), "bottom": F.min("bottom"), "squares": F.sum("squares")}
+    within = over_ranges(windows.where("hi is not null"), ["idx", "kind"], tiles, levels, extremes)
+    top, bottom = F.least(F.struct(-F.col("b.high"), F.col("b.idx")), F.col("w.top")), F.least(F.struct(F.col("b.low"), F.col("b.idx")), F.col("w.bottom"))
+    first = starts.alias("b").join(windows.alias("q"), F.col("b.idx") == F.col("q.idx")).join(within.alias("w"), (F.col("q.idx") == F.col("w.idx")) & (F.col("q.kind") == F.col("w.kind")), "left")
+    first = cut(first.select("b.idx", "q.kind", "q.match", "q.hi", F.greatest("b.high", "w.high").alias("high"), F.least("b.low", "w.low").alias("low"), top["idx"].alias("top"), bottom["idx"].alias("bottom"), F.coalesce("w.squares", F.lit(0.0)).alias("squares")))
+    whole = first.where("kind = -2")
+    turns = whole.select("idx", F.explode(F.array(F.struct(F.lit("top").alias("from"), F.col("top").alias("lo")), F.struct(F.lit("bottom").alias("from"), F.col("bottom").alias("lo")))).alias("x"), "hi").select("idx", "x.*", "hi")
+    after = over_ranges(turns, ["idx", "from"], tiles, levels, {"high": F.max("high"), "low": F.min("low")})
+    pick = lambda when: F.max(F.when(when, F.struct("high", "low")))
+    after = after.groupBy("idx").agg(pick(F.col("from") == "top").alias("after_top"), pick(F.col("from") == "bottom").alias("after_bottom"))
+    horizon = F.col("kind") > 0
+    move = F.struct(F.col("kind").alias("horizon"), F.col("match.ts_open_utc").alias("target_ts"), F.col("match.close").alias("target_close"), "high", "low", "squares")
+    moves = first.groupBy("idx").agg(F.array_sort(F.collect_list(F.when(horizon, move))).alias("moves"), pick(F.col("kind") == -1).alias("first"), pick(F.col("kind") == -2).alias("whole"))
+    out = starts.join(moves, "idx").join(after, "idx").withColumn("market_whipsaw_flag", _whipsaw_flag(s))
+    return out.drop("first", "whole", "after_top", "after_bottom")
+
+
+def post_moves(posts: DataFrame, bars: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
+    """key (it tells posts apart), aligned_bar_ts_utc, base_price, moves and market_whipsaw_flag (as bar_moves() has them) of posts with a bar after them.
+
+    Posts find their bar by a scan, and then what follows that bar by a second one over the bars in use: no task gets
+    all posts of one bar.
+    """
+    bars = indexed(bars)
+    slim = timed(posts.select(key, "received_at_utc"), "received_at_utc")[0].withColumn("_at", F.unix_micros("received_at_utc"))
+    points = bars.withColumn("_at", F.unix_micros("ts_open_utc"))
+    starts = cut(first_after(slim, points, keys=[key], at="_at", point_at="_at", tie="idx").where("match is not null").select("match.*").drop("_at").distinct())
+    ready = bar_moves(bars, starts, s).withColumn("_at", F.unix_micros("ts_open_utc"))
+    out = first_after(slim, ready, keys=[key], at="_at", point_at="_at").where("match is not null")
+    return out.select(key, F.col("match.ts_open_utc").alias("aligned_bar_ts_utc"), F.col("match.open").alias("base_price"), "match.moves", "match.market_whipsaw_flag")
+
 
+def horizon_targets(moves: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
+    """One row per post and horizon (minutes) of post_moves(): target_ts, target_close and the move in ticks; null where no bar is at or after the horizon's end."""
+    long = moves.select(key, "aligned_bar_ts_utc", "base_price", F.explode("moves").alias("_m")).select(key, "aligned_bar_ts_utc", "base_price", "_m.*")
+    return long.withColumn("delta_ticks", F.round((F.col("target_close") - F.col("base_price")) / s.tick_size, 4))
 
-def macro_context(posts: DataFrame, calendar: DataFrame, s: Settings = SETTINGS, *, width: int = 24 * 60 * MINUTE) -> DataFrame:
+
+def window_targets(moves: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
+    """Delta, direction, excursions, range and volatility in ticks per post and horizon that has a target."""
+    tick, base = F.lit(s.tick_size), F.col("base_price")
+    return horizon_targets(moves, s, key=key).where("target_ts is not null").select(
+        key, "horizon", "aligned_bar_ts_utc", "base_price", "target_ts", "delta_ticks",
+        direction(F.col("delta_ticks"), s.flat_ticks).alias("direction"),
+        F.round(F.greatest((F.col("high") - base) / tick, F.lit(0.0)), 4).alias("mfe_ticks"),
+        F.round(F.greatest((base - F.col("low")) / tick, F.lit(0.0)), 4).alias("mae_ticks"),
+        F.round((F.col("high") - F.col("low")) / tick, 4).alias("range_ticks"),
+        F.round(F.sqrt("squares") / tick, 4).alias("volatility_ticks"),
+    )
+
+
+def macro_context(posts: DataFrame, calendar: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Adds the nearest calendar event on either side (the earlier on ties), signed minutes to it, and the blackout flag.
 
-    Nearest is the closer of the next event at or after the post and the last at or before it: two as-of joins.
+    Nearest is the closer of the next event at or after the post and the last at or before it: one scan each way.
     """
     slim = calendar.groupBy("scheduled_at_utc").agg(F.min_by(F.struct("event_id", "event_type", "importance"), "event_id").alias("what"))
     slim = slim.select("scheduled_at_utc", F.col("what.event_id").alias("macro_id"), F.col("what.event_type").alias("macro_type"), F.col("what.importance").alias("macro_importance"))
-    mirror = lambda c: F.timestamp_micros(-F.unix_micros(c))
-    after = forward_asof(posts, slim, "received_at_utc", "scheduled_at_utc", width=width, name="_after")
-    back = forward_asof(after.withColumn("_mirror", mirror("received_at_utc")), slim.withColumn("_at", mirror("scheduled_at_utc")), "_mirror", "_at", width=width, name="_before")
+    posts = keyed(posts, "_macro")
+    at = F.unix_micros("received_at_utc")
+    asks, events = posts.select("_macro", at.alias("_at"), (-at).alias("_back")), slim.withColumns({"_at": F.unix_micros("scheduled_at_utc"), "_back": -F.unix_micros("scheduled_at_utc")})
+    after = first_after(asks, events, keys=["_macro"], at="_at", point_at="_at", name="_after")
+    before = first_after(asks, events, keys=["_macro"], at="_back", point_at="_back", name="_before")
+    back = posts.join(after, "_macro", "left").join(before, "_macro", "left")
     gap = lambda c: F.unix_micros(c) - F.unix_micros("received_at_utc")
     a, b = gap("_after.scheduled_at_utc"), gap("_before.scheduled_at_utc")
     near = F.when(b.isNull() | (F.abs(a) < F.abs(b)), F.struct("_after.macro_id", "_after.macro_type", "_after.macro_importance", a.alias("gap")))
@@ -135,20 +161,19 @@ def macro_context(posts: DataFrame, calendar: DataFrame, s: Settings = SETTINGS,
             "minutes_to_nearest_macro_event": F.round(m, 4),
             "is_macro_blackout": F.coalesce((m >= -s.blackout_after) & (m <= s.blackout_before), F.lit(False)),
         }
-    ).drop("_near", "_after", "_before", "_mirror")
+    ).drop("_near", "_after", "_before", "_macro")
 
 
-def clusters(events: DataFrame, s: Settings = SETTINGS, *, width: int = 24 * 60 * MINUTE) -> DataFrame:
+def clusters(events: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Gaps, overlap flags and clusters of events whose gap is at most the longest horizon.
 
-    Cluster numbers come from a running count of gaps over buckets; sizes and positions from the clusters. Events
-    without a time are in no cluster.
+    A cluster's number, first event and size come from scans over times and ids, one each way: the first event is
+    carried forward, and the place of the next cluster's first event back. Events without a time are in no cluster.
     """
-    gap, order = max(s.horizons) * MINUTE, ["received_at_utc", "post_id", "event_id"]
-    events, rest = timed(events, "received_at_utc")
-    near = neighbours(events, order, "received_at_utc", width=width)
+    gap, order, events = max(s.horizons) * MINUTE, ["received_at_utc", "post_id", "event_id", "_place"], keyed(events, "_place")
+    rows = neighbours(ranged(timed(events.select(*order), "received_at_utc")[0], order), order, "received_at_utc")
     since, until = F.unix_micros("received_at_utc") - F.unix_micros("previous_ts"), F.unix_micros("next_ts") - F.unix_micros("received_at_utc")
-    near = near.withColumns(
+    near = rows.withColumns(
         {
             "minutes_since_previous_event": F.round(since / MINUTE, 4),
             "minutes_until_next_event": F.round(until / MINUTE, 4),
@@ -156,40 +181,37 @@ def clusters(events: DataFrame, s: Settings = SETTINGS, *, width: int = 24 * 60
             "overlaps_next_event_window": F.coalesce(until <= gap, F.lit(False)),
         }
     )
-    starts = {"event_cluster_number": F.when(F.col("overlaps_prior_event_window"), 0).otherwise(1), "_index": F.lit(1)}
-    numbered = running(near, order, "received_at_utc", starts, width=width)
-    first = F.min(F.struct("received_at_utc", "post_id", "event_id"))
-    sizes = numbered.groupBy("event_cluster_number").agg(F.count("*").alias("event_cluster_size"), F.min("_index").alias("_first_index"), first.alias("_first"))
+    begins = ~F.col("overlaps_prior_event_window")
+    numbered = cut(running(near, order, {"event_cluster_number": F.when(begins, 1).otherwise(0), "_index": F.lit(1)}))
+    begun = filled(numbered, order, {"_first": F.when(begins, F.struct("event_id", "received_at_utc", "_index"))})
+    ended = filled(begun, order, {"_last": F.when(~F.col("overlaps_next_event_window"), F.col("_index"))}, backward=True)
     name = F.concat_ws("|", F.lit("cluster"), F.col("_first.event_id"), iso(F.col("_first.received_at_utc")), F.lit(str(max(s.horizons))))
-    out = numbered.join(sizes, "event_cluster_number").withColumns(
-        {
-            "event_cluster_position": F.col("_index") - F.col("_first_index"),
-            "event_cluster_id": F.substring(F.sha2(name, 256), 1, 16),
-            "is_isolated_event": F.col("event_cluster_size") == 1,
-            "is_burst_event": F.col("event_cluster_size") > 1,
-        }
-    )
-    return with_untimed(out.drop("_index", "_first_index", "_first", "previous_ts", "next_ts"), rest)
+    size = F.col("_last") - F.col("_first._index") + 1
+    out = ended.select(
+        "_place", "minutes_since_previous_event", "minutes_until_next_event", "overlaps_prior_event_window", "overlaps_next_event_window", "event_cluster_number",
+        size.alias("event_cluster_size"), (F.col("_index") - F.col("_first._index")).alias("event_cluster_position"), F.substring(F.sha2(name, 256), 1, 16).alias("event_cluster_id"),
+        (size == 1).alias("is_isolated_event"), (size > 1).alias("is_burst_event"),
+    )
+    return events.join(out, "_place", "left").drop("_place")
 
 
-def build_events(posts: DataFrame, bars: DataFrame, calendar: DataFrame | None = None, s: Settings = SETTINGS, *, width: int = 240 * MINUTE) -> tuple[DataFrame, DataFrame]:
+def build_events(posts: DataFrame, bars: DataFrame, calendar: DataFrame | None = None, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
     """Events with all targets, and (post_id, reason) of posts left out.
 
     Every row of posts is a post: ids may be repeated (edited posts) or null. A post without a time, without a bar
     after it, or without a bar at or after each horizon's end, gives no event.
     """
-    aligned, bars = keyed(align(posts, bars, width=width)), cut(bars)
-    found = aligned.where("aligned_bar_ts_utc is not null")
-    long = window_targets(horizon_bars(found, bars, s.horizons, width=width, key="_row"), bars, s, key="_row")
+    posts = keyed(posts)
+    moves = cut(post_moves(posts, bars, s, key="_row"))
     names = {"delta_ticks": "nq_delta_{}m_ticks", "direction": "nq_direction_{}m", "mfe_ticks": "max_favourable_excursion_{}m_ticks", "mae_ticks": "max_adverse_excursion_{}m_ticks", "range_ticks": "realised_range_{}m_ticks", "volatility_ticks": "realised_volatility_{}m_ticks"}
+    long = window_targets(moves, s, key="_row")
     wide = long.groupBy("_row").agg(F.count("*").alias("_n"), *(F.max(F.when(F.col("horizon") == h, F.col(k))).alias(v.format(h)) for h in s.horizons for k, v in names.items()))
-    whole = wide.where(F.col("_n") == len(s.horizons)).drop("_n").join(whipsaw(found, bars, s, key="_row"), "_row")
-    events = found.join(whole, "_row").withColumn("event_id", event_id())
+    whole = wide.where(F.col("_n") == len(s.horizons)).drop("_n").join(moves.drop("moves"), "_row")
     middle, last = s.horizons[len(s.horizons) // 2], s.horizons[-1]
     label = tradeability(F.col("market_whipsaw_flag"), F.col(f"realised_range_{last}m_ticks"), F.col(f"nq_delta_{middle}m_ticks"), F.col(f"nq_delta_{last}m_ticks"))
-    events = cut(events.withColumn("tradeability_label", label))
-    if calendar is not None:
-        events = cut(macro_context(events, calendar, s))
+    events = cut(posts.join(whole, "_row").withColumn("event_id", event_id()).withColumn("tradeability_label", label))
     reason = F.when(F.col("received_at_utc").isNull(), "no_received_at").when(F.col("aligned_bar_ts_utc").isNull(), "no_market_bar_after_received_at").otherwise("insufficient_forward_bars")
-    skipped = aligned.join(events.select("_row"), "_row", "left_anti").select("post_id", reason.alias("reason"))
+    skipped = posts.join(moves.select("_row", "aligned_bar_ts_utc"), "_row", "left").join(events.select("_row"), "_row", "left_anti").select("post_id", reason.alias("reason"))
+    if calendar is not None:
+        events = macro_context(events, calendar, s)
     return clusters(events, s).drop("_row"), skipped

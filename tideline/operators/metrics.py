@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import cut, forward_asof, running
+from .temporal import cut, forward_asof, keyed, ranged, running, timed
 
 
 def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -78,20 +78,24 @@ def majority(df: DataFrame, label: str = "actual") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), F.col(label).alias("label"))).alias("m")).select("m.label")
 
 
-def row_index(df: DataFrame, order: list[str], ts: str, *, width: int) -> DataFrame:
+def row_index(df: DataFrame, order: list[str], ts: str) -> DataFrame:
     """0-based position in time order, without a global window; null for rows without a time."""
-    return running(df, order, ts, {"_index": F.lit(1)}, width=width).withColumn("row_index", F.col("_index") - 1).drop("_index")
+    df = keyed(df, "_place")
+    slim = timed(df.select(*dict.fromkeys([*order, ts, "_place"])), ts)[0]
+    placed = running(ranged(slim, [*order, "_place"]), [*order, "_place"], {"_n": F.lit(1)}).select("_place", (F.col("_n") - 1).alias("row_index"))
+    return df.join(placed, "_place", "left").drop("_place")
 
 
-def chronological_split(df: DataFrame, order: list[str], ts: str, test_share: float = 0.35, *, width: int) -> DataFrame:
+def chronological_split(df: DataFrame, order: list[str], ts: str, test_share: float = 0.35) -> DataFrame:
     """Adds split: of the n rows with a time, the first max(1, floor(n (1 - share))) train, the rest test; null without a time."""
+    df = keyed(df, "_place")
     n = df.where(F.col(ts).isNotNull()).count()
     first = max(1, int(n * (1 - test_share)))
     at = F.col("row_index")
-    return row_index(df, order, ts, width=width).withColumn("split", F.when(at < first, "train").when(at >= first, "test"))
+    return row_index(df, order, ts).withColumn("split", F.when(at < first, "train").when(at >= first, "test"))
 
 
-def walk_forward_folds(df: DataFrame, order: list[str], ts: str, *, width: int, first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30) -> tuple[DataFrame, DataFrame]:
+def walk_forward_folds(df: DataFrame, order: list[str], ts: str, *, first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30) -> tuple[DataFrame, DataFrame]:
     """Folds (fold, test_start, test_end, test_begins, train_rows) and the rows with their row_index.
 
     Tests of test_rows rows begin every `step` rows. A fold trains on the rows with a row_index below train_rows:
@@ -99,17 +103,16 @@ def walk_forward_folds(df: DataFrame, order: list[str], ts: str, *, width: int,
     rows, so that no row is copied for the folds it trains. A fold with fewer than first_train rows is
     skipped without a number. Rows without a time are in no fold.
     """
-    rows = cut(row_index(df, order, ts, width=width))
+    rows = cut(row_index(df, order, ts))
     placed = rows.where("row_index is not null")
     n, first = placed.count(), first_train + embargo_rows
     begins = placed.where((F.col("row_index") >= first) & ((F.col("row_index") - first) % step == 0))
     begins = begins.select(F.col("row_index").alias("test_start"), F.least(F.col("row_index") + test_rows, F.lit(n)).alias("test_end"), F.col(ts).alias("test_begins"))
-    mirror = lambda micros: F.timestamp_micros(-micros)
-    ends = placed.groupBy(ts).agg((F.max("row_index") + 1).alias("upto")).select(mirror(F.unix_micros(ts)).alias("_at"), "upto")
-    begins = begins.withColumn("_cutoff", mirror(F.unix_micros("test_begins") - F.lit(purge_minutes * 60_000_000)))
-    found = forward_asof(begins, ends, "_cutoff", "_at", width=width, name="_last")
+    ends = placed.groupBy(ts).agg((F.max("row_index") + 1).alias("upto")).select((-F.unix_micros(ts)).alias("_at"), "upto")
+    begins = begins.withColumn("_cutoff", F.lit(purge_minutes * 60_000_000) - F.unix_micros("test_begins"))
+    found = forward_asof(begins, ends, "_cutoff", "_at", name="_last")
     found = found.withColumn("train_rows", F.least(F.col("test_start") - embargo_rows, F.coalesce("_last.upto", F.lit(0)))).where(F.col("train_rows") >= first_train)
-    folds = running(found, ["test_start"], "test_begins", {"fold": F.lit(1)}, width=width)
+    folds = running(ranged(found.drop("_last"), ["test_start"]), ["test_start"], {"fold": F.lit(1)})
     return folds.select("fold", "test_start", "test_end", "test_begins", "train_rows"), rows
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .temporal import MINUTE, cut, pairs_within, running, running_max
+from ..functions.time import utc_day
+from .temporal import cut, first_after, keyed, ranged, running, running_max, timed
+from .tiles import covering, levels_for, tiles_of
 
 SETTINGS = Settings()
 
@@ -21,22 +23,39 @@ def pnl(contracts: Column, s: Settings = SETTINGS, *, costs: bool) -> Column:
     return F.when(contracts <= 0, 0.0).otherwise(F.round(gross - fee if costs else gross, 4))
 
 
-def blockers(trades: DataFrame, scored: DataFrame, s: Settings = SETTINGS, *, width: int = 60 * MINUTE) -> DataFrame:
+def blockers(trades: DataFrame, scored: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Trades with the risk event that blocks them: hard before soft, then the higher score, then the smaller event id.
 
-    An event is in force from its receipt plus the latency for its time to live, both ends included.
+    An event is in force from its receipt plus the latency for its time to live, both ends included. Trades are
+    placed in order of entry; an event covers a range of places, which is made of few tiles, and a tile keeps the best
+    of the events that cover it. A trade looks at the tiles that it is in: trades and events never meet.
     """
-    risky = scored.where(F.col("whipsaw_risk_level").isin("SOFT_RISK", "HARD_KILL")).select("event_id", "received_at_utc", "whipsaw_risk_level", "whipsaw_score", "risk_ttl_seconds")
+    trades = keyed(trades, "_trade")
+    order = ["entry_ts_utc", "_trade"]
+    placed = running(ranged(timed(trades.select(*order), "entry_ts_utc")[0], order), order, {"_n": F.lit(1)})
+    placed = cut(placed.select("_trade", (F.col("_n") - 1).alias("place"), F.unix_micros("entry_ts_utc").alias("at")))
+    count = placed.count()
+    risky = scored.where(F.col("whipsaw_risk_level").isin("SOFT_RISK", "HARD_KILL")).where("received_at_utc is not null and risk_ttl_seconds is not null")
     start = F.unix_micros("received_at_utc") + s.latency_seconds * 1_000_000
-    pairs = pairs_within(risky, trades.select("trade_id", "entry_ts_utc"), start=F.timestamp_micros(start), end=F.timestamp_micros(start + F.col("risk_ttl_seconds").cast("long") * 1_000_000), right_ts="entry_ts_utc", width=width)
-    rank = F.struct(F.when(F.col("whipsaw_risk_level") == "HARD_KILL", 0).otherwise(1), -F.col("whipsaw_score"), "event_id")
-    best = pairs.groupBy(F.col("other.trade_id").alias("trade_id")).agg(F.min_by("event_id", rank).alias("blocking_event_id"), F.min_by("whipsaw_risk_level", rank).alias("blocking_risk_level"))
-    return trades.join(best, "trade_id", "left")
+    rank = F.struct(F.when(F.col("whipsaw_risk_level") == "HARD_KILL", 0).otherwise(1).alias("order"), (-F.col("whipsaw_score")).alias("score"), "event_id", "whipsaw_risk_level")
+    spans = risky.select(rank.alias("rank"), start.alias("start"), (start + F.col("risk_ttl_seconds").cast("long") * 1_000_000 + 1).alias("stop"))
+    # of events in force for the same time only the best counts
+    spans = keyed(spans.groupBy("start", "stop").agg(F.min("rank").alias("rank")), "_span")
+    asks = spans.select("_span", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("start").alias("when")), F.struct(F.lit(1).alias("end"), F.col("stop").alias("when")))).alias("x")).select("_span", "x.*")
+    found = first_after(asks, placed.select("at", "place"), keys=["_span", "end"], at="when", point_at="at", tie="place")
+    here = F.coalesce("match.place", F.lit(count))
+    ends = found.groupBy("_span").agg(F.max(F.when(F.col("end") == 0, here)).alias("lo"), (F.max(F.when(F.col("end") == 1, here)) - 1).alias("hi"))
+    ranges = cut(spans.select("_span", "rank").join(ends, "_span"))
+    levels = levels_for(ranges)
+    tiles = ranges.select("rank", F.explode(tiles_of(F.col("lo"), F.col("hi"), levels)).alias("t")).groupBy("t.level", "t.tile").agg(F.min("rank").alias("rank"))
+    best = covering(placed, "place", ["_trade"], count, cut(tiles), levels, {"rank": F.min("rank")})
+    best = best.select("_trade", F.col("rank.event_id").alias("blocking_event_id"), F.col("rank.whipsaw_risk_level").alias("blocking_risk_level"))
+    return trades.join(best, "_trade", "left").drop("_trade")
 
 
 def replay(trades: DataFrame, scored: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Trades with profit before, the decision, contracts left and profit after."""
-    out = blockers(cut(trades), scored, s)
+    out = blockers(trades, scored, s)
     hard, soft = F.col("blocking_risk_level") == "HARD_KILL", F.col("blocking_risk_level") == "SOFT_RISK"
     reduce_ = F.lit(s.soft_action == "REDUCE_SIZE")
     half = F.floor(F.col("contracts") * 0.5).cast("int")
@@ -77,19 +96,20 @@ def report(trades: DataFrame) -> DataFrame:
     )
 
 
-def equity(trades: DataFrame, pnl_column: str, s: Settings = SETTINGS, *, width: int = 24 * 60 * MINUTE) -> DataFrame:
-    """Trades with cumulative profit, equity and its running high, by exit time and trade id."""
-    order = ["exit_ts_utc", "trade_id"]
-    out = running(trades, order, "exit_ts_utc", {"cumulative_pnl": F.col(pnl_column)}, width=width)
-    out = out.withColumn("equity", F.lit(s.starting_balance) + F.col("cumulative_pnl"))
-    return running_max(out, order, "exit_ts_utc", "equity", "running_high", width=width)
+def equity(trades: DataFrame, pnl_column: str, s: Settings = SETTINGS) -> DataFrame:
+    """Trades with cumulative profit, equity and its running high, by exit time and trade id; trades without an exit have none."""
+    trades = keyed(trades, "_trade")
+    order = ["exit_ts_utc", "trade_id", "_trade"]
+    rows = running(ranged(timed(trades.select(*order, pnl_column), "exit_ts_utc")[0], order), order, {"cumulative_pnl": F.col(pnl_column)})
+    rows = cut(rows.withColumn("equity", F.lit(s.starting_balance) + F.col("cumulative_pnl")))
+    return trades.join(running_max(rows, order, "equity", "running_high").select("_trade", "cumulative_pnl", "equity", "running_high"), "_trade", "left").drop("_trade")
 
 
 def breaches(trades: DataFrame, pnl_column: str, s: Settings = SETTINGS) -> DataFrame:
-    """One row: days at or under the daily limit, trades at or under the total limit, trades at or over the drawdown."""
-    trades = cut(trades.select("trade_id", "exit_ts_utc", pnl_column))
+    """One row: days (UTC, of the exit) at or under the daily limit, trades at or under the total limit, trades at or over the drawdown."""
+    trades = keyed(trades.select("trade_id", "exit_ts_utc", pnl_column), "_trade")
     line = equity(trades, pnl_column, s)
-    days = trades.groupBy(F.to_date("exit_ts_utc").alias("day")).agg(F.round(F.sum(pnl_column), 6).alias("p")).agg(F.count_if(F.col("p") <= -s.daily_loss).alias("daily_loss_breaches"))
+    days = trades.groupBy(utc_day(F.col("exit_ts_utc")).alias("day")).agg(F.round(F.sum(pnl_column), 6).alias("p")).agg(F.count_if(F.col("p") <= -s.daily_loss).alias("daily_loss_breaches"))
     cumulative, high = F.round("cumulative_pnl", 6), F.round(F.col("running_high") - F.col("equity"), 6)
     rest = line.agg(F.count_if(cumulative <= -s.maximum_loss).alias("maximum_loss_breaches"), F.count_if(high >= s.trailing_drawdown).alias("trailing_drawdown_breaches"))
     return days.crossJoin(rest)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, Rules, Settings
-from .temporal import MINUTE, bucket, cut, forward_asof, keyed, lookback, neighbours, running, timed
+from .temporal import MINUTE, bucket, cut, forward_asof, keyed, ranged, running, shifted, sums_before, timed
 
 SETTINGS = Settings()
 WINDOWS = (5, 15, 30, 60, 240)
@@ -19,42 +19,54 @@ WEIGHTS = {"headline_risk_score": 0.35, "market_relevance_score": 0.30, "text_co
 def recent_topics(df: DataFrame, ts: str, topics: str, minutes: int) -> DataFrame:
     """_row and _entropy: entropy in bits of the topics of the posts of the last minutes, the row's own instant excluded.
 
-    Each post asks for the topics that its bucket or the one before has, as many as the rules have at most; how
-    often each was there comes from one windowed count for each topic.
+    How often each topic was there is the difference of two running counts. There are as many topics as the rules have.
     """
-    width = minutes * MINUTE
-    rows = timed(df.select("_row", ts, F.coalesce(topics, F.array().cast("array<string>")).alias("_own")), ts)[0].withColumn("_at", bucket(ts, width))
-    seen = rows.select(F.explode(F.array("_at", F.col("_at") + 1)).alias("_at"), F.explode("_own").alias("_topic")).distinct()
-    asked = rows.join(seen, "_at").withColumn("_has", F.size(F.filter("_own", lambda x: x == F.col("_topic")))).drop("_at", "_own")
-    counted = lookback(asked, ts, minutes, {"_n": (minutes, lambda w: F.sum("_has").over(w))}, by=["_topic"]).where("_n > 0")
-    total, weighted = F.sum("_n"), F.sum(F.col("_n") * F.log2("_n"))
-    return counted.groupBy("_row").agg(F.round(F.log2(total) - weighted / total, 6).alias("_entropy"))
+    slim = df.select("_row", ts, F.coalesce(topics, F.array().cast("array<string>")).alias("_own"))
+    names = [r[0] for r in slim.select(F.explode("_own").alias("t")).where("t is not null").distinct().collect()]
+    if not names:
+        return slim.select("_row", F.lit(0.0).alias("_entropy"))
+    times = lambda topic: F.size(F.filter("_own", lambda x: x == topic))
+    counts = sums_before(slim, ts, "_row", [minutes], {f"n{i}": times(t) for i, t in enumerate(names)})
+    n = F.array(*(F.col(f"n{i}_{minutes}") for i in range(len(names))))
+    total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    weighted = F.aggregate(n, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log2(x.cast("double"))).otherwise(0.0))
+    return counts.select("_row", F.when(total > 0, F.round(F.log2(total.cast("double")) - weighted / total, 6)).alias("_entropy"))
+
+
+def burst_counts(df: DataFrame, ts: str = "received_at_utc", windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """posts_last_{m}m for each window; the row's own instant doesn't count. Rows without a time have 0."""
+    own = "_row" in df.columns
+    df = keyed(df)
+    counts = sums_before(df, ts, "_row", windows, {"n": F.lit(1)})
+    out = df.join(counts, "_row", "left").withColumns({f"posts_last_{m}m": F.coalesce(f"n_{m}", F.lit(0).cast("long")) for m in windows}).drop(*(f"n_{m}" for m in windows))
+    return out if own else out.drop("_row")
 
 
 def burst_features(df: DataFrame, ts: str = "received_at_utc", topics: str = "rule_topic_labels", windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """posts_last_{m}m for each window and topic_entropy_60m; the row's own instant doesn't count. Rows without a time have 0."""
+    """burst_counts() and topic_entropy_60m, which is 0 for rows without a time."""
     own = "_row" in df.columns
     df = keyed(df)
-    out = lookback(df, ts, max(windows), {f"posts_last_{m}m": (m, lambda w: F.count(F.lit(1)).over(w)) for m in windows})
-    out = out.withColumns({f"posts_last_{m}m": F.coalesce(f"posts_last_{m}m", F.lit(0).cast("long")) for m in windows})
-    out = out.join(recent_topics(df, ts, topics, 60), "_row", "left").withColumn("topic_entropy_60m", F.coalesce("_entropy", F.lit(0.0)) + 0.0).drop("_entropy")
+    out = burst_counts(df, ts, windows).join(recent_topics(df, ts, topics, 60), "_row", "left").withColumn("topic_entropy_60m", F.coalesce("_entropy", F.lit(0.0)) + 0.0).drop("_entropy")
     return out if own else out.drop("_row")
 
 
-def timing_features(df: DataFrame, ts: str = "received_at_utc", tie: str = "post_id", *, width: int = 24 * 60 * MINUTE) -> DataFrame:
+def timing_features(df: DataFrame, ts: str = "received_at_utc", tie: str = "post_id") -> DataFrame:
     """Gap to the post before, and over all gaps so far (the row's own too) the share within 15, 30 and 60 minutes and the mean.
 
     Rows without a time are as the first row is: a day, and 0.
     """
-    near = neighbours(df, [ts, tie], ts, width=width)
-    gap = (F.unix_micros(ts) - F.unix_micros("previous_ts")) / MINUTE
-    near = near.withColumn("_gap", gap)
-    sums = {"_n": F.when(F.col("_gap").isNotNull(), 1).otherwise(0), "_sum": F.coalesce(F.unix_micros(ts) - F.unix_micros("previous_ts"), F.lit(0))}
+    df = keyed(df, "_timing")
+    order = list(dict.fromkeys([ts, tie, "_timing"]))
+    near = shifted(ranged(timed(df.select(*order), ts)[0], order), order, {"_previous": F.col(ts)})
+    micros = F.unix_micros(ts) - F.unix_micros("_previous")
+    near = near.withColumn("_gap", micros / MINUTE)
+    sums = {"_n": F.when(F.col("_gap").isNotNull(), 1).otherwise(0), "_sum": F.coalesce(micros, F.lit(0).cast("long"))}
     sums |= {f"_in{h}": F.when(F.col("_gap") <= h, 1).otherwise(0) for h in (15, 30, 60)}
-    out = running(near, [ts, tie], ts, sums, width=width)
+    found = running(near, order, sums).select("_timing", "_gap", *sums)
+    out = df.join(found, "_timing", "left")
     columns = {"minutes_since_previous_post": F.coalesce("_gap", F.lit(DAY_MINUTES)), "expected_minutes_to_next_post": F.when(F.col("_n") > 0, F.round(F.col("_sum") / F.col("_n") / MINUTE, 4)).otherwise(DAY_MINUTES)}
     columns |= {f"p_next_post_{h}m": F.when(F.col("_n") > 0, F.round(F.col(f"_in{h}") / F.col("_n"), 6)).otherwise(0.0) for h in (15, 30, 60)}
-    return out.withColumns(columns).drop("previous_ts", "next_ts", "_gap", *sums)
+    return out.withColumns(columns).drop("_timing", "_gap", *sums)
 
 
 def same_topic(a: Column, b: Column) -> Column:
@@ -90,7 +102,7 @@ def pair_scores(df: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id")
     asked = own.select(key, "received_at_utc", "_topics", "_way", "_at").join(classes, "_at").drop("_at")
     asked = asked.withColumn("_since", F.timestamp_micros(F.unix_micros("received_at_utc") - width))
     firsts = own.groupBy("_class", F.col("received_at_utc").alias("at")).agg(F.min("post_id").alias("prior"))
-    found = forward_asof(asked, firsts, "_since", "at", by=["_class"], width=width, name="_first").where(F.col("_first.at") < F.col("received_at_utc"))
+    found = forward_asof(asked, firsts, "_since", "at", by=["_class"], name="_first").where(F.col("_first.at") < F.col("received_at_utc"))
     flipped, overlap = F.col("_way") * F.col("_other") == -1, same_topic(F.col("_topics"), F.col("_theirs"))
     text = F.when(flipped, F.round(0.4 + 0.6 * overlap, 4)).otherwise(0.0)
     scored = found.select(key, F.col("_first.prior").alias("prior"), F.col("_first.at").alias("at"), text.alias("text"), overlap.alias("topic"), F.when(flipped, 1.0).otherwise(0.0).alias("flip"))
@@ -116,7 +128,7 @@ def dominant(columns: list[str]) -> tuple[Column, Column]:
 def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason. Every row is a post: ids may be repeated."""
     df = keyed(df)
-    out = timing_features(cut(burst_features(df))).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
+    out = timing_features(burst_features(df)).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
     sentiment, topics = F.col("rule_sentiment_label"), F.col("rule_topic_labels")
     relevant = F.size(F.array_intersect(topics, F.array(*map(F.lit, rules.relevant_topics))))
     out = out.withColumns(

@@ -1,28 +1,25 @@
-"""Joins and windows over one long timeline, split by buckets of time so that no task gets the whole of it.
+"""Joins and scans over one long timeline, dealt to tasks by counts, so that a dense hour is spread like any other.
 
-A bucket is unix_micros div width. Rows of one bucket meet in one task; what must cross a bucket's edge goes
-through a table with one row per bucket, whose size is the time span over the width, whatever the rows.
+Rows are sorted into ranges of about equal numbers, whose borders Spark samples; ties are broken by a key, so that a
+single instant can be cut too. Every scan runs within its range; what a range needs from those before it is one row
+for each range (the carry), combined over a table with one row for each range and group. Rows that are scanned hold
+keys, times and the values asked for: callers join the rest of a row back by its key.
 
-Rows without a time have no bucket. They take no part in the windows, however many they are, and come back with
-nulls in the columns that these functions add.
+Rows without a time take no part, however many they are, and come back with nulls in the columns that are added.
 """
 
 from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: operators use their input several times, so that plans would double at every step."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+PART = "_part"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: operators use their input several times, so that plans would double at every step."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keyed(df: DataFrame, key: str = "_row") -> DataFrame:
     """df with a number of its own for every row, cut off so that it stays the same: ids may be repeated or null."""
     return df if key in df.columns else cut(df.withColumn(key, F.monotonically_increasing_id()))
@@ -56,90 +60,116 @@ def bucket(ts: str | Column, width: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / F.lit(width)).cast("long")
 
 
-def forward_asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, *, by: list[str] | None = None, width: int = 240 * MINUTE, name: str = "match") -> DataFrame:
-    """left with a struct `name` of the first right row at or after left_ts (null where none follows).
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with _part, the number of the row's range in the given order: ranges have about equal counts and are written once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()))
+
+
+def _sorted(order: Sequence[str], backward: bool) -> list[Column]:
+    return [F.col(c).desc() if backward else F.col(c).asc() for c in order]
+
+
+def _within(order: Sequence[str], by: Sequence[str], backward: bool = False) -> WindowSpec:
+    return Window.partitionBy(*by, PART).orderBy(*_sorted(order, backward))
 
-    Equal times match. Of right rows with equal times, any one is taken: keep them distinct. Both sides are
-    dealt by bucket; rows after a bucket's last right row take the first of the next bucket that has any.
+
+def _ranges(by: Sequence[str], backward: bool = False) -> WindowSpec:
+    """Over the carries: one row for each range and group."""
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_sorted([PART], backward))
+
+
+def _with_carries(rows: DataFrame, carries: DataFrame, by: Sequence[str]) -> DataFrame:
+    # without groups there are no more carries than ranges
+    return rows.join(carries if by else F.broadcast(carries), [*by, PART], "left")
+
+
+def running(rows: DataFrame, order: Sequence[str], sums: dict[str, Column], *, by: Sequence[str] = ()) -> DataFrame:
+    """Adds running sums to ranged() rows, up to and with the row."""
+    upto, before = Window.unboundedPreceding, _ranges(by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, PART).agg(*(F.sum(v).alias(f"_total_{k}") for k, v in sums.items()))
+    carries = totals.select(*by, PART, *(F.sum(f"_total_{k}").over(before).alias(f"_before_{k}") for k in sums))
+    here = _within(order, by).rowsBetween(upto, Window.currentRow)
+    zero = F.lit(0)
+    out = _with_carries(rows.withColumns({f"_here_{k}": F.sum(v).over(here) for k, v in sums.items()}), carries, by)
+    return out.withColumns({k: F.coalesce(f"_here_{k}", zero) + F.coalesce(f"_before_{k}", zero) for k in sums}).drop(*(f"_{x}_{k}" for k in sums for x in ("here", "before")))
+
+
+def running_max(rows: DataFrame, order: Sequence[str], column: str, name: str) -> DataFrame:
+    """Adds the running maximum of a column to ranged() rows."""
+    before = _ranges(()).rowsBetween(Window.unboundedPreceding, -1)
+    carries = rows.groupBy(PART).agg(F.max(column).alias("_high")).select(PART, F.max("_high").over(before).alias("_before"))
+    here = _within(order, ()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _with_carries(rows.withColumn(name, F.max(column).over(here)), carries, ()).withColumn(name, F.greatest(name, "_before")).drop("_before")
+
+
+def filled(rows: DataFrame, order: Sequence[str], columns: dict[str, Column], *, by: Sequence[str] = (), backward: bool = False) -> DataFrame:
+    """Adds to ranged() rows the last non-null value of each column up to and with the row; backward: the first from the row on.
+
+    Going backward is a scan in descending order: a frame that reaches forward would be summed anew for every row.
     """
-    keys = [*(by or []), "_bucket"]
-    (left, rest), right = timed(left, left_ts), timed(right, right_ts)[0]
-    l_cols, r_cols = left.columns, right.columns
-    l = left.select(*[F.col(k) for k in by or []], bucket(left_ts, width).alias("_bucket"), F.col(left_ts).alias("_ts"), F.struct(*l_cols).alias("_left"))
-    r = right.select(*[F.col(k) for k in by or []], bucket(right_ts, width).alias("_bucket"), F.col(right_ts).alias("_ts"), F.struct(*r_cols).alias("_right"))
-    both = l.withColumns({"_right": F.lit(None).cast(r.schema["_right"].dataType), "_side": F.lit(0)}).unionByName(r.withColumns({"_left": F.lit(None).cast(l.schema["_left"].dataType), "_side": F.lit(1)}))
-    ahead = Window.partitionBy(*keys).orderBy("_ts", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    here = both.withColumn("_here", F.first("_right", ignorenulls=True).over(ahead)).where("_side = 0")
-    firsts = both.groupBy(*keys).agg(F.min_by("_right", F.when(F.col("_side") == 1, F.col("_ts"))).alias("_first"))
-    later = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.withColumn("_next", F.first("_first", ignorenulls=True).over(later)).drop("_first")
-    found = here.join(firsts, keys, "left").select(*(F.col("_left")[c].alias(c) for c in l_cols), F.coalesce("_here", "_next").alias(name))
-    return with_untimed(found, rest)
-
-
-def pairs_within(left: DataFrame, right: DataFrame, *, start: Column, end: Column, right_ts: str, width: int, by: list[str] | None = None) -> DataFrame:
-    """Pairs with right_ts between start and end (columns of left), both inclusive: left's columns and a struct `other`.
-
-    left is repeated for each bucket its span touches, so choose width near the usual span.
+    rows = rows.withColumns({f"_value_{k}": v for k, v in columns.items()})
+    at, pick = F.struct(*order), F.min_by if backward else F.max_by
+    ends = rows.groupBy(*by, PART).agg(*(pick(f"_value_{k}", F.when(F.col(f"_value_{k}").isNotNull(), at)).alias(f"_end_{k}") for k in columns))
+    before = _ranges(by, backward).rowsBetween(Window.unboundedPreceding, -1)
+    carries = ends.select(*by, PART, *(F.last(f"_end_{k}", ignorenulls=True).over(before).alias(f"_before_{k}") for k in columns))
+    here = _within(order, by, backward).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _with_carries(rows.withColumns({f"_here_{k}": F.last(f"_value_{k}", ignorenulls=True).over(here) for k in columns}), carries, by)
+    return out.withColumns({k: F.coalesce(f"_here_{k}", f"_before_{k}") for k in columns}).drop(*(f"_{x}_{k}" for k in columns for x in ("here", "before", "value")))
+
+
+def shifted(rows: DataFrame, order: Sequence[str], columns: dict[str, Column], *, backward: bool = False) -> DataFrame:
+    """Adds to ranged() rows each column's value of the row before; backward: of the row after."""
+    boxed = {k: F.struct(v.alias("v")) for k, v in columns.items()}
+    at, pick = F.struct(*order), F.min_by if backward else F.max_by
+    ends = rows.groupBy(PART).agg(*(pick(v, at).alias(f"_end_{k}") for k, v in boxed.items()))
+    carries = ends.select(PART, *(F.lag(f"_end_{k}").over(_ranges((), backward)).alias(f"_before_{k}") for k in columns))
+    out = _with_carries(rows.withColumns({f"_here_{k}": F.lag(v).over(_within(order, (), backward)) for k, v in boxed.items()}), carries, ())
+    return out.withColumns({k: F.coalesce(f"_here_{k}", f"_before_{k}")["v"] for k in columns}).drop(*(f"_{x}_{k}" for k in columns for x in ("here", "before")))
+
+
+def first_after(probes: DataFrame, points: DataFrame, *, keys: Sequence[str], at: str, point_at: str, tie: str | None = None, by: Sequence[str] = (), name: str = "match") -> DataFrame:
+    """Columns `keys` and a struct `name`: the first point whose point_at is at or after a probe's `at` (null where none follows).
+
+    at and point_at are of one type that has an order; equal values match. Of points with equal values the one with
+    the smallest `tie` (a whole number) is taken, or any. `by` columns, not null, are in both and must be equal. keys
+    tell probes apart; where they don't, both rows get the same match.
     """
-    first, last = bucket(start, width), bucket(end, width)
-    l = left.withColumns({"_from": start, "_to": end}).withColumn("_bucket", F.explode(F.sequence(first, last)))
-    r = right.select(*[F.col(k) for k in by or []], bucket(right_ts, width).alias("_bucket"), F.col(right_ts).alias("_ts"), F.struct(*right.columns).alias("other"))
-    joined = l.join(r, [*(by or []), "_bucket"]).where("_ts between _from and _to")
-    return joined.drop("_bucket", "_from", "_to", "_ts")
+    p = probes.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.xxhash64(*keys).alias("_tie"), F.struct(*keys).alias("_key"))
+    q = points.where(F.col(point_at).isNotNull())
+    q = q.select(*by, F.col(point_at).alias("_at"), F.lit(1).alias("_side"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie"), F.struct(*[c for c in points.columns if c not in by]).alias("_point"))
+    order = ["_at", "_side", "_tie"]
+    rows = ranged(p.unionByName(q, allowMissingColumns=True), [*by, *order])
+    return filled(rows, order, {name: F.col("_point")}, by=by, backward=True).where("_side = 0").select("_key.*", name)
 
 
-def lookback(df: DataFrame, ts: str, minutes: int, columns: dict[str, tuple[int, Callable[[WindowSpec], Column]]], *, by: list[str] | None = None) -> DataFrame:
-    """Adds aggregates over the rows of the last m minutes, the row's own instant excluded: name -> (m, function of the window).
+def forward_asof(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, *, by: list[str] | None = None, name: str = "match") -> DataFrame:
+    """left with a struct `name` of the first right row at or after left_ts (null where none follows).
 
-    Every row also goes to the next bucket (of `minutes`, the longest lookback), where it is only looked back at.
+    Equal times match. Of right rows with equal times, any one is taken: keep them distinct. Only keys and times of
+    left are sorted; its other columns are joined back.
     """
-    width = minutes * MINUTE
-    micros = F.unix_micros(F.col(ts))
-    df, rest = timed(df, ts)
-    spread = df.withColumn("_home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns({"_bucket": bucket(ts, width) + F.when(F.col("_home"), 0).otherwise(1), "_at": micros})
-    w = Window.partitionBy(*(by or []), "_bucket").orderBy("_at")
-    out = spread.withColumns({name: agg(w.rangeBetween(-m * MINUTE, -1)) for name, (m, agg) in columns.items()})
-    return with_untimed(out.where("_home").drop("_home", "_bucket", "_at"), rest)
+    left = keyed(left, "_asof")
+    found = first_after(left, right, keys=["_asof"], at=left_ts, point_at=right_ts, by=by or (), name=name)
+    return left.join(found, "_asof", "left").drop("_asof")
 
 
-def running(df: DataFrame, order: list[str], ts: str, sums: dict[str, Column], *, width: int, by: list[str] | None = None) -> DataFrame:
-    """Adds running sums in the given order, up to and including the row.
+def sums_before(df: DataFrame, ts: str, key: str, minutes: Sequence[int], sums: dict[str, Column]) -> DataFrame:
+    """key and a column {name}_{m} for each of `sums` and minutes m: whole numbers summed over the rows of the last m minutes, the row's own instant excluded.
 
-    Buckets are summed first; sums of all earlier buckets come from the per-bucket table.
+    A sum between two instants is the difference of two running sums: every row asks for that before its own instant
+    and before the start of each span.
     """
-    keys = [*(by or []), "_bucket"]
-    df, rest = timed(df, ts)
-    rows = df.withColumns({"_bucket": bucket(ts, width)} | {f"_{k}": v for k, v in sums.items()})
-    totals = rows.groupBy(*keys).agg(*(F.sum(f"_{k}").alias(f"_total_{k}") for k in sums))
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, *(F.coalesce(F.sum(f"_total_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in sums))
-    here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumns({k: F.coalesce(F.sum(f"_{k}").over(here), F.lit(0)) for k in sums}).join(totals, keys)
-    out = out.withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_bucket", *(f"_{k}" for k in sums), *(f"_before_{k}" for k in sums))
-    return with_untimed(out, rest)
-
-
-def running_max(df: DataFrame, order: list[str], ts: str, column: str, name: str, *, width: int) -> DataFrame:
-    """Adds the running maximum of a column in the given order."""
-    df, rest = timed(df, ts)
-    rows = df.withColumn("_bucket", bucket(ts, width))
-    highs = rows.groupBy("_bucket").agg(F.max(column).alias("_high"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    highs = highs.select("_bucket", F.max("_high").over(earlier).alias("_before"))
-    here = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn(name, F.max(column).over(here)).join(highs, "_bucket")
-    return with_untimed(out.withColumn(name, F.greatest(name, "_before")).drop("_bucket", "_before"), rest)
-
-
-def neighbours(df: DataFrame, order: list[str], ts: str, *, width: int) -> DataFrame:
-    """Adds previous_ts and next_ts: the time of the row before and after in the given order."""
-    df, rest = timed(df, ts)
-    rows = df.withColumn("_bucket", bucket(ts, width))
-    edge = rows.groupBy("_bucket").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    edge = edge.select("_bucket", F.lag("_last").over(w).alias("_before"), F.lead("_first").over(w).alias("_after"))
-    here = Window.partitionBy("_bucket").orderBy(*order)
-    out = rows.withColumns({"previous_ts": F.lag(ts).over(here), "next_ts": F.lead(ts).over(here)}).join(edge, "_bucket")
-    out = out.withColumns({"previous_ts": F.coalesce("previous_ts", "_before"), "next_ts": F.coalesce("next_ts", "_after")}).drop("_bucket", "_before", "_after")
-    return with_untimed(out, rest)
+    asks = F.array(F.struct(F.lit(-1).alias("m")), *(F.struct(F.lit(m).alias("m")) for m in (0, *minutes)))
+    names = list(sums)
+    rows = timed(df, ts)[0].select(F.col(key).alias("_key"), F.unix_micros(ts).alias("_t"), *(v.cast("long").alias(f"_v_{k}") for k, v in sums.items()))
+    rows = rows.select("*", F.explode(asks).alias("_ask")).select("_key", F.col("_ask.m").alias("_m"), (F.col("_t") - F.when(F.col("_ask.m") > 0, F.col("_ask.m").cast("long") * MINUTE).otherwise(0)).alias("_t"), *(F.when(F.col("_ask.m") < 0, F.col(f"_v_{k}")).alias(f"_v_{k}") for k in names))
+    # at one instant the questions come before the rows, so that those aren't counted
+    rows = ranged(rows.withColumn("_side", (F.col("_m") < 0).cast("int")), ["_t", "_side", "_key"])
+    counted = running(rows, ["_t", "_side"], {k: F.col(f"_v_{k}") for k in names}).where("_side = 0")
+    return counted.groupBy(F.col("_key").alias(key)).agg(*((F.max(F.when(F.col("_m") == 0, F.col(k))) - F.max(F.when(F.col("_m") == m, F.col(k)))).alias(f"{k}_{m}") for k in names for m in minutes))
+
+
+def neighbours(rows: DataFrame, order: Sequence[str], ts: str) -> DataFrame:
+    """Adds previous_ts and next_ts to ranged() rows: the time of the row before and after."""
+    return shifted(shifted(rows, order, {"previous_ts": F.col(ts)}), order, {"next_ts": F.col(ts)}, backward=True)

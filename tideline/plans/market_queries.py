@@ -31,28 +31,25 @@ def j1_forward_asof(spark, d):
     return out.select("post_id", text_ts("aligned_bar_ts_utc"), "base_price")
 
 
-def _targets(spark, d):
-    aligned = ev.align(v.posts(spark, d), v.bars(spark, d)).where("aligned_bar_ts_utc is not null")
-    return ev.horizon_bars(aligned, v.bars(spark, d), HOURLY.horizons)
+def _moves(spark, d):
+    return ev.post_moves(v.posts(spark, d), v.bars(spark, d), HOURLY)
 
 
 @query(f"WITH {ALIGNED_SQL} SELECT post_id, horizon, {STAMP.format('target_ts')} AS target_ts, delta_ticks, CASE WHEN delta_ticks >= 4 THEN 'up' WHEN delta_ticks <= -4 THEN 'down' WHEN delta_ticks IS NOT NULL THEN 'flat' END AS direction FROM target")
 def j2_horizon_targets(spark, d):
     """The flagship: posts, the bars that follow them, and the move over each horizon."""
-    delta = F.round((F.col("target_close") - F.col("base_price")) / HOURLY.tick_size, 4)
-    out = _targets(spark, d).withColumn("delta_ticks", delta)
+    out = ev.horizon_targets(_moves(spark, d), HOURLY)
     return out.select("post_id", "horizon", text_ts("target_ts"), "delta_ticks", F.when(F.col("delta_ticks").isNotNull(), ev.direction(F.col("delta_ticks"))).alias("direction"))
 
 
 @query(f"WITH {ALIGNED_SQL} SELECT * FROM windowed")
 def j3_window_targets(spark, d):
-    return ev.window_targets(_targets(spark, d), v.bars(spark, d), HOURLY).drop("aligned_bar_ts_utc", "base_price", "target_ts")
+    return ev.window_targets(_moves(spark, d), HOURLY).drop("aligned_bar_ts_utc", "base_price", "target_ts")
 
 
 @query(f"WITH {ALIGNED_SQL} SELECT * FROM flagged")
 def j4_whipsaw_flags(spark, d):
-    aligned = ev.align(v.posts(spark, d), v.bars(spark, d)).where("aligned_bar_ts_utc is not null")
-    return ev.whipsaw(aligned, v.bars(spark, d), HOURLY)
+    return _moves(spark, d).select("post_id", "market_whipsaw_flag")
 
 
 @query(f"WITH {ALIGNED_SQL} SELECT post_id, c.event_id AS nearest_macro_event_id, c.event_type AS nearest_macro_event_type, c.importance AS nearest_macro_event_importance, round(m, 4) AS minutes_to_nearest_macro_event, coalesce(m BETWEEN -15 AND 15, false) AS is_macro_blackout FROM macro")

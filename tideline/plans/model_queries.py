@@ -114,4 +114,4 @@ def m5_model_comparison(spark, d):
     rows = v.predictions(spark, d).select("doc_id", F.col("actual").alias("tradeability_label"), F.col("predicted").alias("rule_tradeability_label"))
     at = F.timestamp_micros(F.col("doc_id") * MINUTE)
     rows = cut(rows.join(docs.drop("rule_tradeability_label"), "doc_id").withColumn("received_at_utc", at).drop("url_domains", "rule_topic_labels", "rule_topic_confidence", "rule_reason_codes"))
-    return baselines.compare(rows, order=["received_at_utc", "doc_id"], width=24 * 60 * MINUTE, models=["tfidf_logreg"])
+    return baselines.compare(rows, order=["received_at_utc", "doc_id"], models=["tfidf_logreg"])

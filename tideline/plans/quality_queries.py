@@ -162,7 +162,7 @@ folds AS (SELECT row_number() OVER (ORDER BY test_start) AS fold, test_start, te
 
 
 def _folds(spark, d):
-    return metrics.walk_forward_folds(v.posts(spark, d), ["received_at_utc", "post_id"], "received_at_utc", width=24 * 60 * MINUTE, **FOLD_ARGS)
+    return metrics.walk_forward_folds(v.posts(spark, d), ["received_at_utc", "post_id"], "received_at_utc", **FOLD_ARGS)
 
 
 @query(f"WITH {BASE_SQL} {FOLD_SQL} SELECT * FROM folds")
@@ -201,7 +201,7 @@ def a30_majority(spark, d):
 
 @query(f"WITH {BASE_SQL} SELECT post_id, row_number() OVER (ORDER BY received_at_utc, post_id) - 1 AS row_index, CASE WHEN row_number() OVER (ORDER BY received_at_utc, post_id) - 1 < greatest(1, floor((SELECT count(*) FROM posts) * (1 - 0.35::DOUBLE))) THEN 'train' ELSE 'test' END AS split FROM posts")
 def w12_chronological_split(spark, d):
-    return metrics.chronological_split(v.posts(spark, d), ["received_at_utc", "post_id"], "received_at_utc", width=24 * 60 * MINUTE).select("post_id", "row_index", "split")
+    return metrics.chronological_split(v.posts(spark, d), ["received_at_utc", "post_id"], "received_at_utc").select("post_id", "row_index", "split")
 
 
 @query(f"WITH {BASE_SQL} {rules_sql()} SELECT post_id AS event_id, post_id, strftime(received_at_utc, '%Y-%m-%d %H:%M:%S') AS received_at_utc, d.text AS text_clean, sentiment AS rule_sentiment_label, tradeability AS rule_tradeability_label, array_to_string(topics, '|') AS rule_topic_labels, '' AS human_sentiment_label, '' AS review_notes FROM labelled JOIN posts p USING (post_id) LEFT JOIN documents d ON d.doc_id = p.doc_id".replace("strftime(received_at_utc", "strftime(p.received_at_utc"))

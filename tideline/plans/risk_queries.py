@@ -45,7 +45,7 @@ COUNTS = ", ".join(f"count(*) OVER (ORDER BY epoch_us(received_at_utc) RANGE BET
 @query(f"WITH {BASE_SQL} SELECT post_id, {COUNTS} FROM posts")
 def w5_burst_counts(spark, d):
     rows = v.posts(spark, d).withColumn("rule_topic_labels", F.array().cast("array<string>"))
-    return risk.burst_features(rows).select("post_id", *(f"posts_last_{m}m" for m in risk.WINDOWS))
+    return risk.burst_counts(rows).select("post_id", *(f"posts_last_{m}m" for m in risk.WINDOWS))
 
 
 ENTROPY_SQL = """,
