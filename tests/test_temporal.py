@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import risk
-from tideline.operators.events import clusters
+from tideline.operators import overlay, risk, temporal, tiles
+from tideline.config import Settings
+from tideline.operators.events import clusters, post_moves, window_targets
 from tideline.operators.temporal import forward_asof
 
 START = datetime(2025, 1, 1)
@@ -102,3 +103,92 @@ def test_clusters(rows, frame):
         members[-1].append(n)
     for k, group in enumerate(members):
         assert [(got[n]["event_cluster_number"], got[n]["event_cluster_size"], got[n]["event_cluster_position"]) for n in group] == [(k + 1, len(group), i) for i in range(len(group))]
+
+
+def test_a_dense_instant_is_dealt_to_all_ranges(spark):
+    one = spark.range(40_000).select(F.col("id"), F.lit(START).alias("ts"), F.lit("x" * 50).alias("text"))
+    rows = temporal.ranged(one.select("id", "ts"), ["ts", "id"])
+    assert rows.columns == ["id", "ts", "_part"]
+    assert max(r["count"] for r in rows.groupBy("_part").count().collect()) < 0.4 * 40_000
+    placed = temporal.running(rows, ["ts", "id"], {"n": F.lit(1)})
+    assert placed.where("n <> id + 1").count() == 0
+    assert temporal.shifted(rows, ["ts", "id"], {"before": F.col("id")}).where("coalesce(before, -1) <> id - 1").count() == 0
+
+
+def test_scans_carry_over_empty_and_null_ranges(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), n, rng.choice([None, None, None, n])) for n in range(400)]
+    df = temporal.ranged(spark.createDataFrame(rows, "g string, n long, v long"), ["g", "n"])
+    for backward in (False, True):
+        got = {(r["g"], r["n"]): r["w"] for r in temporal.filled(df, ["n"], {"w": F.col("v")}, by=["g"], backward=backward).collect()}
+        for g, n, _ in rows:
+            seen = [v for h, m, v in rows if h == g and v is not None and (m >= n if backward else m <= n)]
+            assert got[g, n] == ((min(seen) if backward else max(seen)) if seen else None)
+
+
+def test_tiles_make_every_range(spark):
+    ranges = [(lo, hi) for lo in range(18) for hi in range(lo - 1, 40)]
+    df = spark.createDataFrame(ranges, "lo long, hi long")
+    levels = tiles.levels_for(df)
+    for r in df.withColumn("t", tiles.tiles_of(F.col("lo"), F.col("hi"), levels)).collect():
+        covered = [p for t in r["t"] for p in range(t["tile"] * 2 ** t["level"], (t["tile"] + 1) * 2 ** t["level"])]
+        assert sorted(covered) == list(range(r["lo"], r["hi"] + 1)) and len(r["t"]) <= 2 * (levels + 1)
+
+
+def test_windows_of_ten_thousand_bars(spark):
+    rng = random.Random(13)
+    bars, price = [], 100.0
+    for n in range(12_000):
+        opened, price = price, price + rng.choice([-1, -0.25, 0, 0.25, 1])
+        bars.append((START + timedelta(seconds=n), opened, max(opened, price) + rng.choice([0, 0, 2]), min(opened, price) - rng.choice([0, 0, 2]), price))
+    posts = [(f"p{n}", START + timedelta(milliseconds=rng.randrange(12_100_000))) for n in range(60)]
+    s = Settings(horizons=(1, 60, 166), whipsaw_minutes=100, whipsaw_first_minutes=10, whipsaw_initial_ticks=40.0)
+    moves = post_moves(spark.createDataFrame(posts, "post_id string, received_at_utc timestamp"), spark.createDataFrame(bars, "ts_open_utc timestamp, open double, high double, low double, close double"), s)
+    plan = moves._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    flags = {r["post_id"]: r["market_whipsaw_flag"] for r in moves.collect()}
+    got = {(r["post_id"], r["horizon"]): r for r in window_targets(moves, s).collect()}
+    times, checked = [b[0] for b in bars], 0
+    for post, at in posts:
+        first = next((n for n, t in enumerate(times) if t >= at), None)
+        if first is None:
+            assert post not in flags
+            continue
+        base = bars[first][1]
+        for h in s.horizons:
+            last = next((n for n, t in enumerate(times) if t >= times[first] + timedelta(minutes=h)), None)
+            assert ((post, h) in got) == (last is not None)
+            if last is not None:
+                inside, r = bars[first : last + 1], got[post, h]
+                squares = sum((y[4] - x[4]) ** 2 for x, y in zip(inside, inside[1:], strict=False))
+                want = ((inside[-1][4] - base) / 0.25, max((max(b[2] for b in inside) - base) / 0.25, 0), max((base - min(b[3] for b in inside)) / 0.25, 0), round(math.sqrt(squares) / 0.25, 4))
+                assert (r["delta_ticks"], r["mfe_ticks"], r["mae_ticks"]) == want[:3] and math.isclose(r["volatility_ticks"], want[3], abs_tol=1e-3)
+                checked += 1
+        inside = [b for b in bars if times[first] <= b[0] <= times[first] + timedelta(minutes=s.whipsaw_minutes)]
+        early = [b for b in inside if b[0] <= times[first] + timedelta(minutes=s.whipsaw_first_minutes)]
+        up, down = (max(b[2] for b in early) - base) / 0.25, (base - min(b[3] for b in early)) / 0.25
+        if up >= down:
+            top = max(range(len(inside)), key=lambda n: (inside[n][2], -n))
+            back = (inside[top][2] - min(b[3] for b in inside[top:])) / 0.25
+        else:
+            top = min(range(len(inside)), key=lambda n: (inside[n][3], n))
+            back = (max(b[2] for b in inside[top:]) - inside[top][3]) / 0.25
+        assert flags[post] == (max(up, down) >= 40 and back >= max(0.65 * max(up, down), 15))
+    assert checked > 80
+
+
+@pytest.mark.parametrize("few", [4096, 8])
+def test_nested_risk_windows(spark, monkeypatch, few):
+    monkeypatch.setattr(tiles, "FEW_TILES", few)
+    rng = random.Random(14)
+    trades = [(f"t{n}", None if n == 5 else START + timedelta(seconds=rng.randrange(20_000))) for n in range(300)]
+    risks = [(f"e{n}", START + timedelta(seconds=5 * n), rng.choice(["SOFT_RISK", "HARD_KILL", "SOFT_RISK", "WATCH"]), round(rng.random(), 2), 20_000 - 15 * n if n < 1000 else 60) for n in range(1_200)]
+    risks += [("none", None, "HARD_KILL", 9.0, 60)]
+    df = spark.createDataFrame(risks, "event_id string, received_at_utc timestamp, whipsaw_risk_level string, whipsaw_score double, risk_ttl_seconds int")
+    out = overlay.blockers(spark.createDataFrame(trades, "trade_id string, entry_ts_utc timestamp"), df)
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r["trade_id"]: (r["blocking_event_id"], r["blocking_risk_level"]) for r in out.collect()}
+    for trade, at in trades:
+        held = [(level != "HARD_KILL", -score, e, level) for e, since, level, score, ttl in risks if at and since and level != "WATCH" and since + timedelta(seconds=2) <= at <= since + timedelta(seconds=2 + ttl)]
+        assert got[trade] == ((min(held)[2], min(held)[3]) if held else (None, None))
