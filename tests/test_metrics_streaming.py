@@ -1,10 +1,14 @@
 import json
+import random
 
 import market
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.operators import metrics, quality, signals
+from tideline.operators import metrics, quality, signals, study
+from tideline.sources import tables
 from tideline.sources.posts import normalise_statuses
 from tideline.streaming import live
 
@@ -26,7 +30,7 @@ def test_stream_collects_and_keeps_the_newest(spark, tmp_path):
 
     run("1.json", [status("a", "2026-01-02T10:00:01Z"), status("b", "2026-01-02T10:00:02Z")])
     run("2.json", [status("a", "2026-01-02T10:00:09Z"), status("a", "2026-01-02T10:00:09Z", "edited")])
-    posts = spark.read.parquet(places["table"])
+    posts = tables.read_table(spark, places["table"])
     assert sorted((r["post_id"], r["text_clean"], r["received_at_utc"].second) for r in posts.collect()) == [("a", "edited", 9), ("a", "hello", 9), ("b", "hello", 2)]
     assert spark.read.json(places["raw_log"]).count() == 4
     fresh = live.health(posts, source="s", checked_at="2026-01-02 10:00:15", raw=spark.read.json(places["raw_log"]).withColumn("id", F.col("post_id")))
@@ -46,6 +50,44 @@ def test_first_seen_drops_repeats(spark, tmp_path):
     assert sorted(r["post_id"] for r in spark.table("seen").collect()) == ["a", "b"]
 
 
+def test_newest_version_replaces_earlier_ones(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    seen = []
+
+    def run(name, *rows):
+        (folder / name).write_text("\n".join(json.dumps({"post_id": i, "content_hash": "h", "received_at_utc": f"2026-01-02T{t}Z", "text": x}) for i, t, x in rows))
+        stream = live.landed(spark, str(folder), T.StructType.fromDDL("post_id string, content_hash string, received_at_utc timestamp, text string"))
+        found = []
+        query = live.newest_seen(stream, minutes=30).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: found.extend((r["post_id"], r["text"]) for r in df.collect())).trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen.append(sorted(found))
+
+    try:
+        run("1.json", ("a", "10:00:00", "first"), ("a", "10:00:05", "second"), ("b", "10:00:01", "only"))
+        run("2.json", ("a", "10:00:03", "earlier"), ("b", "10:00:01", "again"), ("b", "10:00:09", "newer"))
+        run("3.json", ("c", "12:00:00", "moves the watermark"))
+        run("4.json", ("a", "10:10:00", "late"), ("c", "12:00:00", "equal"), ("d", "11:45:00", "in time"))
+        run("5.json", ("a", "12:10:00", "after its state went"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert seen == [[("a", "second"), ("b", "only")], [("b", "newer")], [("c", "moves the watermark")], [("d", "in time")], [("a", "after its state went")]]
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(3)
+    groups = {"all": [rng.choice([1.0, 2.0, 2.0, 3.5]) for _ in range(3_000)] + [7.25], "one": [4.0], "two": [1.0, 2.0], None: [rng.gauss(0, 1) for _ in range(501)], "none": []}
+    rows = [(g, x) for g, xs in groups.items() for x in [*xs, None]]
+    df = spark.createDataFrame(rows, "label string, v double")
+    out = study.target_summary(df, ["v"], ["label"])
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        xs = groups[r["label"]]
+        want = [round(float(np.quantile(xs, p)), 4) if xs else None for p in (0.1, 0.5, 0.9)]
+        assert r["n"] == len(xs) and [r["p10_ticks"], r["median_ticks"], r["p90_ticks"]] == (pytest.approx(want, abs=1e-4) if xs else want)
+
+
 def test_rescoring_covers_late_posts(spark):
     rows = [("a", "01:00:00", ""), ("b", "06:00:00", ""), ("c", "09:00:00", ""), ("d", "12:59:00", ""), ("e", "13:01:00", "")]
     posts = market.posts(spark, rows)

@@ -8,6 +8,7 @@ from tideline.operators import quality as q
 from tideline.sources import market as m
 from tideline.sources import posts as p
 from tideline.sources import sinks
+from tideline.sources import tables as t
 
 ARCHIVE = [
     {"id": "2", "created_at": "2026-01-02T14:30:15Z", "received_at": "2026-01-02T14:30:17Z", "content": "See <b>this</b> &amp; https://a.example/x now", "url": "https://b.example/2", "media": ["https://c.example/p.JPG"], "replies_count": 3, "reblogs_count": None, "favourites_count": 1},
@@ -129,20 +130,63 @@ def test_small_tables(spark, tmp_path):
         m.load_calendar(spark, str(tmp_path / "t.csv"))
 
 
-def test_upsert_keeps_the_newest(spark, tmp_path):
+def make_posts(spark, *rows):
+    return spark.createDataFrame(rows, "post_id string, content_hash string, created string, received string, text string").selectExpr("post_id", "content_hash", "cast(created as timestamp) as created_at_utc", "cast(received as timestamp) as received_at_utc", "text")
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Kathmandu"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_upsert_keeps_one_newest_row_a_key(spark, tmp_path, zone):
     path = str(tmp_path / "canonical")
-    make = lambda *rows: spark.createDataFrame(rows, "post_id string, content_hash string, created string, received string, text string").selectExpr("post_id", "content_hash", "to_timestamp(created) as created_at_utc", "to_timestamp(received) as received_at_utc", "text")
-    sinks.upsert(make(("1", "h", "2026-01-01 10:00:00", "2026-01-01 10:00:01", "old"), ("2", "h", "2026-01-02 10:00:00", "2026-01-02 10:00:01", "other day")), path)
-    sinks.upsert(make(("1", "h", "2026-01-01 10:00:00", "2026-01-01 10:00:09", "new"), ("1", "k", "2026-01-01 10:00:00", "2026-01-01 10:00:02", "edit")), path)
-    assert sorted((r["post_id"], r["content_hash"], r["text"]) for r in spark.read.parquet(path).collect()) == [("1", "h", "new"), ("1", "k", "edit"), ("2", "h", "other day")]
-    sinks.append_raw(spark.read.parquet(path).drop("day"), str(tmp_path / "raw"))
-    sinks.write_report(q.fingerprint(spark.read.parquet(path)), str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "raw")).count() == 3
-
-
-def test_times(spark):
-    df = spark.createDataFrame([("2026-01-02T10:00:00Z",), ("2026-01-02T10:00:00",), ("1767348000",), ("1767348000000",), ("junk",), (None,)], "t string")
-    got = [str(r[0]) if r[0] else None for r in df.select(q.any_timestamp(F.col("t"))).collect()]
-    assert got == ["2026-01-02 10:00:00", None, "2026-01-02 10:00:00", "2026-01-02 10:00:00", None, None]
-    row = spark.range(1).select(q.to_bool(F.lit("Yes")).alias("a"), q.to_bool(F.lit("0")).alias("b"), q.post_type(F.lit("")).alias("c"), q.post_type(F.lit("Quote ")).alias("d")).first()
-    assert tuple(row) == (True, False, "unknown", "quote")
+    day, other = "2026-01-01T02:00:00Z", "2026-01-02T23:30:00Z"
+    t.upsert(make_posts(spark, ("1", "h", day, "2026-01-01T02:00:01Z", "old"), ("2", "h", other, "2026-01-02T23:30:01Z", "second"), ("a", "h", None, "2026-01-01T00:00:00Z", "no day")), path)
+    t.upsert(make_posts(spark, ("1", "h", other, "2026-01-01T02:00:09Z", "moved"), ("1", "k", day, "2026-01-01T02:00:02Z", "edit"), ("c", "h", None, "2026-01-01T00:00:00Z", "no day"), (None, None, day, None, "no key")), path)
+    t.upsert(make_posts(spark, (None, None, None, "2026-01-01T02:00:09Z", "no key, newer"), ("2", "h", None, "2026-01-01T00:00:00Z", "older")), path)
+    got = sorted((r["post_id"] or "", r["content_hash"] or "", r["text"]) for r in t.read_table(spark, path).collect())
+    assert got == [("", "", "no key, newer"), ("1", "h", "moved"), ("1", "k", "edit"), ("2", "h", "second"), ("a", "h", "no day"), ("c", "h", "no day")]
+
+
+def test_batches_count_once_and_uncommitted_files_dont(spark, tmp_path):
+    path, first = str(tmp_path / "t"), make_posts(spark, ("1", "h", None, "2026-01-01T02:00:01Z", "one"))
+    assert t.upsert(first, path, writer="w", batch=0) and not t.upsert(first.withColumn("text", F.lit("again")), path, writer="w", batch=0)
+    assert t.upsert(first.withColumn("extra", F.lit(5)).withColumn("post_id", F.lit("2")), path, writer="other", batch=0)
+    # a writer that died before its commit: data of the next number is there, no commit names it
+    first.withColumn("_bucket", F.lit(3)).write.partitionBy("_bucket").parquet(f"{path}/data/v=3")
+    (tmp_path / "t" / "commits" / "n=3").mkdir()
+    assert sorted((r["post_id"], r["text"], r["extra"]) for r in t.read_table(spark, path).collect()) == [("1", "one", None), ("2", "one", 5)]
+    assert t.upsert(make_posts(spark, ("3", "h", None, "2026-01-01T02:00:01Z", "three")), path, writer="w", batch=1)
+    assert sorted(r["post_id"] for r in t.read_table(spark, path).collect()) == ["1", "2", "3"]
+    assert t.upsert(first.where("false"), path, writer="w", batch=2) and t.last_commit(spark, path).writers == {"w": 2, "other": 0}
+    with pytest.raises(ValueError):
+        t.read_table(spark, str(tmp_path / "none"))
+
+
+def test_raw_log_has_days_in_utc_and_a_batch_once(spark, tmp_path, zone):
+    path, rows = str(tmp_path / "raw"), make_posts(spark, ("1", "h", None, "2026-01-01T02:00:01Z", "x"), ("2", "h", None, "2026-01-01T23:59:59Z", "x"), ("3", "h", None, None, "x"))
+    for batch in ("w-0", "w-0", "w-1", None):
+        sinks.append_raw(rows, path, batch=batch)
+    days = {(str(r["day"]), r["batch"][:3]): r["count"] for r in spark.read.json(path).groupBy("day", "batch").count().collect()}
+    assert days == {(d, b): n for d, n in (("2026-01-01", 2), ("None", 1)) for b in ("w-0", "w-1", "onc")}
+
+
+def test_instants_dont_depend_on_the_zone(spark, tmp_path, zone):
+    (tmp_path / "f.xml").write_text(FEED)
+    feed = p.load_feed(spark, str(tmp_path / "f.xml"), start="2026-01-05", end="2026-01-05").select("post_id", F.unix_seconds("created_at_utc").alias("s")).collect()
+    assert {r["post_id"]: r["s"] for r in feed} == {"g1": 1767600900, "abc2": 1767603600}
+    rows = [{"id": "s1", "created_at": "2026-01-02T10:00:00Z", "content": "x"}]
+    got = p.normalise_statuses(p.read_rows(spark, dump(tmp_path / "s.json", rows))).select((F.unix_seconds(F.current_timestamp()) - F.unix_seconds("received_at_utc")).alias("age")).first()
+    assert 0 <= got["age"] < 600
+    bars = spark.createDataFrame([("2026-01-02T23:30:00Z", 1.0, 1.0, 1.0, 1.0, 5)], "ts_event string, Open double, High double, Low double, Close double, Volume long")
+    assert m.normalise_bars(bars).first()["session_id"] == "2026-01-02"
+
+
+def test_reports_and_the_log(spark, tmp_path):
+    posts = make_posts(spark, ("1", "h", None, "2026-01-01T02:00:01Z", "x"))
+    sinks.write_report(q.fingerprint(posts), str(tmp_path / "report"))
+    sinks.append_raw(posts, str(tmp_path / "raw"))
+    assert spark.read.json(str(tmp_path / "raw")).count() == spark.read.json(str(tmp_path / "report")).count() == 1

@@ -13,6 +13,11 @@ def utc_day(ts: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts) / DAY).cast("int"))
 
 
+def utc_text(ts: Column) -> Column:
+    """The instant in UTC as `yyyy-MM-dd HH:mm:ss`."""
+    return F.translate(F.substring(iso(ts), 1, 19), "T", " ")
+
+
 def iso(ts: Column) -> Column:
     """The instant in UTC as ISO text; a fraction has six digits, none is left out."""
     micros = F.unix_micros(ts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POST_TYPES
+from ..functions.time import utc_text
 
 OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
@@ -102,8 +103,8 @@ def audit_posts(posts: DataFrame) -> DataFrame:
         (F.count("content_hash") - F.count_distinct("content_hash")).alias("duplicate_content_hashes"),
         F.count_if(empty).alias("empty_text_rows"),
         F.count_if(empty & (F.col("has_image") | F.col("has_video"))).alias("media_only_rows"),
-        F.date_format(F.min("created_at_utc"), "yyyy-MM-dd HH:mm:ss").alias("min_created_at"),
-        F.date_format(F.max("created_at_utc"), "yyyy-MM-dd HH:mm:ss").alias("max_created_at"),
+        utc_text(F.min("created_at_utc")).alias("min_created_at"),
+        utc_text(F.max("created_at_utc")).alias("max_created_at"),
         F.max(F.unix_millis("received_at_utc") - F.unix_millis("created_at_utc")).alias("max_feed_lag_ms"),
     )
 
@@ -152,7 +153,7 @@ def audit_bars(bars: DataFrame, minutes: int = 1) -> DataFrame:
     names = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
     first = bars.agg(
         F.count("*").alias("row_count"), F.count_if("is_valid_bar").alias("valid_rows"), F.count_if(~F.col("is_valid_bar")).alias("invalid_rows"),
-        F.date_format(F.min(F.when(F.col("is_valid_bar"), F.col("ts_open_utc"))), "yyyy-MM-dd HH:mm:ss").alias("min_ts"), F.date_format(F.max(F.when(F.col("is_valid_bar"), F.col("ts_open_utc"))), "yyyy-MM-dd HH:mm:ss").alias("max_ts"),
+        utc_text(F.min(F.when(F.col("is_valid_bar"), F.col("ts_open_utc")))).alias("min_ts"), utc_text(F.max(F.when(F.col("is_valid_bar"), F.col("ts_open_utc")))).alias("max_ts"),
         F.count_if(bad).alias("invalid_ohlc_rows"), F.count_if(F.col("volume") == 0).alias("zero_volume_rows"),
         names("symbol_root").alias("symbols"), names("contract_symbol").alias("contracts"), names("source_name").alias("sources"),
         (F.count("*") - F.count_distinct("ts_open_utc", "contract_symbol")).alias("duplicate_bar_keys"),

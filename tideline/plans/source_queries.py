@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..operators import quality
 from ..operators.events import iso
 from ..operators.temporal import shared_folder
-from ..sources import market, posts, sinks
+from ..sources import market, posts, sinks, tables
 from ..streaming import live
 from . import views as v
 from .views import BASE_SQL, iso_sql, text_ts
@@ -163,7 +163,25 @@ def r1_collected_posts(spark, d):
     rows.repartition(4).write.json(landing)
     stream = live.landed(spark, landing, T.StructType([T.StructField(c, T.StringType()) for c in rows.columns]), max_files=2)
     live.collect(stream, table=table, raw_log=place(spark, "raw"), checkpoint=place(spark, "stream"), normalise=posts.normalise_statuses, once=True).awaitTermination()
-    return spark.read.parquet(table).select("post_id", "text_clean", F.unix_micros("received_at_utc").alias("received_us"))
+    return tables.read_table(spark, table).select("post_id", "text_clean", F.unix_micros("received_at_utc").alias("received_us"))
+
+
+@query(COLLECTED)
+def r2_newest_versions(spark, d):
+    """Landed rows through keyed state: what is passed on last of a version is its newest receipt."""
+    rows = signups(spark, d).select((F.col("event_id") % 300).cast("string").alias("post_id"), F.date_format("ts", Z).alias("received_at_utc"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("text_clean"))
+    landing, table, name = place(spark, "landing"), place(spark, "table"), "spark.sql.streaming.stateStore.providerClass"
+    rows.withColumn("content_hash", F.sha2("text_clean", 256)).repartition(4).write.json(landing)
+    stream = live.landed(spark, landing, T.StructType.fromDDL("post_id string, received_at_utc timestamp, text_clean string, content_hash string"), max_files=2)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # files land in no order of time, so that nothing is late here
+        found = live.newest_seen(stream, minutes=10 * 366 * 24 * 60).writeStream.outputMode("update").option("checkpointLocation", place(spark, "stream"))
+        found.foreachBatch(lambda df, number: tables.upsert(df, table, writer="r2", batch=number) and None).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return tables.read_table(spark, table).select("post_id", "text_clean", F.unix_micros("received_at_utc").alias("received_us"))
 
 
 @query(COLLECTED)
@@ -171,9 +189,9 @@ def k4_upserted_posts(spark, d):
     """The same by two upserts of a half each."""
     rows = signups(spark, d).select((F.col("event_id") % 300).cast("string").alias("post_id"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("text_clean"), F.col("ts").alias("received_at_utc"), F.date_trunc("day", F.timestamp_seconds((F.col("event_id") % 300) * 86_400)).alias("created_at_utc"), "value").withColumn("content_hash", F.col("text_clean"))
     table = place(spark, "table")
-    sinks.upsert(rows.where("value < 20"), table)
-    sinks.upsert(rows.where("value >= 20 or value is null"), table)
-    return spark.read.parquet(table).select("post_id", "text_clean", F.unix_micros("received_at_utc").alias("received_us"))
+    tables.upsert(rows.where("value < 20"), table)
+    tables.upsert(rows.where("value >= 20 or value is null"), table)
+    return tables.read_table(spark, table).select("post_id", "text_clean", F.unix_micros("received_at_utc").alias("received_us"))
 
 
 @query(f"WITH {BASE_SQL} SELECT 'events' AS source, 200 > 10 AS is_stale, 200::BIGINT AS lag_seconds, 202::BIGINT AS latest_post_age_seconds, count(*) AS canonical_rows, count(*) AS raw_rows, count(*) - count(DISTINCT author_id) AS duplicate_rows FROM posts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.time import utc_day
 from ..operators.labels import REQUIRED, check_reviews
 from ..operators.quality import audit_bars, bar_mask, keep_latest, require_columns, to_bool, utc_timestamp
 
@@ -72,7 +73,7 @@ def normalise_bars(df: DataFrame, *, source_name: str = "vendor", symbol_root: s
     out = df.select(
         F.lit(symbol_root).alias("symbol_root"), symbol.alias("contract_symbol"), (F.lit(continuous) if continuous else symbol).alias("continuous_symbol"), ts.alias("ts_open_utc"), F.timestamp_micros(F.unix_micros(ts) + 60_000_000).alias("ts_close_utc"),
         *(c.alias(k) for k, c in prices.items()), whole("volume").alias("volume"), whole("trade_count", "count").alias("trade_count"), (scaled(F.col("vwap")) if "vwap" in df.columns else mean).alias("vwap"), F.lit(source_name).alias("source_name"),
-        flag("is_rth").alias("is_rth"), F.date_format(ts, "yyyy-MM-dd").alias("session_id"), flag("is_rollover_period").alias("is_rollover_period"), flag("is_holiday_session").alias("is_holiday_session"), F.monotonically_increasing_id().alias("_at"),
+        flag("is_rth").alias("is_rth"), utc_day(ts).cast("string").alias("session_id"), flag("is_rollover_period").alias("is_rollover_period"), flag("is_holiday_session").alias("is_holiday_session"), F.monotonically_increasing_id().alias("_at"),
     )
     out = out.withColumn("is_valid_bar", F.coalesce(bar_mask(), F.lit(False)))
     return keep_latest(out, ["ts_open_utc", "contract_symbol"], [F.col("_at")]).select(*BAR_COLUMNS).orderBy("ts_open_utc", "contract_symbol")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import IMAGE_SUFFIXES, VIDEO_SUFFIXES, clean_text, has_suffix, html_to_text, urls
+from ..functions.time import iso, utc_day
 from ..operators.quality import any_timestamp, keep_latest, post_type, rss_timestamp
 
 # Names under which providers give the same field, in the order they are tried.
@@ -170,13 +171,13 @@ def normalise_statuses(df: DataFrame, *, received_at: str | None = None, **names
     """Status-API rows: receipt stamped where absent, type from reblog, quote and reply fields, then as provider rows."""
     present = lambda c: F.col(c).isNotNull() if c in df.columns else F.lit(False)
     kind = F.when(present("reblog"), "retruth").when(present("quote_id") | present("quote"), "quote").when(present("in_reply_to_id"), "reply").otherwise("original")
-    stamp = F.lit(received_at) if received_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = F.lit(received_at) if received_at else iso(F.current_timestamp())
     df = df.withColumns({"received_at": first_of(df, ["received_at"], stamp), "post_type": kind})
     return normalise_provider(df, **names)
 
 
 def load_feed(spark: SparkSession, path: str, *, source_name: str = "feed", source_provider: str = "feed", start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
-    """RSS items as posts: id from guid, else the link's tail, else a hash; text from the description, else the title."""
+    """RSS items as posts: id from guid, else the link's tail, else a hash; text from the description, else the title. start and end are days (UTC), both included."""
     rows = spark.read.format("xml").option("rowTag", "item").option("inferSchema", False).load(path)
     rows = rows if limit is None else rows.limit(limit)
     text = lambda *names: F.coalesce(*[F.nullif(F.trim(first_of(rows, [n])), F.lit("")) for n in names if has_field(rows.schema, n)] or [F.lit(None).cast("string")])
@@ -190,15 +191,14 @@ def load_feed(spark: SparkSession, path: str, *, source_name: str = "feed", sour
     kind = kind.when(low.startswith("rt "), "reply").when(low.contains("retruth"), "retruth").when(low.contains("quote:"), "quote").otherwise("original")
     media = F.array().cast("array<string>")
     flat = rows.select(
-        F.coalesce(guid, tail, F.sha2(F.concat_ws("|", published, title, raw), 256)).alias("post_id"), rss_timestamp(published).cast("string").alias("_created"), F.coalesce(F.nullif(shown, F.lit("")), title, F.lit("")).alias("text"),
+        F.coalesce(guid, tail, F.sha2(F.concat_ws("|", published, title, raw), 256)).alias("post_id"), iso(rss_timestamp(published)).alias("created_at"), F.coalesce(F.nullif(shown, F.lit("")), title, F.lit("")).alias("text"),
         kind.alias("post_type"), link.alias("url"), F.regexp_replace(F.coalesce(text("author", "dc:creator"), F.lit("unknown_author")), "^@", "").alias("author_id"), F.array_distinct(F.concat(media, *_feed_media(rows))).alias("media"),
     )
-    flat = flat.withColumn("created_at", F.date_format(F.col("_created").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("_created")
     posts = keep_latest(normalise_provider(flat, source_name=source_name, source_provider=source_provider), ["post_id", "content_hash"], [F.col("ingested_at_utc"), F.col("raw_json")])
     if start:
-        posts = posts.where(F.col("created_at_utc") >= F.lit(start).cast("timestamp"))
+        posts = posts.where(utc_day(F.col("created_at_utc")) >= F.lit(start).cast("date"))
     if end:
-        posts = posts.where(F.col("created_at_utc") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
+        posts = posts.where(utc_day(F.col("created_at_utc")) <= F.lit(end).cast("date"))
     return posts.orderBy("created_at_utc", "post_id")
 
 

@@ -1,12 +1,13 @@
-"""Sinks: tables, reports, the raw log by day, and the upsert of canonical posts."""
+"""Sinks: tables, reports and the raw log by day. Tables with a newest row for each key are in tables.py."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.quality import keep_latest
+from ..functions.time import utc_day
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -19,26 +20,10 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_raw(df: DataFrame, path: str, ts: str = "received_at_utc") -> None:
-    """Appends JSON lines below one folder per UTC day."""
-    df.withColumn("day", F.date_format(ts, "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
-
-
-def upsert(new: DataFrame, path: str, *, keys: tuple[str, ...] = ("post_id", "content_hash"), newest_by: str = "received_at_utc") -> None:
-    """Merges rows into the table at path, which is laid out by creation day; per key the newest stays.
+def append_raw(df: DataFrame, path: str, ts: str = "received_at_utc", *, batch: str | None = None) -> None:
+    """Appends JSON lines below a folder for each day (UTC, whatever the session's zone) and, in it, for the batch.
 
-    Only the days that new rows touch are read and written again.
+    A batch that is written again replaces its own lines, so that a retry doesn't repeat them. Without a name every call is a batch of its own.
     """
-    spark = new.sparkSession
-    rows = new.withColumn("day", F.to_date("created_at_utc"))
-    days = [r[0] for r in rows.select("day").distinct().collect()]
-    if not days:
-        return
-    try:
-        old = spark.read.parquet(path).where(F.col("day").isin(*days))
-        rows = old.unionByName(rows, allowMissingColumns=True)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    merged = keep_latest(rows, list(keys), [F.col(newest_by)]).checkpoint()
-    merged.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    rows = df.withColumns({"day": utc_day(F.col(ts)), "batch": F.lit(batch or f"once-{uuid.uuid4().hex}")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").json(path)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.quality import keep_latest
-from ..sources.sinks import append_raw, upsert
+from ..operators.temporal import cut
+from ..sources.sinks import append_raw
+from ..sources.tables import upsert
 
 LOOKBACK_MINUTES = 240
 
@@ -21,17 +25,72 @@ def landed(spark: SparkSession, path: str, schema: T.StructType, *, max_files: i
 
 
 def first_seen(stream: DataFrame, ts: str = "received_at_utc", minutes: int = LOOKBACK_MINUTES) -> DataFrame:
-    """Drops repeats of (post_id, content_hash) within the watermark. It keeps the first, so it only thins a stream out before upsert(), which keeps the newest."""
+    """Drops repeats of (post_id, content_hash) within the watermark. It keeps the first, so it only thins a stream out before upsert(); newest_seen() keeps the newest."""
     return stream.withWatermark(ts, f"{minutes} minutes").dropDuplicatesWithinWatermark(["post_id", "content_hash"])
 
 
+class Newest(StatefulProcessor):
+    """Of a key's versions the one with the latest receipt, for as long as the watermark is less than `minutes` behind it.
+
+    The state is that receipt (in microseconds). A later version is passed on and replaces it; an equal or earlier one
+    is not. When the watermark passes the receipt by `minutes`, a timer clears the state.
+    """
+
+    def __init__(self, ts: str, minutes: int) -> None:
+        self.ts, self.minutes = ts, minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "micros long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known, found = (self.best.get()[0] if self.best.exists() else None), None
+        for frame in rows:
+            frame = frame[frame[self.ts].notna()]
+            if len(frame):
+                top = frame.loc[[frame[self.ts].idxmax()]]
+                if found is None or top[self.ts].iloc[0] > found[self.ts].iloc[0]:
+                    found = top
+        if found is None:
+            return
+        micros = found[self.ts].iloc[0].value // 1000
+        if known is None or micros > known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.best.update((micros,))
+            self.handle.registerTimer(micros // 1000 + self.minutes * 60_000)
+            yield found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.best.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_seen(stream: DataFrame, ts: str = "received_at_utc", *, keys: tuple[str, ...] = ("post_id", "content_hash"), minutes: int = LOOKBACK_MINUTES) -> DataFrame:
+    """A stream in update mode of each key's newest version: a later one follows and replaces what was passed on before.
+
+    Rows more than `minutes` behind the latest are late and left out, as are rows without a time. The state, one number
+    for each key of the last `minutes`, is kept by RocksDB: set spark.sql.streaming.stateStore.providerClass to it.
+    """
+    rows = stream.withWatermark(ts, f"{minutes} minutes")
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Newest(ts, minutes), outputStructType=stream.schema, outputMode="Update", timeMode="EventTime")
+
+
 def collect(stream: DataFrame, *, table: str, raw_log: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], seconds: int = 5, once: bool = False) -> StreamingQuery:
-    """Writes each batch to the raw log by day and merges its normalised posts into the canonical table."""
+    """Writes each batch to the raw log by day and merges its normalised posts into the canonical table (tables.read_table()).
+
+    Spark may run a batch again, with its number: the log's lines of that batch are then replaced, and a batch that
+    the table has committed is left out, wherever the first run ended. A number counts for one checkpoint folder only.
+    """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def batch(rows: DataFrame, number: int) -> None:
-        posts = normalise(rows).checkpoint()
-        append_raw(posts.select("post_id", "received_at_utc", "raw_json"), raw_log)
-        upsert(posts, table)
+        posts = cut(normalise(rows))
+        append_raw(posts.select("post_id", "received_at_utc", "raw_json"), raw_log, batch=f"{writer}-{number}")
+        upsert(posts, table, writer=writer, batch=number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
