@@ -358,11 +358,39 @@ def test_similar_is_jaccard(spark, monkeypatch):
     assert simhash_dedup.keep_one(df.where("false"), shingle=5, similarity=0.8).count() == 0
 
 
-def test_candidates_of_hot_keys(spark):
+def test_candidates_of_hot_bands(spark):
+    """Texts of one band are connected over all parts of it, a text without bands is in no link, and links are no more than rows."""
     rng = random.Random(3)
-    base = [rng.getrandbits(64), rng.getrandbits(64)]
-    near = {tuple(x ^ sum(1 << b for b in rng.sample(range(64), 5)) for x in base) for _ in range(120)}
-    rows = [tuple(x - (1 << 64) if x >> 63 else x for x in p) for p in near | {(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(120)}]
-    df = spark.createDataFrame(rows, "hi long, lo long")
-    roots = [{frozenset(g) for g in _classes([r["node"] for r in got], {r["node"]: r["root"] for r in got}.get)} for got in (components.connected_components(simhash_dedup.candidates(df, max_bits=28, group_rows=n)).collect() for n in (2_048, 8))]
-    assert roots[0] == roots[1] and {len(g) for g in roots[0]} == {120}
+    rows = [(n, [7, rng.getrandbits(40)]) for n in range(1_000)] + [(n, [rng.getrandbits(40), rng.getrandbits(40)]) for n in range(1_000, 2_000)] + [(2_000, []), (2_001, [8, 7])]
+    found = simhash_dedup.candidates(spark.createDataFrame(rows, "n long, bands array<long>")).collect()
+    got = components.connected_components(spark.createDataFrame(found, "a long, b long")).collect()
+    # the same number in another band is another key
+    assert {frozenset(g) for g in _classes([r["node"] for r in got], {r["node"]: r["root"] for r in got}.get)} == {frozenset(range(1_000))}
+    assert len(found) == 999
+
+
+def test_candidates_of_a_text_dont_grow_with_the_table(spark):
+    rng = random.Random(4)
+    words = ["the", "of", "and", "to", "in", "that", "it", "was", "for", "on", "are", "as", "with", "his", "they", "at"]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(8_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    drawn = shared.materialised(simhash_dedup.prints(df, id_col="id", text_col="text", shingle=5), "prints")
+    links = [simhash_dedup.candidates(drawn.where(f"n < {n}").select("n", "bands")).count() for n in (500, 2_000, 8_000)]
+    assert all(x <= 0.02 * n for x, n in zip(links, (500, 2_000, 8_000), strict=True)), links
+
+
+def test_chance_of_a_shared_band():
+    """Sets of Jaccard 0.8 share a band nearly always, sets of 0.3 rarely."""
+    masks, factors = simhash_dedup.band_hashes()
+    rng, met = random.Random(6), Counter()
+    for _ in range(300):
+        for both, apart in ((80, 20), (30, 70)):
+            words = [f"{rng.getrandbits(60):x}" for _ in range(both + apart)]
+            sides = words[: both + apart // 2], words[:both] + words[both + apart // 2 :]
+            drawn = []
+            for side in sides:
+                joined = " ".join(side).encode()
+                stops = np.cumsum([len(w) + 1 for w in side]) - 1
+                drawn.append(simhash_dedup.sketch(joined, [0, *(stops[:-1] + 1).tolist()], stops.tolist(), masks, factors)[1])
+            met[both] += any(x == y for x, y in zip(*drawn, strict=True))
+    assert met[80] >= 298 and met[30] <= 60

@@ -6,8 +6,10 @@ largest difference over all pivots discards pairs next, and only survivors are c
 of five blocks, three differing bits leave two untouched, so that every link shares the bits of one of ten
 pairs of blocks.
 
-similar() links texts by the Jaccard index of their shingle sets instead: 128-bit fingerprints, a radius that
-follows from the index, and the index itself, over the shingles' own bytes, for all pairs that are left.
+similar() links texts by the Jaccard index of their shingle sets instead. Texts meet by bands of their smallest shingle
+hashes, of 64 bits each, so that the candidates of a text don't grow with the number of other texts; then pivots and a
+radius of 128-bit fingerprints, which follows from the index, discard pairs, and the index itself, over the shingles'
+own bytes, decides on all that are left.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from math import acos, comb, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +38,12 @@ PIVOT_SEED = 5
 GROUP_ROWS = 2_048
 CHUNK_BYTES = 4_000_000
 HASHES_AT_ONCE = 100_000
-#: For similar(): the share of pairs at the least similarity that the radius reaches, blocks of each 64 bits, and text in a piece of a group.
+SKETCH_AT_ONCE = 5_000
+#: For similar(): the share of pairs at the least similarity that the radius reaches, bands and smallest hashes in each
+#: (a pair of Jaccard 0.8 shares a band with a chance of 0.9996), parts of a band's texts, and text in a piece of a group.
 REACH = 0.99
-BLOCKS = 9
+BANDS, BAND_HASHES = 20, 5
+SALTS = 64
 PIECE_BYTES = 2_000_000
 
 
@@ -125,7 +130,10 @@ def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np
         return i
 
     out, left, lag = [], np.arange(n), 0
+    missing = np.bincount(own, minlength=len(starts)) - 1  # links that a group lacks until all its rows are connected
     while len(left):
+        if accept is not None:
+            left = left[missing[own[left]] > 0]
         lag += 1
         left = left[left + lag <= last[left]]
         pairs = left
@@ -138,6 +146,7 @@ def links_within(table: np.ndarray, bits: np.ndarray, group: np.ndarray, fps: np
             a, b = root(i), root(j)
             if a != b and (accept is None or accept(i, j)):
                 parent[a] = b
+                missing[own[i]] -= 1
                 out.append((i, j))
     return out
 
@@ -211,26 +220,39 @@ def radius(similarity: float, bits: int = 128) -> int:
     return bits
 
 
+def band_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd factors that make a hash function for each place of each band out of one 64-bit hash."""
+    rng = np.random.default_rng(PIVOT_SEED)
+    draw = lambda: rng.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64, endpoint=False)
+    return draw(), draw() | np.uint64(1)
+
+
+def sketch(joined: bytes, starts: list[int], stops: list[int], masks: np.ndarray, factors: np.ndarray) -> tuple[bytes, list[int]]:
+    """128 bits of SimHash of all shingles, and of every band a 64-bit hash of its smallest shingle hashes; without shingles zeros and no bands."""
+    n, ones, least = len(stops), np.zeros(128, np.int64), np.full(len(masks), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, n, SKETCH_AT_ONCE):
+        raw = b"".join([xxhash.xxh3_128_digest(joined[a:b], HASH_SEED) for a, b in zip(starts[at : at + SKETCH_AT_ONCE], stops[at : at + SKETCH_AT_ONCE], strict=False)])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+        hashes = np.frombuffer(raw, np.uint64)[::2]
+        np.minimum(least, ((hashes[:, None] ^ masks) * factors).min(axis=0), out=least)
+    bands = [xxhash.xxh64_intdigest(least[k : k + BAND_HASHES].tobytes(), k) for k in range(0, len(least), BAND_HASHES)] if n else []
+    return np.packbits(2 * ones > n).tobytes(), np.array(bands, np.uint64).view(np.int64).tolist()
+
+
 def prints(df: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """n (the id), hi and lo (128 bits of SimHash), words (a 128-bit digest of the words, null if there are none) and size (their bytes)."""
+    """n (the id), hi and lo (128 bits of SimHash), bands, words (a 128-bit digest of the words, null if there are none) and size (their bytes)."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks, factors = band_hashes()
         for batch in chunks(batches, 1, CHUNK_BYTES):
             found = [cuts(t.as_py(), shingle) for t in batch.column(1)]
-            fps = np.frombuffer(b"".join(majority(*x, xxhash.xxh3_128_digest, 16) for x in found), ">i8").astype(np.int64).reshape(-1, 2)
+            drawn = [sketch(*x, masks, factors) for x in found]
+            fps = np.frombuffer(b"".join(x[0] for x in drawn), ">i8").astype(np.int64).reshape(-1, 2)
             words = pa.array([xxhash.xxh3_128_digest(x[0], HASH_SEED) if x[0] else None for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1]), words, pa.array([len(x[0]) for x in found], pa.int64())], names=["n", "hi", "lo", "words", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array([x[1] for x in drawn], pa.list_(pa.int64())), words, pa.array([len(x[0]) for x in found], pa.int64())], names=["n", "hi", "lo", "bands", "words", "size"])
 
-    return df.select(F.col(id_col).alias("n"), F.col(text_col).alias("text")).mapInArrow(run, "n long, hi long, lo long, words binary, size long")
-
-
-def meeting_keys(fps: np.ndarray) -> np.ndarray:
-    """For every fingerprint (hi, lo) the keys under which it meets others: the bits of every two of BLOCKS blocks of either half."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    blocks = [[(half >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)] for half in (fps[:, 0], fps[:, 1])]
-    pairs = [(b[x], b[y]) for b in blocks for x, y in combinations(range(BLOCKS), 2)]
-    return np.stack([(np.uint64(t) << np.uint64(16) | x << np.uint64(8) | y) for t, (x, y) in enumerate(pairs)], axis=1).astype(np.int32)
+    return df.select(F.col(id_col).alias("n"), F.col(text_col).alias("text")).mapInArrow(run, "n long, hi long, lo long, bands array<long>, words binary, size long")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -259,32 +281,19 @@ def pieced(rows: DataFrame, own, keys: list[str], columns: list[str]) -> DataFra
     return rows.repartition(parallelism(rows.sparkSession), *keys, "group").sortWithinPartitions(*keys, "group", columns[0])
 
 
-def candidates(distinct: DataFrame, *, max_bits: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b: values of hi) that connect the distinct fingerprints (hi, lo) within max_bits that share a key of meeting_keys().
+def candidates(texts: DataFrame) -> DataFrame:
+    """Links (a, b: values of n) that connect all texts (n, bands) which share a band.
 
-    The number of keys is fixed (72 tables of at most 2**16), so that those with several pieces can be broadcast.
+    All texts of a band are candidates of each other, so that links to one of them will do. A band's texts are dealt
+    to SALTS parts: links lead to the first of a part, and from there to the first of the band.
     """
-
-    @released
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            keys = meeting_keys(fps.view(np.uint64))
-            for at in range(0, len(keys), 1_000):
-                part, n = keys[at : at + 1_000], keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(fps[at : at + 1_000, 0], n)), pa.array(np.repeat(fps[at : at + 1_000, 1], n))], names=["key", "hi", "lo"])
-
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_group(batches, 2, 10_000):
-            key, group, hi, lo = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            found = np.array(links_within(key, group, group, np.stack([hi, lo], axis=1).view(np.uint64), max_bits), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(hi[found[:, 0]]), pa.array(hi[found[:, 1]])], names=["a", "b"])
-
-    keyed = distinct.select("hi", "lo").mapInArrow(spread, "key int, hi long, lo long")
-    hot = keyed.groupBy("key").count().where(F.col("count") > group_rows).select("key", F.ceil(F.col("count") / group_rows).cast("int").alias("pieces"))
-    rows = keyed.join(F.broadcast(materialised(hot, "hot-keys")), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    return pieced(rows, F.pmod(F.xxhash64("hi", "lo"), F.col("pieces")), ["key"], ["hi", "lo"]).mapInArrow(run, "a long, b long")
+    keyed = texts.select("n", F.posexplode("bands").alias("band", "key")).withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)))
+    part = Window.partitionBy("band", "key", "salt")
+    rows = keyed.withColumns({"first": F.min("n").over(part)})
+    firsts = keyed.groupBy("band", "key", "salt").agg(F.min("n").alias("first"))
+    inner = rows.where("n <> first").select(F.col("n").alias("a"), F.col("first").alias("b"))
+    outer = firsts.withColumn("b", F.min("first").over(Window.partitionBy("band", "key"))).where("first <> b").select(F.col("first").alias("a"), "b")
+    return inner.unionByName(outer)
 
 
 def confirmed(texts: DataFrame, *, shingle: int, similarity: float, max_bits: int) -> DataFrame:
@@ -323,16 +332,16 @@ def at_least(a: frozenset, b: frozenset, similarity: float) -> bool:
 def similar(df: DataFrame, *, id_col: str, text_col: str = "text", shingle: int, similarity: float) -> DataFrame:
     """id_col and component_id of every row of a numbered() table with that column; texts link where their shingle sets have a Jaccard index of similarity or more.
 
-    Rows with the same words are one text; texts without words are one component. Fingerprints within the radius
-    that share a key are candidates; of each connected group of candidates all pairs within the radius are then
-    compared by their shingles. What is lost are pairs that no chain of candidates connects.
+    Rows with the same words are one text; texts without words are one component. Texts that share a band are
+    candidates; of each connected group of candidates all pairs within the radius are compared by their shingles, but
+    those that are connected already. What is lost are pairs that no chain of bands connects, or beyond the radius.
     """
     bits = radius(similarity)
     rows = materialised(prints(df, id_col=id_col, text_col=text_col, shingle=shingle), "prints")
-    texts = materialised(rows.groupBy("words").agg(F.min("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.max("size").alias("size")), "distinct-words")
+    texts = materialised(rows.groupBy("words").agg(F.min("n").alias("n"), F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.any_value("bands").alias("bands"), F.max("size").alias("size")), "distinct-words")
     worded = texts.where("words is not null")
-    roots = connected_components(candidates(worded.select("hi", "lo").distinct(), max_bits=bits))
-    rooted = worded.join(roots.withColumnRenamed("node", "hi"), "hi", "left").select("n", "hi", "lo", "size", F.coalesce("root", "hi").alias("root"))
+    roots = connected_components(candidates(worded.select("n", "bands")))
+    rooted = worded.join(roots.withColumnRenamed("node", "n"), "n").select("n", "hi", "lo", "size", "root")
     rooted = materialised(rooted, "rooted-texts")
     pieces = F.ceil(F.greatest(F.col("count") / GROUP_ROWS, F.col("bytes") / PIECE_BYTES)).cast("int")
     groups = rooted.groupBy("root").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).where("count > 1").select("root", pieces.alias("pieces"))
