@@ -115,3 +115,13 @@ def test_near_duplicates_by_similarity(spark):
     rows = [(1, change(), "en", "s", 0), (2, change(30, 75, 120), "en", "s", 0), (3, change(*range(5, 150, 16)), "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()} == {1, 3}
+
+
+def test_language_rejects_junk_and_what_was_not_learned(spark, folder):
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (120, 600, 3_000)]
+    junk += ["съешь же ещё этих мягких французских булок да выпей чаю " * 5, "漢字仮名交じり文の例です" * 10, "xqz wvk " * 40]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = spark.createDataFrame([(100 + i, t, None, "s", 0) for i, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(more), folder).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} - {42, 43}

@@ -183,3 +183,20 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str =
 def held_out(column: str = "doc_id"):
     """True where crc32 of the id as text leaves 1 on division by 3 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+#: For threshold(): texts of fewer code points are too short to be told from junk by their score.
+LEAST_CHARS = 50
+
+
+def threshold(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", label: str = "lang", sample: int = 20_000, share: float = 0.001, margin: float = 0.6) -> float:
+    """The score under which a text of LEAST_CHARS code points or more is like none of the languages; 0 without labelled texts.
+
+    It is `margin` times the score that all but `share` of the labelled texts reach whose language is predicted. A
+    share of the rows is read that makes about `sample` of them, chosen by a hash of their texts.
+    """
+    rows = docs.where(F.col(label).isNotNull() & (F.char_length(text) >= LEAST_CHARS)).select(text, label)
+    every = max(1, rows.count() // sample)
+    found = predict(rows.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0), prototypes, text_col=text, carry=[label])
+    least = found.where(F.col("lang_pred") == F.col(label)).agg(F.percentile("score", F.lit(share))).first()[0]
+    return margin * (least or 0.0)
