@@ -75,6 +75,19 @@ def test_newest_version_replaces_earlier_ones(spark, tmp_path):
     assert seen == [[("a", "second"), ("b", "only")], [("b", "newer")], [("c", "moves the watermark")], [("d", "in time")], [("a", "after its state went")]]
 
 
+def test_a_changed_row_names_its_range(spark):
+    df = spark.range(1_000).select(F.col("id").alias("k"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("v"), F.lit(None).cast("string").alias("w")).unionByName(spark.createDataFrame([(None, "x", "y"), (5, "t5", None)], "k long, v string, w string"))
+    tree = lambda rows: {(r["level"], r["node"]): (r["row_count"], r["digest"]) for r in quality.digest_tree(rows, "k", span=10, fan=4, levels=4).collect()}
+    whole = tree(df)
+    assert whole == tree(df.repartition(7).select("w", "v", "k")) and whole[4, 0][0] == 1_002
+    changed = tree(df.withColumn("v", F.when(F.col("k") == 777, "T").otherwise(F.col("v"))))
+    assert {n for n in whole if whole[n] != changed[n]} == {(0, 77), (1, 19), (2, 4), (3, 1), (4, 0)}
+    # a value that moves to another column, a repeated row, and null against its mark are changes too
+    for other in (df.withColumns({"v": F.col("w"), "w": F.col("v")}), df.unionByName(df.where("k = 9")), df.withColumn("w", F.coalesce("w", F.lit("-")))):
+        assert tree(other)[4, 0] != whole[4, 0]
+    assert tree(df.where("false")) == {}
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(3)
     groups = {"all": [rng.choice([1.0, 2.0, 2.0, 3.5]) for _ in range(3_000)] + [7.25], "one": [4.0], "two": [1.0, 2.0], None: [rng.gauss(0, 1) for _ in range(501)], "none": []}

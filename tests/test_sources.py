@@ -1,10 +1,12 @@
 import json
+import random
 
 import market
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import quality as q
+from tideline.sources import json_arrays as arrays
 from tideline.sources import market as m
 from tideline.sources import posts as p
 from tideline.sources import sinks
@@ -185,6 +187,28 @@ def test_instants_dont_depend_on_the_zone(spark, tmp_path, zone):
     assert m.normalise_bars(bars).first()["session_id"] == "2026-01-02"
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_array_is_read_by_several_tasks(spark, tmp_path, indent):
+    """Borders of splits fall anywhere: inside strings, escapes and nested objects."""
+    rng = random.Random(2)
+    odd = ["}", "{", "]", "[", '"', "\\", '\\"', "},{", "\n", "é漢😀", '"}]', "text ", "\\\\"]
+    rows = [{"id": str(n), "content": "".join(rng.choice(odd) for _ in range(rng.randint(0, 30))), "deep": {"list": [{"a": "}{"}, {"b": [1, {"c": "]"}]}], "n": n}} for n in range(400)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=rng.random() < 0.5), encoding="utf-8")
+    (tmp_path / "none.json").write_text(" [ ] ")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert arrays.pieces(spark, str(tmp_path / "a.json")).rdd.getNumPartitions() > 10
+        got = p.read_rows(spark, str(tmp_path / "a.json"))
+        assert [(r["id"], r["content"], r["deep"]["n"], r["deep"]["list"][0]["a"]) for r in got.orderBy("deep.n").collect()] == [(r["id"], r["content"], r["deep"]["n"], "}{") for r in rows]
+        assert arrays.records(spark, str(tmp_path / "none.json")).count() == 0
+        assert [json.loads(r["json"]) for r in arrays.records(spark, str(tmp_path / "a.json")).orderBy("record").collect()] == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "bad.json").write_text('[{"a": 1}, 5, {"a": 2}]')
+    with pytest.raises(Exception, match="no object"):
+        arrays.records(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_reports_and_the_log(spark, tmp_path):
     posts = make_posts(spark, ("1", "h", None, "2026-01-01T02:00:01Z", "x"))
     sinks.write_report(q.fingerprint(posts), str(tmp_path / "report"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POST_TYPES
 from ..functions.time import utc_text
+from .temporal import cut
 
 OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
@@ -166,3 +169,30 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """One row that doesn't depend on the order of rows: count and a sum of row hashes over columns in name order."""
     h = F.xxhash64(*sorted(df.columns))
     return df.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"))
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's values in the given order, each with its length before it and null apart from all texts. Pass texts, whole numbers and truth values: other types have no one text."""
+    parts = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in columns]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def digest_tree(df: DataFrame, key: str, *, span: int = 64, fan: int = 16, levels: int = 6) -> DataFrame:
+    """Columns level, node, row_count and digest: a tree of digests over ranges of a whole-number key, so that a changed row names its range.
+
+    A node of level 0 covers `span` keys, one of level k covers `fan` times as many as one of level k - 1; the single
+    node of the last level covers all. A leaf's digest is over the sorted digests of its rows (equal ones counted
+    before they move), another's over those of its nodes. Null keys are node -1 of level 0. Compare two trees by a join.
+    """
+    digest = row_digest(sorted(df.columns)).alias("digest")
+    counted = df.select(F.coalesce(F.floor(F.col(key) / span), F.lit(-1)).cast("long").alias("node"), digest).groupBy("node", "digest").agg(F.count("*").alias("n"))
+    folded = lambda text: F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "|"), 256).alias("digest")
+    level = cut(counted.groupBy("node").agg(F.sum("n").alias("row_count"), folded(F.concat_ws("*", "digest", F.col("n").cast("string")))))
+    out = [level.withColumn("level", F.lit(0))]
+    for k in range(1, levels + 1):
+        up = F.lit(0).cast("long") if k == levels else F.floor(F.col("node") / fan).cast("long")
+        # a node's number, with leading zeros, and its digest
+        child = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), "digest")
+        level = cut(level.select(up.alias("up"), "row_count", child.alias("child")).groupBy(F.col("up").alias("node")).agg(F.sum("row_count").alias("row_count"), folded(F.col("child"))))
+        out.append(level.withColumn("level", F.lit(k)))
+    return reduce(DataFrame.unionByName, out).select("level", "node", "row_count", "digest")

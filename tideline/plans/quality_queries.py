@@ -90,6 +90,21 @@ def a38_fingerprint(spark, d):
     return quality.fingerprint(v.table(spark, d, "documents"))
 
 
+def _tree_sql(table: str, key: str, columns: list[str], *, span: int = 64, fan: int = 16, levels: int = 6) -> str:
+    part = " || '|' || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END" for c in sorted(columns))
+    ctes = [f"counted AS (SELECT coalesce(floor({key} / {span}.0), -1)::BIGINT AS node, sha256({part}) AS digest, count(*) AS n FROM {table} GROUP BY ALL)"]
+    ctes.append("l0 AS (SELECT node, sum(n)::BIGINT AS row_count, sha256(string_agg(digest || '*' || n::VARCHAR, '|' ORDER BY digest || '*' || n::VARCHAR)) AS digest FROM counted GROUP BY 1)")
+    child = "lpad(node::VARCHAR, 20, '0') || ':' || digest"
+    ctes += [f"l{k} AS (SELECT {'0::BIGINT' if k == levels else f'floor(node / {fan}.0)::BIGINT'} AS node, sum(row_count)::BIGINT AS row_count, sha256(string_agg({child}, '|' ORDER BY {child})) AS digest FROM l{k - 1} GROUP BY 1)" for k in range(1, levels + 1)]
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT {k} AS level, node, row_count, digest FROM l{k}" for k in range(levels + 1))
+
+
+@query(_tree_sql("documents", "doc_id", ["doc_id", "text", "lang", "source", "n_chars"]))
+def a38_digest_tree(spark, d):
+    """Digests of ranges of documents, up to one for the table."""
+    return quality.digest_tree(v.table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
+
+
 REVIEWS = "reviews AS (SELECT doc_id::VARCHAR AS event_id, 'q' AS reviewer_id, quality::VARCHAR AS label FROM labels UNION ALL SELECT doc_id::VARCHAR, 't', toxic::VARCHAR FROM labels)"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import IMAGE_SUFFIXES, VIDEO_SUFFIXES, clean_text, has_suffix, html_to_text, urls
 from ..functions.time import iso, utc_day
 from ..operators.quality import any_timestamp, keep_latest, post_type, rss_timestamp
+from .json_arrays import as_lines, is_array
 
 # Names under which providers give the same field, in the order they are tried.
 WRAPPERS = ["data", "items", "results", "posts", "response"]
@@ -35,14 +36,21 @@ ALIASES = {
 
 
 def read_rows(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
-    """JSON (array, lines, or wrapped under known names, nested too), CSV or Parquet by suffix; `limit` rows before anything else."""
+    """JSON (array, lines, or wrapped under known names, nested too), CSV or Parquet by suffix; `limit` rows before anything else.
+
+    Arrays, lines and Parquet are read by as many tasks as they have splits; a wrapped payload and CSV with line breaks in it by one for each file.
+    """
     name = path.rstrip("/").lower()
     if name.endswith(".parquet"):
         rows = spark.read.parquet(path)
     elif name.endswith(".csv"):
         rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    elif name.endswith((".jsonl", ".ndjson")):
+        rows = unwrap(spark.read.json(path))
+    elif is_array(spark, path):
+        rows = unwrap(spark.read.json(as_lines(spark, path)))
     else:
-        rows = unwrap(spark.read.option("multiLine", not name.endswith((".jsonl", ".ndjson"))).json(path))
+        rows = unwrap(spark.read.option("multiLine", True).json(path))
     return rows if limit is None else rows.limit(limit)
 
 
