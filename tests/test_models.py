@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.models import baselines
 from tideline.operators import metrics, reports, risk, tuning
@@ -42,6 +43,15 @@ def test_one_class_gives_the_majority(labelled):
     assert {r["predicted"] for r in baselines.predictions(one, labelled, ["tfidf_logreg"], {}).where("model = 'tfidf_logreg'").collect()} == {"up"}
 
 
+def test_status_and_digests(spark, labelled):
+    one = baselines.compare(labelled.withColumn("tradeability_label", F.lit("up")), models=["tfidf_logreg"], **SMALL)
+    assert {r["model"]: r["status"] for r in one.collect()} == {"naive": "trained", "rules": "trained", "tfidf_logreg": "majority"}
+    none = spark.createDataFrame([(1, "naive", "trained", 3, 0.5, 0.4), (2, "m", "majority", 3, 0.9, 0.9), (3, "b", "trained", 3, 0.5, 0.4)], "position int, model string, status string, n long, accuracy double, macro_f1 double")
+    assert tuple(reports.classifier_digest(none).first()) == ("naive", 3, 0.5, 0.4)
+    folds = spark.createDataFrame([("b", 2, 9, 0.5, 0.4, 0.45, 0.1), ("a", 2, 9, 0.6, 0.5, 0.45, 0.2), ("c", 2, 9, 0.9, 0.9, 0.1, 0.0)], "model string, folds long, n long, accuracy double, macro_f1 double, macro_f1_mean double, macro_f1_std double")
+    assert reports.walk_forward_digest(folds).first()["model"] == "a" and reports.walk_forward_digest(folds.where("false")).count() == 0
+
+
 def test_comparison_and_save(labelled, tmp_path):
     rows = baselines.compare(labelled, models=["tfidf_logreg"], save=lambda name, m: m.write().overwrite().save(str(tmp_path / name)), **SMALL)
     got = {r["model"]: r for r in rows.collect()}

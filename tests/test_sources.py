@@ -209,6 +209,11 @@ def test_one_array_is_read_by_several_tasks(spark, tmp_path, indent):
         arrays.records(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_coercion_failures(spark):
+    df = spark.createDataFrame([("2026-01-02T10:00:00Z", "x"), ("2026-01-02 10:00:00", None), ("soon", "1767348000"), (None, "")], "a string, b string")
+    assert {r["column"]: r["failures"] for r in q.coercion_failures(df, ["a", "b"]).collect()} == {"a": 2, "b": 2}
+
+
 def test_reports_and_the_log(spark, tmp_path):
     posts = make_posts(spark, ("1", "h", None, "2026-01-01T02:00:01Z", "x"))
     sinks.write_report(q.fingerprint(posts), str(tmp_path / "report"))

@@ -6,6 +6,7 @@ Rows have text_clean, the label column, and the context columns of CONTEXT; real
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..operators.temporal import cut
 
 TARGET = "tradeability_label"
 # What is known of a post before the market moves.
 CONTEXT = ["post_length", "token_count", "all_caps_ratio", "exclamation_count", "question_mark_count", "has_image", "has_video", "rule_sentiment_confidence"]
+#: fits that run side by side
+FITS = 4
 FEATURES = 250
 MODELS = ["tfidf_logreg", "tfidf_linear_svm", "boosted_trees", "mlp"]
 
@@ -123,39 +127,52 @@ def majority_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.withColumn("predicted", F.lit(row[0]))
 
 
-def predictions(train: DataFrame, test: DataFrame, models: list[str], options: dict) -> DataFrame:
-    """(model, actual, predicted, confidence) of the naive and rule baselines and of each model on the test rows."""
+def fit_all(jobs: list[tuple[DataFrame, str]], options: dict, *, side_by_side: int = FITS) -> list[PipelineModel | None]:
+    """fit() of every (rows, model), several at once: a fit is many small jobs, between which a cluster would wait."""
+    with ThreadPoolExecutor(side_by_side) as pool:
+        return list(pool.map(lambda job: fit(*job, **options), jobs))
+
+
+def predictions(train: DataFrame, test: DataFrame, models: list[str], options: dict, fits: list[PipelineModel | None] | None = None) -> DataFrame:
+    """(model, actual, predicted, confidence) of the naive and rule baselines and of each model (fits, or fitted here) on the test rows."""
+    fits = fit_all([(train, name) for name in models], options) if fits is None else fits
     slim = lambda df, name: df.select(F.lit(name).alias("model"), F.col(TARGET).alias("actual"), "predicted", *([] if "confidence" in df.columns else [F.lit(None).cast("double").alias("confidence")]), *(["confidence"] if "confidence" in df.columns else []))
     out = [slim(majority_predictions(train, test), "naive"), slim(test.withColumn("predicted", F.col("rule_tradeability_label")), "rules")]
-    for name in models:
-        fitted = fit(train, name, **options)
+    for name, fitted in zip(models, fits, strict=True):
         out.append(slim(predict(fitted, test) if fitted else majority_predictions(train, test), name))
     return reduce(DataFrame.unionByName, out)
 
 
 def compare(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, test_share: float = 0.35, models: list[str] | None = None, save: Callable[[str, PipelineModel], None] | None = None, **options) -> DataFrame:
-    """Model comparison on the chronological split: position, model, status, n, accuracy, macro_f1 of each; save gets every fitted pipeline."""
-    split = metrics.chronological_split(df, order or [ts, "event_id"], ts, test_share).checkpoint()
+    """Model comparison on the chronological split: position, model, status, n, accuracy, macro_f1 of each; save gets every fitted pipeline.
+
+    status is `trained`, or `majority` for a model that found fewer than two classes and predicts the most frequent one.
+    """
+    split = cut(metrics.chronological_split(df, order or [ts, "event_id"], ts, test_share))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     names = models if models is not None else MODELS
-    if save:
-        for name in names:
-            if fitted := fit(train, name, **options):
-                save(name, fitted)
-    found = predictions(train, test, names, options).checkpoint()
+    fits = fit_all([(train, name) for name in names], options)
+    for name, fitted in zip(names, fits, strict=True):
+        if save and fitted:
+            save(name, fitted)
+    found = cut(predictions(train, test, names, options, fits))
+    untrained = [name for name, fitted in zip(names, fits, strict=True) if fitted is None]
     labels = [r["label"] for r in label_index(df).orderBy("index").limit(1_000).collect()]
     at = F.array_position(F.array(*map(F.lit, ["naive", "rules", *names])), F.col("model")).cast("int")
-    return metrics.summary_metrics(found, ["model"], labels).select(at.alias("position"), "model", F.lit("trained").alias("status"), "n", "accuracy", "macro_f1")
+    return metrics.summary_metrics(found, ["model"], labels).select(at.alias("position"), "model", F.when(F.col("model").isin(untrained), "majority").otherwise("trained").alias("status"), "n", "accuracy", "macro_f1")
 
 
 def walk_forward(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, max_folds: int = 50, models: tuple[str, ...] = ("tfidf_logreg", "tfidf_linear_svm"), first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30, **options) -> DataFrame:
-    """(model, fold, actual, predicted) of all folds. A fold costs a fit of each model: more than max_folds are an error, choose a longer step."""
+    """(model, fold, actual, predicted) of all folds, fitted side by side. A fold costs a fit of each model: more than max_folds are an error, choose a longer step."""
     folds, rows = metrics.walk_forward_folds(df, order or [ts, "event_id"], ts, first_train=first_train, test_rows=test_rows, step=step, embargo_rows=embargo_rows, purge_minutes=purge_minutes)
     plan = folds.orderBy("fold").limit(max_folds + 1).collect()
     if len(plan) > max_folds:
         raise ValueError(f"more than {max_folds} folds")
+    trains = [rows.where(F.col("row_index") < f["train_rows"]) for f in plan]
+    fits = fit_all([(train, name) for train in trains for name in models], options)
     out = []
-    for f in plan:
-        train, test = rows.where(F.col("row_index") < f["train_rows"]), rows.where(F.col("row_index").between(f["test_start"], f["test_end"] - 1))
-        out.append(predictions(train, test, list(models), options).withColumn("fold", F.lit(f["fold"])))
+    for k, f in enumerate(plan):
+        test = rows.where(F.col("row_index").between(f["test_start"], f["test_end"] - 1))
+        own = fits[k * len(models) : (k + 1) * len(models)]
+        out.append(predictions(trains[k], test, list(models), options, own).withColumn("fold", F.lit(f["fold"])))
     return reduce(DataFrame.unionByName, out).drop("confidence") if out else rows.select(F.lit("").alias("model"), F.col(TARGET).alias("actual"), F.lit("").alias("predicted"), F.lit(0).alias("fold")).where("false")

@@ -50,6 +50,12 @@ def any_timestamp(c: Column) -> Column:
     return F.coalesce(utc_timestamp(text), F.timestamp_micros((F.when(number > 1e10, number / 1000).otherwise(number) * 1e6).cast("long")))
 
 
+def coercion_failures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column and failures: values that are there but that any_timestamp() can't read, for each of the columns in one pass."""
+    counts = df.agg(*(F.count_if(F.col(c).isNotNull() & any_timestamp(F.col(c)).isNull()).alias(c) for c in columns))
+    return counts.unpivot([], columns, "column", "failures")
+
+
 def rss_timestamp(c: Column) -> Column:
     """RFC 822 dates (the weekday is dropped) or ISO text with an offset."""
     bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")

@@ -59,6 +59,17 @@ def best_model(models: DataFrame) -> DataFrame:
     return trained.agg(F.max_by(F.struct(*models.columns), F.struct("macro_f1", -F.col("position"))).alias("m")).where("m is not null").select("m.*")
 
 
+def classifier_digest(models: DataFrame) -> DataFrame:
+    """The best trained model of a comparison in one row; no row where none is trained."""
+    return best_model(models).select("model", "n", "accuracy", "macro_f1")
+
+
+def walk_forward_digest(summary: DataFrame) -> DataFrame:
+    """Of metrics.walk_forward_summary() the row with the largest mean macro F1 over folds, the smallest name of equals."""
+    best = summary.agg(F.min(F.struct((-F.col("macro_f1_mean")).alias("order"), "model", "folds", "n", "accuracy", "macro_f1", "macro_f1_mean", "macro_f1_std")).alias("m"))
+    return best.where("m is not null").select(*(f"m.{c}" for c in ("model", "folds", "n", "accuracy", "macro_f1", "macro_f1_mean", "macro_f1_std")))
+
+
 def event_build_audit(posts: DataFrame, bars: DataFrame, events: DataFrame, skipped: DataFrame) -> DataFrame:
     """(measure, n): posts, bars, valid bars, events, skipped posts, and skipped posts by reason as `skipped:<reason>`."""
     valid = F.count_if("is_valid_bar") if "is_valid_bar" in bars.columns else F.count("*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import enrich
 from ..models import baselines
 from ..operators import events as ev
-from ..operators import labels, overlay, quality, reports, risk, tuning
+from ..operators import labels, metrics, overlay, quality, reports, risk, tuning
 from ..operators.temporal import MINUTE, cut
 from . import views as v
 from .market_queries import edited_posts
@@ -107,11 +107,27 @@ def m8_tuning_trials(spark, d):
     return tuning.evaluate_trials(flagged(spark, d), TRIALS)
 
 
-@query()
-def m5_model_comparison(spark, d):
-    """Naive, rules and logistic regression on all labelled documents in order of id; fits have no SQL."""
-    docs = enrich(v.table(spark, d, "documents").select("doc_id", F.col("text").alias("text_clean")), rules=CORPUS_RULES).withColumns({"has_image": F.lit(False), "has_video": F.lit(False)})
+def _model_rows(spark, d):
+    """Labelled documents in order of id, with what their texts say of links and emphasis as the context flags."""
+    text = F.coalesce("text", F.lit(""))
+    flags = {"has_image": text.contains("http"), "has_video": text.contains("!!")}
+    docs = enrich(v.table(spark, d, "documents").select("doc_id", F.col("text").alias("text_clean"), *(c.alias(k) for k, c in flags.items())), rules=CORPUS_RULES)
     rows = v.predictions(spark, d).select("doc_id", F.col("actual").alias("tradeability_label"), F.col("predicted").alias("rule_tradeability_label"))
     at = F.timestamp_micros(F.col("doc_id") * MINUTE)
-    rows = cut(rows.join(docs.drop("rule_tradeability_label"), "doc_id").withColumn("received_at_utc", at).drop("url_domains", "rule_topic_labels", "rule_topic_confidence", "rule_reason_codes"))
-    return baselines.compare(rows, order=["received_at_utc", "doc_id"], models=["tfidf_logreg"])
+    return cut(rows.join(docs.drop("rule_tradeability_label"), "doc_id").withColumn("received_at_utc", at).drop("url_domains", "rule_topic_labels", "rule_topic_confidence", "rule_reason_codes"))
+
+
+@query()
+def m5_model_comparison(spark, d):
+    """Naive, rules and all four models on all labelled documents in order of id; fits have no SQL."""
+    return baselines.compare(_model_rows(spark, d), order=["received_at_utc", "doc_id"])
+
+
+@query()
+def m6_walk_forward(spark, d):
+    """Folds over all labelled documents in order of id: a quarter trains the first, every further sixth is tested in turn."""
+    rows = _model_rows(spark, d)
+    n = rows.count()
+    found = baselines.walk_forward(rows, order=["received_at_utc", "doc_id"], models=("tfidf_logreg", "tfidf_linear_svm"), first_train=max(2, n // 4), test_rows=max(1, n // 6), step=max(1, n // 6))
+    labels = [r[0] for r in found.select("actual").distinct().orderBy("actual").limit(1_000).collect()]
+    return metrics.walk_forward_summary(found, labels)

@@ -57,6 +57,17 @@ def s1_archive_posts(spark, d):
     return out.select("post_id", iso(F.col("created_at_utc")).alias("created"), "text_clean", F.array_join("urls", ",").alias("urls"), "has_image", "has_video", F.col("engagement.replies_count").alias("replies"), "content_hash")
 
 
+@query(f"WITH {SIGNUPS} SELECT event_id::VARCHAR AS post_id, {iso_sql('ts')} AS created, '}}] {{[ \"' || user_id::VARCHAR || '\"' AS text_clean, user_id AS replies FROM s")
+def s1_array_posts(spark, d):
+    """Files that are one JSON array each, of texts with brackets and quotes."""
+    n = F.col("event_id").cast("string")
+    rows = signups(spark, d).select(F.floor(F.col("event_id") / 1_000).alias("file"), F.to_json(F.struct(n.alias("id"), F.date_format("ts", Z).alias("created_at"), F.concat(F.lit('}] {[ "'), F.col("user_id").cast("string"), F.lit('"')).alias("content"), F.col("user_id").alias("replies_count"))).alias("json"))
+    path = place(spark, "arrays.json")
+    # a thousand ids to a file at most
+    rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
+    return posts.load_archive(spark, path).select("post_id", iso(F.col("created_at_utc")).alias("created"), "text_clean", F.col("engagement.replies_count").alias("replies"))
+
+
 @query(f"WITH {SIGNUPS} SELECT event_id::VARCHAR AS post_id, user_id::VARCHAR AS author_id, CASE WHEN event_id % 3 = 0 THEN 'reply' WHEN event_id % 3 = 1 THEN 'unknown' ELSE 'original' END AS post_type, user_id AS likes, epoch_us(ts) // 1000 AS created_ms, epoch_us(ts) // 1000 + 9000 AS received_ms FROM s")
 def s5_provider_posts(spark, d):
     """Parquet under other names than the canonical ones, with two receipts of every post."""
