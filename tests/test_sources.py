@@ -200,6 +200,7 @@ def test_one_array_is_read_by_several_tasks(spark, tmp_path, indent):
         assert arrays.pieces(spark, str(tmp_path / "a.json")).rdd.getNumPartitions() > 10
         got = p.read_rows(spark, str(tmp_path / "a.json"))
         assert [(r["id"], r["content"], r["deep"]["n"], r["deep"]["list"][0]["a"]) for r in got.orderBy("deep.n").collect()] == [(r["id"], r["content"], r["deep"]["n"], "}{") for r in rows]
+        assert {r["id"] for r in p.read_rows(spark, str(tmp_path / "a.json"), limit=3).collect()} == {"0", "1", "2"}
         assert arrays.records(spark, str(tmp_path / "none.json")).count() == 0
         assert [json.loads(r["json"]) for r in arrays.records(spark, str(tmp_path / "a.json")).orderBy("record").collect()] == rows
     finally:

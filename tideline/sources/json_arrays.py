@@ -60,8 +60,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "record", F.when(F.col("whole") == 1, line).otherwise(tail).alias("json")).where("json is not null")
 
 
-def as_lines(spark: SparkSession, path: str) -> str:
-    """A new folder below the shared one with the records as JSON lines."""
+def as_lines(spark: SparkSession, path: str, *, limit: int | None = None) -> str:
+    """A new folder below the shared one with the records as JSON lines; with a limit, the first ones of the files in order of their names."""
     out = f"{shared_folder(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
-    records(spark, path).select("json").write.text(out)
+    found = records(spark, path)
+    found = found if limit is None else found.orderBy("file", "record").limit(limit)
+    found.select("json").write.text(out)
     return out

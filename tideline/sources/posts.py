@@ -48,7 +48,7 @@ def read_rows(spark: SparkSession, path: str, *, limit: int | None = None) -> Da
     elif name.endswith((".jsonl", ".ndjson")):
         rows = unwrap(spark.read.json(path))
     elif is_array(spark, path):
-        rows = unwrap(spark.read.json(as_lines(spark, path)))
+        rows = unwrap(spark.read.json(as_lines(spark, path, limit=limit)))
     else:
         rows = unwrap(spark.read.option("multiLine", True).json(path))
     return rows if limit is None else rows.limit(limit)
