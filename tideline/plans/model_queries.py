@@ -89,8 +89,7 @@ def a37_backtest_digest(spark, d):
 
 def flagged(spark, d):
     """Scored posts with the market's whipsaw flag."""
-    aligned = ev.align(v.posts(spark, d), v.bars(spark, d)).where("aligned_bar_ts_utc is not null")
-    return scored(spark, d).join(ev.whipsaw(aligned, v.bars(spark, d), HOURLY), "post_id")
+    return scored(spark, d).join(ev.post_moves(v.posts(spark, d), v.bars(spark, d), HOURLY).select("post_id", "market_whipsaw_flag"), "post_id")
 
 
 TRIALS = [tuning.DEFAULT_TRIAL, *tuning.random_trials(60, 42)]

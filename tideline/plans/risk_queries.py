@@ -124,8 +124,7 @@ EVAL = "count(*) AS row_count, count(*) FILTER (lvl = 'HARD_KILL') AS n_hard_kil
 def a25_whipsaw_evaluation(spark, d):
     from ..operators import events as ev
 
-    aligned = ev.align(v.posts(spark, d), v.bars(spark, d)).where("aligned_bar_ts_utc is not null")
-    return risk.evaluate(scored(spark, d).join(ev.whipsaw(aligned, v.bars(spark, d), HOURLY), "post_id"))
+    return risk.evaluate(scored(spark, d).join(ev.post_moves(v.posts(spark, d), v.bars(spark, d), HOURLY).select("post_id", "market_whipsaw_flag"), "post_id"))
 
 
 TRADE_SQL = """,
