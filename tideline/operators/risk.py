@@ -15,6 +15,9 @@ COMPONENTS = ["headline_risk_score", "market_relevance_score", "text_contradicti
 # Weights of the components.
 WEIGHTS = {"headline_risk_score": 0.35, "market_relevance_score": 0.30, "text_contradiction_score": 0.15, "post_burst_score": 0.10, "direction_flip_score": 0.07, "same_topic_score": 0.03, "volatility_regime_score": 0.0}
 
+#: what score() adds without timing features
+SCORED = [*(f"posts_last_{m}m" for m in WINDOWS), "topic_entropy_60m", *COMPONENTS, "whipsaw_score", "whipsaw_risk_level", "risk_ttl_seconds", "contradicting_post_ids", "whipsaw_reason"]
+
 
 def recent_topics(df: DataFrame, ts: str, topics: str, minutes: int) -> DataFrame:
     """_row and _entropy: entropy in bits of the topics of the posts of the last minutes, the row's own instant excluded.
@@ -125,10 +128,14 @@ def dominant(columns: list[str]) -> tuple[Column, Column]:
     return F.element_at(F.array(*map(F.lit, columns)), at), F.array_max(values)
 
 
-def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason. Every row is a post: ids may be repeated."""
+def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES, *, timing: bool = True) -> DataFrame:
+    """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason. Every row is a post: ids may be repeated.
+
+    Without timing features, what a row gets depends on itself and on the rows of the last span_minutes() before it.
+    """
     df = keyed(df)
-    out = timing_features(burst_features(df)).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
+    out = burst_features(df)
+    out = (timing_features(out) if timing else out).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
     sentiment, topics = F.col("rule_sentiment_label"), F.col("rule_topic_labels")
     relevant = F.size(F.array_intersect(topics, F.array(*map(F.lit, rules.relevant_topics))))
     out = out.withColumns(
@@ -156,6 +163,11 @@ def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES) -
     ).drop("_prior")
 
 
+def span_minutes(s: Settings = SETTINGS) -> int:
+    """How far back score() looks, timing features apart."""
+    return max(s.lookback_minutes, *WINDOWS)
+
+
 def binary_metrics(actual: Column, predicted: Column, prefix: str) -> list[Column]:
     tp, fp = F.count_if(actual & predicted), F.count_if(~actual & predicted)
     tn, fn = F.count_if(~actual & ~predicted), F.count_if(actual & ~predicted)

@@ -13,7 +13,8 @@ from ..operators.temporal import shared_folder
 from ..sources import market, posts, sinks, tables
 from ..streaming import live
 from . import views as v
-from .views import BASE_SQL, iso_sql, text_ts
+from .risk_queries import RISK_SQL
+from .views import BASE_SQL, iso_sql, rules_sql, text_ts
 
 QUERIES, SQL = {}, {}
 
@@ -213,6 +214,19 @@ def r3_collector_health(spark, d):
     return live.health(rows, source="events", checked_at=last, raw=rows, id_col="author_id").select("source", "is_stale", "lag_seconds", "latest_post_age_seconds", "canonical_rows", "raw_rows", "duplicate_rows")
 
 
+@query(f"WITH {BASE_SQL} {rules_sql()} {RISK_SQL} SELECT post_id, score AS whipsaw_score, lvl AS whipsaw_risk_level, ttl AS risk_ttl_seconds, prior, b.posts_last_60m, b.posts_last_240m FROM timed JOIN burst b USING (post_id)")
+def r4_incremental_scores(spark, d):
+    """Labelled posts that land roughly by time, every tenth of them days late, scored batch by batch."""
+    rows = v.labelled(v.posts(spark, d, numbered=True), spark, d)
+    lands = F.when(F.col("post_id").cast("long") % 10 == 0, F.expr("received_at_utc + interval 3 days")).otherwise(F.col("received_at_utc"))
+    landing, table = place(spark, "landing"), place(spark, "table")
+    rows.withColumn("_lands", lands).repartitionByRange(8, "_lands").drop("_lands").write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(landing)
+    live.score_posts(stream, table=table, checkpoint=place(spark, "stream"), settings=v.HOURLY, rules=v.CORPUS_RULES, once=True).awaitTermination()
+    found = tables.read_table(spark, table)
+    return found.select("post_id", "whipsaw_score", "whipsaw_risk_level", "risk_ttl_seconds", F.get("contradicting_post_ids", F.lit(0)).alias("prior"), "posts_last_60m", "posts_last_240m")
+
+
 @query(f"WITH {BASE_SQL} SELECT author_id AS event_id, arg_max(post_id, (received_at_utc, post_id)) AS post_id FROM posts GROUP BY 1")
 def r5_latest_by_key(spark, d):
     """The newest row for each key, an author here."""

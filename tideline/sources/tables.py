@@ -1,6 +1,6 @@
 """Tables by key with a newest row for each, replaced a bucket at a time: what a commit names is the table, all else isn't there yet.
 
-    commits/n=<number>/   one JSON row: versions (of every bucket, -1 where it is empty), writers (the last batch of each), layout (of the columns)
+    commits/n=<number>/   one JSON row: buckets (how many, where a key's hash tells its bucket), versions (of every bucket that has rows), writers (the last batch of each), layout (of the columns)
     data/v=<number>/_bucket=<bucket>/   the bucket's rows as the commit of that number left them
 
 A writer that dies before its commit leaves files that no commit names; the same number is written over next time.
@@ -10,10 +10,11 @@ One writer at a time. Files of earlier commits stay until they are cleared, so t
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,15 +22,20 @@ from ..operators.quality import keep_latest
 from ..operators.temporal import cut
 
 BUCKETS = 64
-COMMIT = "versions array<long>, writers map<string, long>, layout string, n long"
+COMMIT = "buckets int, versions map<string, long>, writers map<string, long>, layout string, n long"
 
 
 @dataclass(frozen=True)
 class Commit:
     number: int
-    versions: list[int]
+    versions: dict[int, int]
     writers: dict[str, int]
     layout: T.StructType | None
+    buckets: int
+
+    def has(self, writer: str | None, batch: int | None) -> bool:
+        """Is that batch of that writer in the table already?"""
+        return writer is not None and self.writers.get(writer, -1) >= (batch or 0)
 
 
 def last_commit(spark: SparkSession, path: str, *, buckets: int = BUCKETS) -> Commit:
@@ -40,24 +46,37 @@ def last_commit(spark: SparkSession, path: str, *, buckets: int = BUCKETS) -> Co
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         row = None
-    return Commit(row["n"], list(row["versions"]), dict(row["writers"] or {}), T.StructType.fromJson(json.loads(row["layout"]))) if row else Commit(0, [-1] * buckets, {}, None)
+    if row is None:
+        return Commit(0, {}, {}, None, buckets)
+    return Commit(row["n"], {int(b): v for b, v in (row["versions"] or {}).items()}, dict(row["writers"] or {}), T.StructType.fromJson(json.loads(row["layout"])), row["buckets"])
 
 
-def _rows(spark: SparkSession, path: str, commit: Commit, buckets: list[int]) -> DataFrame | None:
-    places = [f"{path}/data/v={commit.versions[b]}/_bucket={b}" for b in buckets if commit.versions[b] >= 0]
-    if not places:
-        return None
-    return spark.read.schema(commit.layout).parquet(*places)
+def rows_of(spark: SparkSession, path: str, commit: Commit, buckets: Iterable[int]) -> DataFrame | None:
+    """The rows of these buckets as the commit has them, read from their files alone; None where all of them are empty."""
+    places = [f"{path}/data/v={commit.versions[b]}/_bucket={b}" for b in buckets if b in commit.versions]
+    return spark.read.schema(commit.layout).parquet(*places) if places else None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     commit = last_commit(spark, path)
     if commit.layout is None:
         raise ValueError(f"no table at {path}")
-    found = _rows(spark, path, commit, list(range(len(commit.versions))))
+    found = rows_of(spark, path, commit, commit.versions)
     return found if found is not None else spark.createDataFrame([], commit.layout)
 
 
+def replace(spark: SparkSession, path: str, last: Commit, rows: DataFrame, bucket: Column, touched: list[int], *, writer: str | None = None, batch: int | None = None) -> None:
+    """Commits rows as all that the touched buckets now hold; `bucket` tells a row's, and each of them has rows."""
+    number = last.number + 1
+    if touched:
+        parts = min(len(touched), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows.withColumn("_bucket", bucket).repartition(parts, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={number}")
+    versions = {str(b): v for b, v in (last.versions | dict.fromkeys(touched, number)).items()}
+    writers = last.writers | ({writer: batch or 0} if writer is not None else {})
+    row = spark.createDataFrame([(last.buckets, versions, writers, rows.schema.json())], "buckets int, versions map<string, long>, writers map<string, long>, layout string")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/commits/n={number}")
+
+
 def upsert(new: DataFrame, path: str, *, keys: tuple[str, ...] = ("post_id", "content_hash"), newest_by: str = "received_at_utc", writer: str | None = None, batch: int | None = None, buckets: int = BUCKETS) -> bool:
     """Merges rows into the table at path: per key (null is a value like any other) the row with the largest newest_by stays.
 
@@ -67,21 +86,14 @@ def upsert(new: DataFrame, path: str, *, keys: tuple[str, ...] = ("post_id", "co
     """
     spark = new.sparkSession
     commit = last_commit(spark, path, buckets=buckets)
-    if writer is not None and commit.writers.get(writer, -1) >= (batch or 0):
+    if commit.has(writer, batch):
         return False
-    count, number = len(commit.versions), commit.number + 1
-    rows = cut(new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(commit.buckets)).cast("int")
+    rows = cut(new.withColumn("_bucket", bucket))
     touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())
-    old = _rows(spark, path, commit, touched)
+    old = rows_of(spark, path, commit, touched)
     merged = rows.drop("_bucket")
     if old is not None:
         merged = old.unionByName(merged, allowMissingColumns=True)
-    merged = keep_latest(merged, list(keys), [F.col(newest_by)])
-    if touched:
-        placed = merged.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int"))
-        placed.repartition(min(len(touched), int(spark.conf.get("spark.sql.shuffle.partitions"))), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={number}")
-    versions = [number if b in set(touched) else v for b, v in enumerate(commit.versions)]
-    writers = commit.writers | ({writer: batch or 0} if writer is not None else {})
-    row = spark.createDataFrame([(versions, writers, merged.schema.json())], "versions array<long>, writers map<string, long>, layout string")
-    row.coalesce(1).write.mode("overwrite").json(f"{path}/commits/n={number}")
+    replace(spark, path, commit, keep_latest(merged, list(keys), [F.col(newest_by)]), bucket, touched, writer=writer, batch=batch)
     return True

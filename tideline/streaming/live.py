@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..config import DEFAULT_RULES, Rules, Settings
 from ..operators.quality import keep_latest
+from ..operators.risk import SETTINGS
 from ..operators.temporal import cut
 from ..sources.sinks import append_raw
 from ..sources.tables import upsert
+from . import scores
 
 LOOKBACK_MINUTES = 240
 
@@ -111,6 +114,17 @@ def health(posts: DataFrame, *, source: str, checked_at: str, stale_seconds: int
     return row.select(F.lit(source).alias("source"), "*", F.lit(collected and authorised).alias("is_healthy"), ((F.lit(errors) > 0) & (F.col("canonical_rows") == 0)).alias("schema_drift"))
 
 
+def score_posts(stream: DataFrame, *, table: str, checkpoint: str, settings: Settings = SETTINGS, rules: Rules = DEFAULT_RULES, seconds: int = 5, once: bool = False) -> StreamingQuery:
+    """Adds each batch of classified posts to a table of scores (scores.add()); a batch that is run again changes nothing."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        scores.add(rows, table, settings, rules, writer=name, batch=number)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def rescore(new: DataFrame, posts: DataFrame, score: Callable[[DataFrame], DataFrame], *, minutes: int = LOOKBACK_MINUTES) -> DataFrame:
     """Scores of all posts that new ones can change: from the earliest new post to `minutes` after the latest, with as much history before."""
     span = new.agg(F.min("received_at_utc").alias("_a"), F.max("received_at_utc").alias("_b"))
