@@ -3,6 +3,7 @@ import random
 from datetime import timedelta
 
 import market
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.rules import classify
@@ -10,6 +11,15 @@ from tideline.operators import risk
 from tideline.sources import tables
 from tideline.streaming import live, scores
 
+@pytest.fixture(autouse=True)
+def few_ranges(spark):
+    """Scans write once for each range: two are enough here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 TEXTS = ["Steel tariff now", "A deal will come, growth!", "Oil from Iran", "thank you", ""]
 SCHEMA = "post_id string, received_at_utc timestamp, created_at_utc timestamp, text_clean string"
 

@@ -3,9 +3,11 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tideline.models import baselines
+from tideline.models.prefixes import Known
 from tideline.operators import metrics, reports, risk, tuning
 
 START = datetime(2025, 2, 3)
@@ -96,6 +98,29 @@ def test_walk_forward_and_summary(labelled):
         baselines.walk_forward(labelled, **options, max_folds=2)
 
 
+def test_prefixes_know_what_a_fresh_fit_counts(spark, labelled):
+    rows = labelled.withColumn("row_index", F.hour("received_at_utc").cast("long") + 24 * F.datediff("received_at_utc", F.lit(START)))
+    odd = spark.createDataFrame([(11, None, "up"), (12, "thank thank thank you you", "none"), (13, "unlabelled words", None), (14, "", "down"), (None, "without a place", "up")], "row_index long, text_clean string, tradeability_label string")
+    rows = rows.unionByName(odd, allowMissingColumns=True).cache()
+    ends = [3, 15, 15, 47, 1_000]
+    known = baselines.prefix_statistics(rows, ends, 10_000)
+    for end, k in zip(ends, known, strict=True):
+        train = rows.where(F.col("row_index") < end).where("tradeability_label is not null")
+        fresh = Pipeline(stages=baselines.text_stages(10_000)).fit(train)
+        assert dict(zip(k.terms, k.idf, strict=True)) == pytest.approx(dict(zip(fresh.stages[4].vocabulary, fresh.stages[5].idf.toArray(), strict=True)))
+        assert k.labels == {r["tradeability_label"]: r["count"] for r in train.groupBy("tradeability_label").count().collect()}
+    assert known[1] == known[2] and baselines.prefix_statistics(rows, []) == []
+    few = baselines.prefix_statistics(rows, ends, 5)
+    assert [k.terms for k in few] == [k.terms[:5] for k in known] and known[-1].terms[0] == "number"
+    assert baselines.prefix_statistics(rows.where("false"), [5]) == [Known({}, [], [])]
+    train = rows.where("row_index < 47")
+    weights = lambda df: sorted((r["tradeability_label"], round(r["weight"], 9)) for r in df.collect())
+    assert weights(baselines.weighted(train.where("tradeability_label is not null"), known[3])) == weights(baselines.weighted(train.where("tradeability_label is not null")))
+    said = lambda k: {r["event_id"]: (r["predicted"], round(r["confidence"], 6)) for r in baselines.predict(baselines.fit(train, "tfidf_logreg", k, features=10_000), labelled).collect()}
+    assert said(known[3]) == said(None)
+    assert baselines.fit(train, "tfidf_logreg", Known({"up": 3}, ["a"], [1])) is None and baselines.fit(train, "mlp", Known({"up": 3, "down": 1}, [], [])) is None
+
+
 def test_tuning(spark):
     rows = [(i, {c: ((i * (k + 3)) % 10) / 10 for k, c in enumerate(risk.COMPONENTS)}, i % 3 == 0) for i in range(80)]
     names = ", ".join(f"{c} double" for c in risk.COMPONENTS)

@@ -11,13 +11,15 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..operators.temporal import cut
+from .prefixes import Known, gram_prefixes, label_prefixes
 
 TARGET = "tradeability_label"
 # What is known of a post before the market moves.
@@ -39,26 +41,33 @@ def label_index(df: DataFrame, target: str = TARGET) -> DataFrame:
     return names.select(F.posexplode("names").alias("index", "label")).select("label", "index")
 
 
-def text_stages(features: int = FEATURES) -> list:
-    """Words of two letters or more and pairs of them, the most frequent of both, weighted by rarity, to length 1."""
+def gram_stages() -> list:
+    """Words of two letters or more and pairs of them; nothing to fit."""
     return [
         SQLTransformer(statement="SELECT *, coalesce(text_clean, '') AS _text FROM __THIS__"),
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _grams FROM __THIS__"),
-        CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=features),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_tfidf"),
     ]
 
 
+def text_stages(features: int = FEATURES, known: Known | None = None) -> list:
+    """The most frequent words and pairs, weighted by rarity, to length 1. What is known of the training rows isn't counted again."""
+    if known:
+        counts = CountVectorizerModel.from_vocabulary(known.terms, inputCol="_grams", outputCol="_counts")
+        weights = ElementwiseProduct(scalingVec=Vectors.dense(known.idf), inputCol="_counts", outputCol="_weighted")
+    else:
+        counts, weights = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=features), IDF(inputCol="_counts", outputCol="_weighted")
+    return [*gram_stages(), counts, weights, Normalizer(inputCol="_weighted", outputCol="_tfidf")]
+
+
 def context_stages() -> list:
     """The text's vector and the context columns, nulls as 0."""
     numbers = ", ".join(f"coalesce(CAST({c} AS double), 0D) AS _{c}" for c in CONTEXT)
     return [SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__"), VectorAssembler(inputCols=["_tfidf", *(f"_{c}" for c in CONTEXT)], outputCol="_features")]
 
 
-def pipeline(model: str, classes: int, *, features: int = FEATURES, seed: int = 42, trees: int = 50, epochs: int = 40, steps: int = 100, width: int | None = None) -> Pipeline:
+def pipeline(model: str, classes: int, *, features: int = FEATURES, seed: int = 42, trees: int = 50, epochs: int = 40, steps: int = 100, width: int | None = None, known: Known | None = None) -> Pipeline:
     """One of MODELS. Labels are numbered in order; `weight` is the column of class weights."""
     index = StringIndexer(inputCol=TARGET, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     given = {"labelCol": "_label", "predictionCol": "_prediction"}
@@ -75,28 +84,30 @@ def pipeline(model: str, classes: int, *, features: int = FEATURES, seed: int =
         last = [*context_stages(), MultilayerPerceptronClassifier(featuresCol="_features", probabilityCol="_probability", layers=layers, maxIter=epochs, seed=seed, **given)]
     else:
         raise ValueError(f"unknown model {model}")
-    return Pipeline(stages=[index, *text_stages(features), *last])
+    return Pipeline(stages=[index, *text_stages(features, known), *last])
 
 
-def weighted(train: DataFrame) -> DataFrame:
-    """Adds the balanced class weight: rows / (classes x rows of the class). One small table of classes is joined."""
+def weighted(train: DataFrame, known: Known | None = None) -> DataFrame:
+    """Adds the balanced class weight: rows / (classes x rows of the class). One small table of classes is joined, or written into the plan where it is known."""
+    if known:
+        weights = F.create_map(*(F.lit(x) for label, n in known.labels.items() for x in (label, known.rows / (len(known.labels) * n))))
+        return train.withColumn("weight", F.element_at(weights, F.col(TARGET)))
     counts = train.groupBy(TARGET).agg(F.count("*").alias("_n"))
     found = counts.agg(F.sum("_n").alias("n"), F.count("*").alias("k")).first()
     n, k = found["n"] or 0, max(1, found["k"])
     return train.join(F.broadcast(counts), TARGET).withColumn("weight", F.lit(float(n)) / (F.lit(float(k)) * F.col("_n"))).drop("_n")
 
 
-def fit(train: DataFrame, model: str, **options) -> PipelineModel | None:
-    """The fitted pipeline; None where the training rows have fewer than two classes (use the majority then)."""
+def fit(train: DataFrame, model: str, known: Known | None = None, **options) -> PipelineModel | None:
+    """The fitted pipeline; None where the training rows have fewer than two classes (use the majority then). known: what prefix_statistics() has of these rows."""
     train = train.where(F.col(TARGET).isNotNull())
-    classes = [r[0] for r in train.select(TARGET).distinct().limit(1_000).collect()]
-    if len(classes) < 2:
+    classes = list(known.labels) if known else [r[0] for r in train.select(TARGET).distinct().limit(1_000).collect()]
+    if len(classes) < 2 or (known and not known.terms):
         return None
     if model == "mlp":
         # its first layer has to have the width that the vocabulary really gets
-        words = Pipeline(stages=text_stages(options.get("features", FEATURES))).fit(train)
-        options["width"] = len(words.stages[4].vocabulary)
-    return pipeline(model, len(classes), **options).fit(weighted(train))
+        options["width"] = len(known.terms if known else Pipeline(stages=text_stages(options.get("features", FEATURES))).fit(train).stages[4].vocabulary)
+    return pipeline(model, len(classes), known=known, **options).fit(weighted(train, known))
 
 
 def predict(fitted: PipelineModel, df: DataFrame) -> DataFrame:
@@ -119,27 +130,29 @@ def predict(fitted: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "predicted", "confidence", "probabilities")
 
 
-def majority_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
+def majority_predictions(train: DataFrame, test: DataFrame, known: Known | None = None) -> DataFrame:
     """test with the most frequent label of train as `predicted`."""
+    if known and known.labels:
+        return test.withColumn("predicted", F.lit(min(known.labels, key=lambda label: (-known.labels[label], label))))
     row = metrics.majority(train.where(F.col(TARGET).isNotNull()), TARGET).first()
     if row is None:
         raise ValueError("no training labels")
     return test.withColumn("predicted", F.lit(row[0]))
 
 
-def fit_all(jobs: list[tuple[DataFrame, str]], options: dict, *, side_by_side: int = FITS) -> list[PipelineModel | None]:
-    """fit() of every (rows, model), several at once: a fit is many small jobs, between which a cluster would wait."""
+def fit_all(jobs: list[tuple[DataFrame, str, Known | None]], options: dict, *, side_by_side: int = FITS) -> list[PipelineModel | None]:
+    """fit() of every (rows, model, what is known of the rows), several at once: a fit is many small jobs, between which a cluster would wait."""
     with ThreadPoolExecutor(side_by_side) as pool:
         return list(pool.map(lambda job: fit(*job, **options), jobs))
 
 
-def predictions(train: DataFrame, test: DataFrame, models: list[str], options: dict, fits: list[PipelineModel | None] | None = None) -> DataFrame:
+def predictions(train: DataFrame, test: DataFrame, models: list[str], options: dict, fits: list[PipelineModel | None] | None = None, known: Known | None = None) -> DataFrame:
     """(model, actual, predicted, confidence) of the naive and rule baselines and of each model (fits, or fitted here) on the test rows."""
-    fits = fit_all([(train, name) for name in models], options) if fits is None else fits
+    fits = fit_all([(train, name, known) for name in models], options) if fits is None else fits
     slim = lambda df, name: df.select(F.lit(name).alias("model"), F.col(TARGET).alias("actual"), "predicted", *([] if "confidence" in df.columns else [F.lit(None).cast("double").alias("confidence")]), *(["confidence"] if "confidence" in df.columns else []))
-    out = [slim(majority_predictions(train, test), "naive"), slim(test.withColumn("predicted", F.col("rule_tradeability_label")), "rules")]
+    out = [slim(majority_predictions(train, test, known), "naive"), slim(test.withColumn("predicted", F.col("rule_tradeability_label")), "rules")]
     for name, fitted in zip(models, fits, strict=True):
-        out.append(slim(predict(fitted, test) if fitted else majority_predictions(train, test), name))
+        out.append(slim(predict(fitted, test) if fitted else majority_predictions(train, test, known), name))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -151,7 +164,7 @@ def compare(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | No
     split = cut(metrics.chronological_split(df, order or [ts, "event_id"], ts, test_share))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     names = models if models is not None else MODELS
-    fits = fit_all([(train, name) for name in names], options)
+    fits = fit_all([(train, name, None) for name in names], options)
     for name, fitted in zip(names, fits, strict=True):
         if save and fitted:
             save(name, fitted)
@@ -162,17 +175,31 @@ def compare(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | No
     return metrics.summary_metrics(found, ["model"], labels).select(at.alias("position"), "model", F.when(F.col("model").isin(untrained), "majority").otherwise("trained").alias("status"), "n", "accuracy", "macro_f1")
 
 
+def prefix_statistics(rows: DataFrame, ends: list[int], features: int = FEATURES) -> list[Known]:
+    """For each end, in order, what a fit on the labelled rows with a row_index below it would count: labels, the most frequent words and pairs, and the texts that have them."""
+    if not ends:
+        return []
+    labelled = rows.where(F.col(TARGET).isNotNull())
+    texts = PipelineModel(gram_stages()).transform(labelled.select("row_index", "text_clean"))
+    grams = gram_prefixes(texts, "_grams", ends, features)
+    return [Known(labels, *found) for labels, found in zip(label_prefixes(labelled, TARGET, ends), grams, strict=True)]
+
+
 def walk_forward(df: DataFrame, *, ts: str = "received_at_utc", order: list[str] | None = None, max_folds: int = 50, models: tuple[str, ...] = ("tfidf_logreg", "tfidf_linear_svm"), first_train: int, test_rows: int, step: int, embargo_rows: int = 1, purge_minutes: int = 30, **options) -> DataFrame:
-    """(model, fold, actual, predicted) of all folds, fitted side by side. A fold costs a fit of each model: more than max_folds are an error, choose a longer step."""
+    """(model, fold, actual, predicted) of all folds, fitted side by side. A fold costs a fit of each model: more than max_folds are an error, choose a longer step.
+
+    Vocabularies, rarities and class counts of all folds come from one pass over the rows (prefix_statistics()).
+    """
     folds, rows = metrics.walk_forward_folds(df, order or [ts, "event_id"], ts, first_train=first_train, test_rows=test_rows, step=step, embargo_rows=embargo_rows, purge_minutes=purge_minutes)
     plan = folds.orderBy("fold").limit(max_folds + 1).collect()
     if len(plan) > max_folds:
         raise ValueError(f"more than {max_folds} folds")
     trains = [rows.where(F.col("row_index") < f["train_rows"]) for f in plan]
-    fits = fit_all([(train, name) for train in trains for name in models], options)
+    known = prefix_statistics(rows, [f["train_rows"] for f in plan], options.get("features", FEATURES))
+    fits = fit_all([(train, name, k) for train, k in zip(trains, known, strict=True) for name in models], options)
     out = []
     for k, f in enumerate(plan):
         test = rows.where(F.col("row_index").between(f["test_start"], f["test_end"] - 1))
         own = fits[k * len(models) : (k + 1) * len(models)]
-        out.append(predictions(trains[k], test, list(models), options, own).withColumn("fold", F.lit(f["fold"])))
+        out.append(predictions(trains[k], test, list(models), options, own, known[k]).withColumn("fold", F.lit(f["fold"])))
     return reduce(DataFrame.unionByName, out).drop("confidence") if out else rows.select(F.lit("").alias("model"), F.col(TARGET).alias("actual"), F.lit("").alias("predicted"), F.lit(0).alias("fold")).where("false")
