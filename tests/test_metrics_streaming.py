@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -41,6 +42,25 @@ def test_stream_collects_and_keeps_the_newest(spark, tmp_path):
     assert signals.stale_flag(live.health(posts, source="s", checked_at="2026-01-02 10:01:15"), ["s"]).first()[0]
 
 
+def test_a_batch_that_a_new_query_runs_again_changes_nothing(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    (folder / "1.json").write_text("\n".join(map(json.dumps, [status("a", "2026-01-02T10:00:01Z"), status("b", "2026-01-03T10:00:02Z")])))
+    places = {k: str(tmp_path / k) for k in ("table", "raw_log", "checkpoint")}
+
+    def run():
+        live.collect(live.landed(spark, str(folder), SCHEMA), normalise=normalise_statuses, once=True, **places).awaitTermination()
+        return sorted(p.name for p in (tmp_path / "raw_log").glob("day=*/batch=*")), tables.last_commit(spark, places["table"]).number
+
+    first = run()
+    # as if the query had died after its writes, before it told the checkpoint of them
+    for ended in (tmp_path / "checkpoint" / "commits").iterdir():
+        ended.unlink()
+    assert run() == first
+    assert first == (["batch=" + hashlib.sha256(places["checkpoint"].encode()).hexdigest()[:16] + "-0"] * 2, 1)
+    assert sorted(r["post_id"] for r in spark.read.json(places["raw_log"]).collect()) == ["a", "b"]
+
+
 def test_first_seen_drops_repeats(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

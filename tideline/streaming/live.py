@@ -95,8 +95,8 @@ def collect(stream: DataFrame, *, table: str, raw_log: str, checkpoint: str, nor
         append_raw(posts.select("post_id", "received_at_utc", "raw_json"), raw_log, batch=f"{writer}-{number}")
         upsert(posts, table, writer=writer, batch=number)
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=f"{seconds} seconds")).start()
 
 
 def health(posts: DataFrame, *, source: str, checked_at: str, stale_seconds: int = 10, collected: bool = True, authorised: bool = True, raw: DataFrame | None = None, id_col: str = "id", errors: int = 0) -> DataFrame:
