@@ -176,6 +176,20 @@ def test_raw_log_has_days_in_utc_and_a_batch_once(spark, tmp_path, zone):
     assert days == {(d, b): n for d, n in (("2026-01-01", 2), ("None", 1)) for b in ("w-0", "w-1", "onc")}
 
 
+def test_raw_log_is_read_back_whole_and_by_days(spark, tmp_path, zone):
+    path, kept = str(tmp_path / "raw"), "post_id string, received_at_utc timestamp"
+    rows = make_posts(spark, ("1", "h", None, "2026-01-01T23:59:59.123456Z", "a"), ("2", "h", None, "2026-01-02T00:00:00.000001Z", "b"), ("3", "h", None, "2026-01-03T12:00:00Z", None), ("4", "h", None, None, "d"))
+    sinks.append_raw(rows.select("post_id", "received_at_utc"), path, batch="b")
+    micros = lambda df: {r["post_id"]: (r["us"], str(r["day"]), r["batch"]) for r in df.select("post_id", "day", "batch", F.unix_micros("received_at_utc").alias("us")).collect()}
+    noon = 1767441600_000000
+    found = micros(sinks.read_raw(spark, path, kept))
+    assert found == {"1": (noon - 129600_876544, "2026-01-01", "b"), "2": (noon - 129599_999999, "2026-01-02", "b"), "3": (noon, "2026-01-03", "b"), "4": (None, "None", "b")}
+    part = sinks.read_raw(spark, path, kept, first_day="2026-01-02", last_day="2026-01-02")
+    assert set(micros(part)) == {"2"}
+    assert set(micros(sinks.read_raw(spark, path, kept, first_day="2026-01-02"))) == {"2", "3"}
+    assert "PartitionFilters: [isnotnull(day" in part._jdf.queryExecution().executedPlan().toString()
+
+
 def test_instants_dont_depend_on_the_zone(spark, tmp_path, zone):
     (tmp_path / "f.xml").write_text(FEED)
     feed = p.load_feed(spark, str(tmp_path / "f.xml"), start="2026-01-05", end="2026-01-05").select("post_id", F.unix_seconds("created_at_utc").alias("s")).collect()

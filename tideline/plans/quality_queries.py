@@ -84,6 +84,15 @@ def f1_clean_pages(spark, d):
     return v.table(spark, d, "pages").select("page_id", tx.clean_text(F.col("html")).alias("text_clean"), F.size(tx.urls(F.col("html"))).alias("n_urls"), tx.html_to_text(F.col("html")).alias("plain"))
 
 
+@query(r"""WITH x AS (SELECT page_id, [url, regexp_replace(upper(url), '^HTTPS?://', 'ftp://Me@'), page_id::VARCHAR] AS addresses FROM pages),
+hosts AS (SELECT page_id, list_sort(list_distinct([h for h in [lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) for u in addresses] if h <> ''])) AS hosts FROM x) SELECT page_id, array_to_string(hosts, ',') AS domains FROM hosts""")
+def f4_page_domains(spark, d):
+    """Hosts of every page's address, of the same one in capitals behind a user, and of what is no address."""
+    capitals = F.regexp_replace(F.upper("url"), "^HTTPS?://", "ftp://Me@")
+    rows = v.table(spark, d, "pages").select("page_id", F.array("url", capitals, F.col("page_id").cast("string")).alias("addresses"))
+    return rows.select("page_id", F.array_join(tx.url_domains(F.col("addresses")), ",").alias("domains"))
+
+
 @query()
 def a38_fingerprint(spark, d):
     """A hash that doesn't depend on the order of rows; Spark's hash has no counterpart in SQL."""

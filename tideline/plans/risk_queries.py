@@ -212,3 +212,18 @@ def f25_provider_stale(spark, d):
     return signals.stale_flag(health, ["events"])
 
 
+
+
+@query(f"WITH {BASE_SQL} {rules_sql()} {RISK_SQL} SELECT post_id, {NAMES}[list_position({VALUES}, list_max({VALUES}))] || '=' || printf('%.2f', round(list_max({VALUES})::DECIMAL(18, 6), 2)::DOUBLE) || coalesce('; prior=' || prior, '') AS reason FROM timed")
+def f16_reasons(spark, d):
+    return scored(spark, d).select("post_id", F.col("whipsaw_reason").alias("reason"))
+
+
+@query(f"""WITH {BASE_SQL}, given AS (SELECT post_id, value / 1000 AS up, 0.25::DOUBLE AS down, 1::DOUBLE / 3 AS flat, value FROM posts)
+SELECT post_id, round(up / (up + down + flat), 6) AS up_5m, round(down / (up + down + flat), 6) AS down_5m, round(flat / (up + down + flat), 6) AS flat_5m, 0.333333::DOUBLE AS up_15m, 0.333333::DOUBLE AS flat_30m, round(value - 10, 6) AS delta_5m, 0::DOUBLE AS delta_15m FROM given""")
+def f23_direction_odds(spark, d):
+    """Probabilities of a model for 5 minutes, one of them missing, none for 15, and nothing but zeros for 30."""
+    none = {f"p_{x}_30m": F.lit(0.0) for x in ("up", "down", "flat")}
+    given = scored(spark, d).withColumns({"p_up_5m": F.col("value") / 1000, "p_down_5m": F.lit(0.25), "p_flat_5m": F.lit(None).cast("double"), "expected_delta_5m_ticks": F.col("value") - 10} | none)
+    out, odds, deltas = signals.signals(given, HOURLY), F.col("p_direction"), F.col("expected_delta_ticks")
+    return out.select("post_id", *(odds[k].alias(k) for k in ("up_5m", "down_5m", "flat_5m", "up_15m", "flat_30m")), F.round(deltas["5m"], 6).alias("delta_5m"), deltas["15m"].alias("delta_15m"))

@@ -239,3 +239,45 @@ def p4_post_problems(spark, d):
     k = F.col("event_id") % 5
     rows = signups(spark, d).select(F.col("ts").alias("created_at_utc"), F.when(k == 0, F.expr("ts - interval 1 second")).when(k != 2, F.col("ts")).alias("received_at_utc"), F.when(k == 1, "odd").otherwise("reply").alias("post_type"))
     return quality.post_problems(rows).groupBy(F.array_join("problems", ",").alias("problems")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SIGNUPS} SELECT strftime(ts, '%Y-%m-%d') AS day, 'b' || (event_id % 3)::VARCHAR AS batch, count(*) AS n, sum(user_id)::BIGINT AS users, max(epoch_us(ts)) AS last_us FROM s GROUP BY 1, 2")
+def k3_raw_log(spark, d):
+    """Three batches appended to the raw log, the second one again as after a retry, and read back by day."""
+    rows = signups(spark, d).select(F.col("event_id").alias("post_id"), F.col("ts").alias("received_at_utc"), F.to_json(F.struct("user_id")).alias("raw_json"))
+    path = place(spark, "raw")
+    for k in (0, 1, 1, 2):
+        sinks.append_raw(rows.where(F.col("post_id") % 3 == k), path, batch=f"b{k}")
+    found = sinks.read_raw(spark, path, "post_id long, received_at_utc timestamp, raw_json string")
+    users = F.get_json_object("raw_json", "$.user_id").cast("long")
+    return found.groupBy(F.col("day").cast("string").alias("day"), "batch").agg(F.count("*").alias("n"), F.sum(users).alias("users"), F.max(F.unix_micros("received_at_utc")).alias("last_us"))
+
+
+@query("""SELECT doc_id::VARCHAR AS post_id, CASE WHEN lang IS NULL THEN 'original' WHEN n_chars % 3 = 0 THEN 'retruth' WHEN n_chars % 3 = 1 THEN 'quote' ELSE 'reply' END AS post_type, coalesce(source || ' & ' || n_chars::VARCHAR || ' URL', '') AS text_clean,
+CASE WHEN source IS NULL THEN '' ELSE 'https://' || source || '.example/' || doc_id::VARCHAR END AS urls, 1600000000000 + doc_id * 1000 AS created_ms, 1600000000000 + doc_id * 1000 + coalesce(n_chars, 0) AS received_ms FROM documents""")
+def s7_document_statuses(spark, d):
+    """A status for every document: type, text, addresses and times are of the row's own columns, and any of them may be missing."""
+    n, kind = F.col("doc_id"), F.when(F.col("lang").isNotNull(), F.col("n_chars") % 3)
+    stamp = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    at = 1_600_000_000_000 + n * 1_000
+    address = F.concat(F.lit("https://"), "source", F.lit(".example/"), n.cast("string"))
+    rows = v.table(spark, d, "documents").select(
+        n.cast("string").alias("id"), stamp(at).alias("created_at"), stamp(at + F.coalesce("n_chars", F.lit(0))).alias("received_at"), F.concat(F.lit("<p>"), "source", F.lit("<br>&amp; "), F.col("n_chars").cast("string"), F.lit("</p> "), address).alias("content"),
+        F.when(kind == 0, "b").alias("reblog"), F.when(kind == 1, "q").alias("quote_id"), F.when(kind == 2, "r").alias("in_reply_to_id"),
+    )
+    path = place(spark, "statuses.parquet")
+    sinks.write_table(rows, path)
+    out = posts.normalise_statuses(posts.read_rows(spark, path))
+    return out.select("post_id", "post_type", "text_clean", F.array_join("urls", ",").alias("urls"), F.unix_millis("created_at_utc").alias("created_ms"), F.unix_millis("received_at_utc").alias("received_ms"))
+
+
+@query(f"WITH {SIGNUPS} SELECT * FROM (VALUES (1, 'provider', 'empty'), (2, 'feed', 'failed'), (3, 'archive', 'used')) x(step, source, status), (SELECT count(*) AS posts, count(DISTINCT user_id) AS texts FROM s)")
+def s15_first_source(spark, d):
+    """Sources in order: an export without rows, a feed that isn't there, and an archive of all sign-ups; a fourth is never asked."""
+    rows = signups(spark, d).select(F.col("event_id").cast("string").alias("id"), F.date_format("ts", Z).alias("created_at"), F.col("user_id").cast("string").alias("content"))
+    export, archive = place(spark, "export.parquet"), place(spark, "archive.jsonl")
+    sinks.write_table(rows.where("false"), export)
+    sinks.write_report(rows, archive)
+    found, log = posts.first_source(spark, [("provider", lambda: posts.load_provider(spark, export)), ("feed", lambda: posts.load_feed(spark, place(spark, "feed.xml"))), ("archive", lambda: posts.load_archive(spark, archive)), ("never", lambda: posts.load_archive(spark, archive))])
+    step = F.array_position(F.array(*map(F.lit, ("provider", "feed", "archive", "never"))), F.col("source")).cast("int")
+    return log.select(step.alias("step"), "source", "status").crossJoin(F.broadcast(found.agg(F.count("*").alias("posts"), F.count_distinct("text_clean").alias("texts"))))
