@@ -4,8 +4,9 @@ Every byte covered by a string of `length` bytes that also starts earlier goes.
 all bytes at once: each string of `length` bytes has an anchor in it, the gram with the smallest hash, and
 equal strings have equal anchors. Work goes in passes over the documents:
 
-1. Tasks find the anchors of their documents from prefix polynomial hashes, and take a digest (96 bits of XXH3,
-   nothing of the polynomials) of the context that all strings with that anchor can reach. Of equal contexts within a task only the first is sent on.
+1. Tasks find the anchors of their documents from prefix polynomial hashes, and take a digest (128 bits of SHA-256,
+   nothing of the polynomials) of the context that all strings with that anchor can reach, and of where the anchor is
+   in it. Of equal contexts within a task only the first is sent on.
 2. Anchors meet by their hash. Contexts that have one of equal digest earlier are repeated as a whole.
 3. Where one anchor has different contexts, their bytes are fetched. Their suffixes are sorted by a mergesort
    whose comparisons find the common extension by binary search over prefix hashes; suffixes that agree in
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ MAX_PIECES = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)  # 5 modulo 8: odd, of large order
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WHOLE, FETCH, PART = 0, 1, 2
-ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("part", "<i4"), ("null", "?"), ("pieces", "u1")])
+ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("part", "<i4"), ("null", "?"), ("pieces", "u1")])
 
 
 class PrefixHashes:
@@ -78,11 +78,11 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(docs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document number, place and hash of all anchors of some documents, and 96 bits of a digest of their contexts (64 and 32)."""
+    """Document number, place and hash of all anchors of some documents, and 128 bits of the SHA-256 of their contexts (64 and 64)."""
     kept = [i for i, d in enumerate(docs) if len(d) >= length]
     none = np.zeros(0, np.int64)
     if not kept:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
     sizes = np.array([len(docs[i]) for i in kept])
     ends = np.cumsum(sizes)
     joined = b"".join(docs[i] for i in kept)
@@ -100,10 +100,12 @@ def anchors(docs: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]
     doc = np.searchsorted(ends, at, "right")
     first = ends[doc] - sizes[doc]
     start, stop = np.maximum(first, at - (length - gram)), np.minimum(ends[doc], at + length)
-    digest = xxhash.xxh3_128_digest
-    both = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]), "<u8").reshape(-1, 2)
-    context = both[:, 0] ^ mixed(((at - start) * 1_000 + (stop - start)).astype(np.uint64))
-    return np.array(kept)[doc], at - first, h[at], context, (both[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    digest = hashlib.sha256
+    # the anchor's place goes before the bytes, in a fixed width: a digest is of both
+    inside = (at - start).astype("<u4").tobytes()
+    both = b"".join([digest(inside[4 * i : 4 * i + 4] + joined[a:b]).digest()[:16] for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True))])
+    context, check = np.frombuffer(both, "<u8").reshape(-1, 2).T
+    return np.array(kept)[doc], at - first, h[at], context, check
 
 
 def order_of(a: np.ndarray) -> tuple[np.ndarray, ...]:
