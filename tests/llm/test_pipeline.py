@@ -5,7 +5,7 @@ import random
 import pytest
 import test_queries
 
-from tideline.llm import pieces
+from tideline.llm import language_id, pieces
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -125,3 +125,17 @@ def test_language_rejects_junk_and_what_was_not_learned(spark, folder):
     more = spark.createDataFrame([(100 + i, t, None, "s", 0) for i, t in enumerate(junk)], docs.schema)
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(more), folder).collect()}
     assert kept == {r["doc_id"] for r in docs.collect()} - {42, 43}
+
+
+def test_language_threshold_is_of_all_labelled_texts(spark):
+    """Over 40,000 labelled texts, one in a thousand is 40 of them: the 41st lowest score counts, not one of a share of the texts."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS[lang]) + str(rng.randrange(9)) * rng.randrange(2) for _ in range(20)), lang) for i in range(40_001) for lang in [("en", "de")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = language_id.fit(docs.where("doc_id < 1000"))
+    found = language_id.predict(docs, prototypes, carry=["text", "lang"]).where(f"lang = lang_pred and char_length(text) >= {language_id.LEAST_CHARS}")
+    scores = sorted(r["score"] for r in found.select("score").collect())
+    place = 0.001 * (len(scores) - 1)
+    low, high = scores[int(place)], scores[int(place) + 1]
+    assert len(scores) == 40_001
+    assert language_id.threshold(docs, prototypes) == pytest.approx(0.6 * (low + (high - low) * (place % 1)), abs=1e-12)

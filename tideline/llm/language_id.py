@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quantiles import quantiles
 from .shared import packed, released, unpacked
 
 CODES = 0x110000
@@ -189,14 +190,13 @@ def held_out(column: str = "doc_id"):
 LEAST_CHARS = 50
 
 
-def threshold(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", label: str = "lang", sample: int = 20_000, share: float = 0.001, margin: float = 0.6) -> float:
+def threshold(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", label: str = "lang", share: float = 0.001, margin: float = 0.6) -> float:
     """The score under which a text of LEAST_CHARS code points or more is like none of the languages; 0 without labelled texts.
 
-    It is `margin` times the score that all but `share` of the labelled texts reach whose language is predicted. A
-    share of the rows is read that makes about `sample` of them, chosen by a hash of their texts.
+    It is `margin` times the score that all but `share` of the labelled texts reach whose language is predicted. All
+    labelled texts are scored, and the quantile of their scores is exact; only scores are kept and sorted, in ranges.
     """
     rows = docs.where(F.col(label).isNotNull() & (F.char_length(text) >= LEAST_CHARS)).select(text, label)
-    every = max(1, rows.count() // sample)
-    found = predict(rows.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0), prototypes, text_col=text, carry=[label])
-    least = found.where(F.col("lang_pred") == F.col(label)).agg(F.percentile("score", F.lit(share))).first()[0]
-    return margin * (least or 0.0)
+    found = predict(rows, prototypes, text_col=text, carry=[label]).where(F.col("lang_pred") == F.col(label))
+    least = quantiles(found.select(F.lit(0).alias("all"), "score"), "all", "score", {"least": share}).first()
+    return margin * (least["least"] if least else 0.0)
