@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,18 @@ def test_no_pairs_of_rows_in_the_plan(frame):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pair_scores_write_few_rows_for_each_post(spark):
+    """2,000 posts of 30 classes within two hours: a row for each post and class would be 60,000."""
+    rng = random.Random(4)
+    names = ["v", "w", "x", "y", "z"]
+    rows = [(n, f"p{n}", START + timedelta(milliseconds=rng.randrange(7_200_000)), [t for i, t in enumerate(names) if n >> i & 1 and n % 10], rng.choice(LABELS)) for n in range(2_000)]
+    df = spark.createDataFrame(rows, "n int, post_id string, received_at_utc timestamp, rule_topic_labels array<string>, rule_sentiment_label string")
+    home = Path(temporal.shared_folder(spark))
+    before = set(home.iterdir())
+    assert risk.pair_scores(df, key="n").count() > 1_990
+    assert sum(spark.read.parquet(str(p)).count() for p in set(home.iterdir()) - before if p.name.startswith("cut-")) < 4 * len(rows)
+
+
 def test_clusters(rows, frame):
     got = {r["n"]: r for r in clusters(frame).collect()}
     assert len(got) == len(rows)

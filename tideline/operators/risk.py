@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, Rules, Settings
-from .temporal import MINUTE, bucket, cut, forward_asof, keyed, ranged, running, shifted, sums_before, timed
+from .temporal import MINUTE, bucket, cut, first_after, keyed, ranged, running, shifted, sums_before, timed
 
 SETTINGS = Settings()
 WINDOWS = (5, 15, 30, 60, 240)
@@ -93,24 +93,49 @@ def contradiction(a: Column, b: Column, topics_a: Column, topics_b: Column) -> C
 def pair_scores(df: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id") -> DataFrame:
     """Per post (a value of key) the largest contradiction, topic overlap and flip against posts of the lookback, and the earliest most contradicting one.
 
-    Scores depend on a prior's direction and set of topics only, its class. Each post is compared with the classes
-    that its bucket or the one before has, as many as the rules allow at most, and an as-of join finds the first
-    prior of a class since the lookback's start: no pair of posts is formed.
+    Scores depend on a prior's direction and set of topics only, its class. A lookback is the end of one bucket of its
+    width and the beginning of the next: a class is in it if its last post of the bucket before isn't too old, or its
+    first of the post's own bucket is earlier. So posts meet one row for their bucket and class, with the scores
+    that it can have; only the first prior of the classes that give the best one is looked up, by an as-of join.
     """
     width = s.lookback_minutes * MINUTE
     topics = F.array_sort(F.array_distinct(F.coalesce("rule_topic_labels", F.array().cast("array<string>"))))
-    own = timed(df, "received_at_utc")[0].select(key, "post_id", "received_at_utc", topics.alias("_topics"), sentiment_direction(F.col("rule_sentiment_label")).alias("_way"))
-    own = own.withColumns({"_class": F.concat_ws("|", F.col("_way").cast("string"), "_topics"), "_at": bucket("received_at_utc", width)})
-    classes = own.select(F.explode(F.array("_at", F.col("_at") + 1)).alias("_at"), "_class", F.col("_topics").alias("_theirs"), F.col("_way").alias("_other")).distinct()
-    asked = own.select(key, "received_at_utc", "_topics", "_way", "_at").join(classes, "_at").drop("_at")
-    asked = asked.withColumn("_since", F.timestamp_micros(F.unix_micros("received_at_utc") - width))
-    firsts = own.groupBy("_class", F.col("received_at_utc").alias("at")).agg(F.min("post_id").alias("prior"))
-    found = forward_asof(asked, firsts, "_since", "at", by=["_class"], name="_first").where(F.col("_first.at") < F.col("received_at_utc"))
+    own = timed(df, "received_at_utc")[0].select(F.col(key).alias("_key"), F.col("post_id").alias("_id"), F.col("received_at_utc").alias("_time"), topics.alias("_topics"), sentiment_direction(F.col("rule_sentiment_label")).alias("_way"))
+    own = cut(own.withColumns({"_class": F.concat_ws("|", F.col("_way").cast("string"), "_topics"), "_at": bucket("_time", width)}))
+    first = F.struct(F.col("_time").alias("at"), F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("prior"))
+    spans = cut(own.groupBy("_at", "_class", "_topics", "_way").agg(F.min(first).alias("first"), F.max("_time").alias("last")))
+    posts = own.select("_key", "_time", "_class", "_at", F.timestamp_micros(F.unix_micros("_time") - width).alias("_since")).join(_possible(spans), ["_at", "_class"])
+    posts = posts.withColumn("_met", F.filter("_possible", lambda x: (x["last"] >= F.col("_since")) | (x["first"]["at"] < F.col("_time")))).where(F.size("_met") > 0)
+    of = lambda name: F.array_max(F.transform("_met", lambda x: x[name]))
+    posts = posts.select("_key", "_since", "_met", of("text").alias("text"), of("topic").alias("topic"), of("flip").alias("flip"))
+    best = F.when(F.col("text") > 0, F.filter("_met", lambda x: x["text"] == F.col("text")))
+    before = F.filter(F.flatten(F.transform(best, lambda x: x["classes"])), lambda c: c["last"] >= F.col("_since"))
+    scores = ["_key", "text", "topic", "flip"]
+    # the buckets before come first: where a class has a post in them, it isn't needed what follows
+    posts = posts.select(*scores, "_since", F.array_min(F.transform(best, lambda x: x["first"])).alias("first"), F.coalesce(before["class"], F.array().cast("array<string>")).alias("_before"))
+    firsts = own.where("_way <> 0").groupBy("_class", F.col("_time").alias("at")).agg(F.min("_id").alias("prior"))
+    asked = posts.select(*scores, "_since", F.explode("_before").alias("_class"))
+    found = first_after(asked, firsts, keys=scores, at="_since", point_at="at", by=["_class"], name="first")
+    scored = posts.where(F.size("_before") == 0).select(*scores, "first.at", "first.prior").unionByName(found.select(*scores, "first.at", "first.prior"))
+    earliest = F.min(F.when(F.col("text") > 0, F.struct(-F.col("text"), "at", F.col("prior").isNull(), "prior")))
+    return scored.groupBy(F.col("_key").alias(key)).agg(F.max("text").alias("text_contradiction_score"), F.round(F.max("topic"), 6).alias("same_topic_score"), F.max("flip").alias("direction_flip_score"), earliest["prior"].alias("_prior"))
+
+
+def _possible(spans: DataFrame) -> DataFrame:
+    """For each bucket and class of posts `_possible`: the scores against all classes of the bucket and the one before.
+
+    Of equal scores there is one entry, with the first post in the bucket, the time of the last one in the bucket
+    before, and the classes that flip with theirs. There are as many classes as the rules allow.
+    """
+    none = lambda c: F.lit(None).cast(spans.schema[c].dataType).alias(c)
+    theirs = [F.col("_class").alias("class"), F.col("_topics").alias("_theirs"), F.col("_way").alias("_other")]
+    seen = spans.select("_at", *theirs, "first", none("last")).unionByName(spans.select((F.col("_at") + 1).alias("_at"), *theirs, none("first"), "last"))
     flipped, overlap = F.col("_way") * F.col("_other") == -1, same_topic(F.col("_topics"), F.col("_theirs"))
     text = F.when(flipped, F.round(0.4 + 0.6 * overlap, 4)).otherwise(0.0)
-    scored = found.select(key, F.col("_first.prior").alias("prior"), F.col("_first.at").alias("at"), text.alias("text"), overlap.alias("topic"), F.when(flipped, 1.0).otherwise(0.0).alias("flip"))
-    first = F.min(F.when(F.col("text") > 0, F.struct(-F.col("text"), "at", "prior")))
-    return scored.groupBy(key).agg(F.max("text").alias("text_contradiction_score"), F.round(F.max("topic"), 6).alias("same_topic_score"), F.max("flip").alias("direction_flip_score"), first["prior"].alias("_prior"))
+    scored = spans.select("_at", "_class", "_topics", "_way").join(seen, "_at").select("_at", "_class", "class", "first", "last", text.alias("text"), overlap.alias("topic"), F.when(flipped, 1.0).otherwise(0.0).alias("flip"))
+    classes = F.collect_list(F.when((F.col("flip") > 0) & F.col("last").isNotNull(), F.struct("class", "last"))).alias("classes")
+    entries = scored.groupBy("_at", "_class", "text", "topic", "flip").agg(F.min("first").alias("first"), F.max("last").alias("last"), classes)
+    return entries.groupBy("_at", "_class").agg(F.collect_list(F.struct("text", "topic", "flip", "first", "last", "classes")).alias("_possible"))
 
 
 def level(score: Column, s: Settings = SETTINGS) -> Column:
