@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.rules import classify
-from tideline.operators import overlay, risk, signals, study
+from tideline.operators import overlay, risk, signals, study, tuning
 from tideline.operators.events import build_events
 from tideline.operators.labels import agreement, audit_reviews, check_reviews, label_queue, review_counts
 
@@ -80,3 +80,14 @@ def test_reviews(spark, scored):
     assert agreement(good, ["human_sentiment_label"]).first()["unanimous_rate"] == 1.0
     bad = check_reviews(spark.createDataFrame([("e1", "p1", "glad", "ambiguous", "nonsense", "uncertain", "none", "1.8", "a", "2026-06-12T12:00:00", "")], names), "v1").first()["problems"]
     assert len(bad) == 4
+
+
+def test_trials_meet_equal_rows_once(spark):
+    """6,000 rows of three kinds: trials are copied to the kinds, with the same counts as for all rows."""
+    scored = spark.range(6_000).select(*(F.lit(0.0).alias(c) for c in risk.COMPONENTS[1:]), (F.col("id") % 3 / 2).alias("headline_risk_score"), (F.col("id") % 3 == 2).alias("market_whipsaw_flag"))
+    trial = tuning.Trial(1, {c: float(c == "headline_risk_score") for c in risk.COMPONENTS}, 0.5, 1.0)
+    out = tuning.evaluate_trials(scored, [trial])
+    row = out.first()
+    assert (row["row_count"], row["soft_tp"], row["soft_fp"], row["soft_tn"], row["soft_fn"], row["soft_precision"], row["hard_tp"], row["hard_fp"], row["risk_prediction_rate"]) == (6_000, 2_000, 2_000, 2_000, 0, 0.5, 2_000, 0, 0.666667)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]

@@ -193,9 +193,11 @@ def span_minutes(s: Settings = SETTINGS) -> int:
     return max(s.lookback_minutes, *WINDOWS)
 
 
-def binary_metrics(actual: Column, predicted: Column, prefix: str) -> list[Column]:
-    tp, fp = F.count_if(actual & predicted), F.count_if(~actual & predicted)
-    tn, fn = F.count_if(~actual & ~predicted), F.count_if(actual & ~predicted)
+def binary_metrics(actual: Column, predicted: Column, prefix: str, n: Column | None = None) -> list[Column]:
+    """Confusion, precision and recall; n is the number of rows that a row stands for, one without it."""
+    count = F.count_if if n is None else lambda x: F.sum(F.when(x, n).otherwise(0))
+    tp, fp = count(actual & predicted), count(~actual & predicted)
+    tn, fn = count(~actual & ~predicted), count(actual & ~predicted)
     ratio = lambda a, b: F.when(a + b > 0, F.round(a / (a + b), 6)).otherwise(0.0)
     return [tp.alias(f"{prefix}_tp"), fp.alias(f"{prefix}_fp"), tn.alias(f"{prefix}_tn"), fn.alias(f"{prefix}_fn"), ratio(tp, fp).alias(f"{prefix}_precision"), ratio(tp, fn).alias(f"{prefix}_recall")]
 

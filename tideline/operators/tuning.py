@@ -1,4 +1,4 @@
-"""Search of risk weights and thresholds: every trial is scored in one aggregate over the labelled rows."""
+"""Search of risk weights and thresholds: every trial is scored in one aggregate over the distinct labelled rows."""
 
 from __future__ import annotations
 
@@ -42,17 +42,21 @@ def random_trials(n: int = 60, seed: int = 42) -> list[Trial]:
 def evaluate_trials(scored: DataFrame, trials: list[Trial]) -> DataFrame:
     """Per trial the confusion of soft and hard predictions against market_whipsaw_flag, the share predicted, and the objective.
 
-    scored has the component columns. One pass: partial counts of each trial are made before anything moves.
+    scored has the component columns. Rows with equal components and flag are counted first, so that a trial is
+    scored once for each of them, not for each row; partial counts of each trial are made before anything moves.
     """
     if len(trials) > MAX_TRIALS:
         raise ValueError(f"more than {MAX_TRIALS} trials")
     value = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in COMPONENTS))
     candidates = F.array(*(F.struct(F.lit(t.number).alias("trial"), F.array(*(F.lit(float(t.weights[c])) for c in COMPONENTS)).alias("w"), F.lit(t.soft).alias("soft"), F.lit(t.hard).alias("hard")) for t in trials))
-    rows = scored.select(value.alias("v"), F.coalesce("market_whipsaw_flag", F.lit(False)).alias("actual"), F.explode(candidates).alias("t"))
+    equal = scored.select(value.alias("v"), F.coalesce("market_whipsaw_flag", F.lit(False)).alias("actual")).groupBy("v", "actual").agg(F.count("*").alias("n"))
+    rows = equal.select("v", "actual", "n", F.explode(candidates).alias("t"))
     total = F.aggregate(F.zip_with("t.w", "v", lambda w, x: w * x), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.select("t.trial", "actual", "t.soft", "t.hard", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 9).alias("score"))
+    rows = rows.select("t.trial", "actual", "n", "t.soft", "t.hard", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 9).alias("score"))
     soft, hard = F.col("score") >= F.col("soft"), F.col("score") >= F.col("hard")
-    out = rows.groupBy("trial").agg(F.count("*").alias("row_count"), *binary_metrics(F.col("actual"), soft, "soft"), *binary_metrics(F.col("actual"), hard, "hard"), F.round(F.avg(F.when(soft, 1.0).otherwise(0.0)), 6).alias("risk_prediction_rate"))
+    n = F.col("n")
+    rate = F.round(F.sum(F.when(soft, n).otherwise(0)) / F.sum(n), 6)
+    out = rows.groupBy("trial").agg(F.sum(n).alias("row_count"), *binary_metrics(F.col("actual"), soft, "soft", n), *binary_metrics(F.col("actual"), hard, "hard", n), rate.alias("risk_prediction_rate"))
     objective = 0.40 * F.col("soft_recall") + 0.25 * F.col("soft_precision") + 0.20 * F.col("hard_precision") + 0.10 * F.col("hard_recall") - 0.05 * F.greatest(F.lit(0.0), F.col("risk_prediction_rate") - 0.60)
     return out.withColumn("objective", F.round(objective, 6))
 
