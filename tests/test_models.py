@@ -121,6 +121,32 @@ def test_prefixes_know_what_a_fresh_fit_counts(spark, labelled):
     assert baselines.fit(train, "tfidf_logreg", Known({"up": 3}, ["a"], [1])) is None and baselines.fit(train, "mlp", Known({"up": 3, "down": 1}, [], [])) is None
 
 
+def test_fits_pass_over_vectors_not_texts(labelled, monkeypatch):
+    seen, fit_all = [], baselines.fit_all
+    monkeypatch.setattr(baselines, "fit_all", lambda jobs, options: seen.extend(jobs) or fit_all(jobs, options))
+    baselines.compare(labelled, models=["tfidf_logreg"], **SMALL)
+    baselines.walk_forward(labelled, first_train=30, test_rows=10, step=10, models=("tfidf_logreg",), features=20)
+    assert len(seen) == 4 and not any("text_clean" in job[0].columns for job in seen)
+    # vectors of a fold are those that its own text stages give
+    ends = [20, 50]
+    rows = labelled.withColumn("row_index", F.expr("substring(event_id, 2)").cast("long"))
+    known = baselines.prefix_statistics(rows, ends, 6)
+    terms = sorted({*known[0].terms, *known[1].terms, "war"})
+    counts = baselines.counted(rows, baselines.CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_all"))
+    for k in known:
+        found, text = baselines.fold_vectors(counts, terms, k)
+        of = lambda df: {r["event_id"]: r["_tfidf"].toArray().tolist() for r in df.collect()}
+        assert of(found) == of(text.transform(rows)) == of(baselines.vectors(rows, known=k)[0])
+
+
+def test_the_walk_takes_only_what_its_models_read(spark, monkeypatch):
+    from tideline.plans import model_queries
+
+    monkeypatch.setattr(model_queries, "enrich", None)
+    rows = model_queries._model_rows(spark, "/root/testdata/sf0.001", context=False)
+    assert rows.columns == ["doc_id", "tradeability_label", "rule_tradeability_label", "text_clean", "received_at_utc"] and rows.count() == 87
+
+
 def test_tuning(spark):
     rows = [(i, {c: ((i * (k + 3)) % 10) / 10 for k, c in enumerate(risk.COMPONENTS)}, i % 3 == 0) for i in range(80)]
     names = ", ".join(f"{c} double" for c in risk.COMPONENTS)

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.temporal import cut
+
 
 @dataclass(frozen=True)
 class Known:
@@ -47,24 +51,27 @@ def label_prefixes(rows: DataFrame, label: str, ends: list[int]) -> list[dict[st
     return found
 
 
-def gram_prefixes(rows: DataFrame, grams: str, ends: list[int], features: int) -> list[tuple[list[str], list[int]]]:
-    """For each prefix its most frequent terms (ties: the smaller one first) and how many rows have each.
+def term_prefixes(rows: DataFrame, grams: str, ends: list[int], features: int) -> list[list[str]]:
+    """For each prefix its most frequent terms (ties: the smaller one first).
 
-    Terms are counted by block before they move; a term then has one row with a count for each block, of which its
-    counts for all prefixes are sums. Spark keeps the best `features` of every task before it ranks, up to
-    spark.sql.optimizer.windowGroupLimitThreshold. What reaches the driver is what the models hold.
+    Terms are counted for all prefixes at once, before they move; every prefix then takes the best of each task's rows,
+    without a sort of all. What reaches the driver is what the models hold.
     """
-    sorted_grams = blocked(rows.select("row_index", F.array_sort(grams).alias("_all")), ends)
-    marked = F.transform("_all", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("_all", i - 1) != x)).cast("long").alias("first")))
-    each = sorted_grams.select("_block", F.explode(marked).alias("_x")).select("_block", "_x.term", "_x.first")
-    blocks = each.groupBy("term", "_block").agg(F.count("*").alias("uses"), F.sum("first").alias("texts"))
-    lists = blocks.groupBy("term").agg(F.collect_list(F.struct("_block", "uses", "texts")).alias("_blocks"))
-    upto = lists.select("term", F.explode(F.sequence(F.lit(0), F.lit(len(ends) - 1))).alias("prefix"), "_blocks")
-    total = lambda name: F.aggregate("_blocks", F.lit(0).cast("long"), lambda a, x: a + F.when(x["_block"] <= F.col("prefix"), x[name]).otherwise(0))
-    counted = upto.select("prefix", "term", total("uses").alias("uses"), total("texts").alias("texts")).where("uses > 0")
-    best = counted.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("uses"), "term"))).where(F.col("place") <= features)
-    found = [([], []) for _ in ends]
-    for r in best.orderBy("prefix", "place").collect():
-        found[r["prefix"]][0].append(r["term"])
-        found[r["prefix"]][1].append(r["texts"])
+    each = blocked(rows.select("row_index", grams), ends).select("_block", F.explode(grams).alias("term"))
+    uses = cut(each.groupBy("term").agg(*(F.count_if(F.col("_block") <= k).alias(f"_uses_{k}") for k in range(len(ends)))))
+    best = [uses.where(F.col(f"_uses_{k}") > 0).select(F.lit(k).alias("prefix"), F.col(f"_uses_{k}").alias("uses"), "term").orderBy(F.desc("uses"), "term").limit(features) for k in range(len(ends))]
+    found = [[] for _ in ends]
+    for r in sorted(reduce(DataFrame.unionByName, best).collect(), key=lambda r: (-r["uses"], r["term"])):
+        found[r["prefix"]].append(r["term"])
+    return found
+
+
+def text_prefixes(rows: DataFrame, counts: str, terms: list[str], ends: list[int]) -> list[dict[str, int]]:
+    """For each prefix how many rows have each of the terms, whose counts are a vector."""
+    blocks = blocked(rows.select("row_index", counts), ends).groupBy("_block").agg(Summarizer.numNonZeros(F.col(counts)).alias("n"))
+    found = [dict.fromkeys(terms, 0) for _ in ends]
+    for r in blocks.collect():
+        for term, n in zip(terms, r["n"].toArray(), strict=True):
+            for k in range(r["_block"], len(ends)):
+                found[k][term] += int(n)
     return found

@@ -106,14 +106,18 @@ def m8_tuning_trials(spark, d):
     return tuning.evaluate_trials(flagged(spark, d), TRIALS)
 
 
-def _model_rows(spark, d):
-    """Labelled documents in order of id, with what their texts say of links and emphasis as the context flags."""
-    text = F.coalesce("text", F.lit(""))
-    flags = {"has_image": text.contains("http"), "has_video": text.contains("!!")}
-    docs = enrich(v.table(spark, d, "documents").select("doc_id", F.col("text").alias("text_clean"), *(c.alias(k) for k, c in flags.items())), rules=CORPUS_RULES)
+def _model_rows(spark, d, *, context=True):
+    """Labelled documents in order of id; context: with the features of their texts, and what these say of links and emphasis as the context flags."""
+    docs = v.table(spark, d, "documents").select("doc_id", F.col("text").alias("text_clean"))
     rows = v.predictions(spark, d).select("doc_id", F.col("actual").alias("tradeability_label"), F.col("predicted").alias("rule_tradeability_label"))
-    at = F.timestamp_micros(F.col("doc_id") * MINUTE)
-    return cut(rows.join(docs.drop("rule_tradeability_label"), "doc_id").withColumn("received_at_utc", at).drop("url_domains", "rule_topic_labels", "rule_topic_confidence", "rule_reason_codes"))
+    # documents without a label aren't classified
+    rows = rows.join(docs, "doc_id").withColumn("received_at_utc", F.timestamp_micros(F.col("doc_id") * MINUTE))
+    if context:
+        text = F.coalesce("text_clean", F.lit(""))
+        flags = {"has_image": text.contains("http"), "has_video": text.contains("!!")}
+        rows = enrich(rows.withColumnRenamed("rule_tradeability_label", "_given").withColumns(flags), rules=CORPUS_RULES)
+        rows = rows.drop("url_domains", "rule_topic_labels", "rule_topic_confidence", "rule_reason_codes", "rule_tradeability_label").withColumnRenamed("_given", "rule_tradeability_label")
+    return cut(rows)
 
 
 @query()
@@ -125,7 +129,7 @@ def m5_model_comparison(spark, d):
 @query()
 def m6_walk_forward(spark, d):
     """Folds over all labelled documents in order of id: a quarter trains the first, every further sixth is tested in turn."""
-    rows = _model_rows(spark, d)
+    rows = _model_rows(spark, d, context=False)
     n = rows.count()
     found = baselines.walk_forward(rows, order=["received_at_utc", "doc_id"], models=("tfidf_logreg", "tfidf_linear_svm"), first_train=max(2, n // 4), test_rows=max(1, n // 6), step=max(1, n // 6))
     labels = [r[0] for r in found.select("actual").distinct().orderBy("actual").limit(1_000).collect()]
