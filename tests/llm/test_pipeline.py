@@ -5,7 +5,7 @@ import random
 import pytest
 import test_queries
 
-from tideline.llm import language_id, pieces
+from tideline.llm import language_id, pieces, shared
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -139,3 +139,27 @@ def test_language_threshold_is_of_all_labelled_texts(spark):
     low, high = scores[int(place)], scores[int(place) + 1]
     assert len(scores) == 40_001
     assert language_id.threshold(docs, prototypes) == pytest.approx(0.6 * (low + (high - low) * (place % 1)), abs=1e-12)
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    """20 MB of texts in one partition: a batch has 4 MB at most, in a stage's lazy result too; a session's own limit stays."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(0, 10_000, 1, 1).selectExpr("id", "repeat('x', 2000) AS text")
+    docs = spark.createDataFrame([(1, "one text", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    found = texts.mapInArrow(sizes, "n long")
+    try:
+        spark.conf.unset(shared.BATCH_LIMIT)
+        assert [r["doc_id"] for r in stage(spark, docs, "").collect()] == [1]
+        assert max(r["n"] for r in found.collect()) < 1.1 * shared.BATCH_BYTES
+        spark.conf.set(shared.BATCH_LIMIT, "7000000")
+        stage(spark, docs, "")
+        assert spark.conf.get(shared.BATCH_LIMIT) == "7000000"
+    finally:
+        spark.conf.unset(shared.BATCH_LIMIT)

@@ -9,11 +9,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, sentencepiece_codec, simhash_dedup, suffix_dedup
-from .shared import materialised
+from .shared import materialised, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 OTHERS = ["doc_id", "lang", "source"]
@@ -52,7 +55,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "checked")
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens)]
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, with small_batches() set before: every stage sends whole texts to Python."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _in_small_batches(f)) for f in (language, near_duplicates, repeats, benchmark, tokens)]
 
 #: SQL can't say the stages; tests/llm/test_pipeline.py holds the rows and texts of each against a brute-force version.
 ORACLE_SQL = None

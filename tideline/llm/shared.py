@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PART_BITS = 33
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4_000_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -101,6 +103,17 @@ def matched(rows: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of BATCH_BYTES at most (or one row) in this session, unless it has set a limit itself.
+
+    Spark's own limits are 10,000 rows and 64 MB. For whole texts its buffers, which are off the heap and double as they
+    grow, are several times a batch for each task, and what executors once took there they keep. Spark reads the limit
+    when it runs a plan, so it has to stay set after a stage has been planned. No result depends on it.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of shuffle partitions that the deployment has set for its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
