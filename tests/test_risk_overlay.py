@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions.rules import classify
-from tideline.operators import overlay, risk, signals, study, tuning
+from tideline.operators import overlay, risk, signals, study, temporal, tuning
 from tideline.operators.events import build_events
 from tideline.operators.labels import agreement, audit_reviews, check_reviews, label_queue, review_counts
 
@@ -37,6 +37,36 @@ def test_versions_of_a_post_are_scored_apart(spark):
     assert [got[m]["text_contradiction_score"] for m in (0, 10, 20)] == [0.0, 0.4, 0.0]
 
 
+def test_scores_without_context(spark):
+    """Instants with several posts, and a post without a time: the score's own columns are the same, the others are left out."""
+    texts = ["tariff", "growth", "tariff china", "thank you", "rally"]
+    rows = [(f"p{i}", f"09:{i // 3 * 7:02}:00", texts[i % 5]) for i in range(18)]
+    posts = classify(market.posts(spark, rows)).withColumn("received_at_utc", F.expr("CASE WHEN post_id <> 'p4' THEN received_at_utc END"))
+    lean, whole = risk.score(posts, context=False), risk.score(posts)
+    assert set(whole.columns) - set(lean.columns) == {"topic_entropy_60m", "minutes_since_previous_post", "expected_minutes_to_next_post", *(f"p_next_post_{h}m" for h in (15, 30, 60)), *(f"posts_last_{m}m" for m in (5, 15, 30, 240))}
+    assert sorted(map(str, lean.collect())) == sorted(map(str, whole.select(lean.columns).collect()))
+
+
+def test_scans_have_a_row_for_each_instant_not_for_each_post(spark, monkeypatch):
+    """Twenty posts of each instant and text ask what one of them asks, and get the same scores."""
+    texts, sizes = ["tariff", "growth", "tariff china", "thank you", "rally"], []
+    rows = [(f"p{i}", f"09:{i * 4:02}:00", texts[i % 5]) for i in range(15)]
+    ranged = temporal.ranged
+
+    def counted(df, order):
+        sizes.append(df.count())
+        return ranged(df, order)
+
+    monkeypatch.setattr(temporal, "ranged", counted)
+    once = classify(market.posts(spark, rows))
+    found = []
+    for n in (1, 20):
+        copies = once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("_copy")
+        found.append({tuple(r) for r in risk.score(copies, context=False).select("post_id", "text_contradiction_score", "same_topic_score", "direction_flip_score", "contradicting_post_ids").withColumn("contradicting_post_ids", F.col("contradicting_post_ids").cast("string")).collect()})
+    assert found[0] == found[1]
+    assert len(sizes) > 2 and sizes[: len(sizes) // 2] == sizes[len(sizes) // 2 :]
+
+
 def test_replay(spark, scored):
     out = overlay.replay(market.trades(spark), scored)
     assert {r["trade_id"]: (r["contracts_after"], r["kill_switch_status"], r["attribution_label"]) for r in out.collect()} == {"t1": (1, "reduced", "helpful_risk_reduction"), "t2": (0, "filtered", "false_positive_cost"), "t3": (1, "unchanged", "false_negative_loss")}

@@ -37,11 +37,15 @@ def recent_topics(df: DataFrame, ts: str, topics: str, minutes: int) -> DataFram
 
 
 def burst_counts(df: DataFrame, ts: str = "received_at_utc", windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """posts_last_{m}m for each window; the row's own instant doesn't count. Rows without a time have 0."""
+    """posts_last_{m}m for each window; the row's own instant doesn't count. Rows without a time have 0.
+
+    Counts are those of an instant, however many posts it has: the scan has a row for each instant, not for each post.
+    """
     own = "_row" in df.columns
     df = keyed(df)
-    counts = sums_before(df, ts, "_row", windows, {"n": F.lit(1)})
-    out = df.join(counts, "_row", "left").withColumns({f"posts_last_{m}m": F.coalesce(f"n_{m}", F.lit(0).cast("long")) for m in windows}).drop(*(f"n_{m}" for m in windows))
+    instants = df.groupBy(F.col(ts).alias("_instant")).agg(F.count("*").alias("_posts"))
+    counts = sums_before(instants, "_instant", "_instant", windows, {"n": F.col("_posts")})
+    out = df.join(counts, F.col(ts) == F.col("_instant"), "left").withColumns({f"posts_last_{m}m": F.coalesce(f"n_{m}", F.lit(0).cast("long")) for m in windows}).drop("_instant", *(f"n_{m}" for m in windows))
     return out if own else out.drop("_row")
 
 
@@ -95,30 +99,34 @@ def pair_scores(df: DataFrame, s: Settings = SETTINGS, *, key: str = "post_id")
 
     Scores depend on a prior's direction and set of topics only, its class. A lookback is the end of one bucket of its
     width and the beginning of the next: a class is in it if its last post of the bucket before isn't too old, or its
-    first of the post's own bucket is earlier. So posts meet one row for their bucket and class, with the scores
+    first of the post's own bucket is earlier. So instants, a row for all their posts of a class, meet one row for their bucket and class, with the scores
     that it can have; only the first prior of the classes that give the best one is looked up, by an as-of join.
     """
     width = s.lookback_minutes * MINUTE
     topics = F.array_sort(F.array_distinct(F.coalesce("rule_topic_labels", F.array().cast("array<string>"))))
     own = timed(df, "received_at_utc")[0].select(F.col(key).alias("_key"), F.col("post_id").alias("_id"), F.col("received_at_utc").alias("_time"), topics.alias("_topics"), sentiment_direction(F.col("rule_sentiment_label")).alias("_way"))
-    own = cut(own.withColumns({"_class": F.concat_ws("|", F.col("_way").cast("string"), "_topics"), "_at": bucket("_time", width)}))
+    own = own.withColumns({"_class": F.concat_ws("|", F.col("_way").cast("string"), "_topics"), "_at": bucket("_time", width)})
     first = F.struct(F.col("_time").alias("at"), F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("prior"))
-    spans = cut(own.groupBy("_at", "_class", "_topics", "_way").agg(F.min(first).alias("first"), F.max("_time").alias("last")))
-    posts = own.select("_key", "_time", "_class", "_at", F.timestamp_micros(F.unix_micros("_time") - width).alias("_since")).join(_possible(spans), ["_at", "_class"])
+    # posts of one instant and class have the same scores
+    spots = keyed(own.groupBy("_at", "_class", "_topics", "_way", "_time").agg(F.min(first).alias("first")), "_spot")
+    spans = cut(spots.groupBy("_at", "_class", "_topics", "_way").agg(F.min("first").alias("first"), F.max("_time").alias("last")))
+    posts = spots.select("_spot", "_time", "_class", "_at", F.timestamp_micros(F.unix_micros("_time") - width).alias("_since")).join(_possible(spans), ["_at", "_class"])
     posts = posts.withColumn("_met", F.filter("_possible", lambda x: (x["last"] >= F.col("_since")) | (x["first"]["at"] < F.col("_time")))).where(F.size("_met") > 0)
     of = lambda name: F.array_max(F.transform("_met", lambda x: x[name]))
-    posts = posts.select("_key", "_since", "_met", of("text").alias("text"), of("topic").alias("topic"), of("flip").alias("flip"))
+    posts = posts.select("_spot", "_since", "_met", of("text").alias("text"), of("topic").alias("topic"), of("flip").alias("flip"))
     best = F.when(F.col("text") > 0, F.filter("_met", lambda x: x["text"] == F.col("text")))
     before = F.filter(F.flatten(F.transform(best, lambda x: x["classes"])), lambda c: c["last"] >= F.col("_since"))
-    scores = ["_key", "text", "topic", "flip"]
+    scores = ["_spot", "text", "topic", "flip"]
     # the buckets before come first: where a class has a post in them, it isn't needed what follows
     posts = posts.select(*scores, "_since", F.array_min(F.transform(best, lambda x: x["first"])).alias("first"), F.coalesce(before["class"], F.array().cast("array<string>")).alias("_before"))
-    firsts = own.where("_way <> 0").groupBy("_class", F.col("_time").alias("at")).agg(F.min("_id").alias("prior"))
+    firsts = spots.where("_way <> 0").select("_class", F.col("_time").alias("at"), F.col("first.prior").alias("prior"))
     asked = posts.select(*scores, "_since", F.explode("_before").alias("_class"))
     found = first_after(asked, firsts, keys=scores, at="_since", point_at="at", by=["_class"], name="first")
     scored = posts.where(F.size("_before") == 0).select(*scores, "first.at", "first.prior").unionByName(found.select(*scores, "first.at", "first.prior"))
     earliest = F.min(F.when(F.col("text") > 0, F.struct(-F.col("text"), "at", F.col("prior").isNull(), "prior")))
-    return scored.groupBy(F.col("_key").alias(key)).agg(F.max("text").alias("text_contradiction_score"), F.round(F.max("topic"), 6).alias("same_topic_score"), F.max("flip").alias("direction_flip_score"), earliest["prior"].alias("_prior"))
+    scored = scored.groupBy("_spot").agg(F.max("text").alias("text"), F.max("topic").alias("topic"), F.max("flip").alias("flip"), earliest.alias("earliest"))
+    placed = own.select("_key", "_class", "_time").join(spots.select("_spot", "_class", "_time").join(scored, "_spot"), ["_class", "_time"])
+    return placed.groupBy(F.col("_key").alias(key)).agg(F.max("text").alias("text_contradiction_score"), F.round(F.max("topic"), 6).alias("same_topic_score"), F.max("flip").alias("direction_flip_score"), F.min("earliest")["prior"].alias("_prior"))
 
 
 def _possible(spans: DataFrame) -> DataFrame:
@@ -153,14 +161,15 @@ def dominant(columns: list[str]) -> tuple[Column, Column]:
     return F.element_at(F.array(*map(F.lit, columns)), at), F.array_max(values)
 
 
-def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES, *, timing: bool = True) -> DataFrame:
+def score(df: DataFrame, s: Settings = SETTINGS, rules: Rules = DEFAULT_RULES, *, timing: bool = True, context: bool = True) -> DataFrame:
     """Labelled events with burst and timing features, seven components, weighted score, level, time to live and reason. Every row is a post: ids may be repeated.
 
     Without timing features, what a row gets depends on itself and on the rows of the last span_minutes() before it.
+    Without context there are none of them, no entropy, and of the counts only posts_last_60m: the score needs no others.
     """
     df = keyed(df)
-    out = burst_features(df)
-    out = (timing_features(out) if timing else out).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
+    out = burst_features(df) if context else burst_counts(df, windows=(60,))
+    out = (timing_features(out) if timing and context else out).join(pair_scores(df, s, key="_row"), "_row", "left").drop("_row")
     sentiment, topics = F.col("rule_sentiment_label"), F.col("rule_topic_labels")
     relevant = F.size(F.array_intersect(topics, F.array(*map(F.lit, rules.relevant_topics))))
     out = out.withColumns(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import overlay, risk, signals
+from ..operators.temporal import cut
 from . import views as v
 from .views import ALIGNED_SQL, BASE_SQL, CORPUS_RULES, HOURLY, rules_sql
 
@@ -25,8 +26,9 @@ def labelled(spark, d):
     return v.labelled(v.posts(spark, d, numbered=True), spark, d)
 
 
-def scored(spark, d):
-    return risk.score(labelled(spark, d), HOURLY, CORPUS_RULES).withColumn("event_id", F.col("post_id"))
+def scored(spark, d, *, context=False):
+    """Scored posts; signals also need the context of their timing."""
+    return risk.score(labelled(spark, d), HOURLY, CORPUS_RULES, context=context).withColumn("event_id", F.col("post_id"))
 
 
 @query(f"WITH {BASE_SQL} {rules_sql()} SELECT post_id, array_to_string(topics, '|') AS topics, sentiment, confidence, tradeability FROM labelled")
@@ -82,7 +84,7 @@ paired AS (SELECT post_id, max(txt) AS text_contradiction_score, round(max(topic
 
 @query(f"WITH {BASE_SQL} {rules_sql()} {PAIR_SQL} SELECT * FROM paired")
 def j6_pair_scores(spark, d):
-    return risk.pair_scores(labelled(spark, d), HOURLY).withColumnRenamed("_prior", "prior")
+    return risk.pair_scores(cut(labelled(spark, d)), HOURLY).withColumnRenamed("_prior", "prior")
 
 
 RISK_SQL = f"""{PAIR_SQL},
@@ -191,18 +193,18 @@ def a33_account_breaches(spark, d):
 SELECT post_id, direction AS direction_signal, CASE WHEN lvl = 'HARD_KILL' THEN 'BLOCK_NEW_ENTRIES' WHEN lvl = 'SOFT_RISK' THEN 'REDUCE_SIZE' WHEN direction = 'NO_TRADE' THEN 'BLOCK_NEW_ENTRIES' ELSE 'ALLOW' END AS action, CASE WHEN lvl = 'HARD_KILL' THEN 0.0 WHEN lvl = 'SOFT_RISK' THEN 0.5 WHEN direction = 'NO_TRADE' THEN 0.0 ELSE 1.0 END::DOUBLE AS risk_multiplier,
 CASE WHEN lvl = 'HARD_KILL' THEN 3600 WHEN lvl = 'SOFT_RISK' THEN 1800 ELSE 900 END AS ttl_seconds, CASE WHEN lvl IN ('SOFT_RISK', 'HARD_KILL') THEN 'no_trade_whipsaw' ELSE tradeability END AS tradeability_label, 2000::BIGINT AS feed_lag_ms FROM directed""")
 def f22_signals(spark, d):
-    out = signals.signals(scored(spark, d).withColumn("received_at_utc", F.col("received_at_utc")), HOURLY)
+    out = signals.signals(scored(spark, d, context=True).withColumn("received_at_utc", F.col("received_at_utc")), HOURLY)
     return out.select("post_id", "direction_signal", "kill_switch.action", "kill_switch.risk_multiplier", "kill_switch.ttl_seconds", "tradeability_label", "data_quality.feed_lag_ms")
 
 
 @query(f"WITH {BASE_SQL} {rules_sql()} {RISK_SQL} SELECT post_id, lvl AS whipsaw_risk_level FROM timed ORDER BY received_at_utc DESC, post_id DESC LIMIT 1")
 def t3_latest_signal(spark, d):
-    return signals.latest(signals.signals(scored(spark, d), HOURLY)).select("post_id", "risk.whipsaw_risk_level")
+    return signals.latest(signals.signals(scored(spark, d, context=True), HOURLY)).select("post_id", "risk.whipsaw_risk_level")
 
 
 @query(f"WITH {BASE_SQL} {rules_sql()} {RISK_SQL} SELECT post_id AS event_id, 'whipsaw_score' AS metric, score AS value FROM timed UNION ALL SELECT post_id, 'feed_lag_ms', 2000 FROM timed UNION ALL SELECT post_id, 'risk_multiplier', CASE WHEN lvl = 'HARD_KILL' THEN 0 WHEN lvl = 'SOFT_RISK' THEN 0.5 WHEN confidence < 0.58 OR sentiment = 'geopolitical_risk' THEN 0 ELSE 1 END FROM timed")
 def f28_signal_gauges(spark, d):
-    return signals.gauges(signals.signals(scored(spark, d), HOURLY))
+    return signals.gauges(signals.signals(scored(spark, d, context=True), HOURLY))
 
 
 @query(f"WITH {BASE_SQL} SELECT (max(received_at_utc) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 SECOND) OR false AS provider_stale FROM posts")
@@ -224,6 +226,6 @@ SELECT post_id, round(up / (up + down + flat), 6) AS up_5m, round(down / (up + d
 def f23_direction_odds(spark, d):
     """Probabilities of a model for 5 minutes, one of them missing, none for 15, and nothing but zeros for 30."""
     none = {f"p_{x}_30m": F.lit(0.0) for x in ("up", "down", "flat")}
-    given = scored(spark, d).withColumns({"p_up_5m": F.col("value") / 1000, "p_down_5m": F.lit(0.25), "p_flat_5m": F.lit(None).cast("double"), "expected_delta_5m_ticks": F.col("value") - 10} | none)
+    given = scored(spark, d, context=True).withColumns({"p_up_5m": F.col("value") / 1000, "p_down_5m": F.lit(0.25), "p_flat_5m": F.lit(None).cast("double"), "expected_delta_5m_ticks": F.col("value") - 10} | none)
     out, odds, deltas = signals.signals(given, HOURLY), F.col("p_direction"), F.col("expected_delta_ticks")
     return out.select("post_id", *(odds[k].alias(k) for k in ("up_5m", "down_5m", "flat_5m", "up_15m", "flat_30m")), F.round(deltas["5m"], 6).alias("delta_5m"), deltas["15m"].alias("delta_15m"))
